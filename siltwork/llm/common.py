@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+import zipfile
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +68,28 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in have:
         wish += "_"
     return wish
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="siltwork-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "siltwork_llm.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in ("__init__.py", *(f"llm/{f}" for f in sorted(os.listdir(os.path.join(top, "llm"))) if f.endswith(".py"))):
+            z.write(os.path.join(top, name), f"siltwork/{name}")
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with the package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing
 from .common import table
 from .oracles import ORACLES
 
 
+def op6_token_matrices(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Byte-level ids, id 50256 after each document; it also pads."""
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.packed_matrices(table(spark, sf_dir, "documents"), "byte", path, 50256, 50256, pattern=public_tokenizers.PATTERN)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.best_fit_pack(table(spark, sf_dir, "documents"), "word", path, 0)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -18,5 +31,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op6_token_matrices, op7_best_fit_packing, op9_mixing, op10_exact_dedup)}
 ORACLE_SQL = ORACLES
