@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, packing, simhash
 from .common import table
 from .oracles import ORACLES
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(table(spark, sf_dir, "documents"))
+
+
 def op6_token_matrices(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Byte-level ids, id 50256 after each document; it also pads."""
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,5 +35,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op6_token_matrices, op7_best_fit_packing, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op5_simhash, op6_token_matrices, op7_best_fit_packing, op9_mixing, op10_exact_dedup)}
 ORACLE_SQL = ORACLES
