@@ -42,4 +42,14 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id) AS k
 FROM n
 """
 
-ORACLES = {"op9_mixing": OP9, "op10_exact_dedup": OP10}
+#: documents padded with zero bytes can't be hashed as binary in plain SQL; WARC facts can
+OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS keeper FROM p GROUP BY html)
+SELECT page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN octet_length(encode(p.html)) >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(p.html)) >= 1000 AND page_id <> keeper THEN keeper END AS refers_to, url AS target_uri
+FROM p JOIN g ON p.html = g.html JOIN (SELECT page_id, url FROM pages) u USING (page_id)
+"""
+
+ORACLES = {"op2_warc": OP2, "op9_mixing": OP9, "op10_exact_dedup": OP10}

@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash
+from . import exact_dedup, mixing, mpeg_audio, packing, simhash, warc
 from .common import table
 from .oracles import ORACLES
 
 
+def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = mpeg_audio.stored(table(spark, sf_dir, "documents"))
+    names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature samples sample_rate frame_offsets"
+    return facts.select(*names.split())
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archive(table(spark, sf_dir, "pages"))
+    records = warc.read_archive(spark, folder)
+    return records.withColumns({c: F.col(c).try_cast("long") for c in ("page_id", "refers_to")})
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
@@ -35,5 +48,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_token_matrices, op7_best_fit_packing, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_warc, op5_simhash, op6_token_matrices, op7_best_fit_packing, op9_mixing, op10_exact_dedup)}
 ORACLE_SQL = ORACLES
