@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, mpeg_audio, packing, simhash, url_filter, warc
+from . import chat_format, exact_dedup, mixing, mpeg_audio, packing, quality, simhash, url_filter, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -50,6 +50,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str | Non
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"))
+    scores = quality.scored(documents, model).drop("text")
+    return scores.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,5 +66,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_warc, op3_url_filter, op4_chat_format, op5_simhash, op6_token_matrices, op7_best_fit_packing, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_warc, op3_url_filter, op4_chat_format, op5_simhash, op6_token_matrices, op7_best_fit_packing, op8_quality, op9_mixing, op10_exact_dedup)}
 ORACLE_SQL = ORACLES
