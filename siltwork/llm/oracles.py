@@ -52,4 +52,64 @@ SELECT page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, sha1(p.ht
 FROM p JOIN g ON p.html = g.html JOIN (SELECT page_id, url FROM pages) u USING (page_id)
 """
 
-ORACLES = {"op2_warc": OP2, "op9_mixing": OP9, "op10_exact_dedup": OP10}
+
+
+def url_filter_sql(iterations: int = 12, damping: int = 85, scale: int = 10**9) -> str:
+    """The rules and the propagation, an iteration a CTE, in whole numbers."""
+
+    def host(url: str) -> str:
+        upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+        return f"translate(regexp_extract(CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END, '^[^/?#]*'), '{upper}', '{lower}')"
+
+    def rule(h: str, p: str) -> str:
+        return f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+
+    def walk(name: str, src: str, dst: str, seed: str) -> str:
+        parts = [
+            f"{name}_e0 AS (SELECT {src} AS src, {dst} AS dst, weight FROM links)",
+            f"{name}_o AS (SELECT src, sum(weight)::BIGINT AS total FROM {name}_e0 GROUP BY src)",
+            f"{name}_e AS (SELECT e.src, e.dst, e.weight, o.total FROM {name}_e0 e JOIN {name}_o o USING (src)"
+            f" UNION ALL SELECT host, host, 1, 1 FROM hosts WHERE host NOT IN (SELECT src FROM {name}_o))",
+            f"{name}_0 AS (SELECT host, {seed} AS score FROM hosts)",
+        ]
+        for i in range(iterations):
+            parts.append(
+                f"{name}_{i + 1} AS MATERIALIZED (SELECT h.host, ((h.{seed} * {100 - damping} + coalesce(g.given, 0) * {damping}) // 100)::BIGINT AS score"
+                f" FROM hosts h LEFT JOIN (SELECT e.dst, sum(s.score::HUGEINT * e.weight // e.total)::BIGINT AS given"
+                f" FROM {name}_e e JOIN {name}_{i} s ON e.src = s.host GROUP BY e.dst) g ON h.host = g.dst)"
+            )
+        return ",\n".join(parts)
+
+    return f"""
+WITH p AS (
+  SELECT page_id, coalesce({host("url")}, '') AS host,
+         coalesce(regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1), '') AS path,
+         coalesce(html, '') AS html FROM pages),
+r AS (
+  SELECT page_id, host, path,
+         CASE WHEN {rule("example.net", "/en/")} THEN 'example.net/en/' WHEN {rule("example.com", "/de/")} THEN 'example.com/de/'
+              WHEN {rule("org", "/fr/")} THEN 'org/fr/' WHEN {rule("net", "/")} THEN 'net/' END AS rule FROM p),
+v AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r),
+l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS link FROM p),
+m AS (
+  SELECT src, CASE WHEN starts_with(link, '//') THEN {host("('x:' || link)")}
+                   WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {host("link")}
+                   WHEN NOT regexp_matches(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|#)') THEN src END AS dst FROM l),
+links AS MATERIALIZED (SELECT src, dst, count(*)::BIGINT AS weight FROM m WHERE src <> '' AND dst <> '' GROUP BY ALL),
+seen AS (
+  SELECT host, (count(*) FILTER (ruled = 'allow') * {scale} // count(*))::BIGINT AS allowed,
+         (count(*) FILTER (ruled = 'block') * {scale} // count(*))::BIGINT AS blocked FROM v WHERE host <> '' GROUP BY host),
+hosts AS MATERIALIZED (
+  SELECT host, coalesce(allowed, 0) AS allowed, coalesce(blocked, 0) AS blocked
+  FROM seen FULL JOIN (SELECT src AS host FROM links UNION SELECT dst FROM links) USING (host)),
+{walk("t", "src", "dst", "allowed")},
+{walk("d", "dst", "src", "blocked")},
+s AS (SELECT t.host, t.score AS trust, d.score AS distrust FROM t_{iterations} t JOIN d_{iterations} d USING (host))
+SELECT page_id, v.host, path, rule,
+       coalesce(ruled, CASE WHEN distrust >= {scale // 2} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0)::DOUBLE / {scale} AS trust, coalesce(distrust, 0)::DOUBLE / {scale} AS distrust
+FROM v LEFT JOIN s ON v.host = s.host
+""".replace("\\\\s", "\\s")
+
+
+ORACLES = {"op2_warc": OP2, "op3_url_filter": url_filter_sql(), "op9_mixing": OP9, "op10_exact_dedup": OP10}
