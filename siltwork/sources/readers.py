@@ -39,7 +39,7 @@ def write_stages(df: DataFrame, path: str, stage: str = "stage") -> None:
 
 def read_document_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """path and text of every file below root but those in administrative folders, whose names begin with _."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(~F.regexp_like("path", F.lit("/_[^/]*/")))
 
 
