@@ -49,5 +49,5 @@ def query(sql: str | None = None, views: str = ""):
 
 def load() -> None:
     """Imports every module of queries."""
-    for name in ("scans", "text", "joins"):
+    for name in ("scans", "text", "joins", "aggregates", "graph"):
         importlib.import_module(f"{__package__}.{name}")
