@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from .model import VIEWS, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,8 +39,12 @@ def with_views(sql: str, views: str) -> str:
 
 def query(sql: str | None = None, views: str = ""):
     def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        QUERIES[f.__name__].__doc__ = f.__doc__
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(Tables(spark, sf_dir))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = with_views(sql, views)
         return f
@@ -49,5 +54,5 @@ def query(sql: str | None = None, views: str = ""):
 
 def load() -> None:
     """Imports every module of queries."""
-    for name in ("scans", "text", "joins", "aggregates", "graph"):
+    for name in ("scans", "text", "joins", "aggregates", "graph", "html"):
         importlib.import_module(f"{__package__}.{name}")
