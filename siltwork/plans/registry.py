@@ -54,5 +54,5 @@ def query(sql: str | None = None, views: str = ""):
 
 def load() -> None:
     """Imports every module of queries."""
-    for name in ("scans", "text", "joins", "aggregates", "graph", "html", "retrieval"):
+    for name in ("scans", "text", "joins", "aggregates", "graph", "html", "retrieval", "streams"):
         importlib.import_module(f"{__package__}.{name}")
