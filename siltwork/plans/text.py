@@ -198,11 +198,11 @@ FROM (SELECT doc_id, replace(left(text, (doc_id % 90 + 10)::INT), chr(10), ' ')
 
 
 @query("""SELECT query_id, CASE WHEN cost IS NULL THEN '—' WHEN cost = 0 THEN '$0' WHEN cost < 0.01 THEN printf('$%.4f', cost) ELSE printf('$%.2f', cost) END AS cost_badge,
-  CASE WHEN ms < 1000 THEN printf('%d ms', ms::BIGINT) ELSE printf('%.1f s', ms / 1000.0) END AS ms_badge FROM (SELECT query_id, (query_id % 3000)::DOUBLE AS ms, CASE WHEN query_id % 5 > 0 THEN (query_id % 640)::DOUBLE / 100 + 0.001 END AS cost FROM qlog)""", "qlog")
+  CASE WHEN ms < 1000 THEN printf('%d ms', ms::BIGINT) ELSE printf('%.1f s', ms / 1000.0) END AS ms_badge FROM (SELECT query_id, (query_id % 3000)::DOUBLE + 0.3 AS ms, CASE WHEN query_id % 5 > 0 THEN (query_id % 640)::DOUBLE / 100 + 0.001 END AS cost FROM qlog)""", "qlog")
 def fmt_badges(t) -> DataFrame:
-    """No cost lies on a rounding boundary."""
+    """No number lies on a rounding boundary."""
     q = C("query_id")
-    return t.qlog.select("query_id", X.badge_cost(F.when(q % 5 > 0, (q % 640) / 100 + 0.001)).alias("cost_badge"), X.badge_ms((q % 3000).cast("double")).alias("ms_badge"))
+    return t.qlog.select("query_id", X.badge_cost(F.when(q % 5 > 0, (q % 640) / 100 + 0.001)).alias("cost_badge"), X.badge_ms((q % 3000).cast("double") + 0.3).alias("ms_badge"))
 
 
 one("cursor_token", "SELECT query_id, rtrim(replace(replace(base64(encode('[\"' || query_id || '\",\"' || outcome || '\"]')), '+', '-'), '/', '_'), '') AS value FROM qlog", lambda: X.cursor_token(C("query_id"), C("outcome")), lambda t: t.qlog, "query_id", "qlog")

@@ -1,0 +1,212 @@
+"""Pinned facts of single operators on small fixtures."""
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from siltwork.functions import html as H
+from siltwork.functions import text as X
+from siltwork.operators import chunking, graph, metrics, relational, retrieval
+from siltwork.sources import readers
+from siltwork.streaming import events
+
+PAPERS = [(1, 2024, 50), (2, 2023, 30), (3, 2024, 25), (4, 2024, 12), (5, 2024, 14), (6, 2023, 8), (10, 2017, 100000), (11, 2010, 200), (12, 2024, 9), (99, 2024, 5)]
+EDGES = [(1, 2), (3, 1), (2, 6), (1, 11), (4, 11), (12, 1), (12, 5), (1, 10), (2, 10), (3, 10), (4, 10), (5, 10), (12, 10), (6, 10)]
+
+
+@pytest.fixture(scope="module")
+def papers(spark):
+    return spark.createDataFrame(PAPERS, "corpusid long, year long, citationcount long")
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(EDGES, "src long, dst long")
+
+
+def seed(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "node long")
+
+
+def hops(df):
+    return {r["node"]: r["hop"] for r in df.collect()}
+
+
+def test_walk(spark, papers, edges):
+    assert hops(graph.walk(seed(spark, 1), edges, papers, 1)) == {1: 0, 2: 1, 3: 1, 10: 1, 11: 1, 12: 1}
+    found = hops(graph.walk(seed(spark, 1), edges, papers, 2))
+    assert found[2] == 1 and found[6] == 2 and 99 not in found
+    assert set(hops(graph.walk(seed(spark, 1), edges, papers, 1, min_citations=20))) == {1, 2, 3, 10, 11}
+    assert len(hops(graph.walk(seed(spark, 1), edges, papers, 2, beam=2))) <= 5
+    assert hops(graph.walk(spark.createDataFrame([], "node long"), edges, papers, 2)) == {}
+    hub = hops(graph.walk(seed(spark, 1), edges, papers, 2, hub=50000))
+    assert hub[10] == 1 and hub[6] == 2 and hub[5] == 2  # 5 by way of 12, not of the hub
+
+
+def test_null_counts_fail_node_filters(spark, edges):
+    odd = spark.createDataFrame([(2, None, None), (3, 2000, 1), (10, None, 5), (11, 1990, 0), (12, 1, 1)], "corpusid long, year long, citationcount long")
+    assert set(hops(graph.walk(seed(spark, 1), edges, odd, 1, min_citations=0))) == {1, 3, 10, 11, 12}
+
+
+def test_bridge_hub(spark):
+    e = spark.createDataFrame([(1, 10), (10, 5)], "src long, dst long")
+    assert [r[0] for r in graph.bridge_hubs(seed(spark, 1, 5), seed(spark, 10), e).collect()] == [10]
+
+
+def test_paths(spark, edges):
+    assert graph.shortest_path(edges, 6, 12) == [6, 10, 12]
+    assert graph.shortest_path(edges, 1, 99) == []
+
+
+def test_h_index(spark):
+    rows = spark.createDataFrame([("a", c) for c in (9, 7, 3, 3, 1)] + [("b", 0)], "author string, citations long")
+    assert {r["author"]: r["h"] for r in graph.h_index(rows).collect()} == {"a": 3, "b": 0}
+
+
+def test_rrf(spark):
+    lists = spark.createDataFrame([(0, 0, "a", 1), (0, 0, "b", 2), (0, 1, "a", 1), (0, 1, "c", 2)], "q int, list_idx int, id string, rank int")
+    rows = retrieval.rrf(lists, ["q"]).collect()
+    assert rows[0]["id"] == "a" and rows[0]["rrf"] == pytest.approx(2 / 61) and rows[0]["lists"] == [0, 1]
+    assert [r["id"] for r in rows] == ["a", "b", "c"]
+
+
+def test_mmr_order():
+    v = np.array([[1, 0], [0.99, 0.01], [0, 1], [-1, 0]], dtype=float)
+    s = np.array([0.95, 0.9, 0.5, 0.1])
+    assert retrieval.mmr_order(s, v, 2, 0.0) == [0, 3]
+    assert retrieval.mmr_order(np.array([1.0, 0.95, 0.6]), v[:3], 2, 0.5) == [0, 2]
+    assert retrieval.mmr_order(s, v, 0, 0.5) == []
+    assert sorted(retrieval.mmr_order(np.ones(3), np.zeros((3, 2)), 3, 0.5)) == [0, 1, 2]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.floats(0, 1), min_size=1, max_size=12), st.integers(0, 12), st.floats(0, 1))
+def test_mmr_picks_are_a_subset(scores, k, balance):
+    v = np.random.default_rng(0).normal(size=(len(scores), 3))
+    picks = retrieval.mmr_order(np.array(scores), v, k, balance)
+    assert len(picks) == len(set(picks)) == min(k, len(scores))
+
+
+def test_rerank_floor_and_cap(spark):
+    hits = spark.createDataFrame([(0, i, i // 3, 0.1 * i) for i in range(9)], "q int, id int, parent_id int, score double")
+    assert [r["id"] for r in retrieval.rerank(hits, ["q"], 9, per_parent=2).orderBy("rank").collect()] == [8, 7, 5, 4, 2, 1]
+    assert retrieval.rerank(hits, ["q"], 9, threshold=5.0, per_parent=9).count() == 5
+
+
+def test_metrics(spark):
+    ranked = spark.createDataFrame([(0, 1, "a"), (0, 2, "x"), (1, 1, "a")], "query_id int, rank int, id string")
+    refs = spark.createDataFrame([(0, "a"), (0, "b")], "query_id int, id string")
+    r = {x["query_id"]: x for x in metrics.at_k(ranked, refs, 15).collect()}
+    assert r[0]["recall"] == 0.5 and r[0]["mrr"] == 1 and r[0]["hit"] and r[1]["recall"] is None
+    votes = spark.createDataFrame([("k", "b", 0), ("k", "a", 1), ("k", "a", 2), ("k", "b", 3)], "k string, v string, i int")
+    assert metrics.majority(votes, "k", "v", "i").first()["v"] == "b"
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    ("url", "expected"),
+    [
+        ("https://arxiv.org/abs/2204.12345v2", "arxiv.org/abs/2204.12345"), ("http://arxiv.org/pdf/2204.12345.pdf", "arxiv.org/abs/2204.12345"), ("https://arxiv.org/html/2204.12345v1", "arxiv.org/abs/2204.12345"),
+        ("https://Example.COM/path/to/page?utm_source=x&y=2#section-3", "https://example.com/path/to/page"), ("https://papers.ssrn.com/sol3/papers.cfm?abstract_id=1234567", "https://ssrn.com/abstract=1234567"),
+        ("https://ssrn.com/abstract=1234567", "https://ssrn.com/abstract=1234567"), ("pasted text", ""),
+    ],
+)
+def test_canonical_url(spark, url, expected):
+    once = value(spark, X.canonical_url(F.lit(url)))
+    assert once == expected
+    if once.startswith("http"):
+        assert value(spark, X.canonical_url(F.lit(once))) == once
+
+
+def test_text_facts(spark):
+    assert value(spark, X.norm_source(F.lit("sources/trading/oracle_risk/source.pdf"))) == "oracle_risk"
+    assert value(spark, X.norm_source(F.lit("paper.txt"))) == "paper"
+    assert value(spark, X.norm_source(F.lit("a/b/c/file.pdf"))) == "file.pdf"
+    assert value(spark, X.garbage_reason(F.lit("x" * 999))) == "too_small"
+    assert value(spark, X.garbage_reason(F.lit("word " * 240))) is None
+    assert value(spark, X.truncate_utf8(F.lit("aé€𝄞"), 5)) == "aé"
+    for limit in range(11):
+        assert value(spark, X.truncate_utf8(F.lit("aé€𝄞z"), limit)) == "aé€𝄞z".encode()[:limit].decode(errors="ignore")
+    assert value(spark, X.cursor_values(X.cursor_token(F.lit("a?>~"), F.lit(7)))) == ["a?>~", "7"]
+
+
+def test_keyset_pages_partition_the_rows(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else i % 3) for i in range(23)], "id int, n int")
+    seen, after = [], None
+    while True:
+        page = relational.keyset_page(rows, "n", "id", 4, after).collect()
+        if not page:
+            break
+        seen += [r["id"] for r in page]
+        after = (page[-1]["n"], page[-1]["id"])
+    assert sorted(seen) == list(range(23)) and len(seen) == 23
+
+
+def test_merges(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id int, p string, q string")
+    new = spark.createDataFrame([(2, None, "y"), (3, "c", None)], "id int, p string, q string")
+    assert {tuple(r) for r in relational.upsert(old, new, "id").collect()} == {(1, "a", "x"), (2, "b", "y"), (3, "c", None)}
+    events_ = spark.createDataFrame([("k", 0, 0), ("k", 0, 1), ("k", 1, 2), ("k", 3, 3)], "k string, expected long, n long")
+    assert [r["accepted"] for r in relational.replay_versions(events_, "k", "expected", "n").orderBy("n").collect()] == [True, False, True, False]
+
+
+def test_pacer_is_the_recurrence(spark):
+    times = [0.0, 0.1, 5.0, 5.0, 5.1, 40.0]
+    rows = spark.createDataFrame([("h", t, i) for i, t in enumerate(times)], "h string, t double, i int")
+    last, want = 0.0, []
+    for t in times:
+        want.append((max(t, last) + 2.0, max(0.0, last + 2.0 - t)))
+        last = max(t, last) + 2.0
+    got = [(r["slot"], r["wait"]) for r in events.pacer(rows, "h", "t", "i", 2.0).orderBy("i").collect()]
+    assert got == pytest.approx([x for x in want])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=4), max_size=60), st.integers(2, 9), st.integers(0, 3))
+def test_split_words_covers(words, budget, overlap):
+    text = " ".join(words)
+    chunks = [c.split() for c in chunking.split_words(text, budget, overlap)]
+    assert all(len(c) <= budget for c in chunks)
+    rebuilt = []
+    for c in chunks:
+        cut = next(i for i in range(min(len(c), len(rebuilt)), -1, -1) if rebuilt[len(rebuilt) - i :] == c[:i]) if rebuilt else 0
+        rebuilt += c[min(cut, overlap) :]
+    assert len(rebuilt) >= len(words) and set(rebuilt) == set(words)
+
+
+def test_merge_short():
+    assert chunking.merge_short(["a", "b c d", "e"], 2) == ["a\nb c d\ne"]
+    assert chunking.merge_short(["a b", "c d", "e"], 2) == ["a b", "c d\ne"]
+
+
+def test_markdown_and_tables(spark):
+    md = "# T\n\npara\n\n| a |\n| - |\n| 1 |\n\n```\n# no\n```\n- x\n"
+    rows = H.markdown_elements(spark.createDataFrame([(1, md), (2, None)], "k int, md string"), "k", "md").collect()
+    assert [(r["type"], r["text"]) for r in rows] == [("heading", "T"), ("text", "para"), ("table", "| a |\n| - |\n| 1 |"), ("code", "# no"), ("list", "- x")]
+    big = "| a |\n| - |\n" + "\n".join(f"| {i} |" for i in range(600))
+    bands = [r["text"] for r in H.table_bands(spark.createDataFrame([(1, big)], "k int, md string"), "k", "md", 400).collect()]
+    assert len(bands) > 5 and all(len(b) <= 400 and b.startswith("| a |\n| - |\n") for b in bands)
+    assert "\n".join("\n".join(b.split("\n")[2:]) for b in bands) == "\n".join(big.split("\n")[2:])
+
+
+def test_sources(spark, tmp_path):
+    assert value(spark, readers.parse_sidecar(F.lit('"{\\"a\\": 1}"'), "a int"))["a"] == 1
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "corpusid long, title string")
+    readers.write_ndjson(rows, f"{tmp_path}/in")
+    for _ in range(2):
+        readers.ingest_shards(spark, f"{tmp_path}/in", "corpusid long, title string", f"{tmp_path}/out", f"{tmp_path}/state")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"2024-01-{1 + i % 9:02d} 00:00:00", float(i)) for i in range(40)], "k long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = events.window_counts(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "1 day")
+    stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start().awaitTermination()
+    got = {(r["w"]["start"], r["n"]) for r in spark.sql("select * from counts").collect()}
+    assert got == {(r["w"]["start"], r["n"]) for r in events.window_counts(rows, "1 day").collect()}
