@@ -109,10 +109,23 @@ def cap_text(text: Column, limit: int = 4096, keep: int = 4090) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, keep), F.lit(" …"))).otherwise(text)
 
 
-#: what pages say that are not the wanted page
+# What pages say that are not the wanted page, in the first 1500 characters, lower case
 FAIL_SIGNS = (
-    ("access_denied", "access denied"), ("not_found", "404 not found"), ("incident", "incident id"), ("robot", "are you a robot"), ("cookies", "enable cookies"), ("javascript", "enable javascript"),
-    ("captcha", "captcha"), ("blocked", "you have been blocked"), ("sign_in", "sign in to continue"), ("unavailable", "service unavailable"),
+    "just a moment", "performing security verification", "enable javascript and cookies to continue", "privacy and security by cloudflare", "ray id:", "checking your browser",
+    "ddos protection by cloudflare", "this website uses a security service to protect", "verifying you are human", "sicherheitsüberprüfung wird durchgeführt",
+    "diese website nutzt einen sicherheitsservice", "überprüfung erfolgreich", "vérification de sécurité", "vous êtes un humain", "comprobando que eres humano", "verificación de seguridad",
+    "access denied", "this site can", "404 not found", "403 forbidden", "401 unauthorized", "page not found", "are you a robot", "captcha", "before you continue to google",
+    "we'll remember this choice", "marketchameleon", "possible reasons for receiving this error", "error 1020", "using a vpn or other security product",
+)
+
+# Patterns of pages without content, by name, case-insensitive and by line, in the first 2000 characters
+GARBAGE = (
+    (r"access\s+denied", "access_denied"), (r"\b(cloudflare|cf-ray|ray\s*id)\b", "cloudflare"), (r"error\s+(1020|1015|1010|403|404|503|429)", "error_code"), (r"site\s+owner.*restrictions", "owner_block"),
+    (r"are\s+you\s+a\s+(robot|human)", "captcha"), (r"verify\s+(you|that)\s+(are|you)", "captcha2"), (r"this\s+(page|site|content)\s+(is\s+)?(not|no\s+longer)\s+available", "unavailable"),
+    (r"temporarily\s+unavailable", "temp_unavail"), (r"^\s*you\s+do\s+not\s+have\s+access", "no_access"), (r"checking\s+your\s+browser", "ddos_check"), (r"just\s+a\s+moment\.\.\.", "just_moment"),
+    (r"page\s+not\s+found", "page_not_found"), (r"oops[!,.]?\s+(this\s+page|we\s+couldn't|the\s+page)", "oops_404"), (r"incapsula\s+incident\s+id", "incapsula"), (r"\bopenresty\b", "openresty_block"),
+    (r"verification\s+required", "verification_required"), (r"verifying\.\.\.", "cf_verifying"), (r"\baltcha\b", "altcha_captcha"), (r"request\s+unsuccessful", "request_unsuccessful"),
+    (r"the\s+page\s+you('re|\s+are)\s+looking\s+for", "page_lookup"), (r"sorry[!,.\s]+the\s+page", "sorry_page"),
 )
 
 
@@ -128,8 +141,8 @@ def fail_signature(text: Column) -> Column:
     """The first sign in the first 1500 characters, else no_prose if no line has 70 characters; null for a good page."""
     head = F.lower(F.substring(text, 1, 1500))
     sign = F.when(longest_line(text) < 70, "no_prose")
-    for name, literal in reversed(FAIL_SIGNS):
-        sign = F.when(head.contains(literal), name).otherwise(sign)
+    for literal in reversed(FAIL_SIGNS):
+        sign = F.when(head.contains(literal), literal).otherwise(sign)
     return sign
 
 
@@ -138,20 +151,27 @@ def quality_score(text: Column) -> Column:
     return F.when(fail_signature(text).isNull() & (n >= 400), 10000 + n).otherwise(n)
 
 
+NOISE_LINE = "^(https?://[^ \t]*|[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12})$"
+
+
 def garbage_reason(text: Column) -> Column:
-    """A named pattern in the first 2000 characters, too_small below 1000, mostly_links if under 800 remain without URL lines."""
-    lines = F.filter(F.split(text, "\n"), lambda x: ~F.regexp_like(F.trim(x), F.lit("^https?://[^ ]+$|^[0-9a-f-]{36}$")))
-    return (
-        F.when(F.regexp_like(F.substring(text, 1, 2000), F.lit("(?i)captcha|access denied|page not found")), "blocked")
-        .when(F.length(text) < 1000, "too_small").when(F.length(F.array_join(lines, "\n")) < 800, "mostly_links")
-    )
+    """too_small below 1000 characters, a pattern's name, low_signal_after_strip if under 800 stay without lines of URLs and UUIDs; null for a good text."""
+    lines = F.filter(F.split(text, "\n"), lambda x: ~F.regexp_like(F.trim(x), F.lit(NOISE_LINE)))
+    reason = F.when(F.length(F.trim(F.array_join(lines, "\n"))) < 800, "low_signal_after_strip")
+    for pattern, name in reversed(GARBAGE):
+        reason = F.when(F.regexp_like(F.substring(text, 1, 2000), F.lit("(?im)" + pattern)), name).otherwise(reason)
+    return F.when(F.length(text) < 1000, "too_small").otherwise(reason)
+
+
+# Lines of a table of contents
+TOC_DOTTED, TOC_NUMBERED = r"\.{3,}\s*\d+\s*$", r"^\d+(\.\d+)*\s+\S.*\s+\d+\s*$"
 
 
 def looks_like_toc(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     n = F.size(lines)
-    dotted = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"\.{3,}|( \.){3,}"))))
-    numbered = F.size(F.filter(lines, lambda x: F.regexp_like(F.trim(x), F.lit(r"^[0-9]+(\.[0-9]+)*[ .].*[0-9]$"))))
+    dotted = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(TOC_DOTTED))))
+    numbered = F.size(F.filter(lines, lambda x: F.regexp_like(F.trim(x), F.lit(TOC_NUMBERED))))
     return (n >= 5) & ((dotted >= 0.4 * n) | (numbered >= 0.6 * n))
 
 
@@ -167,14 +187,23 @@ def tail_strip(text: Column, marker: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(marker)) & (F.length(head) >= 0.8 * F.length(text)), head).otherwise(text)
 
 
-STOP_WORDS = ("this", "that", "with", "from", "have", "been", "will", "were", "which", "their", "these", "paper", "final", "draft", "copy")
+# Words that say nothing about a file's content, and words that are no content nouns
+STOP_WORDS = tuple(
+    "and the for with from into onto what when where how why this that these those have has had are was were been being will would could should your you use uses using used via but not all any can may"
+    " might more most much some such than then they them their there here about between across above below after before during since until while also yet out off com org net io wiki wikipedia github"
+    " reddit papers arxiv pdf html edu blog post page site review guide intro introduction based vol ssrn doi".split()
+)
+NOUN_STOP_WORDS = tuple(
+    "the is at which on in a an and or but not to of for with from by about as into through during before after above below between out off over under again further then once here there when where why"
+    " how all both each few more most other some such than that this what these those can will just should now also has have are was were been does its much very".split()
+)
 
 
 def descriptive_tokens(name: Column) -> Column:
-    """Words of four or more letters of a file name, its NNN__ prefix and stop words dropped; none for names of URLs."""
-    plain = F.regexp_replace(F.lower(name), r"^[0-9]+__|\.[a-z]{2,4}$", "")
-    words = F.array_except(F.regexp_extract_all(plain, F.lit("[a-z]{4,}"), F.lit(0)), F.array(*map(F.lit, STOP_WORDS)))
-    return F.when(F.regexp_like(plain, F.lit("^https?_")), F.array().cast("array<string>")).otherwise(words)
+    """Distinct runs of four or more letters and digits of a path's file name, without its NNN__ prefix, ending and stop words; none for names of URLs."""
+    stem = F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.lower(name), "/"), -1), r"\.[a-z0-9]{1,5}$", ""), r"^[0-9]+__", "")
+    words = F.filter(F.regexp_extract_all(stem, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
+    return F.when(F.regexp_like(stem, F.lit("^https?[_-]")), F.array().cast("array<string>")).otherwise(F.array_distinct(words))
 
 
 def overlap_ratio(tokens: Column, text: Column) -> Column:
@@ -184,7 +213,7 @@ def overlap_ratio(tokens: Column, text: Column) -> Column:
 
 def content_nouns(text: Column, most: int = 8) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOP_WORDS))), 1, most)
+    return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(*NOUN_STOP_WORDS))), 1, most)
 
 
 def strip_latex(text: Column) -> Column:

@@ -80,7 +80,7 @@ def co_cited(seeds: DataFrame, edges: DataFrame, papers: DataFrame, shared_citer
     return paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("damped"))
 
 
-def recency(year: Column, now: int, tau: float = 5.0, floor: float = 0.3) -> Column:
+def recency(year: Column, now: int, tau: float = 5.0, floor: float = 0.35) -> Column:
     return F.when(year.isNull(), 1.0).otherwise(floor + (1 - floor) * F.exp(-F.greatest(F.lit(0), now - year) / tau))
 
 
@@ -90,7 +90,7 @@ def normed(n: Column, damped: Column, citations: Column, norm: str) -> Column:
     return {"none": n.cast("double"), "logidf": damped, "assoc": n / c, "salton": n / F.sqrt(c.cast("double"))}[norm]
 
 
-def niche_scores(seeds: DataFrame, edges: DataFrame, papers: DataFrame, now: int, norm: str = "logidf", weights=(1.0, 1.0, 1.0, 0.5), damping: float = 0.5) -> DataFrame:
+def niche_scores(seeds: DataFrame, edges: DataFrame, papers: DataFrame, now: int, norm: str = "logidf", weights=(1.0, 1.0, 1.0, 0.3), damping: float = 0.5) -> DataFrame:
     """Candidates (neighbours of seeds) with direct, cocite, bib, reach and niche, the weighted and recency-damped sum."""
     alpha, beta, gamma, delta = weights
     s = seeds.select("node").distinct()
@@ -158,3 +158,48 @@ def h_index(authored: DataFrame) -> DataFrame:
     w = Window.partitionBy("author").orderBy(F.desc("citations"))
     least = F.least("citations", F.sum("n").over(w))
     return counts.withColumn("h", least).groupBy("author").agg(F.max("h").alias("h"))
+
+
+# Fixed values of the reliability score: half points, weights, shares
+H_HALF, REF_HALF, VENUE_HALF, LEAST_AGE = 20.0, 20.0, 5.0, 0.5
+W_VENUE, W_IMPACT, W_AUTHOR, W_GROUND = 0.30, 0.35, 0.20, 0.15
+
+
+def saturated(x: Column, half: float) -> Column:
+    """0 to 1, one half at `half`."""
+    x = F.greatest(F.lit(0.0), x)
+    return x / (x + half)
+
+
+def age_bucket(age: Column) -> Column:
+    bucket = F.lit("10y+")
+    for limit, name in ((10, "5-10y"), (5, "3-5y"), (3, "2-3y"), (2, "1-2y"), (1, "6-12mo"), (0.5, "3-6mo"), (0.25, "0-3mo")):
+        bucket = F.when(age < limit, name).otherwise(bucket)
+    return bucket
+
+
+def reliability(rows: DataFrame) -> DataFrame:
+    """rows with fwci, confidence, impact, venue_score, author_score, grounding, composite (0 to 100) and verdict.
+
+    rows(age, infl, expected, tier, prestige, max_h, mean_h, refs): tier is reviewed, published or preprint.
+    Without a trusted citation window (under half a year, or no cohort) impact is 0 and its weight goes to
+    venue and author, 6 to 4; under a year confidence is low as well.
+    """
+    blind = (F.col("age") < LEAST_AGE) | F.col("expected").isNull() | (F.col("expected") <= 0)
+    fwci = F.when(~blind, F.col("infl") / F.col("expected"))
+    rows = rows.withColumns({"fwci": fwci, "low": blind | (F.col("age") < 1)})
+    tier = F.when(F.col("tier") == "reviewed", 1.0).when(F.col("tier") == "published", 0.5).otherwise(0.2)
+    label = F.when(F.col("tier") == "reviewed", "peer-reviewed").otherwise(F.col("tier"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    rows = rows.withColumns({
+        "impact": F.coalesce(F.col("fwci") / (F.col("fwci") + 1), F.lit(0.0)), "venue_score": tier * (0.6 + 0.4 * saturated(zero("prestige"), VENUE_HALF)),
+        "author_score": 0.6 * saturated(zero("max_h"), H_HALF) + 0.4 * saturated(zero("mean_h"), H_HALF), "grounding": saturated(zero("refs"), REF_HALF),
+    })
+    sure = W_IMPACT * F.col("impact") + W_VENUE * F.col("venue_score") + W_AUTHOR * F.col("author_score") + W_GROUND * F.col("grounding")
+    unsure = (W_VENUE + 0.6 * W_IMPACT) * F.col("venue_score") + (W_AUTHOR + 0.4 * W_IMPACT) * F.col("author_score") + W_GROUND * F.col("grounding")
+    rows = rows.withColumn("composite", 100 * F.when(F.col("low"), unsure).otherwise(sure)).withColumn("confidence", F.when(F.col("low"), "low").otherwise("ok"))
+    verdict = (
+        F.when(F.col("low"), F.concat(F.lit("recent "), label, F.lit(", unproven"))).when(F.col("composite") >= 70, F.concat(F.lit("established, "), label, F.lit(", high field-normalized impact")))
+        .when(F.col("composite") >= 45, F.concat(label, F.lit(", moderate impact"))).otherwise(F.concat(label, F.lit(", low signal")))
+    )
+    return rows.withColumn("verdict", verdict).drop("low")

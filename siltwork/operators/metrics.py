@@ -39,12 +39,20 @@ def mean_without_nan(c: Column) -> Column:
     return F.avg(F.when(~F.isnan(c), c))
 
 
-def usage_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
-    """usage(model, miss, hit, output; hit null without a split) with cost; null for a model without rates. Rates are per million tokens."""
-    r = F.broadcast(rates)  # a price list
-    m = F.lit(1e6)
-    cost = (F.col("miss") * F.col("r_miss") + F.coalesce("hit", F.lit(0)) * F.col("r_hit") + F.col("output") * F.col("r_out")) / m
-    return usage.join(r, "model", "left").withColumn("cost", cost).drop("r_miss", "r_hit", "r_out")
+# Prices in dollars a million tokens: model, cache miss, cache hit, output, reasoning
+PRICES = (
+    ("deepseek-v4-pro", 0.27, 0.054, 1.10, 1.10), ("deepseek-v4-flash", 0.14, 0.028, 0.28, 0.28), ("gemini-2.5-flash", 0.30, 0.075, 2.50, 2.50), ("gemini-3-flash-preview", 0.30, 0.075, 2.50, 2.50),
+    ("gemini-3-pro-preview", 1.25, 0.31, 10.00, 10.00), ("gemini-3-flash-lite-preview", 0.10, 0.025, 0.40, 0.40), ("gemini-3.1-flash-lite-preview", 0.10, 0.025, 0.40, 0.40),
+)
+
+
+def usage_cost(usage: DataFrame, prices=PRICES) -> DataFrame:
+    """usage(model, input, miss, hit, output, reasoning) with cost; null for an unknown model. Without a cache split all input is a miss."""
+    r = F.broadcast(usage.sparkSession.createDataFrame(prices, "model string, r_miss double, r_hit double, r_out double, r_think double"))  # a price list
+    split = F.col("miss") + F.col("hit") > 0
+    miss, hit = F.when(split, F.col("miss")).otherwise(F.col("input")), F.when(split, F.col("hit")).otherwise(0)
+    cost = (miss * F.col("r_miss") + hit * F.col("r_hit") + F.col("output") * F.col("r_out") + F.col("reasoning") * F.col("r_think")) / 1_000_000
+    return usage.join(r, "model", "left").withColumn("cost", cost).drop("r_miss", "r_hit", "r_out", "r_think")
 
 
 def majority(votes: DataFrame, key: str, vote: str, index: str) -> DataFrame:

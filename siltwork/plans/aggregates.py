@@ -217,12 +217,15 @@ def noise_delta(t) -> DataFrame:
     return t.qlog.groupBy("k").agg(F.round(mean(C("event_type") != "error") - mean(C("event_type") == "error"), 4).alias("delta"))
 
 
-@query("""WITH r(model, r_miss, r_hit, r_out) AS (VALUES ('click', 1.0::DOUBLE, 0.1::DOUBLE, 2.0::DOUBLE), ('view', 3.0, 0.3, 15.0))
-SELECT query_id, round((k * r_miss + coalesce(CASE WHEN query_id % 2 = 0 THEN k * 2 END, 0) * r_hit + 7 * r_out) / 1e6, 9) AS cost FROM qlog LEFT JOIN r ON model = event_type""", "qlog")
+@query(f"""WITH r(model, a, b, c, d) AS (VALUES {', '.join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for m, a, b, c, d in M.PRICES)}),
+u AS (SELECT query_id, {[p[0] for p in M.PRICES] + ['unknown']!r}[(query_id % 8 + 1)::INT] AS model, k AS input, CASE WHEN query_id % 2 = 0 THEN k // 3 ELSE 0 END AS hit, CASE WHEN query_id % 2 = 0 THEN k - k // 3 ELSE 0 END AS miss FROM qlog)
+SELECT query_id, round((CASE WHEN miss + hit > 0 THEN miss ELSE input END * a + CASE WHEN miss + hit > 0 THEN hit ELSE 0 END * b + 7 * c + 3 * d) / 1e6, 9) AS cost FROM u LEFT JOIN r USING (model)""", "qlog")
 def llm_cost(t) -> DataFrame:
-    rates = t.spark.createDataFrame([("click", 1.0, 0.1, 2.0), ("view", 3.0, 0.3, 15.0)], "model string, r_miss double, r_hit double, r_out double")
-    usage = t.qlog.select("query_id", C("event_type").alias("model"), C("k").alias("miss"), F.when(C("query_id") % 2 == 0, C("k") * 2).alias("hit"), F.lit(7).alias("output"))
-    return M.usage_cost(usage, rates).select("query_id", F.round("cost", 9).alias("cost"))
+    q, hit = C("query_id"), F.expr("k div 3")
+    model = F.element_at(F.array(*(F.lit(p[0]) for p in M.PRICES), F.lit("unknown")), (q % 8 + 1).cast("int"))
+    split = q % 2 == 0
+    usage = t.qlog.select("query_id", model.alias("model"), C("k").alias("input"), F.when(split, C("k") - hit).otherwise(0).alias("miss"), F.when(split, hit).otherwise(0).alias("hit"), F.lit(7).alias("output"), F.lit(3).alias("reasoning"))
+    return M.usage_cost(usage).select("query_id", F.round("cost", 9).alias("cost"))
 
 
 @query("SELECT query_id, CASE WHEN k < 70 AND latency_ms > k THEN 'retry' WHEN k < 70 THEN 'first' ELSE 'no retry' END AS choice FROM qlog", "qlog")

@@ -77,7 +77,7 @@ def _niche_sql(norm: str) -> str:
     return f"""{HOP1}, r AS (SELECT nbr AS node, count(*) AS reach FROM h1 WHERE nbr NOT IN (SELECT node FROM seeds) GROUP BY nbr), d AS (SELECT b AS node, count(*) AS direct FROM both_ WHERE a IN (SELECT node FROM seeds) GROUP BY b),
 c AS ({paths('src', 'dst')}), b AS ({paths('dst', 'src')}),
 s AS (SELECT r.node, coalesce(direct, 0) AS direct, coalesce(c.n, 0) AS cocite, coalesce(b.n, 0) AS bib, reach,
-  (coalesce(direct, 0) + {sig[0]} + {sig[1]} + 0.5 * reach) * (0.3 + 0.7 * exp(-greatest(0, {NOW} - p.year) / 5.0)) / pow(1 + p.citationcount, 0.5) AS niche
+  (coalesce(direct, 0) + {sig[0]} + {sig[1]} + 0.3 * reach) * (0.35 + 0.65 * exp(-greatest(0, {NOW} - p.year) / 5.0)) / pow(1 + p.citationcount, 0.5) AS niche
   FROM r LEFT JOIN d USING (node) LEFT JOIN c USING (node) LEFT JOIN b USING (node) JOIN papers p ON p.corpusid = r.node)"""
 
 
@@ -177,17 +177,11 @@ def centroid(t) -> DataFrame:
     return placed.groupBy("seed").agg(F.round(F.avg(C("nbr") % 100), 6).alias("x"), F.round(F.avg(F.expr("nbr div 100")), 6).alias("y"))
 
 
-@query(f"SELECT corpusid, round(CASE WHEN year % 11 = 0 THEN 1.0 ELSE 0.3 + 0.7 * exp(-greatest(0, {NOW} - year) / 5.0) END, 6) AS factor FROM papers", "papers")
+@query(f"SELECT corpusid, round(CASE WHEN year % 11 = 0 THEN 1.0 ELSE 0.35 + 0.65 * exp(-greatest(0, {NOW} - year) / 5.0) END, 6) AS factor FROM papers", "papers")
 def recency(t) -> DataFrame:
     return t.papers.select("corpusid", F.round(G.recency(F.when(C("year") % 11 != 0, C("year")), NOW), 6).alias("factor"))
 
 
-REL = f"""a AS (SELECT l_partkey AS corpusid, max(h) AS max_h, count(*) AS n_authors FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN hidx ON author = l_suppkey GROUP BY 1),
-b AS (SELECT field, year // 10 AS decade, avg(citationcount) AS expected, count(*) AS n FROM papers GROUP BY ALL), v AS (SELECT venue, avg(citationcount) AS prestige FROM papers GROUP BY venue),
-hidx AS (SELECT author, max(least(c, n)) AS h FROM (SELECT author, c, row_number() OVER (PARTITION BY author ORDER BY c DESC) AS n FROM (SELECT DISTINCT l_suppkey AS author, l_partkey, citationcount AS c FROM lineitem JOIN papers ON corpusid = l_partkey)) GROUP BY author)"""
-REL = ", ".join([REL[REL.index("hidx AS") :], REL[: REL.index("hidx AS")].rstrip().rstrip(",")])
-
-
 @query("WITH x AS (SELECT DISTINCT l_suppkey AS author, l_partkey, citationcount AS c FROM lineitem JOIN papers ON corpusid = l_partkey) SELECT author, max(least(c, n)) AS h FROM (SELECT author, c, row_number() OVER (PARTITION BY author ORDER BY c DESC) AS n FROM x) GROUP BY author", "papers")
 def h_index(t) -> DataFrame:
     return G.h_index(authored(t).select("author", C("citationcount").alias("citations")))
@@ -203,24 +197,33 @@ def cohort_baseline(t) -> DataFrame:
     return t.papers.groupBy("field", F.expr("year div 10").alias("decade")).agg(F.round(F.avg("citationcount"), 6).alias("expected"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {REL}, s AS (SELECT p.corpusid, CASE WHEN b.expected > 0 THEN p.citationcount / b.expected END AS fwci, coalesce(a.max_h, 0) AS max_h, coalesce(a.n_authors, 0) AS n_authors, v.prestige, {NOW} - p.year AS age, b.n
-  FROM papers p JOIN b ON b.field = p.field AND b.decade = p.year // 10 JOIN v ON v.venue = p.venue LEFT JOIN a ON a.corpusid = p.corpusid)
-SELECT corpusid, round(fwci, 6) AS fwci, max_h, n_authors, round(100 * (0.45 * coalesce(fwci / (fwci + 1), 0) + 0.25 * (max_h / (max_h + 20.0)) + 0.3 * (prestige / (prestige + 20))), 4) AS composite,
-  CASE WHEN fwci IS NULL OR n < 5 THEN 'low' ELSE 'ok' END AS confidence, CASE WHEN age < 1 THEN 'unproven' WHEN fwci >= 1.2 THEN 'above its cohort' WHEN fwci >= 0.8 THEN 'like its cohort' ELSE 'below its cohort' END AS verdict FROM s""", "papers")
+@query(f"""WITH au AS (SELECT DISTINCT l_suppkey AS author, l_partkey AS corpusid FROM lineitem), hi AS (SELECT author, max(least(c, n)) AS h FROM (SELECT author, citationcount AS c, row_number() OVER (PARTITION BY author ORDER BY citationcount DESC) AS n FROM au JOIN papers USING (corpusid)) GROUP BY author),
+wh AS (SELECT corpusid, max(h) AS max_h, avg(h) AS mean_h, count(*) AS n_authors FROM au JOIN hi USING (author) GROUP BY corpusid), inf AS (SELECT dst AS corpusid, sum(infl) AS infl FROM cites GROUP BY dst), rf AS (SELECT src AS corpusid, count(DISTINCT dst) AS refs FROM cites GROUP BY src),
+p0 AS (SELECT papers.*, coalesce(infl, 0)::BIGINT AS infl, coalesce(refs, 0) AS refs, CASE WHEN corpusid % 13 = 0 THEN 0.7 ELSE {NOW} - year + 0.4 END::DOUBLE AS age, CASE corpusid % 3 WHEN 0 THEN 'reviewed' WHEN 1 THEN 'published' ELSE 'preprint' END AS tier FROM papers LEFT JOIN inf USING (corpusid) LEFT JOIN rf USING (corpusid)),
+p AS (SELECT *, CASE WHEN age < 0.25 THEN '0-3mo' WHEN age < 0.5 THEN '3-6mo' WHEN age < 1 THEN '6-12mo' WHEN age < 2 THEN '1-2y' WHEN age < 3 THEN '2-3y' WHEN age < 5 THEN '3-5y' WHEN age < 10 THEN '5-10y' ELSE '10y+' END AS bucket FROM p0),
+ba AS (SELECT field, tier, bucket, avg(infl) AS expected FROM p GROUP BY ALL), ve AS (SELECT venue, avg(infl) AS prestige FROM p GROUP BY venue),
+x AS (SELECT p.corpusid, p.tier, age, refs, prestige, coalesce(max_h, 0) AS max_h, coalesce(mean_h, 0) AS mean_h, coalesce(n_authors, 0) AS n_authors, CASE WHEN age >= 0.5 AND expected > 0 THEN p.infl / expected END AS fwci, age < 1 OR NOT expected > 0 AS low
+  FROM p JOIN ba ON ba.field = p.field AND ba.tier = p.tier AND ba.bucket = p.bucket JOIN ve ON ve.venue = p.venue LEFT JOIN wh ON wh.corpusid = p.corpusid),
+y AS (SELECT *, coalesce(fwci / (fwci + 1), 0) AS i, CASE tier WHEN 'reviewed' THEN 1.0 WHEN 'published' THEN 0.5 ELSE 0.2 END::DOUBLE * (0.6 + 0.4 * prestige / (prestige + 5)) AS v, 0.6 * max_h / (max_h + 20.0) + 0.4 * mean_h / (mean_h + 20.0) AS a, refs / (refs + 20.0) AS g, CASE tier WHEN 'reviewed' THEN 'peer-reviewed' ELSE tier END AS label FROM x),
+z AS (SELECT *, (100 * CASE WHEN low THEN 0.51 * v + 0.34 * a + 0.15 * g ELSE 0.35 * i + 0.3 * v + 0.2 * a + 0.15 * g END)::DOUBLE AS composite FROM y)
+SELECT corpusid, round(fwci, 6) AS fwci, max_h, n_authors, round(composite, 4) AS composite, CASE WHEN low THEN 'low' ELSE 'ok' END AS confidence,
+  CASE WHEN low THEN 'recent ' || label || ', unproven' WHEN composite >= 70 THEN 'established, ' || label || ', high field-normalized impact' WHEN composite >= 45 THEN label || ', moderate impact' ELSE label || ', low signal' END AS verdict FROM z""", "papers")
 def reliability(t) -> DataFrame:
-    """Impact against the cohort, authors' h-index and venue, each saturating, as 0 to 100."""
-    p = t.papers.withColumn("decade", F.expr("year div 10"))
-    base = p.groupBy("field", "decade").agg(F.avg("citationcount").alias("expected"), F.count(F.lit(1)).alias("n"))
-    venue = p.groupBy("venue").agg(F.avg("citationcount").alias("prestige"))
+    """Impact against the cohort of field, tier and age, venue, authors and references, as 0 to 100."""
+    infl = t.cites.groupBy(C("dst").alias("corpusid")).agg(F.sum("infl").alias("infl"))
+    refs = t.cites.groupBy(C("src").alias("corpusid")).agg(F.countDistinct("dst").alias("refs"))
+    k = C("corpusid") % 3
+    p = t.papers.join(infl, "corpusid", "left").join(refs, "corpusid", "left").na.fill(0, ["infl", "refs"])
+    p = p.withColumns({
+        "age": F.when(C("corpusid") % 13 == 0, 0.7).otherwise(NOW - C("year") + 0.4), "tier": F.when(k == 0, "reviewed").when(k == 1, "published").otherwise("preprint"),
+    }).withColumn("bucket", G.age_bucket(C("age")))
+    base = p.groupBy("field", "tier", "bucket").agg(F.avg("infl").alias("expected"))
+    venue = p.groupBy("venue").agg(F.avg("infl").alias("prestige"))
     h = G.h_index(authored(t).select("author", C("citationcount").alias("citations")))
-    who = authored(t).join(h, "author").groupBy("corpusid").agg(F.max("h").alias("max_h"), F.count(F.lit(1)).alias("n_authors"))
-    rows = p.join(base, ["field", "decade"]).join(venue, "venue").join(who, "corpusid", "left")
-    fwci = F.when(C("expected") > 0, C("citationcount") / C("expected"))
-    sat = lambda x, half: x / (x + half)
-    top = F.coalesce("max_h", F.lit(0))
-    composite = 100 * (0.45 * F.coalesce(sat(fwci, 1), F.lit(0)) + 0.25 * sat(top, 20.0) + 0.3 * sat(C("prestige"), 20))
-    verdict = F.when(NOW - C("year") < 1, "unproven").when(fwci >= 1.2, "above its cohort").when(fwci >= 0.8, "like its cohort").otherwise("below its cohort")
-    return rows.select("corpusid", F.round(fwci, 6).alias("fwci"), top.alias("max_h"), F.coalesce("n_authors", F.lit(0)).alias("n_authors"), F.round(composite, 4).alias("composite"), F.when(fwci.isNull() | (C("n") < 5), "low").otherwise("ok").alias("confidence"), verdict.alias("verdict"))
+    who = authored(t).join(h, "author").groupBy("corpusid").agg(F.max("h").alias("max_h"), F.avg("h").alias("mean_h"), F.count(F.lit(1)).alias("n_authors"))
+    rows = G.reliability(p.join(base, ["field", "tier", "bucket"]).join(venue, "venue").join(who, "corpusid", "left"))
+    zero = lambda c: F.coalesce(C(c), F.lit(0)).alias(c)
+    return rows.select("corpusid", F.round("fwci", 6).alias("fwci"), zero("max_h"), zero("n_authors"), F.round("composite", 4).alias("composite"), "confidence", "verdict")
 
 
 @query("""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 50)::VARCHAR END AS cid, p_name AS title FROM documents JOIN part ON p_partkey = doc_id % 180 + 1),

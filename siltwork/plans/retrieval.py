@@ -183,21 +183,24 @@ def overlap_score(t) -> DataFrame:
     return rows.select("doc_id", F.round(R.overlap(C("text"), C("asked")), 6).alias("score"))
 
 
-#: intent: multipliers of the baseline's numbers, and whether diversity is on (None: the baseline's)
-POLICIES = (("factual", 1.0, 1.0, None), ("multi_hop", 1.5, 2.0, False), ("comparative", 2.0, 1.5, False))
+# The baseline's numbers and what each intent multiplies top_k_rerank by
+BASELINE = {"top_k_rerank": 20, "mmr_pool_mult": 3, "use_mmr": True}
+POLICIES = (
+    ("factoid", 1.0), ("definitional", 1.0), ("computational", 1.0), ("unknown", 1.0), ("multi_hop", 2.0), ("comparative", 2.0), ("literature_synthesis", 3.0), ("sensemaking", 3.0),
+)
 
 
-@query("""WITH p(intent, a, b, mmr) AS (VALUES ('factual', 1.0::DOUBLE, 1.0::DOUBLE, NULL::BOOLEAN), ('multi_hop', 1.5, 2.0, false), ('comparative', 2.0, 1.5, false)),
-q AS (SELECT query_id, ['factual', 'multi_hop', 'comparative', 'other'][(query_id % 4 + 1)::INT] AS intent, CASE WHEN query_id % 5 = 0 THEN 7 END AS override, CASE WHEN query_id % 7 = 0 THEN true END AS flag FROM qlog)
-SELECT query_id, coalesce(override, ceil(15 * coalesce(a, 1)))::INT AS k, ceil(11 * coalesce(b, 1))::INT AS pool, coalesce(flag, mmr, true) AS use_mmr FROM q LEFT JOIN p USING (intent)""", "qlog")
+@query(f"""WITH p(intent, m) AS (VALUES {', '.join(f"('{n}', {m}::DOUBLE)" for n, m in POLICIES)}),
+q AS (SELECT query_id, {[n for n, _ in POLICIES] + ['other']!r}[(query_id % 9 + 1)::INT] AS intent, CASE WHEN query_id % 5 = 0 THEN 7 END AS override, CASE WHEN query_id % 7 = 0 THEN false END AS flag FROM qlog)
+SELECT query_id, coalesce(override, ceil(20 * coalesce(m, 1)))::INT AS k, 3 * coalesce(override, ceil(20 * coalesce(m, 1)))::INT AS pool, coalesce(flag, true) AS use_mmr FROM q LEFT JOIN p USING (intent)""", "qlog")
 def policy_resolve(t) -> DataFrame:
     """The baseline scaled by intent, then overrides, then the query's own flag."""
-    table = t.spark.createDataFrame(POLICIES, "intent string, a double, b double, mmr boolean")
+    table = t.spark.createDataFrame(POLICIES, "intent string, m double")
     q = C("query_id")
-    intent = F.element_at(F.array(*map(F.lit, ("factual", "multi_hop", "comparative", "other"))), (q % 4 + 1).cast("int"))
-    rows = t.qlog.select("query_id", intent.alias("intent"), F.when(q % 5 == 0, 7).alias("override"), F.when(q % 7 == 0, True).alias("flag")).join(F.broadcast(table), "intent", "left")
-    scaled = lambda n, m: F.ceil(n * F.coalesce(m, F.lit(1))).cast("int")
-    return rows.select("query_id", F.coalesce("override", scaled(15, "a")).alias("k"), scaled(11, "b").alias("pool"), F.coalesce("flag", "mmr", F.lit(True)).alias("use_mmr"))
+    intent = F.element_at(F.array(*(F.lit(n) for n, _ in POLICIES), F.lit("other")), (q % 9 + 1).cast("int"))
+    rows = t.qlog.select("query_id", intent.alias("intent"), F.when(q % 5 == 0, 7).alias("override"), F.when(q % 7 == 0, False).alias("flag")).join(F.broadcast(table), "intent", "left")
+    k = F.coalesce("override", F.ceil(BASELINE["top_k_rerank"] * F.coalesce("m", F.lit(1))).cast("int"))
+    return rows.select("query_id", k.alias("k"), (BASELINE["mmr_pool_mult"] * k).alias("pool"), F.coalesce("flag", F.lit(BASELINE["use_mmr"])).alias("use_mmr"))
 
 
 @query("""SELECT a.vec_id % 50 AS question, round(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) * (a.vec_id % 50 % 4 > 0)::INT, 6) AS relevancy

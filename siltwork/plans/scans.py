@@ -183,23 +183,39 @@ def _host_sql(url: str = "url") -> str:
     return f"regexp_replace(lower(regexp_extract({url}, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '')"
 
 
-TIERS = (("T1", "pdf", r"\.pdf($|[?#])"), ("T2", "org", None), ("T3", "net", None))
+# Hosts of publishers, whose pages count like DOI pages
+PAPER_HOSTS = ("sciencedirect.com", "springer.com", "wiley.com", "tandfonline.com", "nature.com", "ieee.org", "acm.org", "jstor.org", "oup.com", "cambridge.org", "worldscientific.com")
 
 
-@query(f"""
-SELECT page_id, CASE WHEN url IS NULL OR url = '' THEN 'T0' WHEN regexp_matches(lower(url), '\\.pdf($|[?#])') THEN 'T1'
-  WHEN ends_with({_host_sql()}, '.org') THEN 'T2' WHEN ends_with({_host_sql()}, '.net') AND starts_with({_host_sql()}, 'm.') THEN 'T3'
-  WHEN ends_with({_host_sql()}, '.net') THEN 'T4' WHEN starts_with({_host_sql()}, 'blog.') THEN 'T5' WHEN regexp_matches(url, '^https?://') THEN 'T6' ELSE 'T7' END AS tier FROM pages""")
-def url_tier(t) -> DataFrame:
+def tier_of(kind, url):
+    """The tier of a source by its kind (pasted, pdf or web) and URL; the order of the rules counts."""
     from ..functions.text import host
 
-    url, h = F.col("url"), host(F.col("url"))
-    tier = (
-        F.when(url.isNull() | (url == ""), "T0").when(F.regexp_like(F.lower(url), F.lit(r"\.pdf($|[?#])")), "T1").when(h.endswith(".org"), "T2")
-        .when(h.endswith(".net") & h.startswith("m."), "T3").when(h.endswith(".net"), "T4").when(h.startswith("blog."), "T5")
-        .when(F.regexp_like(url, F.lit("^https?://")), "T6").otherwise("T7")
+    u = F.lower(F.coalesce(url, F.lit("")))
+    h, path = host(u), F.regexp_extract(u, "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    publisher = F.lit(False)
+    for name in PAPER_HOSTS:
+        publisher = publisher | h.contains(name)
+    return (
+        F.when(kind == "pasted", "T6_nlm_native").when(h.contains("arxiv.org"), "T0_arxiv").when(h.contains("researchgate.net"), "T4_researchgate").when(h.contains("ssrn.com"), "T2_ssrn")
+        .when(h.contains("doi.org"), "T1_doi").when(path.endswith(".pdf"), "T3_generic_pdf").when((kind == "pdf") & (u != ""), "T3_generic_pdf").when(kind == "pdf", "T7_nlm_uploaded_pdf")
+        .when(publisher, "T1_doi").otherwise("T5_web_blog")
     )
-    return t.pages.select("page_id", tier.alias("tier"))
+
+
+TIER_URLS = ("https://arxiv.org/abs/2401.00001", "https://www.researchgate.net/p/1", "https://papers.ssrn.com/a=1", "https://doi.org/10.1/x", "https://a.org/b.PDF?x=1", "https://link.springer.com/c", "", "https://www.nature.com/d")
+
+
+@query(f"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pasted' WHEN 1 THEN 'pdf' ELSE 'web' END AS kind, lower(CASE WHEN page_id % 9 < 8 THEN {list(TIER_URLS)!r}[(page_id % 9 + 1)::INT] ELSE url END) AS url FROM pages),
+x AS (SELECT page_id, kind, url, {_host_sql()} AS h, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM u)
+SELECT page_id, CASE WHEN kind = 'pasted' THEN 'T6_nlm_native' WHEN contains(h, 'arxiv.org') THEN 'T0_arxiv' WHEN contains(h, 'researchgate.net') THEN 'T4_researchgate' WHEN contains(h, 'ssrn.com') THEN 'T2_ssrn'
+  WHEN contains(h, 'doi.org') THEN 'T1_doi' WHEN ends_with(path, '.pdf') OR (kind = 'pdf' AND url <> '') THEN 'T3_generic_pdf' WHEN kind = 'pdf' THEN 'T7_nlm_uploaded_pdf'
+  WHEN {' OR '.join(f"contains(h, '{n}')" for n in PAPER_HOSTS)} THEN 'T1_doi' ELSE 'T5_web_blog' END AS tier FROM x""")
+def url_tier(t) -> DataFrame:
+    p = F.col("page_id")
+    kind = F.when(p % 5 == 0, "pasted").when(p % 5 == 1, "pdf").otherwise("web")
+    url = F.when(p % 9 < 8, F.element_at(F.array(*map(F.lit, TIER_URLS)), F.least(p % 9 + 1, F.lit(8)).cast("int"))).otherwise(F.col("url"))
+    return t.pages.select("page_id", tier_of(kind, url).alias("tier"))
 
 
 SEEDS = (("arxiv", r"^(arxiv:)?[0-9]{4}\.[0-9]{4,5}(v[0-9]+)?$"), ("doi", r"^10\.[0-9]{4,9}/"), ("url", r"^https?://"), ("corpus_id", r"^[0-9]+$"))
@@ -219,28 +235,32 @@ def seed_kind(t) -> DataFrame:
     return t.pages.select("page_id", kind.alias("kind"))
 
 
-#: roles by heading, the first match counts
+# Roles of sections by normalised heading, the first match counts
 ROLES = (
-    ("abstract", "^abstract"), ("introduction", "^introduction"), ("related", "^(related work|background)"), ("method", "^(method|approach|model)"), ("experiment", "^(experiment|evaluation)"),
-    ("result", "^(result|finding)"), ("discussion", "^discussion"), ("conclusion", "^conclusion"), ("reference", "^(references|bibliography)"), ("appendix", "^appendix"), ("acknowledgement", "^acknowledg"), ("toc", "^(table of )?contents"),
+    ("references", r"^(references?|bibliograph(y|ies))$"), ("acknowledg", r"^(acknowledg(e?ments?))$"), ("toc", r"^(table\s*of\s*contents?|contents?|toc|outline|index)$"), ("abstract", r"^abstract$"),
+    ("intro", r"^(introduction|intro)$"), ("related", r"^(related\s*work|prior\s*work|background|literature\s*review)$"),
+    ("method", r"^(methods?|methodology|approach|materials?\s*and\s*methods?|implementation|system\s*design|architecture|model|experimental?\s*setup|setup)$"),
+    ("results", r"^(results?|findings?|analysis|experiments?|evaluation|validation|performance|empirical|empirics?)$"), ("discussion", r"^discussion$"), ("limitations", r"^limitations?$"),
+    ("future", r"^future\s*work$"), ("conclusion", r"^(conclusions?|concluding\s*remarks?|summary)$"),
 )
+NUMBERING = r"^(\d+(\.\d+)*)\s*[.\)]?\s+"
 
 
 def section_role_of(heading):
-    """The role of a heading without its number; body if no pattern matches."""
-    plain = F.regexp_replace(F.lower(F.trim(heading)), r"^[0-9ivx]+(\.[0-9]+)*\.?\s+", "")
+    """The role of a heading in lower case without its number and closing punctuation; body if no pattern matches."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(heading)), NUMBERING, ""), r"[:.,;!?]+$", "")
     role = F.lit("body")
     for name, pattern in reversed(ROLES):
         role = F.when(F.regexp_like(plain, F.lit(pattern)), name).otherwise(role)
     return role
 
 
-HEADINGS = ["1 Introduction", "2.1 Background", "III. Methods", "Results and more", "References", "A Story", "Appendix B", "Contents", "4 Conclusions", " Abstract "]
+HEADINGS = ["1 Introduction", "2.1) Background:", "Materials and Methods", "Results and more", "References", "A Story", "Outline", "Table of Contents", "4. Conclusions.", " Abstract "]
 
 
 @query(f"""
 WITH h AS (SELECT doc_id, {HEADINGS!r}[(doc_id % 10 + 1)::INT] AS heading FROM documents),
-n AS (SELECT *, regexp_replace(lower(trim(heading)), '^[0-9ivx]+(\\.[0-9]+)*\\.?\\s+', '') AS plain FROM h)
+n AS (SELECT *, regexp_replace(regexp_replace(lower(trim(heading)), '{NUMBERING}', ''), '[:.,;!?]+$', '') AS plain FROM h)
 SELECT doc_id, heading, CASE {' '.join(f"WHEN regexp_matches(plain, '{p}') THEN '{r}'" for r, p in ROLES)} ELSE 'body' END AS role FROM n""")
 def section_role(t) -> DataFrame:
     heading = F.element_at(F.array(*map(F.lit, HEADINGS)), (F.col("doc_id") % 10 + 1).cast("int"))

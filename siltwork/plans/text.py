@@ -73,22 +73,25 @@ def doc_hashes(t) -> DataFrame:
 one("truncate_utf8", "SELECT doc_id, decode(encode(text)[1:CASE WHEN octet_length(encode(text)) <= 100 THEN 100 WHEN hex(encode(text)[101:101])[1:1] NOT IN ('8', '9', 'A', 'B') THEN 100 ELSE 99 END]) AS value FROM documents", lambda: X.truncate_utf8(C("text"), 100))
 one("cap_text", "SELECT doc_id, CASE WHEN length(text) > 4096 THEN left(text, 4090) || ' …' ELSE text END AS value FROM documents", lambda: X.cap_text(C("text")))
 LONGEST = "coalesce(list_max(list_transform(string_split(text, '{}'), lambda x: length(trim(x, ' ')))), 0)"
-SIGNS = " ".join(f"WHEN contains(lower(left(text, 1500)), '{s}') THEN '{n}'" for n, s in X.FAIL_SIGNS)
+quoted = lambda x: "'" + x.replace("'", "''") + "'"
+SIGNS = " ".join(f"WHEN contains(lower(left(text, 1500)), {quoted(s)}) THEN {quoted(s)}" for s in X.FAIL_SIGNS)
 FAIL = f"CASE {SIGNS} WHEN {LONGEST.format(chr(10))} < 70 THEN 'no_prose' END"
 one("fail_signature", f"SELECT doc_id, {FAIL} AS value FROM documents", lambda: X.fail_signature(C("text")))
 one("longest_paragraph", f"SELECT doc_id, {LONGEST.format(chr(10) * 2)}::BIGINT AS value FROM documents", lambda: X.longest_paragraph(C("text")).cast("long"))
 one("quality_score", f"SELECT doc_id, (CASE WHEN {FAIL} IS NULL AND length(text) >= 400 THEN 10000 + length(text) ELSE length(text) END)::BIGINT AS value FROM documents", lambda: X.quality_score(C("text")).cast("long"))
-one("garbage_reason", """SELECT doc_id, CASE WHEN regexp_matches(left(text, 2000), '(?i)captcha|access denied|page not found') THEN 'blocked' WHEN length(text) < 1000 THEN 'too_small'
-  WHEN length(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '^https?://[^ ]+$|^[0-9a-f-]{36}$')), chr(10))) < 800 THEN 'mostly_links' END AS value FROM documents""", lambda: X.garbage_reason(C("text")))
-one("toc_detect", """WITH l AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[.] ', '.... ', 'g'), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
-SELECT doc_id, len(ls) >= 5 AND (len(list_filter(ls, lambda x: regexp_matches(x, '\\.{3,}|( \\.){3,}'))) >= 0.4 * len(ls) OR len(list_filter(ls, lambda x: regexp_matches(trim(x), '^[0-9]+(\\.[0-9]+)*[ .].*[0-9]$'))) >= 0.6 * len(ls)) AS value FROM l""", lambda: X.looks_like_toc(F.regexp_replace("text", "[.] ", ".... ")))
+GARBAGE = " ".join(f"WHEN regexp_matches(left(text, 2000), {quoted('(?im)' + p)}) THEN '{n}'" for p, n in X.GARBAGE)
+STRIPPED = f"length(trim(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), {quoted(X.NOISE_LINE)})), chr(10))))"
+one("garbage_reason", f"SELECT doc_id, CASE WHEN length(text) < 1000 THEN 'too_small' {GARBAGE} WHEN {STRIPPED} < 800 THEN 'low_signal_after_strip' END AS value FROM documents", lambda: X.garbage_reason(C("text")))
+one("toc_detect", """WITH l AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[.]\\n', '.... 12' || chr(10), 'g'), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
+SELECT doc_id, len(ls) >= 5 AND (len(list_filter(ls, lambda x: regexp_matches(x, '\\.{3,}\\s*\\d+\\s*$'))) >= 0.4 * len(ls) OR len(list_filter(ls, lambda x: regexp_matches(trim(x), '^\\d+(\\.\\d+)*\\s+\\S.*\\s+\\d+\\s*$'))) >= 0.6 * len(ls)) AS value FROM l""", lambda: X.looks_like_toc(F.regexp_replace("text", "[.]\\n", ".... 12\n")))
 one("clean_nav", """SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(lower(trim(x)), '^(home|menu|search|login|sign in|share|next|previous|skip to content)$')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')) AS value
 FROM (SELECT doc_id, 'Home' || chr(10) || replace(left(text, 500), '. ', '.' || chr(10) || ' Share ' || chr(10) || chr(10) || chr(10)) AS t FROM documents)""", lambda: X.clean_nav(F.concat(F.lit("Home\n"), F.replace(F.substring("text", 1, 500), F.lit(". "), F.lit(".\n Share \n\n\n")))))
 one("tail_strip", """WITH m AS (SELECT doc_id, t, regexp_extract(t, '(?s)^(.*?)(?:\\nShare this|\\nRelated posts)', 1) AS head FROM (SELECT doc_id, left(text, 600) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Share this ' || left(text, (doc_id % 300)::INT) ELSE '' END AS t FROM documents))
 SELECT doc_id, CASE WHEN regexp_matches(t, '\\nShare this|\\nRelated posts') AND length(head) >= 0.8 * length(t) THEN head ELSE t END AS value FROM m""", lambda: X.tail_strip(F.concat(F.substring("text", 1, 600), F.when(C("doc_id") % 2 == 0, F.concat(F.lit("\nShare this "), F.expr("left(text, cast(doc_id % 300 as int))"))).otherwise("")), "\nShare this|\nRelated posts"))
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
-TOK = f"""toks AS (SELECT doc_id, text, list_filter(ws, lambda w, i: NOT list_contains({STOP}, w) AND list_position(ws, w) = i) AS tokens FROM (
-  SELECT doc_id, text, CASE WHEN regexp_matches(p, '^https?_') THEN [] ELSE regexp_extract_all(p, '[a-z]{{4,}}') END AS ws FROM (SELECT *, regexp_replace(lower(path), '^[0-9]+__|\\.[a-z]{{2,4}}$', '', 'g') AS p FROM files)))"""
+STEM = "regexp_replace(regexp_replace(string_split(lower(path), '/')[-1], '\\.[a-z0-9]{1,5}$', ''), '^[0-9]+__', '')"
+TOK = f"""toks AS (SELECT doc_id, text, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS tokens FROM (
+  SELECT doc_id, text, CASE WHEN regexp_matches(p, '^https?[_-]') THEN [] ELSE list_filter(regexp_extract_all(p, '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains({STOP}, w)) END AS ws FROM (SELECT *, {STEM} AS p FROM files)))"""
 one("filename_tokens", f"WITH {FILES}, {TOK} SELECT doc_id, array_to_string(tokens, ' ') AS value FROM toks", lambda: F.array_join(X.descriptive_tokens(C("path")), " "), files, views="docs")
 
 
@@ -99,7 +102,7 @@ def filename_overlap(t) -> DataFrame:
     return rows.select("doc_id", F.round(X.overlap_ratio(C("tokens"), F.substring("text", 1, 5000)), 6).alias("head"), F.round(X.overlap_ratio(C("tokens"), C("text")), 6).alias("whole"))
 
 
-one("content_nouns", f"SELECT doc_id, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:8], ' ') AS value FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{{4,}}'), lambda w: NOT list_contains({STOP}, w)) AS ws FROM (SELECT doc_id, left(text, 2000) AS text FROM documents))", lambda: F.array_join(X.content_nouns(F.substring("text", 1, 2000)), " "))
+one("content_nouns", f"SELECT doc_id, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:8], ' ') AS value FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{{4,}}'), lambda w: NOT list_contains({list(X.NOUN_STOP_WORDS)!r}, w)) AS ws FROM (SELECT doc_id, left(text, 2000) AS text FROM documents))", lambda: F.array_join(X.content_nouns(F.substring("text", 1, 2000)), " "))
 LATEX = "replace(replace(left(text, 200), 'th', '\\emph{x}'), 'on', '$y_1$')"
 one("strip_latex", f"SELECT doc_id, regexp_replace(regexp_replace({LATEX}, '\\\\[a-zA-Z]+\\{{([^{{}}]*)\\}}', '\\1', 'g'), '\\$([^$]*)\\$', '\\1', 'g') AS value FROM documents", lambda: X.strip_latex(F.replace(F.replace(F.substring("text", 1, 200), F.lit("th"), F.lit("\\emph{x}")), F.lit("on"), F.lit("$y_1$"))))
 ANSWER = "'First [' || doc_id % 7 || '] and a[9] then [' || doc_id % 3 + 1 || ', ' || doc_id % 5 || '].' || chr(10) || 'Sources:' || chr(10) || left(text, 20)"
