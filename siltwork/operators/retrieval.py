@@ -26,10 +26,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-zß-öø-ÿ0-9]+"), F.lit(0))
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, doc, tf, dl): term frequencies and document lengths."""
+def postings(df: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, doc, tf, dl): term frequencies and document lengths, of the wanted terms only if these are given."""
     words = df.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("w"))
     rows = words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    if wanted is not None:
+        rows = rows.join(wanted, "term", "left_semi")  # before anything is counted or shuffled
     return rows.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc", "tf", "dl")
 
 
@@ -42,12 +44,12 @@ def ranked(df: DataFrame, by: list[str], *order: Column, limit: int | None = Non
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """queries(query_id, text) as (query_id, id, score, rank), best k, idf = ln(1 + (N - df + .5) / (df + .5)).
 
-    Postings are cut to the queries' terms before anything is shuffled but the counts.
+    Words outside the queries are dropped before they are counted; only postings of query terms are shuffled.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = small(asked.select("term").distinct())
     lengths = docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    post = postings(docs, key, text).join(wanted, "term", "left_semi")
+    post = postings(docs, key, text, wanted)
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = df.crossJoin(F.broadcast(lengths)).select("term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_dl")  # one row of totals
     rows = post.join(asked.join(weights, "term"), "term")
