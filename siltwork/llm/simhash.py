@@ -253,72 +253,93 @@ def jaccard(distance: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarra
     return shared / np.maximum(n_a + n_b - shared, 1e-9)
 
 
+LEAD = 24  # blocks of the first search
+
+
 def similar(marks: DataFrame, similarity: float = 0.8, block_bits: int = 24) -> DataFrame:
-    """Links a, b between nodes of marks (materialised wide_fingerprints) of at least the similarity."""
+    """Links a, b that connect nodes of marks (materialised wide_fingerprints) of at least the similarity.
+
+    A first search over LEAD blocks ties most of each family together. The second, over the other blocks,
+    looks only at pairs that the first left in different groups, so a family of m documents costs some
+    m rows a block and not its pairs.
+    """
     nodes = marks.groupBy("node").agg(F.first("bits").alias("bits"), F.max("n").alias("n"))
     nodes = materialised(nodes, "nodes")
+    count = WIDE // block_bits
+    first = materialised(_links(nodes, nodes.select("node", "bits", F.col("node").alias("grp")), range(min(LEAD, count)), similarity, block_bits), "similar")
+    of = components(first).withColumnRenamed("node", "c_node")
+    grouped = nodes.join(of, F.col("node") == F.col("c_node"), "left").select("node", "bits", F.coalesce("component", "node").alias("grp"))
+    second = materialised(_links(nodes, grouped, range(min(LEAD, count), count), similarity, block_bits), "similar")
+    return first.union(second)
+
+
+def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: float, block_bits: int) -> DataFrame:
+    """Links between nodes that share one of the blocks and not their group."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WIDE // 8)
-                k = block_keys(bits, block_bits)
-                node = np.repeat(batch.column(0).to_numpy(), k.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(node)], names=["key", "node"])
+                k = block_keys(bits, block_bits)[:, blocks.start : blocks.stop]
+                node, group = (np.repeat(batch.column(i).to_numpy(), k.shape[1]) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(node), pa.array(group)], names=["key", "node", "grp"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of small buckets; of a large one its members, with its key and part number, and no partner."""
-        held = np.zeros((0, 2), dtype=np.int64)
+        held = np.zeros((0, 3), dtype=np.int64)
         names = ["a", "b", "key", "part"]
 
         def link(table: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = np.flatnonzero(np.diff(table[:, 0])) + 1
             starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(table)]])
-            node, size = np.ascontiguousarray(table[:, 1]), ends - starts
+            node, group, size = np.ascontiguousarray(table[:, 1]), np.ascontiguousarray(table[:, 2]), ends - starts
             two = starts[size == 2]
+            two = two[group[two] != group[two + 1]]
             a, b = [node[two]], [node[two + 1]]
             for s, e in zip(starts[(size > 2) & (size <= PAIRS)], ends[(size > 2) & (size <= PAIRS)]):
                 i, j = np.triu_indices(e - s, 1)
-                a.append(node[s + i]), b.append(node[s + j])
+                apart = group[s + i] != group[s + j]
+                a.append(node[s + i[apart]]), b.append(node[s + j[apart]])
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names=names)
             for s, e in zip(starts[size > PAIRS], ends[size > PAIRS]):
-                yield large(table[s:e, 1], int(table[s, 0]), 0)
+                yield from large(table[s:e, 1:], int(table[s, 0]), 0)
 
-        def large(members: np.ndarray, key: int, part: int) -> pa.RecordBatch:
+        def large(members: np.ndarray, key: int, part: int) -> Iterator[pa.RecordBatch]:
             n = len(members)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(members)), pa.nulls(n, pa.int64()), pa.array(np.full(n, key)), pa.array(np.full(n, part))], names=names)
+            if (members[:, 1] != members[0, 1]).any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(members[:, 0])), pa.nulls(n, pa.int64()), pa.array(np.full(n, key)), pa.array(np.full(n, part))], names=names)
 
-        over, part, lead = None, 0, held[:, 1]
+        over, part, lead = None, 0, held[:, 1:]
         for batch in batches:
-            table = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)])
+            table = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)])
             held = held[:0]
             if not len(table):
                 continue
-            last = table[-1, 0]
-            begin = int(np.searchsorted(table[:, 0], last))
-            if over is not None and table[0, 0] == over:  # more of a bucket that fills several parts
+            if over is not None:  # more of a bucket that fills several parts
                 cut = int(np.searchsorted(table[:, 0], over, side="right"))
-                if cut < len(table) or cut > BUCKET:
+                if cut == len(table) and cut <= BUCKET:
+                    held = table
+                    continue
+                if cut:
                     part += 1
-                    yield large(np.concatenate([lead, table[:cut, 1]]), over, part)
-                    table = table[cut:]
-                    begin = max(0, begin - cut)
-                if len(table) and table[0, 0] != over:
-                    over = None
-            if over is None and begin:
+                    yield from large(np.concatenate([lead, table[:cut, 1:]]), over, part)
+                if cut == len(table):
+                    continue
+                table, over = table[cut:], None
+            begin = int(np.searchsorted(table[:, 0], table[-1, 0]))
+            if begin:
                 yield from link(table[:begin])
-                table = table[begin:]
-            if len(table) > BUCKET:
-                over, part, lead = int(table[0, 0]), 0, table[:PAIRS, 1].copy()
-                yield large(table[:, 1], over, 0)
-                table = table[:0]
-            held = table
+            held = table[begin:]
+            if len(held) > BUCKET:
+                over, part, lead = int(held[0, 0]), 0, held[:PAIRS, 1:].copy()
+                yield from large(held[:, 1:], over, 0)
+                held = held[:0]
         if len(held):
             if over is not None:
-                yield large(np.concatenate([lead, held[:, 1]]), over, part + 1)
+                yield from large(np.concatenate([lead, held[:, 1:]]), over, part + 1)
             else:
                 yield from link(held)
 
@@ -364,7 +385,7 @@ def similar(marks: DataFrame, similarity: float = 0.8, block_bits: int = 24) ->
         if held:
             yield from close()
 
-    keyed = arrow_map(nodes.select("node", "bits"), keys, "key long, node long")
+    keyed = arrow_map(grouped, keys, "key long, node long, grp long")
     found = arrow_map(keyed.repartition("key").sortWithinPartitions("key"), candidates, "a long, b long, key long, part long")
     found = materialised(found, "candidates")
     pairs = found.filter(F.col("key").isNull()).select("a", "b").distinct()

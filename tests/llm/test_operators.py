@@ -365,6 +365,7 @@ def test_near_dedup_finds_similar_texts(spark, odd, none):
 def test_near_dedup_of_a_large_family(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PAIRS", 6)
     monkeypatch.setattr(simhash, "BUCKET", 30)
+    monkeypatch.setattr(simhash, "LEAD", 2)
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
     rows = []
