@@ -29,7 +29,7 @@ from .common import arrow_map, free_name, materialised, need
 from .components import components
 
 BUCKET = 1 << 16  # members that a task links at once
-PAIRS = 48  # members up to which a bucket of the similarity form gives all its pairs
+PAIRS = 8  # members up to which a bucket of the similarity form gives all its pairs
 SEED = 42
 
 
