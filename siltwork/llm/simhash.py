@@ -215,7 +215,7 @@ def wide_bits(counts: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(df: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """id, node (a hash of the bits), n (distinct shingles, at least 1), bits (WIDE / 8 bytes) and part, a hash of the text."""
+    """id, node (a hash of the shingle set), n (distinct shingles, at least 1), bits (WIDE / 8 bytes) and part, a hash of the text."""
     need(df, id_column, text_column)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     source = df.select(F.col(id_column).alias("id"), text.cast("binary").alias("t"), F.xxhash64(text).alias("part"))
@@ -224,14 +224,15 @@ def wide_fingerprints(df: DataFrame, id_column: str, text_column: str, words: in
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                counts, sizes = np.zeros((batch.num_rows, WIDE), dtype=np.float32), []
+                counts, sizes, nodes = np.zeros((batch.num_rows, WIDE), dtype=np.float32), [], []
                 for i, t in enumerate(batch.column(1)):
                     h = np.unique(shingle_hashes(t.as_py(), words))
                     sizes.append(max(1, len(h)))
+                    nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
                     sign = (h >> np.uint64(12) & np.uint64(1)).astype(np.float32) * 2 - 1
                     counts[i] = np.bincount((h & np.uint64(WIDE - 1)).astype(np.int64), sign, WIDE)
                 bits = [b.tobytes() for b in wide_bits(counts)]
-                node = np.array([xxhash.xxh64_intdigest(b) for b in bits], dtype=np.uint64).view(np.int64)
+                node = np.array(nodes, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(node), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), batch.column(2)], names=["id", "node", "n", "bits", "part"]
                 )
@@ -266,9 +267,11 @@ def similar(marks: DataFrame, similarity: float = 0.8, block_bits: int = 24) ->
     nodes = marks.groupBy("node").agg(F.first("bits").alias("bits"), F.max("n").alias("n"))
     nodes = materialised(nodes, "nodes")
     count = WIDE // block_bits
-    first = materialised(_links(nodes, nodes.select("node", "bits", F.col("node").alias("grp")), range(min(LEAD, count)), similarity, block_bits), "similar")
+    # two different sets, the smaller one of n shingles, are n / (n + 1) similar at most
+    wide = nodes.filter(F.col("n") >= F.lit(float(similarity)) * (F.col("n") + 1) - 1e-9)
+    first = materialised(_links(nodes, wide.select("node", "bits", F.col("node").alias("grp")), range(min(LEAD, count)), similarity, block_bits), "similar")
     of = components(first).withColumnRenamed("node", "c_node")
-    grouped = nodes.join(of, F.col("node") == F.col("c_node"), "left").select("node", "bits", F.coalesce("component", "node").alias("grp"))
+    grouped = wide.join(of, F.col("node") == F.col("c_node"), "left").select("node", "bits", F.coalesce("component", "node").alias("grp"))
     second = materialised(_links(nodes, grouped, range(min(LEAD, count), count), similarity, block_bits), "similar")
     return first.union(second)
 

@@ -376,6 +376,15 @@ def test_near_dedup_of_a_large_family(spark, monkeypatch):
     assert [r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
+def test_near_dedup_keeps_distinct_short_texts(spark):
+    rng = random.Random(7)
+    texts = {" ".join(f"w{rng.randrange(3000)}" for _ in range(1 + i % 5)) for i in range(40_000)}
+    rows = list(enumerate(sorted(texts)))
+    copies = [(len(rows) + i, t.upper() + " ") for i, t in rows[:500]]
+    kept = [r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows + copies, "doc_id long, text string")).select("doc_id").collect()]
+    assert sorted(kept) == [i for i, _ in rows]
+
+
 # --- media, archive, chat, URLs, quality ---
 
 
