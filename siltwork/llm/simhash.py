@@ -29,6 +29,7 @@ from .common import arrow_map, free_name, materialised, need
 from .components import components
 
 BUCKET = 1 << 16  # members that a task links at once
+SHINGLES = 1 << 23  # and their shingles, in the similarity form
 PAIRS = 8  # members up to which a bucket of the similarity form gives all its pairs
 SEED = 42
 
@@ -269,9 +270,9 @@ def similar(marks: DataFrame, similarity: float = 0.8, block_bits: int = 24) ->
     count = WIDE // block_bits
     # two different sets, the smaller one of n shingles, are n / (n + 1) similar at most
     wide = nodes.filter(F.col("n") >= F.lit(float(similarity)) * (F.col("n") + 1) - 1e-9)
-    first = materialised(_links(nodes, wide.select("node", "bits", F.col("node").alias("grp")), range(min(LEAD, count)), similarity, block_bits), "similar")
+    first = materialised(_links(nodes, wide.select("node", "bits", F.col("node").alias("grp"), "n"), range(min(LEAD, count)), similarity, block_bits), "similar")
     of = components(first).withColumnRenamed("node", "c_node")
-    grouped = wide.join(of, F.col("node") == F.col("c_node"), "left").select("node", "bits", F.coalesce("component", "node").alias("grp"))
+    grouped = wide.join(of, F.col("node") == F.col("c_node"), "left").select("node", "bits", F.coalesce("component", "node").alias("grp"), "n")
     second = materialised(_links(nodes, grouped, range(min(LEAD, count), count), similarity, block_bits), "similar")
     return first.union(second)
 
@@ -285,14 +286,20 @@ def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: floa
                 batch = whole.slice(start, 512)
                 bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WIDE // 8)
                 k = block_keys(bits, block_bits)[:, blocks.start : blocks.stop]
-                node, group = (np.repeat(batch.column(i).to_numpy(), k.shape[1]) for i in (0, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(node), pa.array(group)], names=["key", "node", "grp"])
+                columns = [pa.array(np.repeat(batch.column(i).to_numpy(), k.shape[1])) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *columns], names=["key", "node", "grp", "n"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of small buckets; of a large one its members, with its key and part number, and no partner."""
-        held = np.zeros((0, 3), dtype=np.int64)
+        """Pairs of small buckets; of a large one its members a with their groups b, its key and part number.
+
+        Two parts together have BUCKET members and SHINGLES shingles at most, or a part has one member.
+        """
+        held = np.zeros((0, 4), dtype=np.int64)
         names = ["a", "b", "key", "part"]
 
+        def weight(table: np.ndarray) -> np.ndarray:
+            return np.maximum(table[:, 3] * 2 / SHINGLES, 2 / BUCKET)
+
         def link(table: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = np.flatnonzero(np.diff(table[:, 0])) + 1
             starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(table)]])
@@ -308,43 +315,36 @@ def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: floa
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names=names)
             for s, e in zip(starts[size > PAIRS], ends[size > PAIRS]):
-                yield from large(table[s:e, 1:], int(table[s, 0]), 0)
+                if (group[s:e] != group[s]).any():
+                    yield large(table[s:e], 0.0)
 
-        def large(members: np.ndarray, key: int, part: int) -> Iterator[pa.RecordBatch]:
-            n = len(members)
-            if (members[:, 1] != members[0, 1]).any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(members[:, 0])), pa.nulls(n, pa.int64()), pa.array(np.full(n, key)), pa.array(np.full(n, part))], names=names)
+        def large(table: np.ndarray, before: float) -> pa.RecordBatch:
+            w = weight(table)
+            part = (before + np.cumsum(w) - w).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (table[:, 1], table[:, 2], table[:, 0], part)], names=names)
 
-        over, part, lead = None, 0, held[:, 1:]
+        over, before = None, 0.0  # a bucket of several parts, and the weight of those it has given
         for batch in batches:
-            table = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)])
+            table = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)])
             held = held[:0]
-            if not len(table):
-                continue
-            if over is not None:  # more of a bucket that fills several parts
+            if over is not None:
                 cut = int(np.searchsorted(table[:, 0], over, side="right"))
-                if cut == len(table) and cut <= BUCKET:
-                    held = table
-                    continue
                 if cut:
-                    part += 1
-                    yield from large(np.concatenate([lead, table[:cut, 1:]]), over, part)
-                if cut == len(table):
-                    continue
-                table, over = table[cut:], None
-            begin = int(np.searchsorted(table[:, 0], table[-1, 0]))
+                    yield large(table[:cut], before)
+                    before += weight(table[:cut]).sum()
+                table = table[cut:]
+            if not len(table):
+                continue
+            over, begin = None, int(np.searchsorted(table[:, 0], table[-1, 0]))
             if begin:
                 yield from link(table[:begin])
             held = table[begin:]
-            if len(held) > BUCKET:
-                over, part, lead = int(held[0, 0]), 0, held[:PAIRS, 1:].copy()
-                yield from large(held[:, 1:], over, 0)
+            if len(held) > PAIRS and weight(held).sum() > 1:
+                over, before = int(held[0, 0]), weight(held).sum()
+                yield large(held, 0.0)
                 held = held[:0]
         if len(held):
-            if over is not None:
-                yield from large(np.concatenate([lead, held[:, 1:]]), over, part + 1)
-            else:
-                yield from link(held)
+            yield from link(held)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,13 +354,13 @@ def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: floa
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of large buckets (key, part, node, bits, n in sorted order): from each found member to the unfound rest."""
+        """Links of large buckets (key, part, other, node, bits, n, sorted by the first three): from each found member to the unfound rest."""
         held: list[pa.RecordBatch] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            node = np.concatenate([h.column(2).to_numpy() for h in held])
-            n = np.concatenate([h.column(4).to_numpy() for h in held]).astype(float)
-            bits = np.frombuffer(b"".join(b for h in held for b in h.column(3).to_pylist()), dtype=np.uint64).reshape(-1, WIDE // 64)
+            node = np.concatenate([h.column(3).to_numpy() for h in held])
+            n = np.concatenate([h.column(5).to_numpy() for h in held]).astype(float)
+            bits = np.frombuffer(b"".join(b for h in held for b in h.column(4).to_pylist()), dtype=np.uint64).reshape(-1, WIDE // 64)
             held.clear()
             left = np.arange(len(node))
             a, b = [], []
@@ -377,26 +377,32 @@ def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: floa
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
         for batch in batches:
-            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
             cuts = [0, *(np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1).tolist(), batch.num_rows]
             for s, e in zip(cuts, cuts[1:]):
                 if s == e:
                     continue
-                if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (int(key[s, 0]), int(key[s, 1])):
+                if held and any(held[-1].column(i)[0].as_py() != key[s, i] for i in range(3)):
                     yield from close()
                 held.append(batch.slice(s, e - s))
         if held:
             yield from close()
 
-    keyed = arrow_map(grouped, keys, "key long, node long, grp long")
+    keyed = arrow_map(grouped, keys, "key long, node long, grp long, n long")
     found = arrow_map(keyed.repartition("key").sortWithinPartitions("key"), candidates, "a long, b long, key long, part long")
     found = materialised(found, "candidates")
     pairs = found.filter(F.col("key").isNull()).select("a", "b").distinct()
     left, right = nodes.toDF("a", "bits_a", "n_a"), nodes.toDF("b", "bits_b", "n_b")
     pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "bits_a", "n_a", "bits_b", "n_b")
     checked = arrow_map(pairs, verify, "a long, b long")
-    members = found.filter(F.col("key").isNotNull()).select("key", "part", F.col("a").alias("node")).join(nodes, "node").select("key", "part", "node", "bits", "n")
-    hot = arrow_map(members.repartition("key", "part").sortWithinPartitions("key", "part"), within, "a long, b long")
+    members = found.filter(F.col("key").isNotNull()).select("key", "part", F.col("a").alias("node"), F.col("b").alias("grp"))
+    # a bucket of several parts meets in all pairs of parts, so each two members meet
+    several = members.groupBy("key").agg(F.max("part").alias("last"), (F.min("grp") != F.max("grp")).alias("apart")).filter("last > 0").withColumnRenamed("key", "s_key")
+    members = members.join(several, F.col("key") == F.col("s_key"), "left").filter("apart IS NULL OR apart")
+    rest = F.expr("filter(sequence(0L, coalesce(last, 1L)), x -> x <> part)")
+    members = members.withColumn("with", F.explode(rest)).select("key", F.least("part", "with").alias("part"), F.greatest("part", "with").alias("other"), "node")
+    members = members.join(nodes, "node").select("key", "part", "other", "node", "bits", "n")
+    hot = arrow_map(members.repartition("key", "part", "other").sortWithinPartitions("key", "part", "other"), within, "a long, b long")
     return checked.union(hot)
 
 

@@ -385,6 +385,27 @@ def test_near_dedup_keeps_distinct_short_texts(spark):
     assert sorted(kept) == [i for i, _ in rows]
 
 
+def test_near_dedup_of_interleaved_families_in_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 2)
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    monkeypatch.setattr(simhash, "block_keys", lambda bits, block_bits: np.zeros((len(bits), 1), dtype=np.int64))  # one bucket of all
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(30)]
+    rows = []
+    for i in range(150):
+        w = list(bases[i % 30])
+        w[rng.randrange(300)] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(records)
+    spark.conf.set(records, "10")  # the bucket comes in many batches
+    try:
+        kept = [r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    finally:
+        spark.conf.set(records, before)
+    assert sorted(kept) == list(range(30))
+
+
 # --- media, archive, chat, URLs, quality ---
 
 
