@@ -8,10 +8,11 @@ than BUCKET members is keyed again by the bits that its members don't share yet,
 holds and loses no link.
 
 Similarity form (similar): a longer fingerprint, whose share of differing bits estimates the angle between
-two sets of shingles and, with their sizes, the Jaccard similarity. Pairs meet in blocks of block_bits bits,
-and a pair counts if the Hamming distance says `similarity` or more. With p differing bits in a hundred a
-pair shares a block with probability 1 - (1 - (1 - p/100)^block_bits)^(bits / block_bits): 0.97 at a
-similarity of 0.8, 0.999 at 0.85 and more above, for the defaults.
+two sets of shingles and, with their sizes, the Jaccard similarity. Pairs meet in blocks of block_bits bits.
+Those whose Hamming distance says `similarity` - ROUGH or more are decided by the Jaccard similarity of their
+shingle hashes. With p differing bits in a hundred a pair shares a block with probability
+1 - (1 - (1 - p/100)^block_bits)^(bits / block_bits): 0.96 at a similarity of 0.8, 0.998 at 0.85 and more
+above, for the defaults.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .components import components
 BUCKET = 1 << 16  # members that a task links at once
 SHINGLES = 1 << 23  # and their shingles, in the similarity form
 PAIRS = 8  # members up to which a bucket of the similarity form gives all its pairs
+ROUGH = 0.05  # how far below the similarity an estimate may be of pairs that are looked at
+SLOTS = 1 << 22  # of a filter of nodes, which bounds what is broadcast
 SEED = 42
 
 
@@ -216,7 +219,7 @@ def wide_bits(counts: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(df: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """id, node (a hash of the shingle set), n (distinct shingles, at least 1), bits (WIDE / 8 bytes) and part, a hash of the text."""
+    """id, node (a hash of the shingle set), n (distinct shingles, at least 1), bits (WIDE / 8 bytes), part (a hash of the text) and the set's sorted hashes."""
     need(df, id_column, text_column)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     source = df.select(F.col(id_column).alias("id"), text.cast("binary").alias("t"), F.xxhash64(text).alias("part"))
@@ -225,20 +228,19 @@ def wide_fingerprints(df: DataFrame, id_column: str, text_column: str, words: in
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                counts, sizes, nodes = np.zeros((batch.num_rows, WIDE), dtype=np.float32), [], []
+                counts, sizes, sets = np.zeros((batch.num_rows, WIDE), dtype=np.float32), [], []
                 for i, t in enumerate(batch.column(1)):
                     h = np.unique(shingle_hashes(t.as_py(), words))
                     sizes.append(max(1, len(h)))
-                    nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
+                    sets.append(h.tobytes())
                     sign = (h >> np.uint64(12) & np.uint64(1)).astype(np.float32) * 2 - 1
                     counts[i] = np.bincount((h & np.uint64(WIDE - 1)).astype(np.int64), sign, WIDE)
                 bits = [b.tobytes() for b in wide_bits(counts)]
-                node = np.array(nodes, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(node), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), batch.column(2)], names=["id", "node", "n", "bits", "part"]
-                )
+                node = np.array([xxhash.xxh64_intdigest(s) for s in sets], dtype=np.uint64).view(np.int64)
+                columns = [batch.column(0), pa.array(node), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), batch.column(2), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "bits", "part", "shingles"])
 
-    return arrow_map(source, run, f"id {source.dtypes[0][1]}, node long, n long, bits binary, part long")
+    return arrow_map(source, run, f"id {source.dtypes[0][1]}, node long, n long, bits binary, part long, shingles binary")
 
 
 def block_keys(bits: np.ndarray, block_bits: int) -> np.ndarray:
@@ -255,6 +257,14 @@ def jaccard(distance: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarra
     return shared / np.maximum(n_a + n_b - shared, 1e-9)
 
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of hashes have the Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+
+
 LEAD = 24  # blocks of the first search
 
 
@@ -270,14 +280,14 @@ def similar(marks: DataFrame, similarity: float = 0.8, block_bits: int = 24) ->
     count = WIDE // block_bits
     # two different sets, the smaller one of n shingles, are n / (n + 1) similar at most
     wide = nodes.filter(F.col("n") >= F.lit(float(similarity)) * (F.col("n") + 1) - 1e-9)
-    first = materialised(_links(nodes, wide.select("node", "bits", F.col("node").alias("grp"), "n"), range(min(LEAD, count)), similarity, block_bits), "similar")
+    first = materialised(_links(marks, nodes, wide.select("node", "bits", F.col("node").alias("grp"), "n"), range(min(LEAD, count)), similarity, block_bits), "similar")
     of = components(first).withColumnRenamed("node", "c_node")
     grouped = wide.join(of, F.col("node") == F.col("c_node"), "left").select("node", "bits", F.coalesce("component", "node").alias("grp"), "n")
-    second = materialised(_links(nodes, grouped, range(min(LEAD, count), count), similarity, block_bits), "similar")
+    second = materialised(_links(marks, nodes, grouped, range(min(LEAD, count), count), similarity, block_bits), "similar")
     return first.union(second)
 
 
-def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: float, block_bits: int) -> DataFrame:
+def _links(marks: DataFrame, nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: float, block_bits: int) -> DataFrame:
     """Links between nodes that share one of the blocks and not their group."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,21 +356,30 @@ def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: floa
         if len(held):
             yield from link(held)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b, bits_a, n_a, bits_b, n_b) whose distance says nearly the similarity."""
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, WIDE // 64) for i in (2, 4))
             distance = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            ok = jaccard(distance, batch.column(3).to_numpy().astype(float), batch.column(5).to_numpy().astype(float)) >= similarity
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+            ok = pa.array(jaccard(distance, batch.column(3).to_numpy().astype(float), batch.column(5).to_numpy().astype(float)) >= similarity - ROUGH)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b, set_a, set_b) that have the similarity."""
+        for batch in batches:
+            ok = [alike(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64), similarity) for x, y in zip(batch.column(2), batch.column(3))]
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of large buckets (key, part, other, node, bits, n, sorted by the first three): from each found member to the unfound rest."""
+        """Links of large buckets (key, part, other, node, bits, n, shingles, sorted by the first three): from each found member to the unfound rest."""
         held: list[pa.RecordBatch] = []
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def end() -> Iterator[pa.RecordBatch]:
             node = np.concatenate([h.column(3).to_numpy() for h in held])
             n = np.concatenate([h.column(5).to_numpy() for h in held]).astype(float)
             bits = np.frombuffer(b"".join(b for h in held for b in h.column(4).to_pylist()), dtype=np.uint64).reshape(-1, WIDE // 64)
+            sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for h in held for s in h.column(6)]
             held.clear()
             left = np.arange(len(node))
             a, b = [], []
@@ -369,7 +388,8 @@ def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: floa
                 while front and len(left):
                     at = front.pop()
                     distance = np.bitwise_count(bits[left] ^ bits[at]).sum(axis=1, dtype=np.int64)
-                    near = jaccard(distance, n[left], n[at]) >= similarity
+                    near = jaccard(distance, n[left], n[at]) >= similarity - ROUGH
+                    near[near] = [alike(sets[at], sets[i], similarity) for i in left[near]]
                     a.append(np.full(near.sum(), node[at])), b.append(node[left[near]])
                     front.extend(left[near])
                     left = left[~near]
@@ -383,10 +403,10 @@ def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: floa
                 if s == e:
                     continue
                 if held and any(held[-1].column(i)[0].as_py() != key[s, i] for i in range(3)):
-                    yield from close()
+                    yield from end()
                 held.append(batch.slice(s, e - s))
         if held:
-            yield from close()
+            yield from end()
 
     keyed = arrow_map(grouped, keys, "key long, node long, grp long, n long")
     found = arrow_map(keyed.repartition("key").sortWithinPartitions("key"), candidates, "a long, b long, key long, part long")
@@ -394,6 +414,14 @@ def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: floa
     pairs = found.filter(F.col("key").isNull()).select("a", "b").distinct()
     left, right = nodes.toDF("a", "bits_a", "n_a"), nodes.toDF("b", "bits_b", "n_b")
     pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "bits_a", "n_a", "bits_b", "n_b")
+    pairs = materialised(arrow_map(pairs, close, "a long, b long"), "close-pairs")
+    # the sets of the nodes at hand: a filter of fixed size keeps most others out of the shuffle
+    slot = F.pmod(F.col("node"), F.lit(SLOTS)).cast("int")
+    at_hand = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(found.filter(F.col("key").isNotNull()).select("a"))
+    slots = at_hand.select(slot.alias("slot")).distinct()
+    sets = marks.select("node", "shingles").join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
+    sets = materialised(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    pairs = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
     checked = arrow_map(pairs, verify, "a long, b long")
     members = found.filter(F.col("key").isNotNull()).select("key", "part", F.col("a").alias("node"), F.col("b").alias("grp"))
     # a bucket of several parts meets in all pairs of parts, so each two members meet
@@ -401,7 +429,7 @@ def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: floa
     members = members.join(several, F.col("key") == F.col("s_key"), "left").filter("apart IS NULL OR apart")
     rest = F.expr("filter(sequence(0L, coalesce(last, 1L)), x -> x <> part)")
     members = members.withColumn("with", F.explode(rest)).select("key", F.least("part", "with").alias("part"), F.greatest("part", "with").alias("other"), "node")
-    members = members.join(nodes, "node").select("key", "part", "other", "node", "bits", "n")
+    members = members.join(nodes, "node").join(sets, "node").select("key", "part", "other", "node", "bits", "n", "shingles")
     hot = arrow_map(members.repartition("key", "part", "other").sortWithinPartitions("key", "part", "other"), within, "a long, b long")
     return checked.union(hot)
 
@@ -409,7 +437,7 @@ def _links(nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: floa
 def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8, block_bits: int = 24) -> DataFrame:
     """The rows of df with one of each group of near duplicates, that with the smallest id (null last), then text hash.
 
-    Groups are connected by links of at least the similarity between sets of word shingles. Texts without
+    Groups are connected by links of at least the similarity between sets of word shingle hashes. Texts without
     words are alike. Rows with equal id and text count as one document and stay together: remove exact
     copies first. Columns are those of df.
     """

@@ -406,6 +406,24 @@ def test_near_dedup_of_interleaved_families_in_a_large_bucket(spark, monkeypatch
     assert sorted(kept) == list(range(30))
 
 
+def test_near_dedup_decides_pairs_by_their_exact_similarity(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=8))
+    rows, alike = [], set()
+    for g in range(400):  # the second text shares a run of the first one's words: similarities from 0.77 to 0.83
+        base = [word() for _ in range(304)]
+        own = 29 + g % 12
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:-own] + [word() for _ in range(own)]))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        if len(a & b) >= 0.8 * len(a | b):
+            alike.add(2 * g + 1)
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert 100 < len(alike) < 300
+    assert gone <= alike
+    assert len(gone) > 0.93 * len(alike)
+
+
 # --- media, archive, chat, URLs, quality ---
 
 
