@@ -8,7 +8,8 @@ bit rate varies and the last frame is the smallest that fits.
 
 parse() reads any MPEG-1, 2 or 2.5 stream of Layers I to III: it skips and reads tags, finds frame headers
 again after foreign bytes (a header counts if a like one follows where its length says, or the stream ends
-there), verifies CRCs and reads Xing or VBRI tables. Durations are exact: samples over sample rate.
+there), verifies the CRCs of Layer III, counts protected frames of Layers I and II as unverified, and reads Xing
+or VBRI tables. Durations are exact: samples over sample rate.
 """
 
 from __future__ import annotations
@@ -139,6 +140,7 @@ class Stream:
     rates: set[int] = field(default_factory=set)
     crc_right: int = 0
     crc_wrong: int = 0
+    crc_unverified: int = 0  # protected frames of Layers I and II
     skipped: int = 0  # foreign bytes between frames
     resyncs: int = 0
     tags: list[str] = field(default_factory=list)
@@ -222,6 +224,8 @@ def parse(data: bytes) -> Stream:
         if h.protected and h.layer == 3:
             right = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6])
             s.crc_right, s.crc_wrong = s.crc_right + right, s.crc_wrong + (not right)
+        elif h.protected:
+            s.crc_unverified += 1
         s.offsets.append(at), s.sizes.append(h.size), s.rates.add(h.kbps)
         s.samples += h.samples
         at += h.size
@@ -241,10 +245,10 @@ def carried(data: bytes, s: Stream | None = None) -> bytes:
 
 
 def feature(s: Stream) -> str:
-    d = s.duration
+    d, unverified = s.duration, f" unverified={s.crc_unverified}" if s.crc_unverified else ""
     return (
         f"mpeg{s.version}-layer{s.layer} {s.hz}Hz frames={len(s.offsets)} duration={d.numerator}/{d.denominator}s"
-        f" kbps={min(s.rates, default=0)}-{max(s.rates, default=0)} crc={s.crc_right}/{s.crc_right + s.crc_wrong} resyncs={s.resyncs}"
+        f" kbps={min(s.rates, default=0)}-{max(s.rates, default=0)} crc={s.crc_right}/{s.crc_right + s.crc_wrong}{unverified} resyncs={s.resyncs}"
         f" skipped={s.skipped} tags={'+'.join(s.tags)} table={s.table['kind'] if s.table else 'none'}:{s.table.get('frames') if s.table else 0}"
     )
 

@@ -427,6 +427,15 @@ def test_near_dedup_decides_pairs_by_their_exact_similarity(spark):
 # --- media, archive, chat, URLs, quality ---
 
 
+def test_protected_frames_of_layers_1_and_2_count_as_unverified():
+    for second in (0xFC, 0xFE):  # MPEG-1 Layer II and Layer I with a CRC
+        header = bytes([0xFF, second, 0x40, 0xC0])
+        frame = header.ljust(mpeg_audio.read_header(header).size, b"\0")
+        s = mpeg_audio.parse(frame * 3)
+        assert (s.crc_right, s.crc_wrong, s.crc_unverified) == (0, 0, 3)
+        assert "crc=0/0 unverified=3 " in mpeg_audio.feature(s)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=5000), st.binary(max_size=80))
 def test_audio_round_trip_and_resync(data, junk):
