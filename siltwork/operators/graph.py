@@ -11,13 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..session import written
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -14,25 +14,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 100_000  # rows up to which a query set is broadcast
+from ..session import written
 
+SMALL_BYTES = 32 << 20  # of values as text, up to which a query set is broadcast; of vectors searched at once
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows; beyond that Spark chooses a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """df with a broadcast hint if its values take at most that many bytes; beyond that Spark chooses a shuffled join."""
+    size = F.lit(8 * len(df.columns)) + sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-zß-öø-ÿ0-9]+"), F.lit(0))
 
 
-def postings(df: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(term, doc, tf, dl): term frequencies and document lengths, of the wanted terms only if these are given."""
+def postings(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(term, doc, tf, dl) of the wanted terms, and for each document a row of its own with an empty term and tf 0.
+
+    The texts are read and cut into words once. Other words are dropped before anything is counted or shuffled.
+    """
     words = df.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("w"))
-    rows = words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    if wanted is not None:
-        rows = rows.join(wanted, "term", "left_semi")  # before anything is counted or shuffled
-    return rows.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc", "tf", "dl")
+    rows = words.select("doc", F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
+    known = wanted.select("term").union(wanted.sparkSession.range(1).select(F.lit("").alias("term")))
+    rows = rows.join(small(known), "term", "left_semi")
+    return rows.groupBy("doc", "dl", "term").agg(F.count(F.when(F.col("term") != "", 1)).alias("tf")).select("term", "doc", "tf", "dl")
 
 
 def ranked(df: DataFrame, by: list[str], *order: Column, limit: int | None = None) -> DataFrame:
@@ -44,15 +50,15 @@ def ranked(df: DataFrame, by: list[str], *order: Column, limit: int | None = Non
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """queries(query_id, text) as (query_id, id, score, rank), best k, idf = ln(1 + (N - df + .5) / (df + .5)).
 
-    Words outside the queries are dropped before they are counted; only postings of query terms are shuffled.
+    Postings of the query terms are written once; lengths, document frequencies and scores come from these.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = small(asked.select("term").distinct())
-    lengths = docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    post = postings(docs, key, text, wanted)
+    post = written(postings(docs, key, text, asked.select("term").distinct()), "postings")
+    lengths = post.filter("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    post = post.filter("term <> ''")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = df.crossJoin(F.broadcast(lengths)).select("term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_dl")  # one row of totals
-    rows = post.join(asked.join(weights, "term"), "term")
+    rows = post.join(small(asked).join(weights, "term"), "term")
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     scores = rows.groupBy("query_id", F.col("doc").alias("id")).agg(F.round(F.sum(F.col("idf") * norm), 6).alias("score"))
     return ranked(scores, ["query_id"], F.desc("score"), F.col("id"), limit=k)
@@ -65,26 +71,36 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, most: int = SMALL_BYTES) -> DataFrame:
     """queries(query_id, vector) as (query_id, id, score, rank) by cosine, exact, best k.
 
-    The stated queries go to all tasks in blocks of a bounded number; each task multiplies matrices over its
-    batches and passes on its own best k of each query, so what is shuffled is tasks x queries x k rows.
+    Query vectors go to all tasks in bands of some `most` bytes, each band in a scan of its own, so that
+    neither the driver nor a task holds more than a band. A task multiplies matrices over its batches and
+    passes on its best k of each query: what is shuffled is tasks x queries x k rows.
     """
-    asked = queries.select("query_id", "vector").limit(SMALL_ROWS + 1).collect()
-    if len(asked) > SMALL_ROWS:
-        raise ValueError(f"more than {SMALL_ROWS} queries: search them in parts")
-    if not asked:
-        return vectors.sparkSession.createDataFrame([], f"query_id long, id {dict(vectors.dtypes)[key]}, score double, rank int")
-    q_ids = np.array([r["query_id"] for r in asked])
-    q = np.array([r["vector"] for r in asked], dtype=np.float64)
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    total = asked.agg(F.sum(F.lit(16) + 8 * F.size("vector")).alias("bytes")).first()["bytes"] or 0
+    kind = dict(vectors.dtypes)[key]
+    bands = -(-total // most)
+    found = vectors.sparkSession.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, id {kind}, score double")
+    for band in range(bands):
+        mine = asked if bands == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(bands)) == band)
+        found = found.union(_band(vectors.select(key, vector), mine, k, found.schema))
+    return ranked(found, ["query_id"], F.desc("score"), F.col("id"), limit=k)
+
+
+def _band(vectors: DataFrame, asked: DataFrame, k: int, schema) -> DataFrame:
+    rows = asked.collect()  # of bounded size
+    q_ids = [r["query_id"] for r in rows]
+    q = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, unit = shared.value
+        ids = pa.array(ids)
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(ids):
                 continue
             v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
@@ -94,10 +110,9 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
                 # keep ties at the cut: the window behind decides them by id
                 cut = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] if k < score.shape[1] else np.full((len(score), 1), -2.0)
                 row, col = np.nonzero(score >= cut)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s + row]), keys.take(pa.array(col)), pa.array(score[row, col])], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(s + row)), keys.take(pa.array(col)), pa.array(score[row, col])], names=["query_id", "id", "score"])
 
-    rows = vectors.select(key, vector).mapInArrow(best, f"query_id long, id {dict(vectors.dtypes)[key]}, score double")
-    return ranked(rows, ["query_id"], F.desc("score"), F.col("id"), limit=k)
+    return vectors.mapInArrow(best, schema)
 
 
 def rrf(lists: DataFrame, by: list[str], limit: int | None = None, k: int = 60) -> DataFrame:

@@ -14,22 +14,20 @@ K = 10
 TOK = "regexp_extract_all(lower({}), '[a-zß-öø-ÿ0-9]+')"
 BM25 = f"""dw AS (SELECT doc_id AS doc, {TOK.format('text')} AS ws FROM documents), dl AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_dl FROM dw),
 po AS (SELECT doc, dl, term, count(*) AS tf FROM (SELECT doc, len(ws) AS dl, unnest(ws) AS term FROM dw) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
-qt AS (SELECT DISTINCT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark WHERE item_id < 5),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark WHERE item_id % 20 = 0),
 sc AS (SELECT query_id, doc AS id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score FROM qt JOIN po USING (term) JOIN df USING (term), dl GROUP BY ALL),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= {{k}})"""
-# items 0 to 4 ask; item i's vector is that of the i-th embedding
-DENSE = """dv AS (SELECT q.qn AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS qn, embedding::DOUBLE[] AS e FROM embeddings QUALIFY qn < 5) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v),
+# every item and every vector whose id is divisible by 20 asks; a question's vector is the one of its id
+DENSE = """dv AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v),
 dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dv QUALIFY rank <= {k})"""
 
 
 def questions(t) -> DataFrame:
-    return t.benchmark.filter("item_id < 5").select(C("item_id").alias("query_id"), "text")
+    return t.benchmark.filter("item_id % 20 = 0").select(C("item_id").alias("query_id"), "text")
 
 
 def vectors(t) -> DataFrame:
-    """The five vectors of smallest id ask, numbered from 0."""
-    five = t.embeddings.orderBy("vec_id").limit(5)
-    return five.select((F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long").alias("query_id"), C("embedding").alias("vector"))
+    return t.embeddings.filter("vec_id % 20 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("vector"))
 
 
 def bm25(t, k: int = K) -> DataFrame:
@@ -110,7 +108,7 @@ def batched_rerank(t) -> DataFrame:
     return R.rerank(t.hits, ["query_id"], 2, threshold=60000, pool=6).select("query_id", "id", C("rank").cast("long").alias("rank"))
 
 
-POOL = "po AS (SELECT vec_id % 20 AS g, vec_id AS id, (vec_id * 37 % 101) / 100.0::DOUBLE AS score, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) AS n FROM embeddings QUALIFY n <= 12)"
+POOL = "po AS (SELECT vec_id // 25 AS g, vec_id AS id, (vec_id * 37 % 101) / 100.0::DOUBLE AS score, embedding::DOUBLE[] AS v FROM embeddings)"
 MMR = f"""WITH RECURSIVE {POOL}, re AS MATERIALIZED (SELECT g, id, score, v, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS rel, count(*) OVER w AS size FROM po WINDOW w AS (PARTITION BY g)),
 s1 AS (SELECT g, arg_min(id, (-rel, -score, id)) AS id FROM re GROUP BY g),
 {{steps}}
@@ -130,8 +128,7 @@ def _mmr_sql(k: int = 4) -> str:
 
 @query(_mmr_sql())
 def mmr_select(t) -> DataFrame:
-    pool = t.embeddings.select((C("vec_id") % 20).alias("g"), C("vec_id").alias("id"), ((C("vec_id") * 37 % 101) / 100).alias("score"), C("embedding").cast("array<double>").alias("vector"))
-    pool = R.ranked(pool, ["g"], C("id"), limit=12).drop("rank")
+    pool = t.embeddings.select(F.floor(C("vec_id") / 25).alias("g"), C("vec_id").alias("id"), ((C("vec_id") * 37 % 101) / 100).alias("score"), C("embedding").cast("array<double>").alias("vector"))
     return R.mmr(pool, "g", 4).select("g", "id", "pick_order")
 
 
@@ -142,7 +139,7 @@ def fused_pool(t) -> DataFrame:
     return R.first_seen(t.hits.withColumnRenamed("list_idx", "priority"), ["query_id"], 3).select("query_id", "id", "priority", C("rank").cast("long").alias("rank"))
 
 
-ENT = "e AS (SELECT item_id AS query_id, w AS entity FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS w FROM benchmark WHERE item_id < 5))"
+ENT = "e AS (SELECT item_id AS query_id, w AS entity FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS w FROM benchmark WHERE item_id % 20 = 0))"
 
 
 @query(f"""WITH {ENT}, dt AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS ws, n_chars FROM documents), x AS (SELECT doc_id, n_chars, unnest(ws) AS entity FROM dt),

@@ -40,14 +40,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
+def shared_top(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a local master (tests, a laptop) gets a temporary one; on a cluster that would
+    lose files, so it is an error there.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="siltwork-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        folder = tempfile.mkdtemp(prefix="siltwork-")
+        atexit.register(shutil.rmtree, folder, True)
+        top = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", top)
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return top.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to a shared folder and read again: its lineage ends there, and it is computed once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
