@@ -59,6 +59,7 @@ def slug(text: Column) -> Column:
     return F.when(plain == "", "untitled").otherwise(F.substring(plain, 1, 60))
 
 
+# Names of files that say nothing
 GENERIC = ("source.pdf", "pdf.txt", "web.txt", "content_list.json")
 
 
@@ -175,28 +176,94 @@ def looks_like_toc(text: Column) -> Column:
     return (n >= 5) & ((dotted >= 0.4 * n) | (numbered >= 0.6 * n))
 
 
+# What lines of navigation say, lower case
+NAV_PHRASES = (
+    "skip to main content", "skip navigation", "skip to content", "subscribe", "sign in", "log in", "sign up", "log out", "privacy policy", "terms of service", "terms of use", "cookie policy",
+    "cookies preferences", "menu", "share", "tweet", "facebook", "linkedin", "copy link", "buy crypto", "free trial", "download", "get started", "back to top", "view all", "see all", "load more",
+    "show more", "show less", "read more", "click here", "bearbeiten", "quelltext bearbeiten", "bearbeiten | quelltext bearbeiten", "edit", "edit source", "view source", "talk", "published:",
+    "last updated:", "reading time:", "min read", "written by", "posted on", "originally published", "originally posted", "this article was", "disclaimer:", "disclaimer", "all rights reserved",
+    "copyright ©",
+)
+# Lines without words (a bare URL, marks, symbols) and what wiki pages put before a paragraph
+NAV_LINE = r"^(?:https?://\S+|[^\p{L}\p{N}_]{0,4}|[☰-⛿✀-➿←-⇿]+)$"
+WIKI_EDIT = r"(?i)^\[(?:bearbeiten|edit|editar)(?:\s*\|\s*(?:quelltext|source|fuente)\s*(?:bearbeiten|edit|editar))?\]"
+NAV_INSIDE = "|".join(x.replace("|", r"\|") for x in NAV_PHRASES)
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+EDGES = r"^[\s\x0b]+|[\s\x0b]+$"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, EDGES, "")
+
+
+def is_nav(line: Column) -> Column:
+    """Whether a line that isn't blank is a phrase of navigation, contains one within 40 characters, or has no words."""
+    t = stripped(line)
+    low = F.lower(t)
+    n = F.length(low)
+    return (n > 0) & (low.isin(*NAV_PHRASES) | F.regexp_like(t, F.lit(NAV_LINE)) | ((n <= 40) & F.regexp_like(low, F.lit(NAV_INSIDE))))
+
+
 def clean_nav(text: Column) -> Column:
-    """Without navigation lines; runs of blank lines become one."""
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.regexp_like(F.lower(F.trim(x)), F.lit(r"^(home|menu|search|login|sign in|share|next|previous|skip to content)$")))
-    return F.trim(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
+    """Without navigation lines and wiki edit links; a first line that # begins stays; runs of blank lines become one; a line end closes."""
 
+    def line(x: Column, i: Column) -> Column:
+        plain = F.regexp_replace(x, WIKI_EDIT, "")
+        return F.when((i == 0) & F.regexp_like(x, F.lit("^[\\s]*#")), x).when(~is_nav(plain), plain)
 
-def tail_strip(text: Column, marker: str) -> Column:
-    """Cut where the marker pattern first begins, if at least 80 % stays."""
-    head = F.regexp_extract(text, f"(?s)^(.*?)(?:{marker})", 1)
-    return F.when(F.regexp_like(text, F.lit(marker)) & (F.length(head) >= 0.8 * F.length(text)), head).otherwise(text)
+    kept = F.array_join(F.filter(F.transform(F.split(text, LINE_END), line), lambda x: x.isNotNull()), "\n")
+    return F.when(text == "", text).otherwise(F.concat(stripped(F.regexp_replace(kept, "\n{3,}", "\n\n")), F.lit("\n")))
 
 
-# Words that say nothing about a file's content, and words that are no content nouns
-STOP_WORDS = tuple(
-    "and the for with from into onto what when where how why this that these those have has had are was were been being will would could should your you use uses using used via but not all any can may"
-    " might more most much some such than then they them their there here about between across above below after before during since until while also yet out off com org net io wiki wikipedia github"
-    " reddit papers arxiv pdf html edu blog post page site review guide intro introduction based vol ssrn doi".split()
-)
-NOUN_STOP_WORDS = tuple(
-    "the is at which on in a an and or but not to of for with from by about as into through during before after above below between out off over under again further then once here there when where why"
-    " how all both each few more most other some such than that this what these those can will just should now also has have are was were been does its much very".split()
+# How lines begin behind which an article has ended
+TAIL_SIGNS = (
+    r"related\s+articles?\b", r"related\s+reading\b", r"related\s+posts?\b", r"related\s+stories\b", r"you\s+may\s+(also\s+)?like\b", r"subscribe\s+(to|for)\b", r"stay\s+up[- ]to[- ]date\b",
+    r"sign\s+up\s+(for|to)\s+(our\s+)?newsletter\b", r"join\s+our\s+newsletter\b", r"no\s+comments?\s+yet\b", r"post\s+a\s+comment\b", r"leave\s+a\s+(reply|comment)\b",
+    r"share\s+this\s+(article|post|story)\b", r"about\s+the\s+author\b", r"©\s*\d{4}", r"all\s+rights\s+reserved\b",
+)
+TAIL = r"(?is)^(.*?)(?:\n|^)(?:" + "|".join(TAIL_SIGNS) + ")"
+
+
+def tail_strip(text: Column) -> Column:
+    """Cut before the first line that a tail sign begins, if at least 80 % stays; a line end closes a cut text."""
+    head = F.regexp_extract(text, TAIL, 1)
+    cut = F.regexp_like(text, F.lit(TAIL)) & (F.length(head) >= F.floor(F.lit(0.8) * F.length(text)))
+    return F.when(cut & (text != ""), F.concat(F.regexp_replace(head, r"[\s\x0b]+$", ""), F.lit("\n"))).otherwise(text)
+
+
+# Names of sections behind a paper's content
+TAIL_SECTIONS = (
+    r"(?:references|bibliography|works\s+cited|citations?|cited\s+by|acknowledg(?:e?ment)?s?|funding|author\s+contributions?|conflicts?\s+of\s+interest|competing\s+interests?|data\s+availability"
+    r"|supplementary(?:\s+(?:material|information))?|appendix\s*[A-Z0-9]?)"
 )
+_TO_LINE_END = r"[ \t]*:?[ \t\r\f]*(?:\n|$)"
+HARD_SECTION = rf"(?is)^(.*?)(?:\n|^)[ \t]*#{{1,4}}[ \t]+{TAIL_SECTIONS}{_TO_LINE_END}"
+SOFT_SECTION = rf"(?is)^(.*?)\n[ \t]*{TAIL_SECTIONS}{_TO_LINE_END}"
+
+
+def strip_sections(text: Column) -> Column:
+    """Cut before the first Markdown heading of a tail section, else before the first bare line of one behind 20 % of the text."""
+    before = F.greatest(F.floor(F.lit(0.2) * F.length(text)).cast("int") - 1, F.lit(0))
+    rest = F.substring(text, before + 1, F.length(text))
+    end = lambda x: F.regexp_replace(x, r"[\s\x0b]+$", "")
+    soft = F.when(F.regexp_like(rest, F.lit(SOFT_SECTION)), end(F.concat(F.substring(text, F.lit(1), before), F.regexp_extract(rest, SOFT_SECTION, 1))))
+    return F.when(F.regexp_like(text, F.lit(HARD_SECTION)), end(F.regexp_extract(text, HARD_SECTION, 1))).otherwise(F.coalesce(soft, text))
+
+
+# Words that say nothing about a file's content, and words that are no content nouns
+STOP_WORDS = (
+    "and", "the", "for", "with", "from", "into", "onto", "what", "when", "where", "how", "why", "this", "that", "these", "those", "have", "has", "had", "are", "was", "were", "been",
+    "being", "will", "would", "could", "should", "your", "you", "use", "uses", "using", "used", "via", "but", "not", "all", "any", "can", "may", "might", "more", "most", "much", "some",
+    "such", "than", "then", "they", "them", "their", "there", "here", "about", "between", "across", "above", "below", "after", "before", "during", "since", "until", "while", "also", "yet",
+    "out", "off", "com", "org", "net", "io", "wiki", "wikipedia", "github", "reddit", "papers", "arxiv", "pdf", "html", "edu", "blog", "post", "page", "site", "review", "guide", "intro",
+    "introduction", "based", "vol", "ssrn", "doi",
+)
+NOUN_STOP_WORDS = (
+    "the", "is", "at", "which", "on", "in", "a", "an", "and", "or", "but", "not", "to", "of", "for", "with", "from", "by", "about", "as", "into", "through", "during", "before", "after",
+    "above", "below", "between", "out", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "both", "each", "few", "more",
+    "most", "other", "some", "such", "than", "that", "this", "what", "these", "those", "can", "will", "just", "should", "now", "also", "has", "have", "are", "was", "were", "been", "does",
+    "its", "much", "very",
+)
 
 
 def descriptive_tokens(name: Column) -> Column:
@@ -224,7 +291,7 @@ def cited_indices(text: Column) -> Column:
     """Numbers in [n] and [n, m] that no letter or digit precedes, first occurrences in order."""
     groups = F.regexp_extract_all(text, F.lit(r"(?:^|[^A-Za-z0-9])\[([0-9]+(?: *, *[0-9]+)*)\]"), F.lit(1))
     numbers = F.flatten(F.transform(groups, lambda g: F.split(g, " *, *")))
-    return F.array_distinct(F.transform(numbers, lambda n: n.cast("int")))
+    return F.array_distinct(F.transform(numbers, lambda n: n.try_cast("int")))
 
 
 def strip_sources(answer: Column) -> Column:
@@ -247,6 +314,7 @@ def split_authors(line: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(plain, " and ", ","), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+# Particles of surnames
 PARTICLES = ("van", "von", "de", "der", "den", "la", "di", "da")
 
 

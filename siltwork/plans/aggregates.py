@@ -30,9 +30,9 @@ def damped_overlap(t) -> DataFrame:
     return t.cites.join(weight, "src").groupBy(C("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("damped"))
 
 
-@query("SELECT dst AS id, count(DISTINCT src) AS reach FROM cites WHERE src <= 200 GROUP BY dst", "cites")
+@query("SELECT dst AS id, count(DISTINCT src) AS reach FROM cites WHERE src % 20 = 0 GROUP BY dst", "cites")
 def walk_reach(t) -> DataFrame:
-    return t.cites.filter("src <= 200").groupBy(C("dst").alias("id")).agg(F.countDistinct("src").alias("reach"))
+    return t.cites.filter("src % 20 = 0").groupBy(C("dst").alias("id")).agg(F.countDistinct("src").alias("reach"))
 
 
 @query("SELECT corpusid, coalesce(r.n, 0) AS refs, coalesce(c.n, 0) AS citers FROM papers LEFT JOIN (SELECT src, count(DISTINCT dst) AS n FROM cites GROUP BY src) r ON r.src = corpusid LEFT JOIN (SELECT dst, count(DISTINCT src) AS n FROM cites GROUP BY dst) c ON c.dst = corpusid", "cites papers")

@@ -1,4 +1,4 @@
-"""Citation graph queries. Seeds are papers 1 to 5; a hub has more than 30 citations; the year is 2024."""
+"""Citation graph queries. Seeds are the papers whose id is divisible by 20; a hub has more than 30 citations; the year is 2024."""
 
 from __future__ import annotations
 
@@ -14,10 +14,10 @@ HUB, NOW = 30, 2024
 
 
 def seeds(t) -> DataFrame:
-    return t.papers.filter("corpusid <= 5").select(C("corpusid").alias("node"))
+    return t.papers.filter("corpusid % 20 = 0").select(C("corpusid").alias("node"))
 
 
-SEEDS = "seeds AS (SELECT corpusid AS node FROM papers WHERE corpusid <= 5)"
+SEEDS = "seeds AS (SELECT corpusid AS node FROM papers WHERE corpusid % 20 = 0)"
 BOTH = "both_ AS (SELECT src AS a, dst AS b FROM cites UNION ALL SELECT dst, src FROM cites)"
 HOP1 = f"{SEEDS}, {BOTH}, h1 AS (SELECT DISTINCT a AS seed, b AS nbr FROM both_ WHERE a IN (SELECT node FROM seeds) AND a <> b)"
 
@@ -128,12 +128,12 @@ def beam_walk(t) -> DataFrame:
 HUBS = f"hubs AS (SELECT corpusid AS node FROM papers WHERE citationcount > {HUB - 4})"
 
 
-@query(f"""WITH {SEEDS}, {HUBS}, kept AS (SELECT corpusid AS node FROM papers WHERE corpusid <= 100),
+@query(f"""WITH {SEEDS}, {HUBS}, kept AS (SELECT corpusid AS node FROM papers WHERE corpusid % 20 = 0),
 f1 AS (SELECT DISTINCT dst AS node FROM cites WHERE src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM hubs)), f AS (SELECT node FROM f1 UNION SELECT dst FROM cites WHERE src IN (SELECT node FROM f1) AND dst IN (SELECT node FROM hubs)),
 b1 AS (SELECT DISTINCT src AS node FROM cites WHERE dst IN (SELECT node FROM kept) AND src IN (SELECT node FROM hubs)), b AS (SELECT node FROM b1 UNION SELECT src FROM cites WHERE dst IN (SELECT node FROM b1) AND src IN (SELECT node FROM hubs))
 SELECT node FROM f INTERSECT SELECT node FROM b""", "papers")
 def bridge_hubs(t) -> DataFrame:
-    kept = t.papers.filter("corpusid <= 100").select(C("corpusid").alias("node"))
+    kept = t.papers.filter("corpusid % 20 = 0").select(C("corpusid").alias("node"))
     return G.bridge_hubs(kept, t.papers.filter(C("citationcount") > HUB - 4).select(C("corpusid").alias("node")), t.cites)
 
 

@@ -186,20 +186,20 @@ def token_count(t) -> DataFrame:
     return t.documents.select("doc_id", F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("tokens"))
 
 
-@query("SELECT doc_id, CASE WHEN l.quality IS NOT NULL THEN 'Context ' || l.quality || '.' || chr(10) || chr(10) ELSE '' END || left(text, 50) AS text FROM documents LEFT JOIN labels l USING (doc_id)")
+@query("SELECT doc_id, CASE WHEN l.quality IS NOT NULL THEN 'Context ' || l.quality || '.' || chr(10) || chr(10) ELSE '' END || text AS text FROM documents LEFT JOIN labels l USING (doc_id)")
 def ctx_prepend(t) -> DataFrame:
     """A context sentence before each chunk that has one."""
     ctx = t.labels.select("doc_id", F.concat(F.lit("Context "), C("quality").cast("string"), F.lit(".\n\n")).alias("ctx"))
-    return t.documents.join(ctx, "doc_id", "left").select("doc_id", F.concat(F.coalesce("ctx", F.lit("")), F.substring("text", 1, 50)).alias("text"))
+    return t.documents.join(ctx, "doc_id", "left").select("doc_id", F.concat(F.coalesce("ctx", F.lit("")), "text").alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source || ' (' || CASE WHEN doc_id % 3 = 1 THEN 'Roe' ELSE '2020' END || ')' || chr(10) || chr(10) || left(text, 30) ELSE left(text, 30) END AS text FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source || ' (' || CASE WHEN doc_id % 3 = 1 THEN 'Roe' ELSE '2020' END || ')' || chr(10) || chr(10) || text ELSE text END AS text FROM documents")
 def apply_prefix(t) -> DataFrame:
     from ..functions.text import doc_prefix
 
     k = C("doc_id") % 3
     prefix = F.when(k > 0, F.concat(doc_prefix(C("source"), F.when(k == 1, "Roe"), F.when(k == 2, 2020)), F.lit("\n\n"))).otherwise("")
-    return t.documents.select("doc_id", F.concat(prefix, F.substring("text", 1, 30)).alias("text"))
+    return t.documents.select("doc_id", F.concat(prefix, "text").alias("text"))
 
 
 def _children(t, **k) -> DataFrame:

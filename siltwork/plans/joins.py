@@ -16,16 +16,16 @@ def cited_papers(t) -> DataFrame:
     return t.lineitem.filter("l_discount >= 0.09").join(t.orders, C("l_orderkey") == C("o_orderkey")).join(t.customer, C("o_custkey") == C("c_custkey")).select(C("c_mktsegment").alias("chat"), C("l_partkey").alias("paper")).distinct()
 
 
-@query("SELECT DISTINCT l_partkey AS paper, o_custkey AS query FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey < 20")
+@query("SELECT DISTINCT l_partkey AS paper, o_custkey AS query FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def paper_queries(t) -> DataFrame:
-    return t.lineitem.filter("l_partkey < 20").join(t.orders, C("l_orderkey") == C("o_orderkey")).select(C("l_partkey").alias("paper"), C("o_custkey").alias("query")).distinct()
+    return t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey")).select(C("l_partkey").alias("paper"), C("o_custkey").alias("query")).distinct()
 
 
 @query("""SELECT d.doc_id, m.content FROM documents d LEFT JOIN (
-  SELECT conv_id, left(text, 20) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1) m ON m.conv_id = d.doc_id""")
+  SELECT conv_id, text AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1) m ON m.conv_id = d.doc_id""")
 def enrich_left(t) -> DataFrame:
     """Left enrichment by the last row of each key."""
-    last = R.first_by(t.conversations, ["conv_id"], C("turn").desc()).select(C("conv_id").alias("doc_id"), F.substring("text", 1, 20).alias("content"))
+    last = R.first_by(t.conversations, ["conv_id"], C("turn").desc()).select(C("conv_id").alias("doc_id"), C("text").alias("content"))
     return t.documents.select("doc_id").join(last, "doc_id", "left")
 
 
@@ -67,13 +67,13 @@ def in_corpus_tristate(t) -> DataFrame:
     return R.membership(rows, "id", t.embeddings, "vec_id").select("doc_id", "in_corpus")
 
 
-KEYS = "k AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '24.' || doc_id % 300 END AS arxiv, '10.1/' || doc_id % 500 AS doi FROM documents), s AS (SELECT doc_id AS sid, CASE WHEN doc_id % 2 = 0 THEN '24.' || doc_id END AS arxiv, '10.1/' || doc_id * 2 AS doi FROM documents WHERE doc_id < 300)"
+KEYS = "k AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '24.' || doc_id % 300 END AS arxiv, '10.1/' || doc_id % 500 AS doi FROM documents), s AS (SELECT doc_id AS sid, CASE WHEN doc_id % 2 = 0 THEN '24.' || doc_id END AS arxiv, '10.1/' || doc_id * 2 AS doi FROM documents)"
 
 
 def _keys(t):
     n = lambda c: c.cast("string")
     rows = t.documents.select("doc_id", F.when(C("doc_id") % 3 > 0, F.concat(F.lit("24."), n(C("doc_id") % 300))).alias("arxiv"), F.concat(F.lit("10.1/"), n(C("doc_id") % 500)).alias("doi"))
-    known = t.documents.filter("doc_id < 300").select(C("doc_id").alias("sid"), F.when(C("doc_id") % 2 == 0, F.concat(F.lit("24."), n(C("doc_id")))).alias("s_arxiv"), F.concat(F.lit("10.1/"), n(C("doc_id") * 2)).alias("s_doi"))
+    known = t.documents.select(C("doc_id").alias("sid"), F.when(C("doc_id") % 2 == 0, F.concat(F.lit("24."), n(C("doc_id")))).alias("s_arxiv"), F.concat(F.lit("10.1/"), n(C("doc_id") * 2)).alias("s_doi"))
     return rows, known
 
 

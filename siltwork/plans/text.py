@@ -33,6 +33,14 @@ def one(fname: str, sql: str, make, source=lambda t: t.documents, key: str = "do
 
 
 C = F.col
+TITLE = "regexp_extract(text, '^[^.\\n]*')"
+
+
+def title(t: str = "text"):
+    """A document's first sentence or line."""
+    return F.regexp_extract(t, "^[^.\n]*", 0)
+
+
 one("normalize_arxiv", f"WITH {IDS} SELECT page_id, replace(nullif(regexp_extract(regexp_replace(replace(lower(raw), '/', ''), 'v[0-9]+$', ''), '[0-9]{{4}}[._][0-9]{{4,6}}'), ''), '_', '.') AS value FROM ids", lambda: X.normalize_arxiv(C("raw")), ids, "page_id")
 one("normalize_ids", f"""WITH {IDS} SELECT page_id, coalesce(nullif(regexp_extract(trim(raw), '^(?:[aA][rR][xX][iI][vV]:)?([0-9]{{4}}\\.[0-9]{{4,5}})(?:v[0-9]+)?$', 1), ''),
   lower(nullif(regexp_extract(trim(raw), '^(?:https?://(?:dx\\.)?doi\\.org/|doi:)?(10\\.[0-9]{{4,9}}/[^ ]+)$', 1), ''))) AS value FROM ids""", lambda: X.anchored_id(C("raw")), ids, "page_id")
@@ -43,13 +51,13 @@ one("extract_doi", f"""WITH {IDS} SELECT page_id, regexp_replace(coalesce(nullif
 one("canonical_url", f"""WITH {IDS}, m AS (SELECT *, regexp_extract(raw, '(?i)arxiv\\.org/(?:abs|pdf|html)/([0-9]{{4}}\\.[0-9]{{4,6}})', 1) AS a, regexp_extract(raw, '(?i)doi\\.org/(10\\.[^?#]+)', 1) AS d,
   regexp_extract(raw, '^([a-zA-Z]+)://([^/?#]*)([^?#]*)', ['s', 'h', 'p']) AS u FROM ids)
 SELECT page_id, CASE WHEN a <> '' THEN 'arxiv.org/abs/' || a WHEN d <> '' THEN 'https://doi.org/' || lower(d) WHEN u.s = '' THEN '' ELSE lower(u.s) || '://' || lower(u.h) || regexp_replace(u.p, '/+$', '') END AS value FROM m""", lambda: X.canonical_url(C("raw")), ids, "page_id")
-one("slugify", "SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE left(s, 60) END AS value FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 100)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents)", lambda: X.slug(F.substring("text", 1, 100)))
-FILES = "files AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN source_file WHEN 1 THEN doc_id || '__' || replace(left(text, 40), '/', ' ') || '.pdf' ELSE 'notes/' || source || '.txt' END AS path FROM docs)"
+one("slugify", "SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE left(s, 60) END AS value FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents)", lambda: X.slug(C("text")))
+FILES = f"files AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN source_file WHEN 1 THEN doc_id || '__' || replace({TITLE}, '/', ' ') || '.pdf' ELSE 'notes/' || source || '.txt' END AS path FROM docs)"
 
 
 def files(t) -> DataFrame:
     d, n = F.col("doc_id"), F.col("doc_id").cast("string")
-    path = F.when(d % 3 == 0, C("source_file")).when(d % 3 == 1, F.concat(n, F.lit("__"), F.replace(F.substring("text", 1, 40), F.lit("/"), F.lit(" ")), F.lit(".pdf"))).otherwise(F.concat(F.lit("notes/"), "source", F.lit(".txt")))
+    path = F.when(d % 3 == 0, C("source_file")).when(d % 3 == 1, F.concat(n, F.lit("__"), F.replace(title(), F.lit("/"), F.lit(" ")), F.lit(".pdf"))).otherwise(F.concat(F.lit("notes/"), "source", F.lit(".txt")))
     return t.docs.select("doc_id", "text", path.alias("path"))
 
 
@@ -57,11 +65,11 @@ one("norm_source", f"WITH {FILES}, p AS (SELECT *, string_split(path, '/') AS s
 one("partition_of", f"WITH {FILES} SELECT doc_id, nullif(regexp_extract(path, '(?:^|/)sources/([^/]+)/', 1), '') AS value FROM files", lambda: X.found(C("path"), "(?:^|/)sources/([^/]+)/", 1), files, views="docs")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'arxiv' WHEN doc_id % 4 = 1 THEN 'doi' WHEN doc_id % 4 = 2 THEN 'url' ELSE 'title' END AS id_type,
-  CASE WHEN doc_id % 4 = 0 THEN '2401.' || doc_id WHEN doc_id % 4 = 1 THEN '10.1/x' || doc_id WHEN doc_id % 4 = 2 THEN 'https://a.org/' || doc_id ELSE left(sha256(left(text, 30) || '/' || lang), 16) END AS id FROM documents""")
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'arxiv' WHEN doc_id % 4 = 1 THEN 'doi' WHEN doc_id % 4 = 2 THEN 'url' ELSE 'title' END AS id_type,
+  CASE WHEN doc_id % 4 = 0 THEN '2401.' || doc_id WHEN doc_id % 4 = 1 THEN '10.1/x' || doc_id WHEN doc_id % 4 = 2 THEN 'https://a.org/' || doc_id ELSE left(sha256({TITLE} || '/' || lang), 16) END AS id FROM documents""")
 def canonical_id(t) -> DataFrame:
     d, n = C("doc_id"), C("doc_id").cast("string")
-    x = X.canonical_id(F.when(d % 4 == 0, F.concat(F.lit("2401."), n)), F.when(d % 4 <= 1, F.concat(F.lit("10.1/X"), n)), F.when(d % 4 <= 2, F.concat(F.lit("https://a.org/"), n)), F.substring("text", 1, 30), C("lang"))
+    x = X.canonical_id(F.when(d % 4 == 0, F.concat(F.lit("2401."), n)), F.when(d % 4 <= 1, F.concat(F.lit("10.1/X"), n)), F.when(d % 4 <= 2, F.concat(F.lit("https://a.org/"), n)), title(), C("lang"))
     return t.documents.select("doc_id", x["id"].alias("id"), x["id_type"].alias("id_type"))
 
 
@@ -84,10 +92,17 @@ STRIPPED = f"length(trim(array_to_string(list_filter(string_split(text, chr(10))
 one("garbage_reason", f"SELECT doc_id, CASE WHEN length(text) < 1000 THEN 'too_small' {GARBAGE} WHEN {STRIPPED} < 800 THEN 'low_signal_after_strip' END AS value FROM documents", lambda: X.garbage_reason(C("text")))
 one("toc_detect", """WITH l AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[.]\\n', '.... 12' || chr(10), 'g'), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
 SELECT doc_id, len(ls) >= 5 AND (len(list_filter(ls, lambda x: regexp_matches(x, '\\.{3,}\\s*\\d+\\s*$'))) >= 0.4 * len(ls) OR len(list_filter(ls, lambda x: regexp_matches(trim(x), '^\\d+(\\.\\d+)*\\s+\\S.*\\s+\\d+\\s*$'))) >= 0.6 * len(ls)) AS value FROM l""", lambda: X.looks_like_toc(F.regexp_replace("text", "[.]\\n", ".... 12\n")))
-one("clean_nav", """SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(lower(trim(x)), '^(home|menu|search|login|sign in|share|next|previous|skip to content)$')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')) AS value
-FROM (SELECT doc_id, 'Home' || chr(10) || replace(left(text, 500), '. ', '.' || chr(10) || ' Share ' || chr(10) || chr(10) || chr(10)) AS t FROM documents)""", lambda: X.clean_nav(F.concat(F.lit("Home\n"), F.replace(F.substring("text", 1, 500), F.lit(". "), F.lit(".\n Share \n\n\n")))))
-one("tail_strip", """WITH m AS (SELECT doc_id, t, regexp_extract(t, '(?s)^(.*?)(?:\\nShare this|\\nRelated posts)', 1) AS head FROM (SELECT doc_id, left(text, 600) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Share this ' || left(text, (doc_id % 300)::INT) ELSE '' END AS t FROM documents))
-SELECT doc_id, CASE WHEN regexp_matches(t, '\\nShare this|\\nRelated posts') AND length(head) >= 0.8 * length(t) THEN head ELSE t END AS value FROM m""", lambda: X.tail_strip(F.concat(F.substring("text", 1, 600), F.when(C("doc_id") % 2 == 0, F.concat(F.lit("\nShare this "), F.expr("left(text, cast(doc_id % 300 as int))"))).otherwise("")), "\nShare this|\nRelated posts"))
+CLEAN = f"""list_filter(list_transform(string_split_regex(t, {quoted(X.LINE_END)}), lambda x, i: CASE WHEN i = 1 AND regexp_matches(x, '^\\s*#') THEN x ELSE NAVLESS END), lambda x: x IS NOT NULL)"""
+NAVLESS = f"""(CASE WHEN NOT (length(STRIPPED) > 0 AND (lower(STRIPPED) IN ({', '.join(map(quoted, X.NAV_PHRASES))}) OR regexp_matches(STRIPPED, {quoted(X.NAV_LINE)}) OR (length(STRIPPED) <= 40 AND regexp_matches(lower(STRIPPED), {quoted(X.NAV_INSIDE)})))) THEN PLAIN END)"""
+EDGE = lambda x: f"regexp_replace({x}, {quoted(X.EDGES)}, '', 'g')"
+PLAIN = f"regexp_replace(x, {quoted(X.WIKI_EDIT)}, '')"
+CLEAN = CLEAN.replace("NAVLESS", NAVLESS).replace("STRIPPED", EDGE("PLAIN")).replace("PLAIN", PLAIN)
+one("clean_nav", f"""SELECT doc_id, CASE WHEN t = '' THEN t ELSE {EDGE(f"regexp_replace(array_to_string({CLEAN}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')")} || chr(10) END AS value
+FROM (SELECT doc_id, '# Home' || chr(10) || '[Edit | source edit]Menu' || chr(10) || replace(text, '. ', '.' || chr(10) || ' Share this ' || chr(10) || chr(10) || '[edit]' || chr(10)) || chr(10) || 'https://a.org/x' AS t FROM documents)""",
+    lambda: X.clean_nav(F.concat(F.lit("# Home\n[Edit | source edit]Menu\n"), F.replace("text", F.lit(". "), F.lit(".\n Share this \n\n[edit]\n")), F.lit("\nhttps://a.org/x"))))
+one("tail_strip", f"""WITH m AS (SELECT doc_id, t, regexp_extract(t, {quoted(X.TAIL)}, 1) AS head FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Related  posts ' || repeat('more ', (doc_id % 90)::INT) ELSE '' END AS t FROM documents))
+SELECT doc_id, CASE WHEN t <> '' AND regexp_matches(t, {quoted(X.TAIL)}) AND length(head) >= floor(0.8::DOUBLE * length(t)) THEN regexp_replace(head, '[\\s\\x0b]+$', '') || chr(10) ELSE t END AS value FROM m""",
+    lambda: X.tail_strip(F.concat("text", F.when(C("doc_id") % 2 == 0, F.concat(F.lit("\nRelated  posts "), F.expr("repeat('more ', cast(doc_id % 90 as int))"))).otherwise(""))))
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 STEM = "regexp_replace(regexp_replace(string_split(lower(path), '/')[-1], '\\.[a-z0-9]{1,5}$', ''), '^[0-9]+__', '')"
 TOK = f"""toks AS (SELECT doc_id, text, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS tokens FROM (
@@ -102,19 +117,21 @@ def filename_overlap(t) -> DataFrame:
     return rows.select("doc_id", F.round(X.overlap_ratio(C("tokens"), F.substring("text", 1, 5000)), 6).alias("head"), F.round(X.overlap_ratio(C("tokens"), C("text")), 6).alias("whole"))
 
 
-one("content_nouns", f"SELECT doc_id, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:8], ' ') AS value FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{{4,}}'), lambda w: NOT list_contains({list(X.NOUN_STOP_WORDS)!r}, w)) AS ws FROM (SELECT doc_id, left(text, 2000) AS text FROM documents))", lambda: F.array_join(X.content_nouns(F.substring("text", 1, 2000)), " "))
-LATEX = "replace(replace(left(text, 200), 'th', '\\emph{x}'), 'on', '$y_1$')"
-one("strip_latex", f"SELECT doc_id, regexp_replace(regexp_replace({LATEX}, '\\\\[a-zA-Z]+\\{{([^{{}}]*)\\}}', '\\1', 'g'), '\\$([^$]*)\\$', '\\1', 'g') AS value FROM documents", lambda: X.strip_latex(F.replace(F.replace(F.substring("text", 1, 200), F.lit("th"), F.lit("\\emph{x}")), F.lit("on"), F.lit("$y_1$"))))
-ANSWER = "'First [' || doc_id % 7 || '] and a[9] then [' || doc_id % 3 + 1 || ', ' || doc_id % 5 || '].' || chr(10) || 'Sources:' || chr(10) || left(text, 20)"
+one("content_nouns", f"""WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{{4,}}') AS ws FROM documents)),
+f AS (SELECT doc_id, w, min(i) AS i, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS n FROM w WHERE w NOT IN ({', '.join(map(quoted, X.NOUN_STOP_WORDS))}) GROUP BY doc_id, w QUALIFY n <= 8)
+SELECT doc_id, coalesce(v, '') AS value FROM documents LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS v FROM f GROUP BY doc_id) USING (doc_id)""", lambda: F.array_join(X.content_nouns(C("text")), " "))
+LATEX = "replace(replace(text, 'th', '\\emph{x}'), 'on', '$y_1$')"
+one("strip_latex", f"SELECT doc_id, regexp_replace(regexp_replace({LATEX}, '\\\\[a-zA-Z]+\\{{([^{{}}]*)\\}}', '\\1', 'g'), '\\$([^$]*)\\$', '\\1', 'g') AS value FROM documents", lambda: X.strip_latex(F.replace(F.replace("text", F.lit("th"), F.lit("\\emph{x}")), F.lit("on"), F.lit("$y_1$"))))
+ANSWER = "'First [' || doc_id % 7 || '] and a[9] then [' || doc_id % 3 + 1 || ', ' || doc_id % 5 || '].' || chr(10) || 'Sources:' || chr(10) || text"
 
 
 def answers(t) -> DataFrame:
     d = lambda m, a=0: (C("doc_id") % m + a).cast("string")
-    return t.documents.select("doc_id", F.concat(F.lit("First ["), d(7), F.lit("] and a[9] then ["), d(3, 1), F.lit(", "), d(5), F.lit("].\nSources:\n"), F.substring("text", 1, 20)).alias("answer"))
+    return t.documents.select("doc_id", F.concat(F.lit("First ["), d(7), F.lit("] and a[9] then ["), d(3, 1), F.lit(", "), d(5), F.lit("].\nSources:\n"), "text").alias("answer"))
 
 
 CITED = f"""cited AS (SELECT doc_id, answer, list_filter(ns, lambda n, i: list_position(ns, n) = i) AS nums FROM (SELECT doc_id, answer, list_transform(flatten(list_transform(
-  regexp_extract_all(answer, '(?:^|[^A-Za-z0-9])\\[([0-9]+(?: *, *[0-9]+)*)\\]', 1), lambda g: string_split_regex(g, ' *, *'))), lambda n: n::INT) AS ns FROM (SELECT doc_id, {ANSWER} AS answer FROM documents)))"""
+  regexp_extract_all(answer, '(?:^|[^A-Za-z0-9])\\[([0-9]+(?: *, *[0-9]+)*)\\]', 1), lambda g: string_split_regex(g, ' *, *'))), lambda n: try_cast(n AS INT)) AS ns FROM (SELECT doc_id, {ANSWER} AS answer FROM documents)))"""
 one("cited_indices", f"WITH {CITED} SELECT doc_id, array_to_string(nums, ',') AS value FROM cited", lambda: F.array_join(X.cited_indices(C("answer")).cast("array<string>"), ","), answers)
 
 
@@ -196,8 +213,8 @@ def merge_guard(t) -> DataFrame:
     return t.documents.select("doc_id", F.when((d % 4 > d % 5) & (F.size(authors) > 0), "old").otherwise("new").alias("kept"))
 
 
-one("doc_prefix", """SELECT doc_id, CASE WHEN length(ti) > 60 THEN regexp_replace(left(ti, 60), ' [^ ]*$', '') || '…' ELSE ti END || CASE WHEN doc_id % 3 = 0 THEN ' (Roe 2020)' WHEN doc_id % 3 = 1 THEN ' (2019)' ELSE '' END AS value
-FROM (SELECT doc_id, replace(left(text, (doc_id % 90 + 10)::INT), chr(10), ' ') AS ti FROM documents)""", lambda: X.doc_prefix(F.replace(F.expr("left(text, cast(doc_id % 90 + 10 as int))"), F.lit("\n"), F.lit(" ")), F.when(C("doc_id") % 3 == 0, "Roe 2020"), F.when(C("doc_id") % 3 == 1, 2019)))
+one("doc_prefix", f"""SELECT doc_id, CASE WHEN length(ti) > 60 THEN regexp_replace(left(ti, 60), ' [^ ]*$', '') || '…' ELSE ti END || CASE WHEN doc_id % 3 = 0 THEN ' (Roe 2020)' WHEN doc_id % 3 = 1 THEN ' (2019)' ELSE '' END AS value
+FROM (SELECT doc_id, {TITLE} AS ti FROM documents)""", lambda: X.doc_prefix(title(), F.when(C("doc_id") % 3 == 0, "Roe 2020"), F.when(C("doc_id") % 3 == 1, 2019)))
 
 
 @query("""SELECT query_id, CASE WHEN cost IS NULL THEN '—' WHEN cost = 0 THEN '$0' WHEN cost < 0.01 THEN printf('$%.4f', cost) ELSE printf('$%.2f', cost) END AS cost_badge,
@@ -209,7 +226,7 @@ def fmt_badges(t) -> DataFrame:
 
 
 one("cursor_token", "SELECT query_id, rtrim(replace(replace(base64(encode('[\"' || query_id || '\",\"' || outcome || '\"]')), '+', '-'), '/', '_'), '') AS value FROM qlog", lambda: X.cursor_token(C("query_id"), C("outcome")), lambda t: t.qlog, "query_id", "qlog")
-one("clean_title", "SELECT doc_id, left(trim(regexp_replace(regexp_replace(trim(t), '^[\"'']+|[\"'']+$', '', 'g'), '[.!?]+$', '')), 80) AS value FROM (SELECT doc_id, '\"' || replace(left(text, (doc_id % 120)::INT), chr(10), ' ') || '!?\"' AS t FROM documents)", lambda: X.clean_title(F.concat(F.lit('"'), F.replace(F.expr("left(text, cast(doc_id % 120 as int))"), F.lit("\n"), F.lit(" ")), F.lit('!?"'))))
+one("clean_title", f"SELECT doc_id, left(trim(regexp_replace(regexp_replace(trim(t), '^[\"'']+|[\"'']+$', '', 'g'), '[.!?]+$', '')), 80) AS value FROM (SELECT doc_id, '\"' || {TITLE} || '!?\"' AS t FROM documents)", lambda: X.clean_title(F.concat(F.lit('"'), title(), F.lit('!?"'))))
 
 
 @query("""WITH s AS (SELECT k AS run_id, query_id AS pos, CASE event_type WHEN 'signup' THEN 'fetching' WHEN 'click' THEN 'parsing' WHEN 'view' THEN 'chunking' WHEN 'purchase' THEN 'embedding' END AS stage FROM qlog)
@@ -225,14 +242,17 @@ def log_stage(t) -> DataFrame:
 one("derive_title", f"""SELECT page_id, coalesce(CASE WHEN page_id % 4 = 0 THEN 'Mine' END, translate(nullif(string_split(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '/')[-1], ''), '-_', '  '), {HOST}) AS value FROM pages""", lambda: X.derive_title(F.when(C("page_id") % 4 == 0, " Mine ").otherwise(""), C("url")), lambda t: t.pages, "page_id")
 
 
-@query("""WITH l AS (SELECT doc_id, string_split(t, chr(10)) AS ls, length(t) AS n FROM (SELECT doc_id, left(text, 800) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'References' || chr(10) || 'x' ELSE '' END AS t FROM documents)),
-e AS (SELECT doc_id, n, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, ls FROM l),
-c AS (SELECT doc_id, min(i) AS cut FROM e WHERE lower(trim(line)) IN ('references', 'bibliography') GROUP BY doc_id)
-SELECT doc_id, array_to_string(CASE WHEN cut IS NULL THEN ls ELSE ls[1:cut - 1] END, chr(10)) AS value FROM l LEFT JOIN c USING (doc_id)""")
+SECTIONED = "CASE WHEN doc_id % 5 = 0 THEN 'References' || chr(10) ELSE '' END || text || CASE doc_id % 3 WHEN 0 THEN chr(10) || 'Works  Cited: ' || chr(10) || 'x' WHEN 1 THEN chr(10) || '## Appendix B' || chr(10) || text ELSE '' END"
+REST = "greatest(floor(0.2::DOUBLE * length(t))::INT - 1, 0)"
+RSTRIP = lambda x: f"regexp_replace({x}, '[\\s\\x0b]+$', '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {SECTIONED} AS t FROM documents), r AS (SELECT *, substr(t, {REST} + 1) AS rest FROM d)
+SELECT doc_id, CASE WHEN regexp_matches(t, {quoted(X.HARD_SECTION)}) THEN {RSTRIP(f"regexp_extract(t, {quoted(X.HARD_SECTION)}, 1)")}
+  WHEN regexp_matches(rest, {quoted(X.SOFT_SECTION)}) THEN {RSTRIP(f"left(t, {REST}) || regexp_extract(rest, {quoted(X.SOFT_SECTION)}, 1)")} ELSE t END AS value FROM r""")
 def strip_tail(t) -> DataFrame:
-    """Text before the first line that is a reference heading."""
-    text = F.concat(F.substring("text", 1, 800), F.when(C("doc_id") % 2 == 0, "\nReferences\nx").otherwise(""))
-    rows = t.documents.select("doc_id", F.split(text, "\n").alias("ls"))
-    heads = F.transform("ls", lambda x: F.lower(F.trim(x)).isin("references", "bibliography"))
-    cut = F.array_position(heads, F.lit(True)).cast("int")
-    return rows.select("doc_id", F.array_join(F.when(cut > 0, F.slice("ls", F.lit(1), cut - 1)).otherwise(C("ls")), "\n").alias("value"))
+    """Text before its references, acknowledgements, appendix or the like."""
+    d = C("doc_id")
+    behind = F.when(d % 3 == 0, F.lit("\nWorks  Cited: \nx")).when(d % 3 == 1, F.concat(F.lit("\n## Appendix B\n"), "text")).otherwise("")
+    text = F.concat(F.when(d % 5 == 0, "References\n").otherwise(""), "text", behind)
+    return t.documents.select("doc_id", text.alias("t")).select("doc_id", X.strip_sections(C("t")).alias("value"))

@@ -44,9 +44,10 @@ def read_document_tree(spark: SparkSession, root: str, glob: str = "*") -> DataF
 
 
 def read_audit_tree(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The records of a tree of JSON files; malformed ones are skipped."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true").option("mode", "PERMISSIVE").json(root)
-    return rows.cache().filter("_bad is null").drop("_bad")
+    """The records of a tree of JSON lines files; malformed lines are skipped."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(root)
+    rows = lines.select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return rows.select("r.*").filter("_bad is null").drop("_bad")
 
 
 def parse_sidecar(text: Column, schema: str) -> Column:
