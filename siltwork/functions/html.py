@@ -170,3 +170,76 @@ def table_bands(df: DataFrame, key: str, table: str, budget: int) -> DataFrame:
 
     kind = dict(df.dtypes)[key]
     return df.select(key, table).mapInPandas(run, f"{key} {kind}, band int, text string")
+
+
+def escaped(text: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def gfm_to_html(table: Column) -> Column:
+    """A Markdown table as HTML: cells of the first line as th, the line of dashes dropped, cells of others as td."""
+    lines = F.filter(F.split(table, "\n"), lambda x: (F.trim(x) != "") & ~F.regexp_like(x, F.lit(r"^[\s|:-]*-[\s|:-]*$")))
+
+    def row(line: Column, i: Column) -> Column:
+        cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|"), lambda c: escaped(F.trim(c)))
+        tag = F.when(i == 0, "th").otherwise("td")
+        opened, closed = F.concat(F.lit("<"), tag, F.lit(">")), F.concat(F.lit("</"), tag, F.lit(">"))
+        return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(opened, c, closed)), ""), F.lit("</tr>"))
+
+    return F.when(F.size(lines) > 0, F.concat(F.lit("<table>"), F.array_join(F.transform(lines, row), ""), F.lit("</table>"))).otherwise("")
+
+
+#: Fixed value: an image that a wiki wraps in a span
+SPAN_IMAGE = r"(?i)<span\s+class=[\"']mw-default-size[\"'][^>]*>\s*<a\s+[^>]*>\s*<img\s+[^>]*>\s*</a>\s*</span>"
+
+
+def span_image_markers(html: Column, registry: Column) -> Column:
+    """Span-wrapped images of the registry (an array of struct(n, url, label)) as text markers __IMG_n__; others stay.
+
+    http and https are the same address here.
+    """
+    spans = F.array_distinct(F.regexp_extract_all(html, F.lit(SPAN_IMAGE), F.lit(0)))
+    bare = lambda u: F.regexp_replace(unescape(u), "^https?://", "")
+
+    def marked(text: Column, span: Column) -> Column:
+        src = bare(F.regexp_extract(span, r"(?i)src=[\"']([^\"']+)[\"']", 1))
+        n = F.try_element_at(F.filter(registry, lambda r: bare(r["url"]) == src), F.lit(1))["n"]
+        return F.when(n.isNull() | (src == ""), text).otherwise(F.replace(text, span, F.concat(F.lit(" __IMG_"), n.cast("string"), F.lit("__ "))))
+
+    return F.reduce(spans, html, marked)
+
+
+def image_links(markdown: Column, registry: Column) -> Column:
+    """Markers and Markdown images of the registry as ![label](img:n); brackets in labels are escaped. Images whose size a wiki put in the path count as the original."""
+
+    def linked(text: Column, r: Column) -> Column:
+        n = r["n"].cast("string")
+        label = F.replace(F.replace(F.coalesce(r["label"], F.concat(F.lit("Image "), n)), F.lit("["), F.lit("&#91;")), F.lit("]"), F.lit("&#93;"))
+        link = F.concat(F.lit("!["), label, F.lit("](img:"), n, F.lit(")"))
+        return F.replace(text, F.concat(F.lit("__IMG_"), n, F.lit("__")), link)
+
+    def image(text: Column, found: Column) -> Column:
+        url = F.regexp_extract(found, r"\]\(([^)]+)\)$", 1)
+        small = F.regexp_replace(url, r"/\d+px-", "/")
+        bare = lambda u: F.regexp_replace(u, "^https?://", "")
+        number = lambda u: F.try_element_at(F.filter(registry, lambda r: bare(r["url"]) == bare(u)), F.lit(1))["n"]
+        n = F.coalesce(number(url), number(small))
+        return F.when(n.isNull(), text).otherwise(F.replace(text, found, F.concat(F.lit("__IMG_"), n.cast("string"), F.lit("__"))))
+
+    images = F.array_distinct(F.regexp_extract_all(markdown, F.lit(r"!\[[^\]]*\]\([^)]+\)"), F.lit(0)))
+    return F.reduce(registry, F.reduce(images, markdown, image), linked)
+
+
+def merged_metadata(harvested: dict[str, Column], author: Column, general: dict[str, Column]) -> dict[str, Column]:
+    """Harvested columns (authors, doi and others) with what a general extractor found: its author string, split, and its other texts win where they aren't blank; the DOI is the harvested one."""
+    from .text import split_author_string
+
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    out = dict(harvested)
+    out["authors"] = F.coalesce(F.when(some(author).isNotNull(), split_author_string(author)), harvested.get("authors", F.lit(None)))
+    for name, value in general.items():
+        if name != "doi":
+            out[name] = F.coalesce(some(value), harvested.get(name, F.lit(None)))
+    return out

@@ -407,3 +407,53 @@ def derive_title(override: Column, url: Column) -> Column:
     arxiv = extract_arxiv(url)
     segment = F.nullif(F.element_at(F.split(F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/+$", ""), "/"), -1), F.lit(""))
     return F.coalesce(F.nullif(F.trim(override), F.lit("")), F.concat(F.lit("arXiv:"), arxiv), F.translate(segment, "-_", "  "), host(url))
+
+
+def citation_numbers(answer: Column) -> Column:
+    """Numbers above 0 in [n] and [n, m] anywhere, distinct and in ascending order."""
+    groups = F.regexp_extract_all(answer, F.lit(r"\[([0-9]+(?:,\s*[0-9]+)*)\]"), F.lit(1))
+    numbers = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, r",\s*"), lambda n: n.try_cast("int"))))
+    return F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n > 0)))
+
+
+def title_url(url: Column, kind: Column, title: Column) -> Column:
+    """The URL, or for a source of unknown type without one the first that its title contains; empty for none."""
+    known = F.trim(F.coalesce(url, F.lit("")))
+    inside = F.regexp_extract(F.coalesce(title, F.lit("")), r"(https?://\S+)", 1)
+    return F.when((known == "") & F.coalesce(kind == "SourceType.UNKNOWN", F.lit(False)), inside).otherwise(known)
+
+
+def phrase_quote(text: Column) -> Column:
+    """A phrase for a full-text index: in double quotes, those inside doubled."""
+    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def phrase_text(text: Column) -> Column:
+    """Words of letters and digits in lower case, a blank around each: a phrase matches where this contains the phrase's own."""
+    return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "), F.lit(" "))
+
+
+def split_author_string(text: Column) -> Column:
+    """Names by semicolons, or by lines where there are none: commas belong to names."""
+    parts = F.when(F.contains(text, F.lit(";")), F.split(text, ";")).otherwise(F.split(text, "\n"))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def table_row(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+
+def markdown_table(headers: list[str], rows: Column) -> Column:
+    """An array of arrays of texts under the headers; empty for no rows."""
+    head = "| " + " | ".join(headers) + " |\n|" + "|".join("---" for _ in headers) + "|\n"
+    return F.when(F.size(rows) > 0, F.concat(F.lit(head), F.array_join(F.transform(rows, table_row), "\n"))).otherwise("")
+
+
+def key_value_table(rows: Column) -> Column:
+    """An array of arrays (key, value) as a table of two columns without headers."""
+    return F.concat(F.lit("|  |  |\n|---|---|\n"), F.array_join(F.transform(rows, table_row), "\n"))
+
+
+def mermaid_label(text: Column) -> Column:
+    """White space collapsed, double quotes made single, 48 characters at most."""
+    return F.substring(F.replace(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), F.lit('"'), F.lit("'")), 1, 48)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import mermaid_label
 from ..session import written
 
 
@@ -197,3 +198,19 @@ def reliability(rows: DataFrame) -> DataFrame:
         .when(F.col("composite") >= 45, F.concat(label, F.lit(", moderate impact"))).otherwise(F.concat(label, F.lit(", low signal")))
     )
     return rows.withColumn("verdict", verdict).drop("low")
+
+
+def rank_order() -> list[Column]:
+    """Candidates by niche score; those without overlap last, by reach; then by citations and node."""
+    return [F.col("niche") <= 0, F.desc("niche"), F.desc("reach"), F.desc("citationcount"), F.col("node")]
+
+
+def diagrams(edges: DataFrame, papers: DataFrame) -> DataFrame:
+    """edges(seed, nbr), a bounded number for each seed, and papers(corpusid, title) as seed and text, a Mermaid graph."""
+    named = papers.select(F.col("corpusid").alias("nbr"), mermaid_label(F.col("title")).alias("label"))
+    at = lambda n, label: F.concat(F.lit("  N"), n.cast("string"), F.lit('["'), label, F.lit('"]'))
+    arrow = F.concat(F.lit("  N"), F.col("seed").cast("string"), F.lit(" --> N"), F.col("nbr").cast("string"))
+    rows = edges.join(named, "nbr").groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("nbr", at(F.col("nbr"), F.col("label")).alias("node"), arrow.alias("arrow")))).alias("r"))
+    rows = rows.join(named.withColumnRenamed("nbr", "seed"), "seed")
+    lines = F.concat(F.array(F.lit("graph TD"), at(F.col("seed"), F.col("label"))), F.transform("r", lambda x: x["node"]), F.transform("r", lambda x: x["arrow"]))
+    return rows.select("seed", F.array_join(lines, "\n").alias("text"))

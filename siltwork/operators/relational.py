@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from ..session import written
 
 
 def in_scope(edges: DataFrame, keys: DataFrame, key: str, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -68,18 +76,50 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def replay_versions(events: DataFrame, key: str, expected: str, order: str) -> DataFrame:
     """Optimistic locking: an event is accepted if it expects the number of events accepted before it.
 
-    That is one pass over a key's events in order; accepted events expect 0, 1, 2, ..., each the first
-    behind its predecessor. The pass runs over one key at a time and keeps a counter.
+    That is one pass over a key's events in order, streamed in sorted partitions: a task holds a batch and
+    one counter, however many events a key has. Rows with a null key are one key.
     """
-    import pandas as pd
-
-    schema = events.schema.simpleString()[7:-1].replace(":", " ") + ", accepted boolean"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, done, out = pdf.sort_values(order), 0, []
-        for e in pdf[expected]:
-            out.append(e == done)
-            done += out[-1]
-        return pdf.assign(accepted=out)
-
-    return events.groupBy(key).applyInPandas(fold, schema.replace(",", ", "))
+    names = events.columns
+    at, wants = names.index(key), names.index(expected)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done = (), 0
+        for batch in batches:
+            out = []
+            for k, e in zip(batch.column(at).to_pylist(), batch.column(wants).to_pylist()):
+                if now != (k,):
+                    now, done = (k,), 0
+                out.append(e == done)
+                done += out[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*names, "accepted"])
+
+    ordered = events.repartition(key).sortWithinPartitions(key, order)
+    return ordered.mapInArrow(fold, StructType([*events.schema.fields, StructField("accepted", BooleanType())]))
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of one column that only one side has, with the side, `left` or `right`."""
+    name = a.columns[0]
+    b = b.toDF(name)
+    only = lambda x, y, side: x.distinct().join(y, x[name].eqNullSafe(y[name]), "left_anti").withColumn("side", F.lit(side))
+    return only(a, b, "left").union(only(b, a, "right"))
+
+
+def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """A map from key to the value of its last row, as a combining aggregation."""
+    return df.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+class CachedView:
+    """A table that is built again when it is older than ttl seconds or its watermark has grown; in between reads are of the written one."""
+
+    def __init__(self, build: Callable[[], DataFrame], watermark: Callable[[], int], ttl: float, clock: Callable[[], float] = time.monotonic):
+        self.build, self.watermark, self.ttl, self.clock = build, watermark, ttl, clock
+        self.view: DataFrame | None = None
+        self.mark, self.at, self.builds = 0, 0.0, 0
+
+    def get(self) -> DataFrame:
+        if self.view is None or self.clock() - self.at > self.ttl or self.watermark() > self.mark:
+            self.mark, self.at = self.watermark(), self.clock()
+            self.view, self.builds = written(self.build(), "view"), self.builds + 1
+        return self.view

@@ -92,7 +92,7 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
 def _band(vectors: DataFrame, asked: DataFrame, k: int, schema) -> DataFrame:
     rows = asked.collect()  # of bounded size
     q_ids = [r["query_id"] for r in rows]
-    q = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    q = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0]["vector"]) if rows else 0)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q))
 
@@ -191,3 +191,15 @@ def overlap(a: Column, b: Column) -> Column:
     x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
     union = F.size(F.array_union(x, y))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+
+
+def scattered(pairs: DataFrame, scores: DataFrame, query: str, idx: str) -> DataFrame:
+    """pairs(idx, query, ...) with the score that scores(query, idx, score) gives each place; 0 where it gives none."""
+    return pairs.join(scores.select(query, idx, "score"), [query, idx], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def passage_stages(pool: DataFrame, by: list[str], scored: Column, reranked: int = 50, read: int = 8) -> DataFrame:
+    """pool(by, id, rank) in its order: the first `reranked` candidates by scored, then id, with stage `read` for the first `read` and `rerank` for the others."""
+    first = pool.filter(F.col("rank") <= reranked).drop("rank").withColumn("score", scored)
+    out = ranked(first, by, F.desc("score"), F.col("id"))
+    return out.withColumn("stage", F.when(F.col("rank") <= read, "read").otherwise("rerank"))

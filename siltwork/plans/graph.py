@@ -250,3 +250,21 @@ def ingested_union(t) -> DataFrame:
     a = t.documents.select(normalize_arxiv(F.concat(F.lit("arXiv:24"), two(C("doc_id")), F.lit("_"), five(C("doc_id")), F.lit("v3"))).alias("id"))
     b = t.pages.select(normalize_arxiv(F.concat(F.lit("/24"), two(C("page_id")), F.lit("."), five(C("page_id")))).alias("id"))
     return a.union(b).distinct()
+
+
+@query(f"WITH {_niche_sql('logidf')}, o AS (SELECT s.node, round(niche, 6) AS niche, reach, citationcount FROM s JOIN papers ON corpusid = node) SELECT node, niche, row_number() OVER (ORDER BY niche <= 0, niche DESC, reach DESC, citationcount DESC, node) AS rank FROM o QUALIFY rank <= 50", "papers")
+def niche_rank(t) -> DataFrame:
+    """The fifty best candidates; papers without overlap come last, by reach."""
+    scores = G.niche_scores(seeds(t), t.cites, t.papers, NOW).withColumn("niche", F.round("niche", 6)).join(t.papers.select(C("corpusid").alias("node"), "citationcount"), "node")
+    best = scores.orderBy(*G.rank_order()).limit(50)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*G.rank_order())).cast("long")).select("node", "niche", "rank")  # of fifty rows
+
+
+@query(f"""WITH {HOP1}, p AS (SELECT corpusid, left(replace(trim(regexp_replace(title, '\\s+', ' ', 'g')), '"', chr(39)), 48) AS label FROM papers), k AS (SELECT seed, nbr FROM h1 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY nbr) <= 10)
+SELECT seed, 'graph TD' || chr(10) || '  N' || seed || '["' || s.label || '"]' || chr(10) || string_agg('  N' || nbr || '["' || n.label || '"]', chr(10) ORDER BY nbr) || chr(10) || string_agg('  N' || seed || ' --> N' || nbr, chr(10) ORDER BY nbr) AS text
+FROM k JOIN p s ON s.corpusid = seed JOIN p n ON n.corpusid = nbr GROUP BY seed, s.label""", "papers")
+def mermaid(t) -> DataFrame:
+    """A seed and its ten first neighbours as the text of a diagram."""
+    w = Window.partitionBy("seed").orderBy("nbr")
+    edges = G.expand(seeds(t), t.cites).withColumn("n", F.row_number().over(w)).filter("n <= 10").drop("n")
+    return G.diagrams(edges, t.papers.select("corpusid", "title"))

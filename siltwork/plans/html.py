@@ -206,15 +206,39 @@ def _children(t, **k) -> DataFrame:
     return K.hierarchical(t.documents.filter("doc_id >= 0"), "doc_id", "text", **k)
 
 
-#: stated as rows: greedy packing is sequential; tests hold it against a plain loop
+BLANK = "[\\s\\x0b]+"
 
 
-@query()
+def _greedy(source: str, budget: int, key: str = "doc_id") -> str:
+    """SQL of parents(doc, idx, text) of a view `source` of key and text: greedy packing as a recursion over a document's units."""
+    words = lambda x: f"len(regexp_extract_all({x}, '[^\\s\\x0b]+'))"
+    return f"""para AS (SELECT {key} AS doc, i, p, {words('p')} AS n FROM (SELECT {key}, generate_subscripts(ps, 1) AS i, regexp_replace(unnest(ps), '^{BLANK}|{BLANK}$', '', 'g') AS p FROM (SELECT {key}, string_split(text, chr(10)) AS ps FROM {source})) WHERE p <> ''),
+sent AS (SELECT doc, i, j, s, {words('s')} AS n FROM (SELECT doc, i, generate_subscripts(ss, 1) AS j, unnest(ss) AS s FROM (SELECT doc, i, CASE WHEN n > {budget} THEN string_split(replace(p, '. ', '.' || chr(1)), chr(1)) ELSE [p] END AS ss FROM para))),
+piece AS (SELECT doc, i, j, generate_subscripts(ws, 1) AS l, unnest(ws) AS t FROM (SELECT doc, i, j, CASE WHEN n > {budget} THEN list_transform(range(0, (n + {budget - 1}) // {budget}), lambda k: array_to_string(regexp_extract_all(s, '[^\\s\\x0b]+')[k * {budget} + 1:(k + 1) * {budget}], ' ')) ELSE [s] END AS ws FROM sent)),
+unit AS MATERIALIZED (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY i, j, l) AS u, t, {words('t')} AS n FROM piece),
+pack AS (SELECT doc, u, n AS used, 0 AS idx FROM unit WHERE u = 1
+  UNION ALL SELECT unit.doc, unit.u, CASE WHEN pack.used + unit.n > {budget} THEN unit.n ELSE pack.used + unit.n END, CASE WHEN pack.used + unit.n > {budget} THEN pack.idx + 1 ELSE pack.idx END FROM pack JOIN unit ON unit.doc = pack.doc AND unit.u = pack.u + 1),
+parents AS MATERIALIZED (SELECT doc, idx, string_agg(t, chr(10) ORDER BY u) AS text, sum(n)::BIGINT AS n FROM pack JOIN unit USING (doc, u) GROUP BY doc, idx)"""
+
+
+def _merged(least: int) -> str:
+    return f"""fold AS (SELECT doc, idx, n, 0 AS m FROM parents WHERE idx = 0
+  UNION ALL SELECT p.doc, p.idx, CASE WHEN p.n < {least} OR fold.n < {least} THEN fold.n + p.n ELSE p.n END, CASE WHEN p.n < {least} OR fold.n < {least} THEN fold.m ELSE fold.m + 1 END FROM fold JOIN parents p ON p.doc = fold.doc AND p.idx = fold.idx + 1),
+merged AS MATERIALIZED (SELECT doc, m AS idx, string_agg(text, chr(10) ORDER BY idx) AS text FROM fold JOIN parents USING (doc, idx) GROUP BY doc, m)"""
+
+
+def _children_sql(source: str, size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"""cw AS (SELECT doc, idx, regexp_extract_all(text, '[^\\s\\x0b]+') AS ws FROM {source}), kids AS (SELECT doc, idx, c, array_to_string(ws[c * {step} + 1:c * {step} + {size}], ' ') AS text
+  FROM (SELECT doc, idx, ws, unnest(range(0, CASE WHEN len(ws) = 0 THEN 0 WHEN len(ws) <= {size} THEN 1 ELSE (len(ws) - {size} + {step - 1}) // {step} + 1 END)) AS c FROM cw))"""
+
+
+@query(f"WITH RECURSIVE {_greedy('documents', 200)} SELECT doc AS doc_id, idx AS parent_idx, text AS parent FROM parents WHERE n > 0")
 def parent_chunks(t) -> DataFrame:
     return _children(t, parent_tokens=200, child_tokens=10**6, overlap=0).select("doc_id", "parent_idx", "parent")
 
 
-@query()
+@query(f"WITH RECURSIVE {_greedy('documents', 200)}, {_children_sql('parents', 50, 10)} SELECT doc AS doc_id, idx AS parent_idx, c::INT AS child_idx, text FROM kids")
 def child_chunks(t) -> DataFrame:
     return _children(t, parent_tokens=200, child_tokens=50, overlap=10).select("doc_id", "parent_idx", "child_idx", "text")
 
@@ -226,27 +250,35 @@ def split_words(t) -> DataFrame:
     return rows.select("doc_id", C("child_idx").alias("idx"), "text")
 
 
-@query()
+SECTION_TEXT = "secs AS (SELECT p_partkey || ':0' AS key, 'first line' || chr(10) || 'second ' || p_size || chr(10) || '- one' || chr(10) || '- two' || chr(10) || '| a |' || chr(10) || '| - |' || chr(10) || 'x^2' AS text FROM part)"
+
+
+@query(f"WITH RECURSIVE {SECTION_TEXT}, {_greedy('secs', 10, 'key')}, {_children_sql('parents', 6, 2)} SELECT doc AS key, idx AS parent_idx, c::INT AS child_idx, parents.text AS parent, kids.text AS text FROM kids JOIN parents USING (doc, idx)")
 def section_chunks(t) -> DataFrame:
     """Chunks of each section of the markdown documents."""
     e = H.markdown_elements(markdown(t), "p_partkey", "md").withColumnRenamed("p_partkey", "doc")
     s = K.sections(e).filter("type <> 'heading'").groupBy("doc", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return K.hierarchical(s.withColumn("key", F.concat_ws(":", "doc", "section")), "key", "text", 100, 20, 5)
+    return K.hierarchical(s.withColumn("key", F.concat_ws(":", "doc", F.coalesce("section", F.lit(0)).cast("string"))), "key", "text", 10, 6, 2)
 
 
-@query()
+@query("""WITH RECURSIVE r AS MATERIALIZED (SELECT p_partkey, x, '| ' || x || ' |' AS t FROM (SELECT p_partkey, unnest(range(1, (p_size + 1)::BIGINT)) AS x FROM part)),
+g AS (SELECT p_partkey, x, length(t) + 1 AS used, 0 AS band FROM r WHERE x = 1
+  UNION ALL SELECT r.p_partkey, r.x, CASE WHEN g.used + length(t) + 1 > 107 THEN length(t) + 1 ELSE g.used + length(t) + 1 END, CASE WHEN g.used + length(t) + 1 > 107 THEN g.band + 1 ELSE g.band END FROM g JOIN r ON r.p_partkey = g.p_partkey AND r.x = g.x + 1)
+SELECT p_partkey, band, '| a |' || chr(10) || '| --- |' || chr(10) || string_agg(t, chr(10) ORDER BY x) AS text FROM g JOIN r USING (p_partkey, x) GROUP BY p_partkey, band""")
 def table_chunks(t) -> DataFrame:
     """Small tables whole, larger ones as bands."""
     rows = F.transform(F.sequence(F.lit(1), C("p_size")), lambda x: F.concat(F.lit("| "), x.cast("string"), F.lit(" |")))
     return H.table_bands(t.part.select("p_partkey", F.concat(F.lit("| a |\n| --- |\n"), F.array_join(rows, "\n")).alias("md")), "p_partkey", "md", 120)
 
 
-@query()
+@query(f"WITH RECURSIVE {_greedy('documents', 200)}, {_merged(150)} SELECT doc AS doc_id, idx AS parent_idx, text AS parent FROM merged WHERE regexp_matches(text, '[^\\s\\x0b]')")
 def merge_short(t) -> DataFrame:
     return _children(t, parent_tokens=200, child_tokens=10**6, overlap=0, least_parent=150).select("doc_id", "parent_idx", "parent")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_greedy('documents', 200)}, {_merged(100)}, {_children_sql('merged', 60, 10)}, toc AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM kids)
+SELECT d.doc_id, idx AS parent_idx, c::INT AS child_idx, d.source || ' (2024)' || chr(10) || chr(10) || toc.text AS text FROM toc JOIN documents d ON d.doc_id = doc
+WHERE NOT (len(ls) >= 5 AND (len(list_filter(ls, lambda x: regexp_matches(x, '\\.{{3,}}\\s*\\d+\\s*$'))) >= 0.4 * len(ls) OR len(list_filter(ls, lambda x: regexp_matches(trim(x), '^\\d+(\\.\\d+)*\\s+\\S.*\\s+\\d+\\s*$'))) >= 0.6 * len(ls)))""")
 def chunk_sidecar(t) -> DataFrame:
     """Parents and children without tables of contents, with the document's prefix."""
     from ..functions.text import doc_prefix, looks_like_toc
@@ -260,3 +292,21 @@ def proto_to_models(t) -> DataFrame:
     """Parent rows out of runs of four children."""
     rows = K.word_windows(t.documents, "doc_id", "text", 50, 50).filter("n_words > 0").withColumn("p", F.expr("idx div 4"))
     return rows.groupBy("doc_id", "p").agg(F.min("idx").alias("first_child"), F.count(F.lit(1)).alias("children")).select("doc_id", K.chunk_id(C("doc_id"), C("p")).alias("parent_id"), "first_child", "children")
+
+
+@query("SELECT p_partkey, '<table><tr><th>a</th><th>b &amp; c</th></tr><tr><td>' || p_name || '</td><td>&lt;' || p_size || '&gt;</td></tr></table>' AS value FROM part")
+def gfm_to_html(t) -> DataFrame:
+    md = F.concat(F.lit("| a | b & c |\n|---|:--:|\n| "), "p_name", F.lit(" | <"), C("p_size").cast("string"), F.lit("> |\n"))
+    return t.part.select("p_partkey", H.gfm_to_html(md).alias("value"))
+
+
+@query("""SELECT p_partkey, 'a  __IMG_1__  b ' || CASE WHEN p_partkey % 2 = 0 THEN '<span class="mw-default-size" x="1"><a href="#"><img src="http://o.org/z.png"></a></span>' ELSE '' END AS marked,
+  'x ![P&#91;' || p_partkey || '&#93;](img:1) y ![Image 2](img:2) ![kept](http://o.org/z.png) ![Image 2](img:2)' AS linked FROM part""")
+def image_markers(t) -> DataFrame:
+    """Wrapped images as markers in HTML; markers and images as numbered links in Markdown."""
+    k = C("p_partkey").cast("string")
+    registry = F.array(F.struct(F.lit(1).alias("n"), F.lit("https://a.org/x.png").alias("url"), F.concat(F.lit("P["), k, F.lit("]")).alias("label")), F.struct(F.lit(2).alias("n"), F.lit("https://a.org/t/y.png").alias("url"), F.lit(None).cast("string").alias("label")))
+    span = lambda src: f'<span class="mw-default-size" x="1"><a href="#"><img src="{src}"></a></span>'
+    html = F.concat(F.lit("a " + span("http://a.org/x.png") + " b "), F.when(C("p_partkey") % 2 == 0, span("http://o.org/z.png")).otherwise(""))
+    md = F.lit("x __IMG_1__ y ![alt](https://a.org/t/y.png) ![kept](http://o.org/z.png) ![s](http://a.org/t/120px-y.png)")
+    return t.part.select("p_partkey", H.span_image_markers(html, registry).alias("marked"), H.image_links(md, registry).alias("linked"))

@@ -178,9 +178,16 @@ def already_ingested(t) -> DataFrame:
     return t.documents.select("doc_id", F.sha2("text", 256).alias("h"), "source").join(done, ["h", "source"], "left_semi").select("doc_id")
 
 
-@query()
+#: an event can expect 0 to 3, so at most four of a chat are accepted, each the first behind its predecessor
+CAS = ", ".join(
+    ["q AS (SELECT chat_id, query_id, k % 4 AS expected FROM qlog)", "a0 AS (SELECT chat_id, min(query_id) AS at_ FROM q WHERE expected = 0 GROUP BY chat_id)"]
+    + [f"a{i} AS (SELECT q.chat_id, min(query_id) AS at_ FROM q JOIN a{i - 1} p ON p.chat_id = q.chat_id AND q.query_id > p.at_ WHERE expected = {i} GROUP BY q.chat_id)" for i in (1, 2, 3)]
+)
+
+
+@query(f"WITH {CAS} SELECT chat_id, query_id, expected, query_id IN ({' UNION ALL '.join(f'SELECT at_ FROM a{i}' for i in range(4))}) AS accepted FROM q", "qlog")
 def cas_replay(t) -> DataFrame:
-    """Which events of a chat an optimistic lock accepts; a fold, which plain SQL can't say."""
+    """Which events of a chat an optimistic lock accepts."""
     events = t.qlog.select("chat_id", "query_id", (C("k") % 4).cast("long").alias("expected"))
     return R.replay_versions(events, "chat_id", "expected", "query_id")
 
@@ -250,3 +257,29 @@ def slug_collision(t) -> DataFrame:
     rows = rows.withColumn("first_canon", F.first("canon").over(Window.partitionBy("slug").orderBy("page_id"))).withColumn("n", F.row_number().over(Window.partitionBy("slug", "canon").orderBy("page_id")))
     target = F.when(C("canon") == C("first_canon"), C("slug")).otherwise(F.concat("slug", F.lit("_"), F.substring(F.sha2("canon", 256), 1, 6)))
     return rows.select("page_id", target.alias("target"), (C("n") > 1).alias("skipped"))
+
+
+@query("SELECT DISTINCT corpusid FROM papers", "papers")
+def key_scope(t) -> DataFrame:
+    return t.papers.select("corpusid").distinct()
+
+
+@query("SELECT doc_id AS id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT vec_id * 3 FROM embeddings) UNION ALL SELECT DISTINCT vec_id * 3, 'right' FROM embeddings WHERE vec_id * 3 NOT IN (SELECT doc_id FROM documents)")
+def symmetric_difference(t) -> DataFrame:
+    """What only one of two sets of ids has."""
+    return R.symmetric_difference(t.documents.select(C("doc_id").alias("id")), t.embeddings.select((C("vec_id") * 3).alias("id")))
+
+
+@query("SELECT l_partkey AS child, arg_max(l_suppkey, l_orderkey * 100 + l_linenumber) AS parent FROM lineitem GROUP BY l_partkey")
+def last_wins_map(t) -> DataFrame:
+    """Child to parent, the last record of a child wins."""
+    rows = t.lineitem.select(C("l_partkey").alias("child"), C("l_suppkey").alias("parent"), (C("l_orderkey") * 100 + C("l_linenumber")).alias("at"))
+    return R.last_wins(rows, "child", "parent", "at")
+
+
+@query("SELECT source, count(*) AS papers FROM documents GROUP BY source")
+def cached_view(t) -> DataFrame:
+    """The read view, asked for twice: the second read is of the first one's table."""
+    view = R.CachedView(lambda: t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("papers")), lambda: t.documents.agg(F.max("doc_id")).first()[0] or 0, ttl=600)
+    view.get()
+    return view.get()

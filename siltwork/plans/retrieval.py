@@ -207,3 +207,26 @@ def answer_relevancy(t) -> DataFrame:
     made = t.embeddings.select((C("vec_id") % 50).alias("question"), C("embedding").alias("a"))
     rows = made.join(t.embeddings.select(C("vec_id").alias("question"), C("embedding").alias("b")), "question")
     return rows.groupBy("question").agg((F.avg(R.cosine(C("a"), C("b")))).alias("c")).select("question", F.round(C("c") * (C("question") % 4 > 0).cast("int"), 6).alias("relevancy"))
+
+
+@query("""WITH p AS (SELECT query_id, list_idx * 100000 + rank AS idx, id, score FROM hits), m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM p)
+SELECT query_id, idx, id, CASE WHEN id % 5 > 0 THEN round(score / top, 6) ELSE 0 END AS score FROM m""", "hits")
+def scatter_scores(t) -> DataFrame:
+    """Pairs scored by query, each query on its own scale; scores go back to the places of their pairs."""
+    pairs = t.hits.select("query_id", (C("list_idx") * 100000 + C("rank")).alias("idx"), "id", C("score").alias("raw"))
+    scored = pairs.withColumn("score", F.round(C("raw") / F.max("raw").over(Window.partitionBy("query_id")), 6)).filter("id % 5 > 0")
+    return R.scattered(pairs.drop("raw"), scored, "query_id", "idx")
+
+
+@query("SELECT query_id, list_idx, id, rank FROM hits WHERE rank <= 2 * 3", "hits")
+def pool_truncate(t) -> DataFrame:
+    """Pools of k times a multiplier."""
+    return t.hits.filter(C("rank") <= 2 * BASELINE["mmr_pool_mult"]).select("query_id", "list_idx", "id", "rank")
+
+
+@query("""WITH p AS (SELECT query_id, id, id * 37 % 101 AS s FROM hits WHERE list_idx = 0 AND rank <= 6), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p)
+SELECT query_id, id, rank, CASE WHEN rank <= 2 THEN 'read' ELSE 'rerank' END AS stage FROM r""", "hits")
+def passage_stages(t) -> DataFrame:
+    """The first candidates reranked, the best of them read."""
+    rows = R.passage_stages(t.hits.filter("list_idx = 0").select("query_id", "id", "rank"), ["query_id"], C("id") * 37 % 101, 6, 2)
+    return rows.select("query_id", "id", C("rank").cast("long").alias("rank"), "stage")

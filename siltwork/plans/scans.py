@@ -282,3 +282,38 @@ def weak_attribution(t) -> DataFrame:
     authors = F.when(F.col("doc_id") % 4 != 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
     weak = (F.size(authors) == 0) | F.col("source").isin("src0", "src1")
     return t.documents.filter(weak & (F.col("doc_id") % 6 != 0)).select("doc_id")
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def blob_decode(t) -> DataFrame:
+    """Texts as Zstandard blobs and back."""
+    path = shared_folder(t.spark, "blobs")
+    R.encode_blobs(t.documents, "doc_id", "text").write.parquet(path)
+    return R.decode_blobs(t.spark.read.parquet(path), "doc_id", "blob").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT outcome, count(*) AS records, max(query_id) AS latest FROM (SELECT * FROM qlog UNION ALL SELECT * FROM qlog WHERE outcome = 'failed') GROUP BY outcome", "qlog")
+def log_append(t) -> DataFrame:
+    """Two writers append to one log; readers see all records."""
+    path = shared_folder(t.spark, "log")
+    rows = t.qlog.select("query_id", "outcome")
+    R.append_log(rows, path)
+    R.append_log(rows.filter("outcome = 'failed'"), path)
+    return t.spark.read.schema("query_id long, outcome string").json(path).groupBy("outcome").agg(F.count(F.lit(1)).alias("records"), F.max("query_id").alias("latest"))
+
+
+@query("""SELECT CASE event_type WHEN 'click' THEN '04_rerank' WHEN 'view' THEN '06_synthesis' WHEN 'signup' THEN '20_fused_dispatch' ELSE '99_' || event_type END AS folder, count(*) AS records, sum(query_id)::BIGINT AS ids FROM qlog GROUP BY ALL""", "qlog")
+def stage_sink(t) -> DataFrame:
+    """Records in numbered folders by stage; an unknown one has number 99."""
+    path = shared_folder(t.spark, "stages")
+    e = F.col("event_type")
+    stage = F.when(e == "click", "rerank").when(e == "view", "synthesis").when(e == "signup", "fused_dispatch").otherwise(e)
+    R.write_stages(t.qlog.select("query_id", stage.alias("stage")), path)
+    rows = t.spark.read.schema("query_id long, stage string, _folder string").json(path)
+    return rows.groupBy(F.col("_folder").alias("folder")).agg(F.count(F.lit(1)).alias("records"), F.sum("query_id").alias("ids"))
+
+
+@query("SELECT vec_id, len(embedding)::INT AS size FROM embeddings")
+def store_scan(t) -> DataFrame:
+    """A scan of two stated columns."""
+    return t.embeddings.select("vec_id", F.size("embedding").alias("size"))

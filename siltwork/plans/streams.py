@@ -122,3 +122,24 @@ def stream_terminal_counts(t) -> DataFrame:
     rows = t.spark.read.option("recursiveFileLookup", "true").parquet(f"{top}/out")
     w = Window.partitionBy("user_id").orderBy(F.desc("batch"))
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("user_id", "n")
+
+
+ASKED = "CASE event_id % 6 WHEN 0 THEN ['parse', 'fetch'] WHEN 1 THEN ['all'] WHEN 2 THEN ['ingest', 'audit', 'stage'] WHEN 3 THEN ['no_such'] END"
+SKIPPED = "CASE event_id % 4 WHEN 0 THEN ['parse'] WHEN 3 THEN ['fetch', 'ingest'] END"
+ALL = "['fetch', 'parse_pipeline', 'parse_vlm', 'stage', 'audit', 'contextualize', 'ingest']"
+
+
+@query(f"""WITH r AS (SELECT event_id, {ASKED} AS a0, {SKIPPED} AS k0 FROM events),
+e AS (SELECT event_id, a0, k0, flatten(list_transform(a0, lambda s: CASE WHEN s = 'parse' THEN ['parse_pipeline', 'parse_vlm'] ELSE [s] END)) AS a, flatten(list_transform(k0, lambda s: CASE WHEN s = 'parse' THEN ['parse_pipeline', 'parse_vlm'] ELSE [s] END)) AS k FROM r),
+c AS (SELECT event_id, CASE WHEN a0 IS NOT NULL AND k0 IS NOT NULL THEN 'exclusive' WHEN a0 IS NOT NULL AND NOT list_contains(a, 'all') AND NOT list_has_all({ALL}, a) THEN 'unknown' END AS error,
+  CASE WHEN list_contains(a, 'all') THEN {ALL} WHEN a0 IS NOT NULL THEN list_filter({ALL}, lambda s: list_contains(a, s)) WHEN k0 IS NOT NULL THEN list_filter({ALL}, lambda s: NOT list_contains(k, s)) ELSE {ALL} END AS st FROM e)
+SELECT event_id, error, CASE WHEN error IS NULL THEN array_to_string(st, ',') END AS stages, CASE WHEN error IS NULL THEN array_to_string(list_filter(st, lambda s: list_contains({ALL}[1:4], s)), ',') END AS before,
+  CASE WHEN error IS NULL THEN array_to_string(list_filter(st, lambda s: list_contains({ALL}[6:7], s)), ',') END AS after FROM c""")
+def select_stages(t) -> DataFrame:
+    """Stages asked for or skipped, in order, on both sides of the barrier."""
+    six, four = C("event_id") % 6, C("event_id") % 4
+    names = lambda *n: F.array(*map(F.lit, n))
+    asked = F.when(six == 0, names("parse", "fetch")).when(six == 1, names("all")).when(six == 2, names("ingest", "audit", "stage")).when(six == 3, names("no_such"))
+    skipped = F.when(four == 0, names("parse")).when(four == 3, names("fetch", "ingest"))
+    rows = t.events.select("event_id", E.select_stages(asked, skipped).alias("s"))
+    return rows.select("event_id", "s.error", *(F.array_join(C("s")[c], ",").alias(c) for c in ("stages", "before", "after")))

@@ -256,3 +256,45 @@ def strip_tail(t) -> DataFrame:
     behind = F.when(d % 3 == 0, F.lit("\nWorks  Cited: \nx")).when(d % 3 == 1, F.concat(F.lit("\n## Appendix B\n"), "text")).otherwise("")
     text = F.concat(F.when(d % 5 == 0, "References\n").otherwise(""), "text", behind)
     return t.documents.select("doc_id", text.alias("t")).select("doc_id", X.strip_sections(C("t")).alias("value"))
+
+
+one("citation_numbers", f"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all({ANSWER}, '\\[([0-9]+(?:,\\s*[0-9]+)*)\\]', 1), lambda g: string_split_regex(g, ',\\s*'))), lambda n: try_cast(n AS INT)), lambda n: n > 0))), ','), '') AS value FROM documents", lambda: F.array_join(X.citation_numbers(C("answer")).cast("array<string>"), ","), answers)
+one("title_url", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN regexp_extract('Page at ' || url || ' now', '(https?://\\S+)', 1) ELSE '' END AS value FROM pages", lambda: X.title_url(F.when(C("page_id") % 3 == 0, F.concat(F.lit(" "), "url")), F.when(C("page_id") % 3 == 1, "SourceType.UNKNOWN").otherwise("SourceType.PDF"), F.concat(F.lit("Page at "), "url", F.lit(" now"))), lambda t: t.pages, "page_id")
+PHRASED = "' ' || array_to_string(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' '"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(text, '[^ ]+')[1:2], ' ') AS phrase FROM benchmark WHERE item_id % 20 = 0), p AS (SELECT query_id, phrase, {PHRASED.format('phrase')} AS w FROM q),
+d AS (SELECT doc_id, {PHRASED.format('text')} AS w FROM documents) SELECT query_id, '"' || replace(phrase, '"', '""') || '"' AS quoted, doc_id FROM p JOIN d ON contains(d.w, p.w)""")
+def phrase_search(t) -> DataFrame:
+    """Documents that hold a phrase, the first two words of each asked item, as neighbouring words."""
+    from ..operators.retrieval import small
+
+    words = F.slice(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)), 1, 2)
+    asked = t.benchmark.filter("item_id % 20 = 0").select(C("item_id").alias("query_id"), F.array_join(words, " ").alias("phrase"))
+    asked = asked.select("query_id", X.phrase_quote(C("phrase")).alias("quoted"), X.phrase_text(C("phrase")).alias("p"))
+    docs = t.documents.select("doc_id", X.phrase_text(C("text")).alias("w"))
+    return docs.join(small(asked), F.contains("w", "p")).select("query_id", "quoted", "doc_id")  # a stated query set against all rows
+
+
+GENERAL = "g AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Jane Roe; Max Bauer ;' WHEN 1 THEN 'Roe, J.' || chr(10) || 'Bauer, M.' WHEN 2 THEN ' ' END AS author, CASE WHEN page_id % 3 > 0 THEN ' Title ' || page_id || ' ' END AS title FROM pages)"
+
+
+@query(f"""WITH {GENERAL} SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Jane Roe|Max Bauer' WHEN 1 THEN 'Roe, J.|Bauer, M.' ELSE 'Cited, A.' END AS authors, coalesce(trim(title), 'Harvested') AS title, '10.1/' || page_id AS doi FROM g""")
+def metadata_merge(t) -> DataFrame:
+    """The general extractor's authors and title where it has any, else the harvested ones; the harvested DOI."""
+    from ..functions.html import merged_metadata
+
+    k = C("page_id") % 4
+    author = F.when(k == 0, "Jane Roe; Max Bauer ;").when(k == 1, "Roe, J.\nBauer, M.").when(k == 2, " ")
+    title_ = F.when(C("page_id") % 3 > 0, F.concat(F.lit(" Title "), C("page_id").cast("string"), F.lit(" ")))
+    m = merged_metadata({"authors": F.array(F.lit("Cited, A.")), "title": F.lit("Harvested"), "doi": F.concat(F.lit("10.1/"), C("page_id").cast("string"))}, author, {"title": title_})
+    return t.pages.select("page_id", F.array_join(m["authors"], "|").alias("authors"), m["title"].alias("title"), m["doi"].alias("doi"))
+
+
+@query("""SELECT query_id, '| rank | id |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || rank || ' | ' || id || ' |', chr(10) ORDER BY rank) AS md, '|  |  |' || chr(10) || '|---|---|' || chr(10) || '| hits | ' || count(*) || ' |' AS facts
+FROM hits WHERE list_idx = 0 GROUP BY query_id""", "hits")
+def report_tables(t) -> DataFrame:
+    """A query's hits as a table and its facts as one of keys and values."""
+    cells = F.struct("rank", F.array(C("rank").cast("string"), C("id").cast("string")).alias("cells"))
+    rows = t.hits.filter("list_idx = 0").groupBy("query_id").agg(F.array_sort(F.collect_list(cells)).alias("r"), F.count(F.lit(1)).alias("n"))
+    return rows.select("query_id", X.markdown_table(["rank", "id"], F.transform("r", lambda r: r["cells"])).alias("md"), X.key_value_table(F.array(F.array(F.lit("hits"), C("n").cast("string")))).alias("facts"))

@@ -5,8 +5,13 @@ Schemas are stated, never inferred: inference needs a pass of its own and change
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 PAPER = "corpusid long, title string, year long, citationcount long, s2fieldsofstudy array<struct<category: string, source: string>>"
 
@@ -32,9 +37,50 @@ def ingest_shards(spark: SparkSession, source: str, schema: str, target: str, st
     return sum(p["numInputRows"] > 0 for p in q.recentProgress)
 
 
+# Number of each stage's records in a log folder; 99 for a stage of another name
+STAGE_NUMBERS = (
+    ("decompose", "01"), ("stepback", "02"), ("milvus", "03"), ("rerank", "04"), ("mmr", "05"), ("synthesis", "06"), ("grader", "07"), ("crag_retry", "08"), ("paperqa_rerank", "10"), ("paperqa_read", "11"),
+    ("paperqa_answer", "12"), ("hipporag_entities", "13"), ("hipporag_walk", "14"), ("hipporag_synthesize", "15"), ("lazygraph_route", "16"), ("lazygraph_community", "17"), ("lazygraph_summarize", "18"),
+    ("fused_dispatch", "20"), ("fused_rerank", "21"),
+)
+
+
 def write_stages(df: DataFrame, path: str, stage: str = "stage") -> None:
-    """Stage records by stage name; the unknown stage goes to 99_."""
-    df.withColumn(stage, F.coalesce(stage, F.lit("99_"))).write.mode("append").partitionBy(stage).json(path)
+    """Appends stage records as JSON, a folder NN_name for each stage; a stage of an unknown or null name has number 99."""
+    number = F.lit("99")
+    for name, n in STAGE_NUMBERS:
+        number = F.when(F.col(stage) == name, n).otherwise(number)
+    folder = F.concat(number, F.lit("_"), F.coalesce(stage, F.lit("")))
+    df.withColumn("_folder", folder).write.mode("append").partitionBy("_folder").json(path)
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Appends records as JSON lines; each write adds files, so writers need no lock and readers see whole writes."""
+    df.write.mode("append").json(path)
+
+
+def decode_blobs(df: DataFrame, key: str, blob: str, to: str = "text") -> DataFrame:
+    """key and the text of each Zstandard blob of UTF-8, null for null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = [None if b is None else read.decompressobj().decompress(b).decode() for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, to])
+
+    return df.select(key, blob).mapInArrow(run, StructType([df.schema[key], StructField(to, StringType())]))
+
+
+def encode_blobs(df: DataFrame, key: str, text: str, to: str = "blob", level: int = 3) -> DataFrame:
+    """key and each text as a Zstandard blob."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = zstandard.ZstdCompressor(level=level)
+        for batch in batches:
+            blobs = [None if t is None else write.compress(t.encode()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=[key, to])
+
+    return df.select(key, text).mapInArrow(run, StructType([df.schema[key], StructField(to, BinaryType())]))
 
 
 def read_document_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     """ts as a timestamp that watermarks accept."""
@@ -61,11 +63,17 @@ def state_of(event: Column) -> Column:
 def queue_state(df: DataFrame, run: str, order: str) -> DataFrame:
     """The latest state of each run and, for queued ones, the place in first-in order.
 
-    The window that numbers the queue sees queued runs only, which a queue's depth limits.
+    Queued runs are dealt out in ranges of their order; a place is the number of runs in the ranges before plus the
+    place inside the range, so no task sees the whole queue.
     """
-    latest = df.groupBy(run).agg(F.max_by(state_of(F.col("event_type")), F.col(order)).alias("state"), F.max(order).alias("at"))
-    waiting = latest.filter("state = 'queued'").withColumn("position", F.row_number().over(Window.orderBy("at")).cast("long"))
-    return latest.join(waiting.select(run, "position"), run, "left")
+    latest = written(df.groupBy(run).agg(F.max_by(state_of(F.col("event_type")), F.col(order)).alias("state"), F.max(order).alias("at")), "runs")
+    waiting = latest.filter("state = 'queued'").repartitionByRange("at").withColumn("_range", F.spark_partition_id())
+    waiting = written(waiting.select(run, "at", "_range"), "queue")
+    sizes = waiting.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("at"))
+    placed = waiting.withColumn("_place", inside).join(before, "_range").select(run, (F.col("_place") + F.col("_before")).alias("position"))
+    return latest.join(placed, run, "left")
 
 
 def terminal_once(df: DataFrame, run: str, order: str) -> DataFrame:
@@ -96,3 +104,29 @@ def circuit_break(deaths: DataFrame, by: str, ts: str, window_s: int, threshold:
     w = Window.partitionBy(by).orderBy(F.col(ts).cast("timestamp").cast("long")).rangeBetween(-window_s, 0)
     counted = deaths.withColumn("in_window", F.count(F.lit(1)).over(w)).filter(F.col("in_window") >= threshold)
     return counted.groupBy(by).agg(F.min(ts).alias("opened"))
+
+
+# The stages of a run in their order; the audit separates those before it from those behind it
+STAGES = ("fetch", "parse_pipeline", "parse_vlm", "stage", "audit", "contextualize", "ingest")
+BARRIER = "audit"
+
+
+def select_stages(asked: Column, skipped: Column) -> Column:
+    """struct(error, stages, before, after) of arrays of stage names, null for not given.
+
+    `parse` stands for both parsers and `all` for every stage. Asking and skipping at once and unknown names are
+    errors, which leave the rest null. Stages come in their own order; before and after are those on either
+    side of the barrier.
+    """
+    every = F.array(*map(F.lit, STAGES))
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    full = lambda c: F.flatten(F.transform(c, lambda s: F.when(s == "parse", F.array(F.lit("parse_pipeline"), F.lit("parse_vlm"))).otherwise(F.array(s))))
+    a, k = full(asked), full(skipped)
+    whole = some(asked) & F.array_contains(a, "all")
+    unknown = F.when(some(asked) & ~whole, F.size(F.array_except(a, every)) > 0).when(some(skipped), F.size(F.array_except(k, every)) > 0).otherwise(False)
+    error = F.when(some(asked) & some(skipped), "exclusive").when(unknown, "unknown")
+    chosen = F.when(whole, every).when(some(asked), F.filter(every, lambda s: F.array_contains(a, s))).when(some(skipped), F.filter(every, lambda s: ~F.array_contains(k, s))).otherwise(every)
+    chosen = F.when(error.isNull(), chosen)
+    at = STAGES.index(BARRIER)
+    side = lambda names: F.array_intersect(chosen, F.array(*map(F.lit, names)))
+    return F.struct(error.alias("error"), chosen.alias("stages"), side(STAGES[:at]).alias("before"), side(STAGES[at + 1 :]).alias("after"))

@@ -111,9 +111,9 @@ def value(spark, column):
 @pytest.mark.parametrize(
     ("url", "expected"),
     [
-        ("https://arxiv.org/abs/2204.12345v2", "arxiv.org/abs/2204.12345"), ("http://arxiv.org/pdf/2204.12345.pdf", "arxiv.org/abs/2204.12345"), ("https://arxiv.org/html/2204.12345v1", "arxiv.org/abs/2204.12345"),
-        ("https://Example.COM/path/to/page?utm_source=x&y=2#section-3", "https://example.com/path/to/page"), ("https://papers.ssrn.com/sol3/papers.cfm?abstract_id=1234567", "https://ssrn.com/abstract=1234567"),
-        ("https://ssrn.com/abstract=1234567", "https://ssrn.com/abstract=1234567"), ("pasted text", ""),
+        ("https://arxiv.org/abs/1706.00001v4", "arxiv.org/abs/1706.00001"), ("http://arxiv.org/pdf/0912.34567.pdf", "arxiv.org/abs/0912.34567"), ("https://ARXIV.org/html/2310.54321v9", "arxiv.org/abs/2310.54321"),
+        ("HTTPS://News.Site.NET/a/B/?ref=feed&q=%20#top", "https://news.site.net/a/B"), ("https://papers.ssrn.com/sol3/x.cfm?abstract_id=77&lang=en", "https://ssrn.com/abstract=77"),
+        ("https://www.doi.org/10.5072/ABC.def?x=1", "https://doi.org/10.5072/abc.def"), ("http://host.example//", "http://host.example"), ("a note without address", ""),
     ],
 )
 def test_canonical_url(spark, url, expected):
@@ -207,3 +207,115 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start().awaitTermination()
     got = {(r["w"]["start"], r["n"]) for r in spark.sql("select * from counts").collect()}
     assert got == {(r["w"]["start"], r["n"]) for r in events.window_counts(rows, "1 day").collect()}
+
+
+def test_navigation_and_tails(spark):
+    text = "# Share\r\nShare this page\n[edit | edit source]Edit\n[Bearbeiten]A paragraph about sharing meals with all of one's old friends\nhttps://a.org/b\n...\n\n\n\n✀✀✀✀✀\nété\nend"
+    assert value(spark, X.clean_nav(F.lit(text))) == "# Share\nA paragraph about sharing meals with all of one's old friends\n\nété\nend\n"
+    assert value(spark, X.clean_nav(F.lit(""))) == ""
+    body = "word " * 40
+    assert value(spark, X.tail_strip(F.lit(body + "\nABOUT the  author\nx"))) == body.rstrip() + "\n"
+    assert value(spark, X.tail_strip(F.lit("about the author\n" + body))) == "about the author\n" + body
+    assert value(spark, X.strip_sections(F.lit("References\n" + body + "\n\nWorks  cited :\n[1]"))) == "References\n" + body.rstrip()
+    assert value(spark, X.strip_sections(F.lit("x\n### Acknowledgements\n" + body))) == "x"
+    assert value(spark, X.strip_sections(F.lit("our references. " + body))) == "our references. " + body
+
+
+def test_phrases_and_tables(spark):
+    assert value(spark, X.phrase_quote(F.lit('a "b"'))) == '"a ""b"""'
+    holds = lambda text, phrase: value(spark, F.contains(X.phrase_text(F.lit(text)), X.phrase_text(F.lit(phrase))))
+    assert holds("The fox-trot, naïve!", '"Fox" TROT') and not holds("foxes trot", "fox trot") and holds("a b", "NAÏVE") is False
+    assert value(spark, X.markdown_table(["a"], F.array().cast("array<array<string>>"))) == ""
+    assert value(spark, X.mermaid_label(F.lit(' a\n "b" ' + "x" * 60))) == "a 'b' " + "x" * 42
+    assert value(spark, X.citation_numbers(F.lit("x[3, 1] [0] [3] [99999999999]"))) == [1, 3]
+    assert value(spark, X.title_url(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("http://a"))) == ""
+
+
+def test_dense_in_bands(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 8))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    asked = rows.filter("id % 7 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(q, i) for q in range(0, 300, 7) for i in sorted(range(300), key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:5]}
+    for most in (1 << 20, 400):  # one band, and some nine
+        got = {(r["query_id"], r["id"]) for r in retrieval.dense(rows, asked, "id", "v", 5, most).collect()}
+        assert got == want
+    assert retrieval.dense(rows, asked.limit(0), "id", "v", 5).count() == 0
+    wide = spark.range(100).select(F.repeat(F.lit("x"), 100).alias("t"))
+    assert "ResolvedHint" in retrieval.small(wide)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in retrieval.small(wide, 5000)._jdf.queryExecution().analyzed().toString()
+
+
+def test_long_queue_and_long_key(spark):
+    rows = spark.range(3000).select((F.col("id") % 2500).alias("run"), "id", F.when(F.col("id") % 3 == 0, "click").otherwise("signup").alias("event_type"))
+    latest = {}
+    for i in range(3000):
+        latest[i % 2500] = (i, i % 3 == 0)
+    queue = [run for run, (at, running) in sorted(latest.items(), key=lambda x: x[1][0]) if not running]
+    got = {r["run"]: r["position"] for r in events.queue_state(rows, "run", "id").collect()}
+    assert got == {run: queue.index(run) + 1 if run in queue else None for run in latest}
+    one = spark.range(20_000).select(F.lit(None).cast("string").alias("k"), (F.col("id") % 5).alias("expected"), "id")
+    done, want = 0, []
+    for i in range(20_000):
+        want.append(i % 5 == done)
+        done += want[-1]
+    assert [r["accepted"] for r in relational.replay_versions(one, "k", "expected", "id").orderBy("id").collect()] == want
+
+
+def test_cached_view(spark):
+    now, mark = [0.0], [1]
+    view = relational.CachedView(lambda: spark.range(mark[0]), lambda: mark[0], 10, lambda: now[0])
+    assert view.get().count() == 1 and view.get().count() == 1 and view.builds == 1
+    mark[0] = 4
+    assert view.get().count() == 4 and view.builds == 2
+    now[0] = 11.0
+    assert view.get().count() == 4 and view.builds == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from siltwork.session import shared_top
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://h:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_top(Session())
+
+
+def test_blobs_and_logs(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "é" * 5000), (2, None), (3, "")], "k long, text string")
+    readers.encode_blobs(rows, "k", "text").write.parquet(f"{tmp_path}/b")
+    got = readers.decode_blobs(spark.read.parquet(f"{tmp_path}/b"), "k", "blob").collect()
+    assert {tuple(r) for r in got} == {(1, "é" * 5000), (2, None), (3, "")}
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text('{"k": 1}\n{broken\n\n{"k": 2}\n')
+    assert sorted(r["k"] for r in readers.read_audit_tree(spark, f"{tmp_path}/log", "k long").collect() if r["k"]) == [1, 2]
+
+
+def paragraphs_by_hand(text, budget):
+    units = []
+    for p in (p.strip() for p in text.split("\n")):
+        for s in p.replace(". ", ".\0").split("\0") if len(p.split()) > budget else [p] if p else []:
+            w = s.split()
+            units += [" ".join(w[i : i + budget]) for i in range(0, len(w), budget)] if len(w) > budget else [s]
+    out = []
+    for u in units:
+        if out and len(" ".join(out[-1]).split()) + len(u.split()) <= budget:
+            out[-1].append(u)
+        else:
+            out.append([u])
+    return ["\n".join(x) for x in out]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(st.sampled_from("ab .\n"), max_size=120), st.integers(1, 9))
+def test_parents_by_hand(text, budget):
+    assert list(chunking.parents(text, budget)) == paragraphs_by_hand(text, budget)
