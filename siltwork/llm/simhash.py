@@ -7,12 +7,12 @@ forest of its links, never its pairs, so a bucket of m members costs at most m -
 than BUCKET members is keyed again by the bits that its members don't share yet, which bounds what a task
 holds and loses no link.
 
-Similarity form (similar): a longer fingerprint, whose share of differing bits estimates the angle between
-two sets of shingles and, with their sizes, the Jaccard similarity. Pairs meet in blocks of block_bits bits.
-Those whose Hamming distance says `similarity` - ROUGH or more are decided by the Jaccard similarity of their
-shingle hashes. With p differing bits in a hundred a pair shares a block with probability
-1 - (1 - (1 - p/100)^block_bits)^(bits / block_bits): 0.96 at a similarity of 0.8, 0.998 at 0.85 and more
-above, for the defaults.
+Similarity form (grouped): a longer fingerprint, whose share of differing bits estimates the angle between
+two sets of shingles and, with their sizes, the Jaccard similarity. Pairs meet in blocks of 24 bits; those
+whose Hamming distance says `similarity` - ROUGH or more are decided by the Jaccard similarity of their
+shingle hashes. With p differing bits in a hundred a pair shares one of the 170 blocks with probability
+1 - (1 - (1 - p/100)^24)^170: 0.96 at a similarity of 0.8, 0.998 at 0.85 and more above. Blocks are searched
+in rounds; what a round links counts as one member from then on.
 """
 
 from __future__ import annotations
@@ -30,10 +30,6 @@ from .common import arrow_map, free_name, materialised, need
 from .components import components
 
 BUCKET = 1 << 16  # members that a task links at once
-SHINGLES = 1 << 23  # and their shingles, in the similarity form
-PAIRS = 8  # members up to which a bucket of the similarity form gives all its pairs
-ROUGH = 0.05  # how far below the similarity an estimate may be of pairs that are looked at
-SLOTS = 1 << 22  # of a filter of nodes, which bounds what is broadcast
 SEED = 42
 
 
@@ -206,6 +202,15 @@ def linked(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 # --- similarity form ---
 
 WIDE = 4096
+BLOCK = 3  # bytes of a block
+MARK = 16  # bytes of a fingerprint, its last ones, that travel with a block's value
+FAR = 48  # differing bits of a mark beyond which two members aren't looked at: six standard deviations from a similarity of 0.75
+MARKED = 64  # members up to which a bucket's marks are compared
+MEETING = 1 << 14  # members that a task compares at once
+SHINGLES = 1 << 23  # and their shingles
+ROUGH = 0.05  # how far below the similarity an estimate may be of pairs that are looked at
+SLOTS = 1 << 22  # of a filter of nodes, which bounds what is broadcast
+ROUNDS = (1, 3, 12, 48)  # blocks searched in each round; the last round takes the others
 _H = np.array([[1.0 if (i & j).bit_count() % 2 == 0 else -1.0 for j in range(64)] for i in range(64)], dtype=np.float32)
 _FLIPS = np.random.default_rng(5).choice(np.array([-1.0, 1.0], dtype=np.float32), size=(2, WIDE))
 
@@ -243,14 +248,6 @@ def wide_fingerprints(df: DataFrame, id_column: str, text_column: str, words: in
     return arrow_map(source, run, f"id {source.dtypes[0][1]}, node long, n long, bits binary, part long, shingles binary")
 
 
-def block_keys(bits: np.ndarray, block_bits: int) -> np.ndarray:
-    """rows of packed bits as rows of block values, the block's number above them."""
-    unpacked = np.unpackbits(bits, axis=1)
-    count = WIDE // block_bits
-    cut = unpacked[:, : count * block_bits].reshape(len(bits), count, block_bits).astype(np.int64)
-    return cut @ (1 << np.arange(block_bits, dtype=np.int64)) | np.arange(count, dtype=np.int64) << block_bits
-
-
 def jaccard(distance: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """The similarity of two sets of n_a and n_b shingles at a Hamming distance."""
     shared = np.cos(np.pi * distance / WIDE) * np.sqrt(n_a * n_b)
@@ -265,136 +262,176 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
 
 
-LEAD = 24  # blocks of the first search
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
+
+
+def block_keys(piece: np.ndarray, first: int) -> np.ndarray:
+    """Rows of bytes as rows of block values, the block's number, from first on, above them."""
+    cut = piece.reshape(len(piece), -1, BLOCK).astype(np.int64)
+    return cut @ (1 << 8 * np.arange(BLOCK, dtype=np.int64)) | np.arange(first, first + cut.shape[1], dtype=np.int64) << 8 * BLOCK
 
 
-def similar(marks: DataFrame, similarity: float = 0.8, block_bits: int = 24) -> DataFrame:
-    """Links a, b that connect nodes of marks (materialised wide_fingerprints) of at least the similarity.
+def grouped(marks: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(node, grp) of the nodes of marks (materialised wide_fingerprints) that links tie to a smaller node, grp the smallest.
 
-    A first search over LEAD blocks ties most of each family together. The second, over the other blocks,
-    looks only at pairs that the first left in different groups, so a family of m documents costs some
-    m rows a block and not its pairs.
+    Blocks are searched in rounds of ROUNDS blocks, and what a round links is contracted before the next one
+    looks: a bucket whose members are of one group gives nothing, one of g groups at most g - 1 links between
+    groups. So a family of m documents costs some m rows and not its pairs.
     """
+    whole = WIDE // 8 // BLOCK
     nodes = marks.groupBy("node").agg(F.first("bits").alias("bits"), F.max("n").alias("n"))
-    nodes = materialised(nodes, "nodes")
-    count = WIDE // block_bits
     # two different sets, the smaller one of n shingles, are n / (n + 1) similar at most
-    wide = nodes.filter(F.col("n") >= F.lit(float(similarity)) * (F.col("n") + 1) - 1e-9)
-    first = materialised(_links(marks, nodes, wide.select("node", "bits", F.col("node").alias("grp"), "n"), range(min(LEAD, count)), similarity, block_bits), "similar")
-    of = components(first).withColumnRenamed("node", "c_node")
-    grouped = wide.join(of, F.col("node") == F.col("c_node"), "left").select("node", "bits", F.coalesce("component", "node").alias("grp"), "n")
-    second = materialised(_links(marks, nodes, grouped, range(min(LEAD, count), count), similarity, block_bits), "similar")
-    return first.union(second)
-
-
-def _links(marks: DataFrame, nodes: DataFrame, grouped: DataFrame, blocks: range, similarity: float, block_bits: int) -> DataFrame:
-    """Links between nodes that share one of the blocks and not their group."""
+    nodes = materialised(nodes.filter(F.col("n") >= F.lit(float(similarity)) * (F.col("n") + 1) - 1e-9), "nodes")
+    groups, start = None, 0
+    for step in (*ROUNDS, whole):
+        blocks = range(start, min(start + step, whole))
+        start = blocks.stop
+        if not blocks:
+            break
+        members = materialised(_members(nodes, groups, blocks), "members")
+        groups = _contracted(groups, _linked(marks, members, similarity, False))
+        large = members.filter("part is not null")
+        if large.limit(1).count():  # so far each part has met the first one only
+            now = groups.toDF("g_node", "now")
+            large = large.join(now, F.col("node") == F.col("g_node"), "left").select("key", "part", "node", F.coalesce("now", "node").alias("grp"))
+            groups = _contracted(groups, _linked(marks, materialised(large, "members"), similarity, True))
+    return groups
+
+
+def _contracted(groups: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """groups after edges (a, b) between groups."""
+    of = components(edges)
+    new = of.filter("node <> component").toDF("node", "grp")
+    if groups is not None:
+        of = of.toDF("o_node", "component")
+        old = groups.join(of, F.col("grp") == F.col("o_node"), "left").select("node", F.coalesce("component", "grp").alias("grp"))
+        new = old.union(new)  # a group's smallest node is in neither before it is tied to a smaller one
+    return materialised(new, "groups")
+
+
+def _members(nodes: DataFrame, groups: DataFrame | None, blocks: range) -> DataFrame:
+    """key, part, node, grp of the members of buckets of several groups.
+
+    Members whose marks are far from those of all other groups in their bucket are left out. part is null but in
+    a bucket that is too large for one task; two parts of it together have MEETING members and SHINGLES
+    shingles at most, or a part has one member.
+    """
+    piece = F.substring("bits", blocks.start * BLOCK + 1, len(blocks) * BLOCK)
+    source = nodes.select("node", piece.alias("piece"), F.substring("bits", WIDE // 8 - MARK + 1, MARK).alias("mark"), "n")
+    if groups is None:
+        source = source.withColumn("grp", F.col("node"))
+    else:
+        source = source.join(groups.toDF("g_node", "grp"), F.col("node") == F.col("g_node"), "left").select("node", "piece", "mark", "n", F.coalesce("grp", "node").alias("grp"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WIDE // 8)
-                k = block_keys(bits, block_bits)[:, blocks.start : blocks.stop]
-                columns = [pa.array(np.repeat(batch.column(i).to_numpy(), k.shape[1])) for i in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *columns], names=["key", "node", "grp", "n"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                k = block_keys(_bytes(part.column(1), len(blocks) * BLOCK), blocks.start)
+                mark = _bytes(part.column(2), MARK).copy()
+                mark[:, -1] = np.ceil(8 * np.log2(part.column(3).to_numpy()))  # the last byte says the number of shingles
+                mark = mark.view(np.int64)
+                columns = [part.column(0).to_numpy(), part.column(4).to_numpy(), mark[:, 0], mark[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *(pa.array(np.repeat(c, k.shape[1])) for c in columns)], names=["key", "node", "grp", "mark0", "mark1"])
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 5), dtype=np.int64)
+        over, before = None, 0.0  # the key of a bucket of several parts, and the weight of what it has given
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of small buckets; of a large one its members a with their groups b, its key and part number.
+        def weight(table: np.ndarray) -> np.ndarray:
+            n = 2.0 ** (np.ascontiguousarray(table[:, 4:]).view(np.uint8)[:, -1] / 8)
+            return np.maximum(n * 2 / SHINGLES, 2 / MEETING)
 
-        Two parts together have BUCKET members and SHINGLES shingles at most, or a part has one member.
-        """
-        held = np.zeros((0, 4), dtype=np.int64)
-        names = ["a", "b", "key", "part"]
+        def out(table: np.ndarray, part: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), part, pa.array(table[:, 1]), pa.array(table[:, 2])], names=["key", "part", "node", "grp"])
 
-        def weight(table: np.ndarray) -> np.ndarray:
-            return np.maximum(table[:, 3] * 2 / SHINGLES, 2 / BUCKET)
+        def parts(table: np.ndarray, before: float) -> pa.RecordBatch:
+            w = weight(table)
+            return out(table, pa.array((before + np.cumsum(w) - w).astype(np.int64)))
 
-        def link(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def several(table: np.ndarray) -> pa.RecordBatch:
             new = np.flatnonzero(np.diff(table[:, 0])) + 1
             starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(table)]])
-            node, group, size = np.ascontiguousarray(table[:, 1]), np.ascontiguousarray(table[:, 2]), ends - starts
-            two = starts[size == 2]
-            two = two[group[two] != group[two + 1]]
-            a, b = [node[two]], [node[two + 1]]
-            for s, e in zip(starts[(size > 2) & (size <= PAIRS)], ends[(size > 2) & (size <= PAIRS)]):
-                i, j = np.triu_indices(e - s, 1)
-                apart = group[s + i] != group[s + j]
-                a.append(node[s + i[apart]]), b.append(node[s + j[apart]])
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names=names)
-            for s, e in zip(starts[size > PAIRS], ends[size > PAIRS]):
-                if (group[s:e] != group[s]).any():
-                    yield large(table[s:e], 0.0)
+            size = np.repeat(ends - starts, ends - starts)
+            end = np.repeat(ends, ends - starts)
+            mark = np.ascontiguousarray(table[:, 3:]).view(np.uint64) & np.array([~np.uint64(0), np.uint64((1 << 56) - 1)])
+            keep = np.zeros(len(table), dtype=bool)
+            at = np.flatnonzero((size > 1) & (size <= MARKED))
+            for d in range(1, MARKED):
+                at = at[at + d < end[at]]
+                if not len(at):
+                    break
+                near = (np.bitwise_count(mark[at] ^ mark[at + d]).sum(axis=1, dtype=np.int64) <= FAR) & (table[at, 2] != table[at + d, 2])
+                keep[at[near]] = keep[at[near] + d] = True
+            for s, e in zip(starts[ends - starts > MARKED], ends[ends - starts > MARKED]):
+                keep[s:e] = (table[s:e, 2] != table[s, 2]).any()
+            return out(table[keep], pa.nulls(int(keep.sum()), pa.int64()))
 
-        def large(table: np.ndarray, before: float) -> pa.RecordBatch:
-            w = weight(table)
-            part = (before + np.cumsum(w) - w).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (table[:, 1], table[:, 2], table[:, 0], part)], names=names)
-
-        over, before = None, 0.0  # a bucket of several parts, and the weight of those it has given
         for batch in batches:
-            table = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)])
+            table = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(5)], axis=1)])
             held = held[:0]
             if over is not None:
                 cut = int(np.searchsorted(table[:, 0], over, side="right"))
                 if cut:
-                    yield large(table[:cut], before)
+                    yield parts(table[:cut], before)
                     before += weight(table[:cut]).sum()
                 table = table[cut:]
             if not len(table):
                 continue
             over, begin = None, int(np.searchsorted(table[:, 0], table[-1, 0]))
             if begin:
-                yield from link(table[:begin])
+                yield several(table[:begin])
             held = table[begin:]
-            if len(held) > PAIRS and weight(held).sum() > 1:
+            if len(held) > 2 and weight(held).sum() > 1:
                 over, before = int(held[0, 0]), weight(held).sum()
-                yield large(held, 0.0)
+                yield parts(held, 0.0)
                 held = held[:0]
         if len(held):
-            yield from link(held)
+            yield several(held)
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b, bits_a, n_a, bits_b, n_b) whose distance says nearly the similarity."""
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, WIDE // 64) for i in (2, 4))
-            distance = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            ok = pa.array(jaccard(distance, batch.column(3).to_numpy().astype(float), batch.column(5).to_numpy().astype(float)) >= similarity - ROUGH)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+    keyed = arrow_map(source, keys, "key long, node long, grp long, mark0 long, mark1 long")
+    return arrow_map(keyed.repartition("key").sortWithinPartitions("key"), meeting, "key long, part long, node long, grp long")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b, set_a, set_b) that have the similarity."""
-        for batch in batches:
-            ok = [alike(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64), similarity) for x, y in zip(batch.column(2), batch.column(3))]
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+def _linked(marks: DataFrame, members: DataFrame, similarity: float, all_parts: bool) -> DataFrame:
+    """Links (a, b) between groups, a the smaller, that connect a bucket's groups as all its similar pairs would.
+
+    Parts of a large bucket meet the first one, or with all_parts each other.
+    """
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of large buckets (key, part, other, node, bits, n, shingles, sorted by the first three): from each found member to the unfound rest."""
+        """Of rows (key, low, high, grp, bits, n, shingles), sorted by the first three."""
         held: list[pa.RecordBatch] = []
 
         def end() -> Iterator[pa.RecordBatch]:
-            node = np.concatenate([h.column(3).to_numpy() for h in held])
+            group = np.concatenate([h.column(3).to_numpy() for h in held])
             n = np.concatenate([h.column(5).to_numpy() for h in held]).astype(float)
-            bits = np.frombuffer(b"".join(b for h in held for b in h.column(4).to_pylist()), dtype=np.uint64).reshape(-1, WIDE // 64)
+            bits = np.concatenate([_bytes(h.column(4), WIDE // 8) for h in held]).view(np.uint64)
             sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for h in held for s in h.column(6)]
             held.clear()
-            left = np.arange(len(node))
+            left = np.arange(len(group))
             a, b = [], []
             while len(left):
-                front, left = [left[0]], left[1:]
+                mine, front, left = {int(group[left[0]])}, [left[group[left] == group[left[0]]]], left[group[left] != group[left[0]]]
                 while front and len(left):
-                    at = front.pop()
+                    at, front = front[0][0], [front[0][1:], *front[1:]] if len(front[0]) > 1 else front[1:]
                     distance = np.bitwise_count(bits[left] ^ bits[at]).sum(axis=1, dtype=np.int64)
-                    near = jaccard(distance, n[left], n[at]) >= similarity - ROUGH
-                    near[near] = [alike(sets[at], sets[i], similarity) for i in left[near]]
-                    a.append(np.full(near.sum(), node[at])), b.append(node[left[near]])
-                    front.extend(left[near])
-                    left = left[~near]
+                    found: set[int] = set()
+                    for i in left[jaccard(distance, n[left], n[at]) >= similarity - ROUGH]:
+                        if int(group[i]) not in found and alike(sets[at], sets[i], similarity):
+                            found.add(int(group[i]))
+                    if found:
+                        near = np.isin(group[left], list(found))
+                        front.append(left[near])
+                        left = left[~near]
+                        mine |= found
+                least = min(mine)
+                mine.discard(least)
+                a += [least] * len(mine)
+                b += mine
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
@@ -408,33 +445,23 @@ def _links(marks: DataFrame, nodes: DataFrame, grouped: DataFrame, blocks: range
         if held:
             yield from end()
 
-    keyed = arrow_map(grouped, keys, "key long, node long, grp long, n long")
-    found = arrow_map(keyed.repartition("key").sortWithinPartitions("key"), candidates, "a long, b long, key long, part long")
-    found = materialised(found, "candidates")
-    pairs = found.filter(F.col("key").isNull()).select("a", "b").distinct()
-    left, right = nodes.toDF("a", "bits_a", "n_a"), nodes.toDF("b", "bits_b", "n_b")
-    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "bits_a", "n_a", "bits_b", "n_b")
-    pairs = materialised(arrow_map(pairs, close, "a long, b long"), "close-pairs")
-    # the sets of the nodes at hand: a filter of fixed size keeps most others out of the shuffle
+    large = members.filter("part is not null")
+    several = large.groupBy("key").agg(F.max("part").alias("last"), (F.min("grp") != F.max("grp")).alias("apart")).filter("apart").withColumnRenamed("key", "s_key")
+    others = F.expr("filter(sequence(0L, greatest(last, 1L)), x -> x <> part)") if all_parts else F.expr("if(part > 0, array(0L), sequence(1L, greatest(last, 1L)))")
+    large = large.join(several, F.col("key") == F.col("s_key")).withColumn("with", F.explode(others))
+    large = large.select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "node", "grp")
+    zero = F.lit(0).cast("long")
+    meet = members.filter("part is null").select("key", zero.alias("low"), zero.alias("high"), "node", "grp").union(large)
+    # what the members at hand hold: a filter of fixed size keeps most others out of the shuffle
     slot = F.pmod(F.col("node"), F.lit(SLOTS)).cast("int")
-    at_hand = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(found.filter(F.col("key").isNotNull()).select("a"))
-    slots = at_hand.select(slot.alias("slot")).distinct()
-    sets = marks.select("node", "shingles").join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
-    sets = materialised(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-    pairs = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    checked = arrow_map(pairs, verify, "a long, b long")
-    members = found.filter(F.col("key").isNotNull()).select("key", "part", F.col("a").alias("node"), F.col("b").alias("grp"))
-    # a bucket of several parts meets in all pairs of parts, so each two members meet
-    several = members.groupBy("key").agg(F.max("part").alias("last"), (F.min("grp") != F.max("grp")).alias("apart")).filter("last > 0").withColumnRenamed("key", "s_key")
-    members = members.join(several, F.col("key") == F.col("s_key"), "left").filter("apart IS NULL OR apart")
-    rest = F.expr("filter(sequence(0L, coalesce(last, 1L)), x -> x <> part)")
-    members = members.withColumn("with", F.explode(rest)).select("key", F.least("part", "with").alias("part"), F.greatest("part", "with").alias("other"), "node")
-    members = members.join(nodes, "node").join(sets, "node").select("key", "part", "other", "node", "bits", "n", "shingles")
-    hot = arrow_map(members.repartition("key", "part", "other").sortWithinPartitions("key", "part", "other"), within, "a long, b long")
-    return checked.union(hot)
-
-
-def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8, block_bits: int = 24) -> DataFrame:
+    slots = members.select(slot.alias("slot")).distinct()
+    held = marks.select("node", "bits", "n", "shingles").join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
+    held = held.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bits", "n", "shingles")))
+    rows = meet.join(held, "node").select("key", "low", "high", "grp", "bits", "n", "shingles")
+    return arrow_map(rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high"), within, "a long, b long")
+
+
+def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df with one of each group of near duplicates, that with the smallest id (null last), then text hash.
 
     Groups are connected by links of at least the similarity between sets of word shingle hashes. Texts without
@@ -442,9 +469,9 @@ def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     copies first. Columns are those of df.
     """
     marks = materialised(wide_fingerprints(df, id_column, text_column, words), "wide-fingerprints")
-    of = components(similar(marks, similarity, block_bits)).withColumnRenamed("node", "c_node")
-    rows = marks.select("id", "part", "node").join(of, F.col("node") == F.col("c_node"), "left")
-    rows = rows.withColumn("group", F.coalesce("component", "node"))
+    of = grouped(marks, similarity).toDF("g_node", "grp")
+    rows = marks.select("id", "part", "node").join(of, F.col("node") == F.col("g_node"), "left")
+    rows = rows.withColumn("group", F.coalesce("grp", "node"))
     best = F.min(F.struct(F.col("id").isNull(), "id", "part")).alias("best")
     keepers = rows.groupBy("group").agg(best, F.count(F.lit(1)).alias("rows")).filter("rows > 1").withColumnRenamed("group", "k_group")
     gone = rows.join(keepers, F.col("group") == F.col("k_group")).filter(
