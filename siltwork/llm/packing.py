@@ -9,7 +9,7 @@ over PARTS groups.
 best_fit_runs gives exactly the packing of the sequential best-fit-decreasing algorithm: sequences with
 equal room left are interchangeable, so a whole class moves at once, and a segment tree over capacities
 finds the smallest one that a length fits. pattern_runs first fits patterns of few documents that fill a
-sequence exactly, by non-negative least squares against the histogram.
+sequence exactly, by non-negative least squares against the histogram, and best fit packs the residual.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from .tokens import load
 
 ROOM = 2048
 PARTS = 256  # groups that the documents of one length are ranked in
+HALF = 0.5  # documents; a pattern that descends by less is rounded away
 Run = tuple[int, int, int, int, int]  # length, first rank, number, first sequence, offset
 
 
@@ -97,71 +98,89 @@ def best_fit_runs(counts: np.ndarray, room: int, ranks: np.ndarray | None = None
     return runs, sequence
 
 
-def patterns(lengths: np.ndarray, room: int) -> np.ndarray:
-    """All multisets of one to three of the lengths that sum to room, as rows of three with 0 for none."""
-    have = np.zeros(room + 1, dtype=bool)
-    have[lengths] = True
-    rows = [(room, 0, 0)] if have[room] else []
-    rows += [(a, room - a, 0) for a in lengths[::-1] if a <= room - a and have[room - a]]
-    out = [np.array(rows, dtype=np.int32).reshape(-1, 3)]
-    for a in lengths:
-        b = lengths[(lengths >= a) & (lengths <= (room - a) // 2)]
-        c = room - a - b
-        ok = have[c]
-        out.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok]], axis=1).astype(np.int32))
-    return np.concatenate(out)
+def best_patterns(rest: np.ndarray, have: np.ndarray, room: int) -> list[tuple[int, int, int]]:
+    """Of all patterns of one to three lengths that sum to room: for each length of some rest, that with the largest sum of rests, if it is HALF or more.
 
-
-def fit_counts(pattern: np.ndarray, counts: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Non-negative least squares: repeats x >= 0 that bring the documents used, A x, near counts.
-
-    Multiplicative steps x <- x * A'h / A'Ax keep x non-negative and never raise the error. A has at
-    most three entries a column, so a step costs a few gathers.
+    Patterns are sorted, 0 for no document. Lengths that don't occur in have are in none.
+    """
+    rests = np.where(have, rest, -np.inf)
+    rests[0] = 0.0
+    found = []
+    for a in np.flatnonzero(rests >= HALF / 3):
+        pair = rests[: room - a + 1] + rests[room - a :: -1]  # b and room - a - b
+        b = int(np.argmax(pair))
+        if rests[a] + pair[b] >= HALF:
+            found.append(tuple(sorted((int(a), b, int(room - a - b)))))
+    return found
+
+
+def fit_patterns(counts: np.ndarray, room: int, rounds: int = 20, sweeps: int = 4) -> dict[tuple[int, int, int], float]:
+    """Non-negative least squares: repeats x >= 0 of patterns that bring the documents used, A x, near counts.
+
+    An active set grows by the patterns with the steepest descent (best_patterns looks at all), and coordinate
+    descent solves for it; patterns that fall to zero leave. It ends when no pattern descends by half a
+    document. A few patterns of many repeats come out, some one for each length, so rounding keeps most.
     """
-    h = counts.astype(float)
-    h[0] = 0
-
-    def back(v: np.ndarray) -> np.ndarray:
-        v[0] = 0
-        return v[pattern[:, 0]] + v[pattern[:, 1]] + v[pattern[:, 2]]
-
-    goal = back(h.copy())
-    x = np.full(len(pattern), h.sum() / max(1, 3 * len(pattern)))
-    flat = pattern.ravel()
-    for _ in range(steps):
-        used = np.bincount(flat, weights=np.repeat(x, 3), minlength=len(h))
-        x *= goal / np.maximum(back(used), 1e-12)
+    rest = counts.astype(float)
+    rest[0] = 0.0
+    have = rest > 0
+    x: dict[tuple[int, int, int], float] = {}
+    entries: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+    for _ in range(rounds):
+        fresh = [p for p in best_patterns(rest, have, room) if p not in x]
+        for p in fresh:
+            x[p] = 0.0
+            entries[p] = [(length, p.count(length)) for length in sorted(set(p)) if length]
+        if not fresh:
+            break
+        for _ in range(sweeps):
+            for p, old in x.items():
+                step = sum(k * rest[length] for length, k in entries[p]) / sum(k * k for _, k in entries[p])
+                now = max(0.0, old + step)
+                if now != old:
+                    x[p] = now
+                    for length, k in entries[p]:
+                        rest[length] -= k * (now - old)
+        x = {p: v for p, v in x.items() if v > 1e-9}
     return x
 
 
 def pattern_runs(counts: np.ndarray, room: int) -> tuple[list[Run], int]:
-    """Runs of the fitted patterns, then of the best-fit-decreasing packing of what they leave."""
-    counts = counts.astype(np.int64).copy()
+    """Runs of the fitted patterns, repeats rounded and cut to the documents there are, then of the best-fit-decreasing packing of what they leave.
+
+    Patterns of few repeats use up short documents that would fill the gaps of the residual. Where that costs
+    a sequence over the bound of a full packing, patterns of one, then of up to three and seven repeats join it.
+    """
+    counts = counts.astype(np.int64)
     counts[0] = 0
+    fitted = sorted(fit_patterns(counts, room).items(), key=lambda p: (-p[1], p[0]))
+    bound = -(-int(counts @ np.arange(room + 1)) // room)
+    best: tuple[list[Run], int] | None = None
+    for fewest in (1, 2, 4, 8):
+        plan = _pattern_runs(fitted, counts.copy(), room, fewest)
+        if best is None or plan[1] < best[1]:
+            best = plan
+        if best[1] == bound:
+            break
+    return best
+
+
+def _pattern_runs(fitted: list[tuple[tuple[int, int, int], float]], counts: np.ndarray, room: int, fewest: int) -> tuple[list[Run], int]:
     ranks = np.zeros(room + 1, dtype=np.int64)
     runs: list[Run] = []
     sequence = 0
-    lengths = np.flatnonzero(counts)
-    pattern = patterns(lengths, room) if len(lengths) else np.zeros((0, 3), dtype=np.int32)
-    if len(pattern):
-        x = fit_counts(pattern, counts)
-        whole = np.floor(x + 0.5).astype(np.int64)
-        for i in np.argsort(-x, kind="stable"):
-            if whole[i] < 1:
-                break
-            parts, need_of = [int(p) for p in pattern[i] if p], defaultdict(int)
-            for p in parts:
-                need_of[p] += 1
-            n = int(min(whole[i], *(counts[p] // k for p, k in need_of.items())))
-            if n < 1:
-                continue
-            offset = 0
-            for p in sorted(parts, reverse=True):
-                runs.append((p, int(ranks[p]), n, sequence, offset))
-                ranks[p] += n
-                counts[p] -= n
-                offset += p
-            sequence += n
+    for pattern, repeats in fitted:
+        parts = [length for length in pattern if length]
+        n = int(min(np.floor(repeats + 0.5), *(counts[length] // parts.count(length) for length in parts)))
+        if n < fewest:
+            continue
+        offset = 0
+        for length in reversed(parts):
+            runs.append((length, int(ranks[length]), n, sequence, offset))
+            ranks[length] += n
+            counts[length] -= n
+            offset += length
+        sequence += n
     rest, sequence = best_fit_runs(counts, room, ranks, sequence)
     return runs + rest, sequence
 

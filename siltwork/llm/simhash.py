@@ -204,8 +204,8 @@ def linked(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 WIDE = 4096
 BLOCK = 3  # bytes of a block
 MARK = 16  # bytes of a fingerprint, its last ones, that travel with a block's value
-FAR = 48  # differing bits of a mark beyond which two members aren't looked at: six standard deviations from a similarity of 0.75
-MARKED = 64  # members up to which a bucket's marks are compared
+FAR = 40  # differing bits of a mark beyond which two members aren't looked at: five standard deviations from a similarity of 0.8
+MARKED = 512  # members up to which a bucket's marks are compared
 MEETING = 1 << 14  # members that a task compares at once
 SHINGLES = 1 << 23  # and their shingles
 ROUGH = 0.05  # how far below the similarity an estimate may be of pairs that are looked at
