@@ -54,8 +54,8 @@ FROM p JOIN g ON p.html = g.html JOIN (SELECT page_id, url FROM pages) u USING (
 
 
 
-def url_filter_sql(iterations: int = 12, damping: int = 85, scale: int = 10**9) -> str:
-    """The rules and the propagation, an iteration a CTE, in whole numbers."""
+def url_filter_sql(damping: int = 85, scale: int = 10**9, change: int = 10**6) -> str:
+    """The rules and the propagation until no score changes by more than `change`, in whole numbers."""
 
     def host(url: str) -> str:
         upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,24 +64,8 @@ def url_filter_sql(iterations: int = 12, damping: int = 85, scale: int = 10**9)
     def rule(h: str, p: str) -> str:
         return f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
 
-    def walk(name: str, src: str, dst: str, seed: str) -> str:
-        parts = [
-            f"{name}_e0 AS (SELECT {src} AS src, {dst} AS dst, weight FROM links)",
-            f"{name}_o AS (SELECT src, sum(weight)::BIGINT AS total FROM {name}_e0 GROUP BY src)",
-            f"{name}_e AS (SELECT e.src, e.dst, e.weight, o.total FROM {name}_e0 e JOIN {name}_o o USING (src)"
-            f" UNION ALL SELECT host, host, 1, 1 FROM hosts WHERE host NOT IN (SELECT src FROM {name}_o))",
-            f"{name}_0 AS (SELECT host, {seed} AS score FROM hosts)",
-        ]
-        for i in range(iterations):
-            parts.append(
-                f"{name}_{i + 1} AS MATERIALIZED (SELECT h.host, ((h.{seed} * {100 - damping} + coalesce(g.given, 0) * {damping}) // 100)::BIGINT AS score"
-                f" FROM hosts h LEFT JOIN (SELECT e.dst, sum(s.score::HUGEINT * e.weight // e.total)::BIGINT AS given"
-                f" FROM {name}_e e JOIN {name}_{i} s ON e.src = s.host GROUP BY e.dst) g ON h.host = g.dst)"
-            )
-        return ",\n".join(parts)
-
     return f"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, coalesce({host("url")}, '') AS host,
          coalesce(regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1), '') AS path,
          coalesce(html, '') AS html FROM pages),
@@ -102,11 +86,23 @@ seen AS (
 hosts AS MATERIALIZED (
   SELECT host, coalesce(allowed, 0) AS allowed, coalesce(blocked, 0) AS blocked
   FROM seen FULL JOIN (SELECT src AS host FROM links UNION SELECT dst FROM links) USING (host)),
-{walk("t", "src", "dst", "allowed")},
-{walk("d", "dst", "src", "blocked")},
-s AS (SELECT t.host, t.score AS trust, d.score AS distrust FROM t_{iterations} t JOIN d_{iterations} d USING (host))
+totals AS (SELECT src, sum(weight)::BIGINT AS total FROM links GROUP BY src),
+e AS MATERIALIZED (
+  SELECT l.src, l.dst, l.weight, o.total FROM links l JOIN totals o USING (src)
+  UNION ALL SELECT host, host, 1, 1 FROM hosts WHERE host NOT IN (SELECT src FROM totals)),
+walk AS (
+  SELECT 0 AS i, host, allowed AS trust, blocked AS distrust, {scale}::BIGINT AS moved FROM hosts
+  UNION ALL
+  SELECT n.i, n.host, n.trust, n.distrust, max(greatest(abs(n.trust - n.t), abs(n.distrust - n.d))) OVER () AS moved FROM (
+    SELECT w.i + 1 AS i, h.host, ((h.allowed * {100 - damping} + coalesce(a.given, 0) * {damping}) // 100)::BIGINT AS trust,
+           ((h.blocked * {100 - damping} + coalesce(b.given, 0) * {damping}) // 100)::BIGINT AS distrust, w.trust AS t, w.distrust AS d
+    FROM walk w JOIN hosts h ON w.host = h.host
+    LEFT JOIN (SELECT e.dst, sum(x.trust::HUGEINT * e.weight // e.total)::BIGINT AS given FROM e JOIN walk x ON e.src = x.host GROUP BY e.dst) a ON a.dst = h.host
+    LEFT JOIN (SELECT e.src, sum(x.distrust::HUGEINT * e.weight // e.total)::BIGINT AS given FROM e JOIN walk x ON e.dst = x.host GROUP BY e.src) b ON b.src = h.host
+    WHERE w.moved > {change}) n),
+s AS (SELECT host, trust, distrust FROM walk WHERE i = (SELECT max(i) FROM walk))
 SELECT page_id, v.host, path, rule,
-       coalesce(ruled, CASE WHEN distrust >= {scale // 2} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(ruled, CASE WHEN distrust >= {scale // 2} AND trust < {scale * 75 // 1000} THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(trust, 0)::DOUBLE / {scale} AS trust, coalesce(distrust, 0)::DOUBLE / {scale} AS distrust
 FROM v LEFT JOIN s ON v.host = s.host
 """.replace("\\\\s", "\\s")

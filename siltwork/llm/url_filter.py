@@ -1,14 +1,18 @@
 """URL rules with link-graph propagation for the hosts that no rule judges.
 
 Pages' links give weighted edges between hosts; a relative link is an edge of its host to itself. A host is
-trusted by the share of its pages that an allow rule matches, and distrusted by the share that a block rule
-matches. Trust flows along links (personalised PageRank), distrust flows against them: who links to a
-blocked host is suspect. A page without a rule is blocked if its host's distrust is at least `threshold` and
-larger than its trust.
+a trusted seed by the share of its pages that an allow rule matches, and a blocked one by the share that a
+block rule matches. Trust flows along links from the trusted seeds (personalised PageRank). Distrust flows
+against them from the blocked seeds: a host gets the distrust of the hosts that it links to, by the share of
+its links, so distrust is the chance that a surfer who starts at the host and stops with probability 0.15
+at each step stops at a blocked page. A link farm of a single blocked host so has 0.85, however many such farms
+there are, and a host that has a third of its links there some 0.28. A page without a rule is blocked if its
+host's distrust is at least `threshold` and larger than its trust.
 
 Scores are whole numbers of 1 / SCALE, so sums don't depend on their order and reruns agree. An iteration is
-a join of the scores with the edges and a sum that combines before the shuffle; hubs are split by Spark's
-skew join. Only DataFrame functions are used.
+one join of both scores with the edges and a sum that combines before the shuffle; hubs are split by Spark's
+skew join. Iterations end when no score changes by more than CHANGE, which leaves at most 6 * CHANGE to come.
+Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from .common import free_name, materialised, need
 
 SCALE = 10**9
 DAMPING = 85  # hundredths of a score that follow links
-ITERATIONS = 12
+CHANGE = SCALE // 1000  # of a score, up to which it counts as settled
+ITERATIONS = 200  # 0.85 ** 200 of the seeds' mass is below any change
 #: (verdict, host, path) of the production rules
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -63,33 +68,37 @@ def host_edges(pages: DataFrame, html_column: str) -> DataFrame:
     return links.filter("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: int = DAMPING) -> DataFrame:
-    """seeds(host, seed) and edges(src, dst, weight) as (host, score): score = (1 - d) seed + d * shares of scores.
+def propagate(hosts: DataFrame, edges: DataFrame, damping: int = DAMPING, change: int = CHANGE, iterations: int = ITERATIONS) -> DataFrame:
+    """hosts(host, allowed, blocked) and edges(src, dst, weight) as (host, trust, distrust).
 
-    A host without edges out keeps its share, as if it linked to itself.
+    trust = (1 - d) allowed + d * the sum over links to the host of the linking host's trust by its share of links;
+    distrust = (1 - d) blocked + d * the mean over the host's own links of their hosts' distrust. A host without
+    links out counts as linking to itself. Hosts are distinct and contain every end of an edge.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    edges = edges.join(out, "src")
-    edges = edges.unionByName(
-        seeds.join(out, F.col("host") == F.col("src"), "left_anti").select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1).cast("long").alias("weight"), F.lit(1).cast("long").alias("out"))
-    )
-    edges = materialised(edges, "host-edges")
-    scores = seeds.select("host", F.col("seed").alias("score"))
-    for i in range(iterations):
-        # score * weight fits: scores are at most SCALE times the hosts' number, in decimal
-        share = F.expr("cast(score as decimal(38,0)) * weight div out").cast("long")
-        given = edges.join(scores, F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(share).alias("given"))
-        scores = seeds.join(given, F.col("host") == F.col("dst"), "left").select(
-            "host", F.expr(f"(seed * {100 - damping} + coalesce(given, 0L) * {damping}) div 100").alias("score")
-        )
-        if i % 4 == 3:
-            scores = materialised(scores, "host-scores")
-    return scores
+    own = hosts.join(out, F.col("host") == F.col("src"), "left_anti").select(F.col("host").alias("src"), F.col("host").alias("dst"), *(F.lit(1).cast("long").alias(c) for c in ("weight", "out")))
+    edges = edges.join(out, "src").select("src", "dst", "weight", "out").union(own)
+    ways = edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), "weight", "out", F.lit(True).alias("along")).union(edges.select("dst", "src", "weight", "out", F.lit(False)))
+    ways = materialised(ways, "host-edges")
+    scores = hosts.select("host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust"))
+    # score * weight in decimal: scores are at most SCALE times the hosts' number
+    share = lambda c, on: F.sum(F.when(F.col("along") == on, F.expr(f"cast({c} as decimal(38,0)) * weight div out"))).cast("long")
+    mixed = lambda seed, got: F.expr(f"({seed} * {100 - damping} + coalesce({got}, 0L) * {damping}) div 100")
+    for _ in range(iterations):
+        given = ways.join(scores, F.col("from") == F.col("host")).groupBy("to").agg(share("trust", True).alias("t"), share("distrust", False).alias("d"))
+        new = hosts.join(given, F.col("host") == F.col("to"), "left").select("host", mixed("allowed", "t").alias("trust"), mixed("blocked", "d").alias("distrust"))
+        new = materialised(new, "host-scores")
+        before = scores.toDF("b_host", "b_trust", "b_distrust")
+        moved = new.join(before, F.col("host") == F.col("b_host")).filter((F.abs(F.col("trust") - F.col("b_trust")) > change) | (F.abs(F.col("distrust") - F.col("b_distrust")) > change))
+        scores = new
+        if not moved.limit(1).count():
+            return scores
+    raise RuntimeError(f"scores did not settle in {iterations} iterations")
 
 
 def judge(
     df: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", rules=RULES,
-    threshold: float = 0.5, iterations: int = ITERATIONS,
+    threshold: float = 0.5, spared: float = 0.075,
 ) -> DataFrame:
     """Each row of df as id, host, path, rule (null without one), verdict, trust and distrust (0 to 1 as a rule).
 
@@ -110,11 +119,8 @@ def judge(
         "host", *(F.coalesce(F.expr(f"{c} * {SCALE} div n"), F.lit(0)).cast("long").alias(c) for c in ("allowed", "blocked"))
     )
     hosts = materialised(hosts, "hosts")
-    trust = propagate(hosts.select("host", F.col("allowed").alias("seed")), edges, iterations)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(hosts.select("host", F.col("blocked").alias("seed")), back, iterations)
-    scores = trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host")
-    bad = F.when((F.col("distrust") >= int(threshold * SCALE)) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    scores = propagate(hosts, edges)
+    bad = F.when((F.col("distrust") >= int(threshold * SCALE)) & (F.col("trust") < int(spared * SCALE)), "block").otherwise("allow")
     scores = materialised(scores.withColumn("method", bad).withColumnRenamed("host", "s_host"), "host-verdicts")
     out = judged.join(scores, F.col("host") == F.col("s_host"), "left")
     verdict = F.coalesce("ruled", "method", F.lit("allow"))
