@@ -5,10 +5,12 @@ text; each partition sorts by the whole normalised text, so equal texts become n
 operator compares neighbours in full. Nothing is decided by a digest alone.
 
 A text that holds a large share of the rows would fill one partition, and so would many texts with the
-same opening. A bounded sample names such openings and texts (never more than SAMPLE / HEAVY of each).
-Rows under a heavy opening are salted by their content, and copies of a heavy text by their id; the keeper
-of a heavy text comes from an aggregation over its content, which combines copies before the shuffle.
-The sample only steers the layout: results don't depend on it.
+same opening. A sample of DRAWN rows for each partition names such openings and texts: one of an eighth of a
+partition's rows is drawn HEAVY times on average, and there are never more than 8 of each for each
+partition, which bounds what is broadcast. Rows under a heavy opening are salted by their content, and copies of a
+heavy text, known by its SHA-256, by their id, over as many parts as there are partitions; the keeper of a
+heavy text comes from an aggregation over its digest, which combines copies before the shuffle. All other
+texts are compared in full. The sample only steers the layout: results don't depend on it.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, free_name, need, text_or_empty
+from .common import WHITE_SPACE, free_name, materialised, need, text_or_empty
 
-SAMPLE = 20_000  # rows drawn to find heavy openings and texts
 HEAVY = 50  # drawn rows from which an opening or text counts as heavy
+DRAWN = 8 * HEAVY  # rows drawn for each partition
+LEAST = 50  # partitions that the sample counts with at least
 OPENING = 64  # characters of the normalised text that range partitioning sees
-SALTS = 256  # parts of a heavy opening or text
 
 
 def normalised(text: Column) -> Column:
@@ -38,18 +40,13 @@ def opening(text: Column) -> Column:
     return F.substring(cut, 1, OPENING)
 
 
-def _heavy(df: DataFrame, text: Column) -> tuple[list[str], list[str]]:
+def _heavy(df: DataFrame, text: Column, parts: int) -> DataFrame:
+    """(kind, value): openings, kind o, and digests of texts, kind d, of many rows; at most 2 * DRAWN / HEAVY * parts rows."""
     rows = df.count()
-    if not rows:
-        return [], []
-    drawn = df.select(text.alias("t")).sample(False, min(1.0, SAMPLE / rows), seed=7)
+    drawn = df.select(text.alias("t")).sample(False, min(1.0, DRAWN * parts / max(1, rows)), seed=7)
     drawn = drawn.select(opening(F.col("t")).alias("o"), F.sha2(normalised(F.col("t")), 256).alias("d"))
-    found = (
-        drawn.select(F.explode(F.create_map(F.lit("o"), "o", F.lit("d"), "d")).alias("kind", "value"))
-        .groupBy("kind", "value").count().filter(F.col("count") >= HEAVY)
-        .orderBy(F.desc("count")).limit(4 * SAMPLE // HEAVY).collect()
-    )
-    return [r["value"] for r in found if r["kind"] == "o"], [r["value"] for r in found if r["kind"] == "d"]
+    found = drawn.select(F.explode(F.create_map(F.lit("o"), "o", F.lit("d"), "d")).alias("kind", "value")).groupBy("kind", "value").count()
+    return materialised(found.filter(F.col("count") >= HEAVY).select("kind", "value"), "heavy")
 
 
 def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -64,15 +61,20 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     added = ("keep_id", "group_size", "kept", "text_sha256")
     df = df.drop(*(c for c in added if c in df.columns and c not in (id_column, text_column)))
     text = text_or_empty(text_column)
-    openings, texts = _heavy(df, text)
+    parts = max(LEAST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heavy = _heavy(df, text, parts)
 
-    o, s, n = (free_name(df, x) for x in ("opening_", "salt_", "norm_"))
-    by_content = F.pmod(F.xxhash64(normalised(text)), F.lit(SALTS)).cast("int")
-    by_id = F.pmod(F.xxhash64(F.col(id_column)), F.lit(SALTS)).cast("int")
-    is_heavy = F.sha2(normalised(text), 256).isin(texts) if texts else F.lit(False)
-    salt = F.when(F.col(o).isin(openings), F.when(is_heavy, by_id).otherwise(by_content)).otherwise(0) if openings else F.lit(0)
+    o, s, n, h, ho, hd = (free_name(df, x) for x in ("opening_", "salt_", "norm_", "digest_", "heavy_opening_", "heavy_digest_"))
+    known = lambda kind, name: F.broadcast(heavy.filter(F.col("kind") == kind).select(F.col("value").alias(name)))  # noqa: E731  bounded, see _heavy
 
-    laid = df.withColumn(o, opening(text)).withColumn(s, salt).repartitionByRange(o, s)
+    def marked(rows: DataFrame) -> DataFrame:
+        """rows with the opening, and where it is heavy the digest, and both again where they are heavy."""
+        rows = rows.withColumn(o, opening(text)).join(known("o", ho), F.col(o) == F.col(ho), "left")
+        rows = rows.withColumn(h, F.when(F.col(ho).isNotNull(), F.sha2(normalised(text), 256)))
+        return rows.join(known("d", hd), F.col(h) == F.col(hd), "left")
+
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    laid = marked(df).withColumn(s, F.when(F.col(hd).isNotNull(), salt(id_column)).when(F.col(ho).isNotNull(), salt(h)).otherwise(0)).repartitionByRange(o, s)
     laid = laid.withColumn(n, normalised(text))
     run = Window.partitionBy(o, s, n)
     first = run.orderBy(F.col(id_column).asc_nulls_last())
@@ -82,22 +84,17 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
         "kept": F.row_number().over(first) == 1,
         "text_sha256": F.sha2(F.col(n), 256),
     })
-    if texts:
-        whole = (
-            df.filter(opening(text).isin(openings) & is_heavy).groupBy(normalised(text).alias("t"))
-            .agg(F.min(id_column).alias("least"), F.count(F.lit(1)).alias("size"))
-            .select(F.sha2("t", 256).alias("digest"), "least", "size").collect()  # one short row for each heavy text
-        )
-        kind = dict(df.dtypes)[id_column]
-        keep = F.create_map(*(x for r in whole for x in (F.lit(r["digest"]), F.lit(r["least"]).cast(kind))))
-        size = F.create_map(*(x for r in whole for x in (F.lit(r["digest"]), F.lit(r["size"]))))
-        split = F.col("text_sha256").isin(texts)
-        out = out.withColumns({
-            "kept": F.when(split, F.col("kept") & F.col(id_column).eqNullSafe(keep[F.col("text_sha256")])).otherwise(F.col("kept")),
-            "keep_id": F.when(split, keep[F.col("text_sha256")]).otherwise(F.col("keep_id")),
-            "group_size": F.when(split, size[F.col("text_sha256")]).otherwise(F.col("group_size")),
-        })
-    return out.drop(o, s, n)
+    # copies of a heavy text are in several windows; its keeper is the least of all
+    g, least, size = (free_name(df, x) for x in ("group_", "least_", "size_"))
+    whole = marked(df.select(id_column, text_column)).filter(F.col(hd).isNotNull()).groupBy(F.col(hd).alias(g)).agg(F.min(id_column).alias(least), F.count(F.lit(1)).alias(size))
+    out = out.join(F.broadcast(whole), F.col(hd) == F.col(g), "left")  # a short row for each heavy text
+    split = F.col(g).isNotNull()
+    out = out.withColumns({
+        "kept": F.when(split, F.col("kept") & F.col(id_column).eqNullSafe(F.col(least))).otherwise(F.col("kept")),
+        "keep_id": F.when(split, F.col(least)).otherwise(F.col("keep_id")),
+        "group_size": F.when(split, F.col(size)).otherwise(F.col("group_size")),
+    })
+    return out.drop(o, s, n, h, ho, hd, g, least, size)
 
 
 def first_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -1,21 +1,24 @@
 """Mixing sources to target weights.
 
-Each row gets a hash-random key, the MD5 of a seed and its id. Keys are uniform, so their leading hex
-digits cut each source into ranges of even size without a sample; a source with a third of all rows is
-spread over RANGES tasks like any other. Sums per range, a prefix sum over the ranges of a source and a
-running sum inside a range give each row its place in its source's random order, and a source is cut where
-its budget ends. Budgets beyond the source's size repeat it whole.
+Each row gets a hash-random key, the MD5 of a seed and its id (for a null id, of its text). Keys are uniform,
+so their leading hex digits cut each source into ranges of even size without a sample, as many as keep some
+RANGE_ROWS rows in each; a source with a third of all rows is spread over them like any other. Sums per
+range, a prefix sum over the ranges of a source and a running sum inside a range give each row its place in
+its source's random order, and a source is cut where its budget ends. Budgets beyond the source's size repeat
+it whole.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE_SPACE, WORD, free_name, materialised, need, text_or_empty
 
-RANGE_DIGITS = 3  # leading hex digits of the key that name a range
-RANGES = 16**RANGE_DIGITS
+RANGE_ROWS = 50_000  # rows that a range of the largest possible source may have
+LEAST_DIGITS = 3  # leading hex digits of the key that name a range, at least
 
 
 def word_count(text: Column) -> Column:
@@ -24,38 +27,42 @@ def word_count(text: Column) -> Column:
     )
 
 
+def ranked_sources(sources: DataFrame) -> DataFrame:
+    """sources with turn, their place from 0 in code point order, null last, without a task that sees all of them."""
+    null_last = F.col("source").isNull()
+    dealt = sources.repartitionByRange(null_last, "source").withColumn("part", F.spark_partition_id())
+    dealt = materialised(dealt, "sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sizes = dealt.groupBy(F.col("part").alias("p_part")).agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("p_part", "part")
+    sizes = sizes.select(F.col("part").alias("p_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(null_last, "source")) - 1
+    return dealt.withColumn("inside", inside).join(sizes, F.col("part") == F.col("p_part")).withColumn("turn", F.col("inside") + F.col("before")).drop("part", "p_part", "inside", "before")
+
+
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """sources(source, source_size) with weight, target and budget.
 
     Sources in code point order, null last, take the weights in turn. Targets share the sum of all sizes
     by weight; none exceeds max_epochs times its source's size, and what that leaves is shared again by
-    weight among the others. That is one level L with target = min(cap, weight * L), found by sorting the
-    sources by cap / weight. The windows hold one row for each source.
+    weight among the others, until none is above: one aggregation over the sources each time, in whole
+    numbers.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    ranked = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn.cast("int") + 1).cast("long"))
-    ranked = ranked.withColumn("cap", F.col("source_size") * max_epochs)
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    ranked = ranked.withColumns({
-        "total": F.sum("source_size").over(everything),
-        "all_weights": F.sum("weight").over(everything),
-        "cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0)),
-        "weight_before": F.coalesce(F.sum("weight").over(before), F.lit(0)),
-    })
-    # a source is full if sharing what the fuller ones leave would lift it to its cap
-    left, shared_by = F.col("total") - F.col("cap_before"), F.col("all_weights") - F.col("weight_before")
-    ranked = ranked.withColumn("full", F.col("cap") * shared_by <= F.col("weight") * left)
-    ranked = ranked.withColumns({
-        "left": F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(everything), F.lit(0)),
-        "shared_by": F.col("all_weights") - F.coalesce(F.sum(F.when(F.col("full"), F.col("weight"))).over(everything), F.lit(0)),
-    })
-    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(
-        (F.col("weight") * F.col("left")).cast("double") / F.col("shared_by").cast("double")
-    )
-    return ranked.select("source", "source_size", "weight", target.alias("target")).withColumn("budget", F.floor("target").cast("long"))
+    turn = F.pmod(F.col("turn"), F.lit(len(weights))).cast("int")
+    rows = ranked_sources(sources).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("long"))
+    rows = materialised(rows.withColumn("cap", (F.col("source_size") * max_epochs).cast("decimal(38,0)")).drop("turn"), "source-weights")
+    total = rows.agg(F.sum("source_size").cast("decimal(38,0)")).first()[0] or 0
+    full, left, shared_by = F.lit(False), total, None
+    while True:
+        got = rows.agg(F.sum(F.when(full, F.col("cap"))).alias("caps"), F.sum(F.when(~full, F.col("weight"))).alias("weights"), F.count(F.when(full, 1)).alias("n")).first()
+        left, now = total - (got["caps"] or 0), got["weights"] or 0
+        if now == shared_by or not now:
+            break
+        shared_by = now
+        # those that a share of what is left lifts to their cap; who was full stays so, as shares only grow
+        full = F.col("cap") * F.lit(shared_by).cast("decimal(20,0)") <= F.col("weight").cast("decimal(20,0)") * F.lit(str(left)).cast("decimal(38,0)")
+    shared = (F.col("weight") * F.lit(int(left))).cast("double") / F.lit(float(shared_by or 1))
+    target = F.when(full, F.col("cap").cast("double")).otherwise(shared)
+    return rows.select("source", "source_size", "weight", target.alias("target")).withColumn("budget", F.floor("target").cast("long"))
 
 
 def mix(
@@ -67,15 +74,25 @@ def mix(
     Size is the number of words. taken is the number of words that the mix takes from the row, repeats
     counted: whole epochs, and in the last one what still fits, so that a source's taken words sum to
     the floor of its target. Null text has size 0 and null source is a source of its own; null ids and
-    repeated ids are rows like others, in an order fixed by id and size. An empty table gives an empty one.
+    repeated ids are rows like others, in an order fixed by key, id and size. An empty table gives an empty one.
     """
     need(df, id_column, text_column, source_column)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_column).cast("string"), F.lit(""))))
     rows = df.select(
-        F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(text_or_empty(text_column)).alias("size"), key.alias("key")
-    ).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    rows = materialised(rows, "mix-sizes")  # slim, and the text is read once
+        F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(text_or_empty(text_column)).alias("size"), _key(id_column, text_column, seed).alias("key")
+    )
+    out = _taken(materialised(rows, "mix-sizes"), weights, max_epochs)  # slim, and the text is read once
+    return out.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", "budget", "taken")
+
+
+def _key(id_column: str, text_column: str, seed: int) -> Column:
+    text = F.concat(F.lit("null:"), F.md5(text_or_empty(text_column)))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_column).cast("string"), text)))
 
+
+def _taken(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """Materialised rows(id, source, size, key, ...) with source_size, target, budget and taken."""
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, rows.count() / RANGE_ROWS), 16)))  # changes the layout only
+    rows = rows.withColumn("range", F.substring("key", 1, digits))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs)
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,37 +107,30 @@ def mix(
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0)
     rest = F.col("budget") - epochs * F.col("source_size") - F.col("ahead") - F.col("inside")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return rows.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", "budget", taken.alias("taken"))
+    return rows.withColumn("taken", taken).drop("key", "range", "inside", "ahead", "r_source", "r_range")
 
 
-def mixed_rows(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **parameters) -> DataFrame:
+def mixed_rows(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 0,
+) -> DataFrame:
     """df as the mix takes it: a row for each whole taking, and the cut row with the words that still fit.
 
-    A row that gives nothing goes. Repeats are equal rows. Rows with the same id must have the same
-    source and size to be told apart from one another; if they don't, each takes its own share. An empty
-    text has nothing to give and goes. Columns are those of df.
+    Each row is given a number of its own and written once, so rows with null or repeated ids take their own
+    shares. A row that gives nothing goes, as one without words does. Repeats are equal rows. Columns are
+    those of df.
     """
-    i, z, k = (free_name(df, x) for x in ("mix_id_", "mix_size_", "mix_taken_"))
-    s = free_name(df, "mix_source_")
-    takes = (
-        mix(df, id_column, text_column, source_column, **parameters).filter("taken > 0")
-        .select(F.col(id_column).alias(i), F.col(source_column).alias(s), F.col("size").alias(z), F.col("taken").alias(k))
-        .groupBy(i, s, z).agg(F.array_sort(F.collect_list(k)).alias(k))  # more than one only for repeated ids
-    )
-    words = free_name(df, "mix_words_")
-    n = free_name(df, "mix_n_")
-    size_here = word_count(text_or_empty(text_column))
-    rows = df.withColumn(z + "d", size_here)
-    joined = rows.join(takes, F.col(id_column).eqNullSafe(F.col(i)) & F.col(source_column).eqNullSafe(F.col(s)) & (F.col(z + "d") == F.col(z)))
-    # repeated rows all match; a row stands for itself, so the n-th of them takes the n-th share
-    place = Window.partitionBy(i, s, z).orderBy(F.lit(0))
-    repeated = joined.filter(F.size(k) > 1).withColumn(n, F.row_number().over(place)).filter(F.col(n) <= F.size(k)).withColumn(k, F.element_at(k, F.col(n))).drop(n)
-    single = joined.filter(F.size(k) == 1).withColumn(k, F.element_at(k, 1))
-    rows = single.unionByName(repeated)
-    whole, part = F.expr(f"`{k}` div `{z}`"), F.col(k) % F.col(z)
+    need(df, id_column, text_column, source_column)
+    r, z, k, words = (free_name(df, x) for x in ("mix_row_", "mix_size_", "mix_taken_", "mix_words_"))
+    own = df.withColumns({r: F.monotonically_increasing_id(), z: word_count(text_or_empty(text_column)), k: _key(id_column, text_column, seed)})
+    own = materialised(own, "mix-rows")
+    slim = own.select(F.col(r).alias("row"), F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.col(z).alias("size"), F.col(k).alias("key"))
+    takes = _taken(slim, weights, max_epochs).filter("taken > 0").select(F.col("row").alias(r), F.col("taken").alias(words))
+    rows = own.drop(k).join(takes, r)
+    whole, part = F.expr(f"`{words}` div `{z}`"), F.col(words) % F.col(z)
     shares = F.concat(F.array_repeat(F.col(z), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn(words, F.explode(shares))
+    rows = rows.withColumn(k, F.explode(shares))
     pieces = F.regexp_extract_all(F.col(text_column), F.lit(f"[{WHITE_SPACE}]*{WORD}"), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col(words).cast("int")), "")
-    text = F.when(F.col(words) < F.col(z), cut).otherwise(F.col(text_column))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col(k).cast("int")), "")
+    text = F.when(F.col(k) < F.col(z), cut).otherwise(F.col(text_column))
     return rows.withColumn(text_column, text).select(df.columns)

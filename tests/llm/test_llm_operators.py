@@ -80,12 +80,33 @@ def test_exact_dedup(odd, none):
 
 def test_exact_dedup_of_a_hot_text_and_a_hot_opening(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "HEAVY", 20)
+    monkeypatch.setattr(exact_dedup, "LEAST", 4)
     start = "the same opening " * 10
     rows = [(i, start + "copy") for i in range(300, 0, -1)] + [(i, start + str(i % 90)) for i in range(301, 600)] + [(i, f"t {i}") for i in range(600, 700)] + [(7, start + "copy"), (1, start + "copy"), (None, start + "copy")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     check_exact(rows, exact_dedup.exact_dedup(df).collect())
 
 
+def test_a_text_of_a_thousandth_is_heavy_among_many_partitions(spark):
+    """A text and an opening of 0.1 % of all rows each, which 400 partitions make heavy."""
+    rows = spark.range(300_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 1000 == 7, "the hot text").when(F.col("id") % 1000 == 8, F.concat(F.repeat(F.lit("same opening "), 6), F.col("id").cast("string"))).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"),
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        heavy = exact_dedup._heavy(rows, F.col("text"), 400)
+        assert {r["kind"]: r["value"] for r in heavy.filter("kind = 'd'").collect()} == {"d": hashlib.sha256(b"the hot text").hexdigest()}
+        assert heavy.filter("kind = 'o'").count() == 2
+        out = exact_dedup.exact_dedup(rows)
+        hot = out.filter("text = 'the hot text'").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"), F.min("keep_id").alias("a"), F.max("keep_id").alias("b"), F.min("group_size").alias("c")).first()
+        assert tuple(hot) == (300, 1, 7, 7, 300)
+        assert out.filter("kept").count() == 300_000 - 299
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # --- mixing ---
 
 
@@ -132,6 +153,40 @@ def test_mixed_rows_give_what_the_mix_takes(odd):
     assert +taken == given_
 
 
+def test_mixed_rows_without_ids(spark):
+    """Null and repeated ids with texts of the same and of other lengths: each row takes its own share."""
+    rows = [(None, "a b c " * (1 + i % 3), "s") for i in range(300)] + [(1, f"x{i} y", None) for i in range(50)] + [(2, "only one", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    size, whole, target = brute_mix(rows)
+    words = Counter()
+    copies = Counter()
+    for r in mixing.mixed_rows(df).collect():
+        words[r["source"]] += len(r["text"].split())
+        copies[r["text"]] += 1
+    assert words == {s: int(target[s] + 1e-6) for s in whole if int(target[s] + 1e-6)}
+    have = Counter(t for _, t, _ in rows)
+    assert all(n <= 3 * have[t] for t, n in copies.items() if t in have)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(4)
+    sizes = {f"s{i:05d}": int(rng.lognormvariate(3, 2)) for i in range(3000)} | {None: 50}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
+    got = {r["source"]: (r["weight"], r["target"]) for r in mixing.source_targets(df).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, open_, want = sum(sizes.values()), set(order), {}
+    while open_:
+        shared = sum(weight[s] for s in open_)
+        full = [s for s in open_ if 3 * sizes[s] * shared <= weight[s] * left]
+        for s in full or list(open_):
+            want[s] = 3.0 * sizes[s] if full else weight[s] * left / shared
+            open_.discard(s)
+        left -= sum(3 * sizes[s] for s in full)
+    assert {s: w for s, (w, _) in got.items()} == weight
+    assert all(got[s][1] == pytest.approx(want[s]) for s in order)
+
+
 # --- tokens and packing ---
 
 
