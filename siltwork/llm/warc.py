@@ -19,7 +19,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +33,15 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  #
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed by RFC 4122, for URLs
 
 
-def record_id(page_id: object, prefix: str = "page") -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{prefix}:{page_id}')}>"
+def record_id(page_id: object, ordinal: int, prefix: str = "page") -> str:
+    """Of a page, or of its row where it has no id."""
+    name = f"row:{ordinal}" if page_id is None else f"{prefix}:{page_id}"
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, name)}>"
+
+
+def field_value(value: object) -> str:
+    """Any text as a header value, losslessly: everything but letters, digits and -._~ escaped."""
+    return quote(str(value), safe="")
 
 
 def sha1_label(digest: str) -> str:
@@ -51,16 +58,20 @@ def http_block(length: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
 
 
-def header_block(page_id: object, url: str | None, kind: str, refers_to: object, digest: str, block_length: int) -> bytes:
-    """A record's named fields, without the blank line that ends them."""
+def header_block(page_id: object, ordinal: int, url: str | None, kind: str, refers_to: tuple[object, int], digest: str, block_length: int) -> bytes:
+    """A record's named fields, without the blank line that ends them. A null id has no field."""
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: {sha1_label(digest)}", "Content-Type: application/http; msgtype=response", f"X-Page-ID: {page_id}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, ordinal)}", f"WARC-Date: {DATE}",
+        f"WARC-Payload-Digest: {sha1_label(digest)}", "Content-Type: application/http; msgtype=response",
     ]
+    if page_id is not None:
+        lines.append(f"X-Page-ID: {field_value(page_id)}")
     if uri := target_uri(url):
         lines.append(f"WARC-Target-URI: {uri}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(*refers_to)}"]
+        if refers_to[0] is not None:
+            lines.append(f"X-Refers-To-Page-ID: {field_value(refers_to[0])}")
     lines.append(f"Content-Length: {block_length}")
     return "\r\n".join(lines).encode() + b"\r\n"
 
@@ -75,8 +86,9 @@ def parse_header_block(block: bytes) -> dict[str, str]:
 def write_archive(df: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", folder: str | None = None) -> str:
     """Writes a record for each row of df; the archive's folder.
 
-    A null payload is an empty one, a null URL leaves its field out. Ids are kept as text in the headers;
-    rows with a null id or a repeated id are records like others, and revisits refer to the largest id.
+    A null payload is an empty one, a null URL or id leaves its field out. Ids are kept in the headers as
+    escaped text; rows with a null id or a repeated id are records like others, and revisits refer to the
+    largest id, to a null one only where there is no other.
     """
     need(df, id_column, url_column, payload_column)
     spark = df.sparkSession
@@ -101,7 +113,7 @@ def write_archive(df: DataFrame, id_column: str = "page_id", url_column: str = "
 
     records = index.join(keepers, F.col("sha256") == F.col("k_sha256"))
     revisit = (F.col("bytes") >= MIN_REVISIT) & (F.col("ordinal") != F.col("keeper.ordinal"))
-    records = records.select("id", "url", "sha256", "sha1", "bytes", revisit.alias("revisit"), F.col("keeper.id").alias("refers_to"))
+    records = records.select("id", "url", "sha256", "sha1", "bytes", "ordinal", revisit.alias("revisit"), F.col("keeper.id").alias("k_id"), F.col("keeper.ordinal").alias("k_ordinal"))
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +122,7 @@ def write_archive(df: DataFrame, id_column: str = "page_id", url_column: str = "
                 block = http_block(row["bytes"])
                 kind = "revisit" if row["revisit"] else "response"
                 length = len(block) + (0 if row["revisit"] else row["bytes"])
-                warc.append(header_block(row["id"], row["url"], kind, row["refers_to"], row["sha1"], length))
+                warc.append(header_block(row["id"], row["ordinal"], row["url"], kind, (row["k_id"], row["k_ordinal"]), row["sha1"], length))
                 http.append(block)
             yield pa.RecordBatch.from_arrays([pa.array(warc, pa.binary()), pa.array(http, pa.binary()), batch.column(2)], names=["header", "http", "sha256"])
 
@@ -119,7 +131,7 @@ def write_archive(df: DataFrame, id_column: str = "page_id", url_column: str = "
 
 
 def read_archive(spark: SparkSession, folder: str, full_records: bool = False) -> DataFrame:
-    """Each record of the archive, rebuilt: page_id as text, its type, what it refers to and its whole payload's facts.
+    """Each record of the archive, rebuilt: page_id as text, null for null, its type, what it refers to and its whole payload's facts.
 
     With full_records the bytes of the record and its payload come too. A payload whose SHA-256 or SHA-1
     is not that under which it is stored, or a length that its header doesn't bear out, is an error.
@@ -142,7 +154,8 @@ def read_archive(spark: SparkSession, folder: str, full_records: bool = False) -
                     raise ValueError(f"payload {sha256} is not what its digest says")
                 if int(fields["Content-Length"]) != len(block):
                     raise ValueError(f"record {fields['WARC-Record-ID']} has a wrong length")
-                row = (fields["X-Page-ID"], len(payload), sha1, kind, fields.get("X-Refers-To-Page-ID"), fields.get("WARC-Target-URI"))
+                page, refers = (None if v is None else unquote(v) for v in (fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")))
+                row = (page, len(payload), sha1, kind, refers, fields.get("WARC-Target-URI"))
                 rows.append(row + (header + b"\r\n" + block + b"\r\n\r\n", payload) * full_records)
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)

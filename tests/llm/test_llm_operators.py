@@ -617,10 +617,62 @@ def test_warc(spark):
             assert rest[:n].split(b"\r\n\r\n", 1)[1] == bytes(r["payload"])
         assert r["payload_digest"] == hashlib.sha1(bytes(r["payload"])).hexdigest()
     kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in out)
-    assert kinds == Counter([("1", "revisit", "7"), ("2", "revisit", "7"), ("3", "response", None), ("4", "response", None), ("5", "response", None), ("6", "response", None), ("7", "response", None), ("7", "revisit", "7"), ("None", "response", None)])
+    assert kinds == Counter([("1", "revisit", "7"), ("2", "revisit", "7"), ("3", "response", None), ("4", "response", None), ("5", "response", None), ("6", "response", None), ("7", "response", None), ("7", "revisit", "7"), (None, "response", None)])
     assert warc.read_archive(spark, warc.write_archive(df.limit(0))).count() == 0
 
 
+def test_warc_text_and_null_ids(spark):
+    big = "b" * 1200
+    rows = [(None, big), (None, big), ("None", "n" * 1500), ("a: b\r\nWARC-Type: x", "t" * 1100), ("a: b\r\nWARC-Type: x ", "t" * 1100), ("é %41", "e"), ("", "")]
+    out = warc.read_archive(spark, warc.write_archive(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id string, url string, html string")), True).collect()
+    assert Counter(key(r["page_id"]) for r in out) == Counter(key(i) for i, _ in rows)
+    types = Counter(key(r["page_id"], r["record_type"], r["refers_to"]) for r in out)
+    assert types[key(None, "response", None)] == 1 and types[key(None, "revisit", None)] == 1
+    assert types[key("a: b\r\nWARC-Type: x", "revisit", "a: b\r\nWARC-Type: x ")] == 1
+    ids = {warc.parse_header_block(bytes(r["record"]).split(b"\r\n\r\n", 1)[0])["WARC-Record-ID"] for r in out}
+    assert len(ids) == len(rows)
+
+
+def frame(second: int, third: int, fourth: int = 0xC0) -> bytes:
+    """A silent frame with those header bytes behind the sync byte."""
+    head = bytes((0xFF, second, third, fourth))
+    h = mpeg_audio.read_header(head)
+    return head + bytes(h.size - 4)
+
+
+@pytest.mark.parametrize(
+    ("second", "third", "version", "layer", "hz", "samples", "size"),
+    [
+        (0xFB, 0x90, 1, 3, 44100, 1152, 417), (0xFB, 0x92, 1, 3, 44100, 1152, 418), (0xF3, 0x80, 2, 3, 22050, 576, 208), (0xE3, 0x80, 2, 3, 11025, 576, 417),
+        (0xFD, 0xA4, 1, 2, 48000, 1152, 576), (0xF5, 0x84, 2, 2, 24000, 1152, 384), (0xFF, 0xC8, 1, 1, 32000, 384, 576), (0xFF, 0x92, 1, 1, 44100, 384, 316),
+    ],
+)
+def test_audio_versions_and_layers(second, third, version, layer, hz, samples, size):
+    one = frame(second, third)
+    assert len(one) == size
+    s = mpeg_audio.parse(one * 5)
+    assert (s.version, s.layer, s.hz, s.samples, s.offsets) == (version, layer, hz, 5 * samples, [size * i for i in range(5)])
+    noisy = mpeg_audio.parse(one * 3 + b"\x00\xff\x00junk" + one * 2)
+    assert len(noisy.offsets) == 5 and noisy.resyncs == 1 and noisy.skipped == 7
+
+
+def test_audio_tables_and_extended_tags():
+    one = frame(0xFB, 0x90)
+    vbri = bytearray(one)
+    vbri[36:40] = b"VBRI"
+    vbri[40:62] = (1).to_bytes(2) + bytes(4) + (417 * 5).to_bytes(4) + (4).to_bytes(4) + (2).to_bytes(2) + (10).to_bytes(2) + (2).to_bytes(2) + (2).to_bytes(2)
+    vbri[62:66] = (84).to_bytes(2) + (83).to_bytes(2)
+    s = mpeg_audio.parse(bytes(vbri) + one * 4)
+    assert s.table == {"kind": "VBRI", "frames": 4, "bytes": 2085, "toc": [840, 830], "per_entry": 2}
+    assert s.samples == 4 * 1152 and s.duration == mpeg_audio.Fraction(4608, 44100)
+    private = b"PRIV" + (6).to_bytes(4) + b"\0\0" + b"me\0abc"
+    for major, extended in ((3, (6).to_bytes(4) + bytes(6)), (4, bytes((0, 0, 0, 6, 1, 0)))):
+        body = extended + (private if major == 3 else private[:4] + mpeg_audio._synchsafe(6) + private[8:])
+        tag = b"ID3" + bytes((major, 0, 64)) + mpeg_audio._synchsafe(len(body)) + body
+        s = mpeg_audio.parse(tag + one * 2)
+        assert s.tags == [f"ID3v2.{major}"] and s.private == {b"me\0": b"abc"} and s.offsets == [len(tag), len(tag) + 417]
+
+
 PIECES = ["</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE ", "[/ROLE]", "\\", " ", "<", "/", "]", "é", "\n", "ok"]
 
 
@@ -745,6 +797,51 @@ def test_gradients_are_derivatives():
         assert (up - down) / 2e-5 == pytest.approx(g[at], rel=1e-3, abs=1e-7)
 
 
+def one_passage_decides(rng, n):
+    """Documents of 12 passages of plain words; label 0 puts one shouted passage anywhere, label 1 has a mildly marked one."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts, labels, places = [], [], []
+    for i in range(n):
+        passages = [" ".join(word() for _ in range(quality.PASSAGE)) for _ in range(12)]
+        at = rng.randrange(12)
+        if i % 2 == 0:
+            passages[at] = " ".join(w.upper() + "!" for w in passages[at].split())
+        texts.append(" ".join(passages).encode()), labels.append(i % 2), places.append(at)
+    return texts, np.array(labels), places
+
+
+def test_attention_finds_the_passage_that_decides():
+    rng = random.Random(8)
+    texts, labels, _ = one_passage_decides(rng, 400)
+    model = quality.train(texts, labels)
+    texts, labels, places = one_passage_decides(rng, 100)
+    assert (((model.score(texts) >= 0.5) == labels).mean()) >= 0.95
+    weights = [model.attention(t) for t in texts]
+    deciding = [w[p] for w, p, y in zip(weights, places, labels) if y == 0]
+    assert all(len(w) == 12 and abs(w.sum() - 1) < 1e-9 for w in weights)
+    assert np.mean(deciding) > 3 / 12  # three times its share of the mean
+
+
+def test_scores_by_hand():
+    """The forward pass, one passage and one unit at a time."""
+    from math import exp, tanh
+
+    model = quality.train([b"one two. " * 40, b"A!! B!! " * 90, b"x | y | z", b""], np.array([1.0, 0, 0, 1]), epochs=2)
+    w = {k: v.tolist() for k, v in model.weights.items()}
+    dot = lambda x, m, j: sum(x[i] * m[i][j] for i in range(len(x)))
+    for text in (b"Some words here. " * 70, b"", b"A | b"):
+        rows, _ = quality.encode([text])
+        hidden, scores = [], []
+        for row in rows.tolist():
+            x = [(v - m) / s for v, m, s in zip(row, model.mean.tolist(), model.scale.tolist())]
+            h = [tanh(dot(x, w["E"], j) + w["e"][j]) for j in range(len(w["e"]))]
+            gates = [tanh(dot(h, w["V"], j)) / (1 + exp(-dot(h, w["U"], j))) for j in range(len(w["w"]))]
+            hidden.append(h), scores.append(sum(g * v for g, v in zip(gates, w["w"])))
+        weight = [exp(s - max(scores)) for s in scores]
+        z = [sum(a * h[j] for a, h in zip(weight, hidden)) / sum(weight) for j in range(len(w["c"]))]
+        assert model.score([text])[0] == pytest.approx(1 / (1 + exp(-sum(a * b for a, b in zip(z, w["c"])) - w["b"][0])), abs=1e-5)
+
+
 def test_quality_on_odd_input(spark, odd, none):
     labels = spark.createDataFrame([(0, 1, 0), (4, 0, 0), (None, 1, 0), (8, None, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(odd, labels)
