@@ -4,7 +4,7 @@ Only lengths matter to a packing, and there are at most `room` of them, so the p
 from the histogram of lengths, whose size doesn't depend on the corpus. A plan is a list of runs: the
 documents of one length with ranks from `rank` on go, one each, into the sequences from `sequence` on, at
 the same offset. Ranks come from a distributed prefix sum; a length with a third of all rows is spread
-over PARTS groups.
+over PARTS groups or more.
 
 best_fit_runs gives exactly the packing of the sequential best-fit-decreasing algorithm: sequences with
 equal room left are interchangeable, so a whole class moves at once, and a segment tree over capacities
@@ -28,7 +28,8 @@ from .common import arrow_map, free_name, materialised, need
 from .tokens import load
 
 ROOM = 2048
-PARTS = 256  # groups that the documents of one length are ranked in
+PARTS = 256  # groups that the documents of one length are ranked in, at least
+PART_ROWS = 100_000  # documents that a group of the commonest length may have
 HALF = 0.5  # documents; a pattern that descends by less is rounded away
 Run = tuple[int, int, int, int, int]  # length, first rank, number, first sequence, offset
 
@@ -243,11 +244,12 @@ def placed(pieces: DataFrame, planner: Callable[[np.ndarray, int], tuple[list[Ru
     for r in pieces.groupBy("length").count().collect():  # at most room rows
         counts[r["length"]] = r["count"]
     runs, _ = planner(counts, room)
+    parts = max(PARTS, int(counts.max()) // PART_ROWS)
     table = np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
     shared = pieces.sparkSession.sparkContext.broadcast(table)  # bounded by room, not by rows
 
     part, rank, ahead = (free_name(pieces, x) for x in ("part_", "rank_", "ahead_"))
-    pieces = pieces.withColumn(part, F.pmod(F.xxhash64("id", "piece"), F.lit(PARTS)).cast("int"))
+    pieces = pieces.withColumn(part, F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int"))
     sizes = pieces.groupBy(F.col("length").alias("l_"), F.col(part).alias("p_")).count()
     before = Window.partitionBy("l_").orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("l_", "p_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias(ahead))

@@ -714,6 +714,33 @@ def test_url_rules_and_propagation(spark):
     assert url_filter.judge(df.limit(0)).count() == 0 and url_filter.judge(df).count() == len(rows)
 
 
+def test_chat_facts_are_those_of_the_whole_text(spark):
+    """What formatted() takes from segments is what the grammar reads from a conversation's whole text."""
+    rng = random.Random(6)
+    bits = ["</s>[INST] ok [/INST]", "[INST]", "[/INST]", "</s>", "<s>", "\\", "🙂", " ", "\n", "plain words", "", "<<SYS>>", "<</SYS>>"]
+    rows = []
+    for conv in range(60):
+        for turn in range(rng.randrange(1, 7)):
+            rows.append((conv, turn, rng.choice(["system", "user", "assistant", "tool"]), "".join(rng.choices(bits, k=rng.randrange(5)))))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    segments = {}
+    for r in chat_format.formatted_turns(df).orderBy("conv", "turn").collect():
+        segments.setdefault(r["conv"], []).append((r["segment"], r["loss_begin"], r["loss_end"]))
+    facts = {r["conv_id"]: r for r in chat_format.formatted(df).collect()}
+    for conv, parts in segments.items():
+        whole = "".join(p for p, _, _ in parts)
+        turns = list(chat_format.parse(whole))
+        assert turns == [(r, t) for c, _, r, t in rows if c == conv]
+        learned, at = "", 0
+        for p, b, e in parts:
+            learned += chat_format.unescape(whole[at + b : at + e]) if b is not None else ""
+            at += len(p)
+        f = facts[conv]
+        assert (f["n_turns"], f["formatted_chars"], f["loss_chars"]) == (len(turns), len(whole), len(learned))
+        assert f["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert f["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
+
+
 def linked_hosts(seed):
     rng = random.Random(seed)
     edges = {(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}"): rng.randrange(1, 5) for _ in range(30)}
