@@ -33,11 +33,13 @@ def _paths(mid: str, end: str) -> str:
 
 @query(f"WITH {SEEDS} {_paths('src', 'dst')}", "papers")
 def cocitation(t) -> DataFrame:
+    t = t.stored()
     return G.co_cited(seeds(t), t.cites, t.papers).withColumn("damped", F.round("damped", 6))
 
 
 @query(f"WITH {SEEDS} {_paths('dst', 'src')}", "papers")
 def bib_coupling(t) -> DataFrame:
+    t = t.stored()
     return G.co_cited(seeds(t), t.cites, t.papers, False).withColumn("damped", F.round("damped", 6))
 
 
@@ -48,6 +50,7 @@ def direct_links(t) -> DataFrame:
 
 @query(f"WITH {HOP1}, s AS (SELECT node FROM seeds UNION SELECT nbr FROM h1) SELECT src, dst FROM cites WHERE src IN (SELECT node FROM s) AND dst IN (SELECT node FROM s)", "papers")
 def induced_edges(t) -> DataFrame:
+    t = t.stored()
     from ..operators.relational import in_scope
 
     nodes = seeds(t).union(G.expand(seeds(t), t.cites).select("nbr")).distinct()
@@ -57,6 +60,7 @@ def induced_edges(t) -> DataFrame:
 @query(f"WITH {HOP1}, f AS (SELECT node FROM seeds), c AS (SELECT DISTINCT nbr FROM h1) SELECT src, dst FROM cites WHERE (src IN (SELECT node FROM f) AND dst IN (SELECT nbr FROM c)) OR (dst IN (SELECT node FROM f) AND src IN (SELECT nbr FROM c))", "papers")
 def layer_edges(t) -> DataFrame:
     """Edges between two layers, in both directions."""
+    t = t.stored()
     f, c = seeds(t), G.expand(seeds(t), t.cites).select(C("nbr").alias("node")).distinct()
     side = lambda a, b: t.cites.join(a.withColumnRenamed("node", "src"), "src", "left_semi").join(b.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
     return side(f, c).union(side(c, f)).distinct()
@@ -83,12 +87,14 @@ s AS (SELECT r.node, coalesce(direct, 0) AS direct, coalesce(c.n, 0) AS cocite,
 
 @query(f"WITH {_niche_sql('logidf')} SELECT node, direct, cocite, bib, reach, round(niche, 6) AS niche FROM s", "papers")
 def niche_score(t) -> DataFrame:
+    t = t.stored()
     return G.niche_scores(seeds(t), t.cites, t.papers, NOW).withColumn("niche", F.round("niche", 6))
 
 
 @query(f"WITH {_niche_sql('assoc')}, l AS (SELECT s.* FROM s JOIN papers ON corpusid = node ORDER BY citationcount, node LIMIT 40) SELECT node, round(niche, 6) AS niche FROM l ORDER BY round(niche, 6) DESC, node LIMIT 10", "papers")
 def neighbors_niche(t) -> DataFrame:
     """The least cited pool first, then the best of it."""
+    t = t.stored()
     rows = G.niche_scores(seeds(t), t.cites, t.papers, NOW, norm="assoc").join(t.papers.select(C("corpusid").alias("node"), "citationcount"), "node")
     return rows.orderBy("citationcount", "node").limit(40).select("node", F.round("niche", 6).alias("niche")).orderBy(F.desc("niche"), "node").limit(10)
 
@@ -103,17 +109,20 @@ w AS (SELECT node, 0 AS hop, 0 AS hits, 0 AS citationcount FROM seeds UNION ALL
 
 @query(f"WITH {_walk_sql(None)} SELECT node, hop, hits FROM w", "papers")
 def bfs_walk(t) -> DataFrame:
+    t = t.stored()
     return G.walk(seeds(t), t.cites, t.papers, 2).select("node", "hop", "hits")
 
 
 @query(f"WITH {_walk_sql(HUB)} SELECT node, hop, hits, hop > 0 AND citationcount > {HUB} AS is_hub FROM w ORDER BY hop, hits DESC, node LIMIT 300", "papers")
 def api_walk(t) -> DataFrame:
     """Hubs are recorded but not expanded; the budget is by hop, then hits."""
+    t = t.stored()
     return G.walk(seeds(t), t.cites, t.papers, 2, hub=HUB).orderBy("hop", F.desc("hits"), "node").limit(300)
 
 
 @query(f"WITH {_walk_sql(None)} SELECT hop, count(*) AS n FROM w GROUP BY hop", "papers")
 def walk_by_hop(t) -> DataFrame:
+    t = t.stored()
     return G.walk(seeds(t), t.cites, t.papers, 2).groupBy("hop").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -122,6 +131,7 @@ c1 AS (SELECT b AS node FROM both_ JOIN papers ON corpusid = b WHERE a IN (SELEC
 c2 AS (SELECT b AS node FROM both_ JOIN papers ON corpusid = b WHERE a IN (SELECT node FROM c1) AND a <> b AND b NOT IN (SELECT node FROM seeds UNION ALL SELECT node FROM c1) GROUP BY b, citationcount ORDER BY count(DISTINCT a) / ln(2 + citationcount) DESC, b LIMIT 10)
 SELECT 1 AS hop, node FROM c1 UNION ALL SELECT 2, node FROM c2""", "papers")
 def beam_walk(t) -> DataFrame:
+    t = t.stored()
     return G.walk(seeds(t), t.cites, t.papers, 2, beam=10).filter("hop > 0").select("hop", "node")
 
 
@@ -133,12 +143,14 @@ f1 AS (SELECT DISTINCT dst AS node FROM cites WHERE src IN (SELECT node FROM kep
 b1 AS (SELECT DISTINCT src AS node FROM cites WHERE dst IN (SELECT node FROM kept) AND src IN (SELECT node FROM hubs)), b AS (SELECT node FROM b1 UNION SELECT src FROM cites WHERE dst IN (SELECT node FROM b1) AND src IN (SELECT node FROM hubs))
 SELECT node FROM f INTERSECT SELECT node FROM b""", "papers")
 def bridge_hubs(t) -> DataFrame:
+    t = t.stored()
     kept = t.papers.filter("corpusid % 20 = 0").select(C("corpusid").alias("node"))
     return G.bridge_hubs(kept, t.papers.filter(C("citationcount") > HUB - 4).select(C("corpusid").alias("node")), t.cites)
 
 
 @query(f"WITH {_walk_sql(None)} SELECT 'node' AS kind, node AS a, hop AS b FROM w WHERE hop < 2 UNION ALL SELECT 'edge', src, dst FROM cites WHERE src IN (SELECT node FROM w WHERE hop < 2) AND dst IN (SELECT node FROM w WHERE hop < 2)", "papers")
 def subgraph(t) -> DataFrame:
+    t = t.stored()
     from ..operators.relational import in_scope
 
     nodes = G.walk(seeds(t), t.cites, t.papers, 1)
@@ -149,6 +161,7 @@ def subgraph(t) -> DataFrame:
 @query(f"WITH {_walk_sql(None)} SELECT c.node, min(p.node) AS parent FROM w c JOIN both_ ON b = c.node JOIN w p ON p.node = a AND p.hop = c.hop - 1 WHERE c.hop > 0 GROUP BY c.node", "papers")
 def spanning_tree(t) -> DataFrame:
     """Each node under the least node one hop nearer."""
+    t = t.stored()
     nodes = G.walk(seeds(t), t.cites, t.papers, 2).select("node", "hop")
     child, parent = nodes.toDF("b", "child_hop"), nodes.toDF("a", "parent_hop")
     rows = G.undirected(t.cites).join(child, "b").join(parent, "a").filter("parent_hop = child_hop - 1")
@@ -157,6 +170,7 @@ def spanning_tree(t) -> DataFrame:
 
 @query(f"WITH {_walk_sql(None)} SELECT node, hop AS depth FROM w", "papers")
 def bfs_depth(t) -> DataFrame:
+    t = t.stored()
     return G.walk(seeds(t), t.cites, t.papers, 2).select("node", C("hop").alias("depth"))
 
 
@@ -165,6 +179,7 @@ d4 AS (SELECT DISTINCT b AS n FROM both_ WHERE a IN (SELECT n FROM d3)), d5 AS (
 SELECT goal, CASE WHEN goal = 1 THEN 0 WHEN goal IN (SELECT n FROM d1) THEN 1 WHEN goal IN (SELECT n FROM d2) THEN 2 WHEN goal IN (SELECT n FROM d3) THEN 3 WHEN goal IN (SELECT n FROM d4) THEN 4 WHEN goal IN (SELECT n FROM d5) THEN 5 WHEN goal IN (SELECT n FROM d6) THEN 6 ELSE -1 END AS length FROM g""", "papers")
 def shortest_path(t) -> DataFrame:
     """The length of a shortest path; the path itself is G.shortest_path's result."""
+    t = t.stored()
     goal = t.papers.agg(F.max("corpusid")).first()[0]
     path = G.shortest_path(t.cites, 1, goal)
     return t.spark.createDataFrame([(goal, len(path) - 1)], "goal long, length int")
@@ -210,6 +225,7 @@ SELECT corpusid, round(fwci, 6) AS fwci, max_h, n_authors, round(composite, 4) A
   CASE WHEN low THEN 'recent ' || label || ', unproven' WHEN composite >= 70 THEN 'established, ' || label || ', high field-normalized impact' WHEN composite >= 45 THEN label || ', moderate impact' ELSE label || ', low signal' END AS verdict FROM z""", "papers")
 def reliability(t) -> DataFrame:
     """Impact against the cohort of field, tier and age, venue, authors and references, as 0 to 100."""
+    t = t.stored()
     infl = t.cites.groupBy(C("dst").alias("corpusid")).agg(F.sum("infl").alias("infl"))
     refs = t.cites.groupBy(C("src").alias("corpusid")).agg(F.countDistinct("dst").alias("refs"))
     k = C("corpusid") % 3
@@ -255,6 +271,7 @@ def ingested_union(t) -> DataFrame:
 @query(f"WITH {_niche_sql('logidf')}, o AS (SELECT s.node, round(niche, 6) AS niche, reach, citationcount FROM s JOIN papers ON corpusid = node) SELECT node, niche, row_number() OVER (ORDER BY niche <= 0, niche DESC, reach DESC, citationcount DESC, node) AS rank FROM o QUALIFY rank <= 50", "papers")
 def niche_rank(t) -> DataFrame:
     """The fifty best candidates; papers without overlap come last, by reach."""
+    t = t.stored()
     scores = G.niche_scores(seeds(t), t.cites, t.papers, NOW).withColumn("niche", F.round("niche", 6)).join(t.papers.select(C("corpusid").alias("node"), "citationcount"), "node")
     best = scores.orderBy(*G.rank_order()).limit(50)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*G.rank_order())).cast("long")).select("node", "niche", "rank")  # of fifty rows
@@ -265,6 +282,7 @@ SELECT seed, 'graph TD' || chr(10) || '  N' || seed || '["' || s.label || '"]' |
 FROM k JOIN p s ON s.corpusid = seed JOIN p n ON n.corpusid = nbr GROUP BY seed, s.label""", "papers")
 def mermaid(t) -> DataFrame:
     """A seed and its ten first neighbours as the text of a diagram."""
+    t = t.stored()
     w = Window.partitionBy("seed").orderBy("nbr")
     edges = G.expand(seeds(t), t.cites).withColumn("n", F.row_number().over(w)).filter("n <= 10").drop("n")
     return G.diagrams(edges, t.papers.select("corpusid", "title"))
