@@ -276,9 +276,15 @@ def placed(pieces: DataFrame, planner: Callable[[np.ndarray, int], tuple[list[Ru
 
 
 def best_fit_pack(df: DataFrame, kind: str, path: str, end_id: int, room: int = ROOM, **names) -> DataFrame:
-    """Documents as pieces with their places, packed by fitted patterns and best fit for the rest."""
+    """Documents as pieces with their places, packed by fitted patterns and best fit for the rest.
+
+    Columns: the id, piece, start, length, ids_crc32, sequence_id, offset. An id column that is called like one of the
+    others gets underscores behind its name. Null texts are empty ones; rows with null or repeated ids are documents
+    like others; an empty table gives an empty one.
+    """
     pieces = materialised(token_pieces(df, kind, path, end_id, room, with_ids=False, **names), "pieces")
-    return placed(pieces, pattern_runs, room).withColumnRenamed("id", names.get("id_column", "doc_id"))
+    out = placed(pieces, pattern_runs, room)
+    return out.withColumnRenamed("id", free_name(out.drop("id"), names.get("id_column", "doc_id")))
 
 
 def packed_matrices(df: DataFrame, kind: str, path: str, end_id: int, pad_id: int, room: int = ROOM, pattern: str = "", **names) -> DataFrame:

@@ -314,6 +314,13 @@ def test_best_fit_packing(odd, none):
     assert packing.best_fit_pack(none, "word", WORD_FILE, 0).count() == 0
 
 
+def test_packing_of_clashing_columns(spark):
+    df = spark.createDataFrame([(5, "a b c", 1, 2), (6, None, 1, 2)], "length long, text string, id long, sequence_id long")
+    out = packing.best_fit_pack(df, "word", WORD_FILE, 0, id_column="length")
+    assert out.columns == ["length_", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sorted(r["length_"] for r in out.collect()) == [5, 6]
+
+
 def test_matrices_lose_nothing(odd, none):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     out = packing.packed_matrices(odd, "byte", path, 50256, 50256, 128, pattern).collect()
