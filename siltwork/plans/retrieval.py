@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..session import spread
 from .registry import query
 
 C = F.col
@@ -31,7 +32,7 @@ def vectors(t) -> DataFrame:
 
 
 def bm25(t, k: int = K) -> DataFrame:
-    return R.bm25(t.documents, questions(t), "doc_id", "text", k)
+    return R.bm25(spread(t.documents.select("doc_id", "text")), questions(t), "doc_id", "text", k)
 
 
 def dense(t, k: int = K) -> DataFrame:

@@ -40,6 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out evenly where it has fewer splits than there are cores, as a file of one row group has.
+
+    For work that costs more than moving its input; a large table has splits enough and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_top(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
