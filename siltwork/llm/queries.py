@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import chat_format, exact_dedup, mixing, mpeg_audio, packing, quality, simhash, url_filter, warc
 from .common import table
 from .oracles import ORACLES
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = mpeg_audio.stored(table(spark, sf_dir, "documents"))
+    facts = mpeg_audio.stored(texts(spark, sf_dir))
     names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature samples sample_rate frame_offsets"
     return facts.select(*names.split())
 
@@ -35,25 +40,24 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.linked(table(spark, sf_dir, "documents"))
+    return simhash.linked(texts(spark, sf_dir))
 
 
 def op6_token_matrices(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Byte-level ids, id 50256 after each document; it also pads."""
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.packed_matrices(table(spark, sf_dir, "documents"), "byte", path, 50256, 50256, pattern=public_tokenizers.PATTERN)
+    return packing.packed_matrices(texts(spark, sf_dir), "byte", path, 50256, 50256, pattern=public_tokenizers.PATTERN)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
-    packed = packing.best_fit_pack(table(spark, sf_dir, "documents"), "word", path, 0)
+    packed = packing.best_fit_pack(texts(spark, sf_dir), "word", path, 0)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(documents, table(spark, sf_dir, "labels"))
-    scores = quality.scored(documents, model).drop("text")
+    model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scores = quality.scored(texts(spark, sf_dir), model).drop("text")
     return scores.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
