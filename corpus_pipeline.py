@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltwork.llm import exact_dedup, mixing, packing, quality, simhash
 from siltwork.llm.common import materialised, table
+from siltwork.session import spread
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labels of docs outside the held-out quarter."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, score_column="quality_score_").filter(f"quality_score_ >= {quality.THRESHOLD}").select(docs.columns)
+    return quality.scored(spread(docs), model, score_column="quality_score_").filter(f"quality_score_ >= {quality.THRESHOLD}").select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of 0.8 or more similarity between five-word shingles stays."""
-    return simhash.near_dedup(docs)
+    return simhash.near_dedup(spread(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    packed = packing.best_fit_pack(docs, "word", public_tokenizers.path("word_bpe_49k.json"), 0)
+    packed = packing.best_fit_pack(spread(docs), "word", public_tokenizers.path("word_bpe_49k.json"), 0)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
