@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: White space of every word rule here: blank and the control characters 9 to 13 (fixed by the contracts).
 WHITE_SPACE = r"\x20\x09-\x0D"
@@ -22,22 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Only where the session has none (tests, a laptop) is a temporary one made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="siltwork-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
-    return path.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, name)
 
 
 def materialised(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
@@ -70,7 +54,20 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def _give_back() -> None:
+    """Freed memory to the system: a Python worker lives on for the next stages, which need their own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other libraries do without
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """df.mapInArrow with the package at hand."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
