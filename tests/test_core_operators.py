@@ -319,3 +319,12 @@ def paragraphs_by_hand(text, budget):
 @given(st.text(st.sampled_from("ab .\n"), max_size=120), st.integers(1, 9))
 def test_parents_by_hand(text, budget):
     assert list(chunking.parents(text, budget)) == paragraphs_by_hand(text, budget)
+
+
+def test_spread_only_few_splits(spark, tmp_path):
+    from siltwork.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    assert spread(spark.read.parquet(f"{tmp_path}/one")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100, numPartitions=50)
+    assert spread(many) is many
