@@ -897,6 +897,22 @@ def test_quality_on_held_out_labels(spark):
     assert right >= 0.97
 
 
+def test_hot_groups(spark):
+    """Three quarters of all rows share a fingerprint, a payload and a host."""
+    n = 4000
+    word = F.concat(F.lit("w"), F.xxhash64("id").cast("string"))
+    hot = F.col("id") % 4 > 0
+    text = F.when(hot, F.repeat(F.lit("the same words again "), 60)).otherwise(F.concat_ws(" ", word, F.reverse(word), F.repeat(word, 2), F.upper(word), F.repeat(F.lit("z"), 900)))
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(hot, "http://hot.org/fr/x").otherwise(F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".info/"))).alias("url"))
+    groups = {r["component_id"]: r["n"] for r in simhash.linked(rows).groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert groups[1] == n * 3 // 4 and sum(groups.values()) == n
+    pages = rows.select(F.col("doc_id").alias("page_id"), "url", F.col("text").alias("html"))
+    back = warc.read_archive(spark, warc.write_archive(pages)).groupBy("record_type", "refers_to").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {(r["record_type"], r["refers_to"]): r["n"] for r in back} == {("response", None): n // 4 + 1, ("revisit", str(n - 1)): n * 3 // 4 - 1}
+    judged = url_filter.judge(pages).groupBy("rule", "verdict").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {(r["rule"], r["verdict"]): r["n"] for r in judged} == {("org/fr/", "allow"): n * 3 // 4, (None, "allow"): n // 4}
+
+
 # --- queries and pipeline ---
 
 
