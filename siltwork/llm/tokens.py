@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-CACHE = 150_000  # some 35 MB in each worker
+CACHE = 400_000  # some 95 MB in each worker
 
 #: Latin letters whose lower case is one letter and which NFC leaves alone (fixed by Unicode)
 UPPER = "A-ZÀ-ÖØ-Þ"
