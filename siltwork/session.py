@@ -68,9 +68,22 @@ def shared_top(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share."""
-    return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder that all executors share; it goes with the application."""
+    path = f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
