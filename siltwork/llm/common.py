@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder, ship
+from ..session import delete, shared_folder, ship
 
 #: White space of every word rule here: blank and the control characters 9 to 13 (fixed by the contracts).
 WHITE_SPACE = r"\x20\x09-\x0D"
@@ -33,7 +33,16 @@ def materialised(df: DataFrame, name: str, partition_by: Iterable[str] = ()) ->
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_to_ = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing reads any more."""
+    path = getattr(df, "written_to_", None)
+    if path:
+        delete(df.sparkSession, path)
 
 
 def text_or_empty(column: str = "text") -> Column:

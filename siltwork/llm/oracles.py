@@ -108,4 +108,101 @@ FROM v LEFT JOIN s ON v.host = s.host
 """.replace("\\\\s", "\\s")
 
 
-ORACLES = {"op2_warc": OP2, "op3_url_filter": url_filter_sql(), "op9_mixing": OP9, "op10_exact_dedup": OP10}
+#: SQL has no CRC-32: its table (fixed by the polynomial), and crc(key) of ASCII text
+CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tbl
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def crc32(key: str) -> str:
+    byte = f"list_transform(range(1, length({key}) + 1), lambda i: ascii(substr({key}, i, 1))::BIGINT)"
+    return f"xor(4294967295, list_reduce([4294967295] || {byte}, lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])))"
+
+
+def repair_sql() -> str:
+    """Damage, faults, and the cheapest repairs from each state of (s?(ua)+)?, from the last row to the first.
+
+    A state's value is {cost, audit, lines}; those of START, SYSTEM, USER and ASSISTANT are v0 to v3.
+    """
+    after, step = (2, 2, 3, 2), {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    name = {2: "user", 3: "assistant"}
+    nl = "chr(10)"
+
+    def value(cost: str, audit: str, lines: str) -> str:
+        return f"{{'c': {cost}, 'a': {audit}, 'l': {lines}}}"
+
+    def row(q: int) -> str:
+        v, t = f"h.v{q}", f"h.v{after[q]}"
+        ways = [value(f"{v}.c + 4", f"'D' || {v}.a", f"{v}.l")]
+        line = lambda role, to: f"{role} || ':' || r.text || {nl} || h.v{to}.l"
+        sound = "r.fault IN ('ok', 'truncated')"
+        ways.append(f"CASE WHEN {sound} THEN {value(f'{t}.c + 3 + r.extra', f"'R' || {t}.a", line(f"'{name[after[q]]}'", after[q]))} END")
+        for initial, to in step[q].items():
+            ways.append(f"CASE WHEN {sound} AND r.initial = '{initial}' THEN {value(f'h.v{to}.c + r.extra', f"'K' || h.v{to}.a", line('r.role', to))} END")
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1] AS v{q}"
+
+    def inserted(of: str, q: int) -> str:
+        t = f"{of}.v{after[q]}"
+        more = value(f"{t}.c + 3", f"'I' || {t}.a", f"'{name[after[q]]}:' || {nl} || {t}.l")
+        return f"list_sort([{of}.v{q}, {more}])[1] AS v{q}"
+
+    all_of = lambda f: ", ".join(f(q) for q in range(4))
+    end = [value("0::BIGINT", "''", "''"), value("6::BIGINT", "'II'", f"'user:' || {nl} || 'assistant:' || {nl}"), value("3::BIGINT", "'I'", f"'assistant:' || {nl}"), value("0::BIGINT", "''", "''")]
+    last = f"right(rtrim(text, ' ' || chr(9) || {nl} || chr(11) || chr(12) || chr(13)), 1)"
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+x AS (SELECT conv_id, turn, role, text, {crc32('key')} % 20 AS x FROM k, crc_table),
+d AS (SELECT conv_id, turn, CASE x WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE x WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(range(CASE x WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM x WHERE x <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, {last} AS last FROM d),
+f AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i), '') || left(role, 1) AS two,
+             CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last IN ('.', '!', '?') THEN 'ok' ELSE 'truncated' END AS fault FROM n),
+r AS MATERIALIZED (SELECT *, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra FROM f),
+o AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (i > 1 AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+h AS (
+  SELECT conv_id, rows AS i, {", ".join(f"{v} AS v{q}" for q, v in enumerate(end))} FROM o
+  UNION ALL
+  SELECT conv_id, i, {all_of(lambda q: inserted("t", q))} FROM (
+    SELECT conv_id, i, {all_of(lambda q: inserted("s", q))} FROM (
+      SELECT h.conv_id, h.i - 1 AS i, {all_of(row)} FROM h JOIN r ON h.conv_id IS NOT DISTINCT FROM r.conv_id AND h.i = r.i) s) t),
+b AS (SELECT conv_id, v0 FROM h WHERE i = 0)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(v0.c, 0) AS cost, coalesce(v0.a, '') AS audit,
+       sha256(coalesce(left(v0.l, length(v0.l) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN o ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN b ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Lloyd's algorithm in whole numbers, all distances, a pair of views a round."""
+    steps = [f"""
+w AS (SELECT vec_id, label, list_transform(embedding, lambda c: greatest(-{1 << 28}, least({1 << 28}, floor({scale} * c::DOUBLE)))::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % {parts} = 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rank, first(len(v)) OVER (ORDER BY vec_id NULLS LAST, v) AS dims FROM w),
+x AS MATERIALIZED (SELECT rank, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM n, unnest(range({parts})) t(p) WHERE len(v) = dims),
+e0 AS MATERIALIZED (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY rank) - 1)::BIGINT AS e, x AS c FROM x QUALIFY e < {entries})"""]
+    for r in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rank, x.p, any_value(x) AS x, min({{'d': {far}, 'e': e}}) AS best FROM x JOIN e{r} USING (p) GROUP BY rank, x.p)")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT p, best.e AS e, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, unnest(range(1, len(x) + 1)) t(i) GROUP BY ALL),
+m{r} AS (SELECT p, e, list(((s - (s % n + n) % n) / n)::BIGINT ORDER BY i) AS c FROM (SELECT p, e, i, s::HUGEINT AS s, n::HUGEINT AS n FROM s{r}) GROUP BY p, e),
+e{r + 1} AS MATERIALIZED (SELECT o.p, o.e, coalesce(m.c, o.c) AS c FROM e{r} o LEFT JOIN m{r} m ON o.p = m.p AND o.e = m.e)""")
+    return "WITH" + ",\n".join(steps) + f""",
+y AS (SELECT rank, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY rank),
+g AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM e{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM y JOIN n USING (rank), g
+"""
+
+
+ORACLES = {
+    "op2_warc": OP2, "op3_url_filter": url_filter_sql(), "op9_mixing": OP9, "op10_exact_dedup": OP10,
+    "op12_conversation_repair": repair_sql(), "op13_vector_codes": vector_codes_sql(),
+}
