@@ -119,6 +119,43 @@ def crc32(key: str) -> str:
     return f"xor(4294967295, list_reduce([4294967295] || {byte}, lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])))"
 
 
+def kneser_ney_sql() -> str:
+    """Interpolated modified Kneser-Ney of pairs of tokens."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    ratio = "(n1 / (n1 + 2 * n2))"
+    each = {1: f"1 - 2 * {ratio} * n2 / n1", 2: f"2 - 3 * {ratio} * n3 / n2", 3: f"3 - 4 * {ratio} * n4 / n3"}
+    sound = "n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0 AND " + " AND ".join(f"{d} BETWEEN 0 AND {i}" for i, d in each.items())
+
+    def sizes(of: str) -> str:
+        have = ", ".join(f"(count(*) FILTER (c = {i}))::DOUBLE AS n{i}" for i in (1, 2, 3, 4))
+        some = ", ".join(f"CASE WHEN {sound} THEN {d} ELSE {fixed} END AS d{i}" for (i, d), fixed in zip(each.items(), (0.5, 1.0, 1.5)))
+        return f"SELECT *, {some} FROM (SELECT coalesce(sum(c), 0)::DOUBLE AS total, (count(*) FILTER (c > 2))::DOUBLE AS more, {have} FROM {of})"
+
+    def less(count: str, d: str) -> str:
+        return f"greatest({count} - CASE {count} WHEN 0 THEN 0 WHEN 1 THEN {d}.d1 WHEN 2 THEN {d}.d2 ELSE {d}.d3 END, 0)"
+
+    return f"""
+WITH {CRC_TABLE},
+k AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, row_number() OVER () AS r,
+             regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^{WS}]+') || [' >'] AS ws FROM documents),
+d AS MATERIALIZED (SELECT doc_id, r, ws, {crc32('key')} % 5 = 1 AS held_out FROM k, crc_table),
+t AS MATERIALIZED (SELECT r, held_out, unnest(ws) AS w, unnest([' <'] || ws[:-2]) AS v FROM d),
+u AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+z AS (SELECT coalesce(sum(c), 0)::BIGINT AS tokens, count(*) AS words FROM u),
+g AS MATERIALIZED (SELECT v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY ALL),
+b AS MATERIALIZED (SELECT w, count(*) AS c FROM g GROUP BY w),
+x AS MATERIALIZED (SELECT v, sum(c)::DOUBLE AS total, count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, count(*) FILTER (c > 2) AS more FROM g GROUP BY v),
+s1 AS MATERIALIZED ({sizes('b')}), s2 AS MATERIALIZED ({sizes('g')}),
+p AS (SELECT t.r, u.c, log10((coalesce(u.c, 0) + 0.5) / (z.tokens + 0.5 * (z.words + 1))) AS base,
+             CASE WHEN s1.total > 0 THEN {less('coalesce(b.c, 0)', 's1')} / s1.total + (s1.d1 * s1.n1 + s1.d2 * s1.n2 + s1.d3 * s1.more) / s1.total / (z.words + 1) ELSE 1 / (z.words + 1) END AS one,
+             x.total, {less('coalesce(g.c, 0)', 's2')} / x.total AS own, (s2.d1 * x.n1 + s2.d2 * x.n2 + s2.d3 * x.more) / x.total AS below
+      FROM t LEFT JOIN u USING (w) LEFT JOIN b USING (w) LEFT JOIN g USING (v, w) LEFT JOIN x USING (v), s1, s2, z),
+q AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, round(sum(base), 6) AS base_score,
+             round(sum(log10(CASE WHEN total > 0 THEN own + below * one ELSE one END)), 6) AS score FROM p GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, tokens AS train_tokens, base_score, score FROM d JOIN q USING (r), z
+"""
+
+
 def repair_sql() -> str:
     """Damage, faults, and the cheapest repairs from each state of (s?(ua)+)?, from the last row to the first.
 
@@ -204,5 +241,6 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 ORACLES = {
     "op2_warc": OP2, "op3_url_filter": url_filter_sql(), "op9_mixing": OP9, "op10_exact_dedup": OP10,
+    "op11_kneser_ney": kneser_ney_sql(),
     "op12_conversation_repair": repair_sql(), "op13_vector_codes": vector_codes_sql(),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import chat_format, conversation_repair, exact_dedup, mixing, mpeg_audio, packing, quality, simhash, url_filter, vector_codes, warc
+from . import chat_format, conversation_repair, exact_dedup, kneser_ney, mixing, mpeg_audio, packing, quality, simhash, url_filter, vector_codes, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -70,6 +70,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = texts(spark, sf_dir)
+    scores = kneser_ney.scored(documents, kneser_ney.fit(documents))
+    return scores.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
 
@@ -78,5 +84,5 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_warc, op3_url_filter, op4_chat_format, op5_simhash, op6_token_matrices, op7_best_fit_packing, op8_quality, op9_mixing, op10_exact_dedup, op12_conversation_repair, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_warc, op3_url_filter, op4_chat_format, op5_simhash, op6_token_matrices, op7_best_fit_packing, op8_quality, op9_mixing, op10_exact_dedup, op11_kneser_ney, op12_conversation_repair, op13_vector_codes)}
 ORACLE_SQL = ORACLES
