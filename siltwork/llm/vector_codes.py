@@ -78,7 +78,7 @@ def squared(x: np.ndarray, entry: np.ndarray) -> np.ndarray:
 def assign(x: np.ndarray, books: Codebooks, code: np.ndarray | None, bounds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Codes (row, part), bounds (row, part, upper then lower ones), exact squared distances where looked at (else -1), and how many were.
 
-    x is (row, part, component) in int64. Without code and bounds every entry is looked at.
+    x is (row, part, component) in int64. Without code and bounds all rows begin at entry 0, their distances unknown.
     """
     rows, parts, width = x.shape
     k = books.entries.shape[1]
