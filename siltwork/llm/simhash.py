@@ -8,16 +8,20 @@ than BUCKET members is keyed again by the bits that its members don't share yet,
 holds and loses no link.
 
 Similarity form (grouped): a longer fingerprint, whose share of differing bits estimates the angle between
-two sets of shingles and, with their sizes, the Jaccard similarity. Pairs meet in blocks of 24 bits; those
+two sets of shingles and, with their sizes, the Jaccard similarity. Pairs meet in blocks; those whose marks are near and
 whose Hamming distance says `similarity` - ROUGH or more are decided by the Jaccard similarity of their
-shingle hashes. With p differing bits in a hundred a pair shares one of the 170 blocks with probability
+shingle hashes. A block is as wide as keeps an average bucket below AVERAGE members, whatever the number of
+texts, and there are as many as find a pair at the similarity with the same chance: 24 bits and 170 blocks up to 5 * 10^8
+texts, 28 bits and 328 blocks up to 8 * 10^9. With p differing bits in a hundred a pair shares one of 170 blocks with probability
 1 - (1 - (1 - p/100)^24)^170: 0.96 at a similarity of 0.8, 0.998 at 0.85 and more above. Blocks are searched
 in rounds; what a round links counts as one member from then on.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, repeat
 
 import numpy as np
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, free_name, materialised, need
+from .common import arrow_map, discard, free_name, materialised, need
 from .components import components
 
 BUCKET = 1 << 16  # members that a task links at once
@@ -201,30 +205,50 @@ def linked(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 # --- similarity form ---
 
-WIDE = 4096
-BLOCK = 3  # bytes of a block
+WIDE = 4096  # bits of a transform
+AVERAGE = 32  # members of an average bucket at most
+LEAST_WIDTH = 24  # bits of a block
+CHANCE = 3.29  # expected number of blocks that a pair at the similarity shares: it shares none with probability exp(-CHANCE)
 MARK = 16  # bytes of a fingerprint, its last ones, that travel with a block's value
 FAR = 40  # differing bits of a mark beyond which two members aren't looked at: five standard deviations from a similarity of 0.8
-MARKED = 512  # members up to which a bucket's marks are compared
 MEETING = 1 << 14  # members that a task compares at once
 SHINGLES = 1 << 23  # and their shingles
 ROUGH = 0.05  # how far below the similarity an estimate may be of pairs that are looked at
 SLOTS = 1 << 22  # of a filter of nodes, which bounds what is broadcast
 ROUNDS = (1, 3, 12, 48)  # blocks searched in each round; the last round takes the others
 _H = np.array([[1.0 if (i & j).bit_count() % 2 == 0 else -1.0 for j in range(64)] for i in range(64)], dtype=np.float32)
-_FLIPS = np.random.default_rng(5).choice(np.array([-1.0, 1.0], dtype=np.float32), size=(2, WIDE))
 
 
-def wide_bits(counts: np.ndarray) -> np.ndarray:
-    """Signs of WIDE pseudo-random projections of each row, packed: two Hadamard transforms with sign flips."""
-    x = counts.astype(np.float32)
-    for flip in _FLIPS:
-        x = (_H @ (x * flip).reshape(-1, 64, 64) @ _H).reshape(-1, WIDE) / 64
-    return np.packbits(x > 0, axis=1)
+@dataclass(frozen=True)
+class Shape:
+    """Bits of a block, number of blocks, bits of a fingerprint."""
 
+    width: int
+    blocks: int
+    wide: int
 
-def wide_fingerprints(df: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """id, node (a hash of the shingle set), n (distinct shingles, at least 1), bits (WIDE / 8 bytes), part (a hash of the text) and the set's sorted hashes."""
+
+def shape(texts: int, similarity: float = 0.8) -> Shape:
+    """Blocks so wide that `texts` fingerprints make buckets of AVERAGE members at most, and so many that CHANCE holds."""
+    width = max(LEAST_WIDTH, 4 * math.ceil(math.log2(max(1, texts) / AVERAGE) / 4))
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi  # of a bit
+    blocks = math.ceil(CHANCE / agree**width)
+    return Shape(width, blocks, WIDE * -(-blocks * width // WIDE))
+
+
+def wide_bits(counts: np.ndarray, wide: int = WIDE) -> np.ndarray:
+    """Signs of `wide` pseudo-random projections of each row, packed: two Hadamard transforms with sign flips for each WIDE."""
+    out = []
+    for g in range(wide // WIDE):
+        x = counts.astype(np.float32)
+        for flip in np.random.default_rng(5 + g).choice(np.array([-1.0, 1.0], dtype=np.float32), size=(2, WIDE)):
+            x = (_H @ (x * flip).reshape(-1, 64, 64) @ _H).reshape(-1, WIDE) / 64
+        out.append(np.packbits(x > 0, axis=1))
+    return np.concatenate(out, axis=1)
+
+
+def wide_fingerprints(df: DataFrame, id_column: str, text_column: str, words: int, wide: int = WIDE) -> DataFrame:
+    """id, node (a hash of the shingle set), n (distinct shingles, at least 1), bits (wide / 8 bytes), part (a hash of the text) and the set's sorted hashes."""
     need(df, id_column, text_column)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     source = df.select(F.col(id_column).alias("id"), text.cast("binary").alias("t"), F.xxhash64(text).alias("part"))
@@ -240,7 +264,7 @@ def wide_fingerprints(df: DataFrame, id_column: str, text_column: str, words: in
                     sets.append(h.tobytes())
                     sign = (h >> np.uint64(12) & np.uint64(1)).astype(np.float32) * 2 - 1
                     counts[i] = np.bincount((h & np.uint64(WIDE - 1)).astype(np.int64), sign, WIDE)
-                bits = [b.tobytes() for b in wide_bits(counts)]
+                bits = [b.tobytes() for b in wide_bits(counts, wide)]
                 node = np.array([xxhash.xxh64_intdigest(s) for s in sets], dtype=np.uint64).view(np.int64)
                 columns = [batch.column(0), pa.array(node), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), batch.column(2), pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "bits", "part", "shingles"])
@@ -248,9 +272,9 @@ def wide_fingerprints(df: DataFrame, id_column: str, text_column: str, words: in
     return arrow_map(source, run, f"id {source.dtypes[0][1]}, node long, n long, bits binary, part long, shingles binary")
 
 
-def jaccard(distance: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def jaccard(distance: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, wide: int = WIDE) -> np.ndarray:
     """The similarity of two sets of n_a and n_b shingles at a Hamming distance."""
-    shared = np.cos(np.pi * distance / WIDE) * np.sqrt(n_a * n_b)
+    shared = np.cos(np.pi * distance / wide) * np.sqrt(n_a * n_b)
     return shared / np.maximum(n_a + n_b - shared, 1e-9)
 
 
@@ -266,41 +290,58 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
-def block_keys(piece: np.ndarray, first: int) -> np.ndarray:
-    """Rows of bytes as rows of block values, the block's number, from first on, above them."""
-    cut = piece.reshape(len(piece), -1, BLOCK).astype(np.int64)
-    return cut @ (1 << 8 * np.arange(BLOCK, dtype=np.int64)) | np.arange(first, first + cut.shape[1], dtype=np.int64) << 8 * BLOCK
+def block_keys(piece: np.ndarray, first: int, width: int = LEAST_WIDTH, skip: int = 0) -> np.ndarray:
+    """Rows of bytes, from bit `skip` on, as rows of values of blocks, the block's number, from first on, above them."""
+    bits = np.unpackbits(piece, axis=1)[:, skip:]
+    count = bits.shape[1] // width
+    cut = np.packbits(bits[:, : count * width].reshape(len(piece), count, width), axis=2).astype(np.int64)
+    size = cut.shape[2]
+    return cut @ (1 << 8 * np.arange(size, dtype=np.int64)) | np.arange(first, first + count, dtype=np.int64) << 8 * size
+
 
+def _near(mark: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether marks, rows of two words without the byte of the number of shingles, are near."""
+    return np.bitwise_count(mark ^ other).sum(axis=-1, dtype=np.int64) <= FAR
 
-def grouped(marks: DataFrame, similarity: float = 0.8) -> DataFrame:
+
+def grouped(marks: DataFrame, similarity: float = 0.8, form: Shape | None = None) -> DataFrame:
     """(node, grp) of the nodes of marks (materialised wide_fingerprints) that links tie to a smaller node, grp the smallest.
 
     Blocks are searched in rounds of ROUNDS blocks, and what a round links is contracted before the next one
     looks: a bucket whose members are of one group gives nothing, one of g groups at most g - 1 links between
     groups. So a family of m documents costs some m rows and not its pairs.
     """
-    whole = WIDE // 8 // BLOCK
+    form = form or shape(0, similarity)
     nodes = marks.groupBy("node").agg(F.first("bits").alias("bits"), F.max("n").alias("n"))
     # two different sets, the smaller one of n shingles, are n / (n + 1) similar at most
     nodes = materialised(nodes.filter(F.col("n") >= F.lit(float(similarity)) * (F.col("n") + 1) - 1e-9), "nodes")
     groups, start = None, 0
-    for step in (*ROUNDS, whole):
-        blocks = range(start, min(start + step, whole))
+    for step in (*ROUNDS, form.blocks):
+        blocks = range(start, min(start + step, form.blocks))
         start = blocks.stop
         if not blocks:
             break
-        members = materialised(_members(nodes, groups, blocks), "members")
-        groups = _contracted(groups, _linked(marks, members, similarity, False))
+        members = materialised(_dealt(_keyed(nodes, groups, blocks, form)), "members")
+        before = groups
+        groups = _contracted(groups, _linked(marks, members, similarity, form, False))
         large = members.filter("part is not null")
         if large.limit(1).count():  # so far each part has met the first one only
             now = groups.toDF("g_node", "now")
-            large = large.join(now, F.col("node") == F.col("g_node"), "left").select("key", "part", "node", F.coalesce("now", "node").alias("grp"))
-            groups = _contracted(groups, _linked(marks, materialised(large, "members"), similarity, True))
+            large = large.join(now, F.col("node") == F.col("g_node"), "left").withColumn("grp", F.coalesce("now", "node")).select(members.columns)
+            left = materialised(_dealt(_left(large)), "members")
+            after = _contracted(groups, _linked(marks, left, similarity, form, True))
+            discard(left)
+            discard(groups)
+            groups = after
+        discard(members)
+        if before is not None:
+            discard(before)
+    discard(nodes)
     return groups
 
 
 def _contracted(groups: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """groups after edges (a, b) between groups."""
+    """groups after edges (a, b) between groups, written."""
     of = components(edges)
     new = of.filter("node <> component").toDF("node", "grp")
     if groups is not None:
@@ -310,15 +351,11 @@ def _contracted(groups: DataFrame | None, edges: DataFrame) -> DataFrame:
     return materialised(new, "groups")
 
 
-def _members(nodes: DataFrame, groups: DataFrame | None, blocks: range) -> DataFrame:
-    """key, part, node, grp of the members of buckets of several groups.
-
-    Members whose marks are far from those of all other groups in their bucket are left out. part is null but in
-    a bucket that is too large for one task; two parts of it together have MEETING members and SHINGLES
-    shingles at most, or a part has one member.
-    """
-    piece = F.substring("bits", blocks.start * BLOCK + 1, len(blocks) * BLOCK)
-    source = nodes.select("node", piece.alias("piece"), F.substring("bits", WIDE // 8 - MARK + 1, MARK).alias("mark"), "n")
+def _keyed(nodes: DataFrame, groups: DataFrame | None, blocks: range, form: Shape) -> DataFrame:
+    """key, node, grp, mark0, mark1 of each node in each block."""
+    begin, end = blocks.start * form.width // 8, -(-blocks.stop * form.width // 8)
+    skip = blocks.start * form.width - 8 * begin
+    source = nodes.select("node", F.substring("bits", begin + 1, end - begin).alias("piece"), F.substring("bits", form.wide // 8 - MARK + 1, MARK).alias("mark"), "n")
     if groups is None:
         source = source.withColumn("grp", F.col("node"))
     else:
@@ -328,13 +365,45 @@ def _members(nodes: DataFrame, groups: DataFrame | None, blocks: range) -> DataF
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                k = block_keys(_bytes(part.column(1), len(blocks) * BLOCK), blocks.start)
+                k = block_keys(_bytes(part.column(1), end - begin), blocks.start, form.width, skip)
                 mark = _bytes(part.column(2), MARK).copy()
                 mark[:, -1] = np.ceil(8 * np.log2(part.column(3).to_numpy()))  # the last byte says the number of shingles
                 mark = mark.view(np.int64)
                 columns = [part.column(0).to_numpy(), part.column(4).to_numpy(), mark[:, 0], mark[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *(pa.array(np.repeat(c, k.shape[1])) for c in columns)], names=["key", "node", "grp", "mark0", "mark1"])
 
+    return arrow_map(source, keys, "key long, node long, grp long, mark0 long, mark1 long")
+
+
+NO_COUNT = np.array([~np.uint64(0), np.uint64((1 << 56) - 1)])
+
+
+def _near_another_group(table: np.ndarray) -> np.ndarray:
+    """Which rows (key, node, grp, mark0, mark1), sorted by key, have one of another group in their bucket whose mark is near."""
+    new = np.flatnonzero(np.diff(table[:, 0])) + 1
+    starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(table)]])
+    apart = np.minimum.reduceat(table[:, 2], starts) != np.maximum.reduceat(table[:, 2], starts)
+    end = np.repeat(ends, ends - starts)
+    mark = np.ascontiguousarray(table[:, 3:]).view(np.uint64) & NO_COUNT
+    keep = np.zeros(len(table), dtype=bool)
+    at = np.flatnonzero(np.repeat(apart, ends - starts))
+    for d in range(1, int((ends - starts).max())):
+        at = at[at + d < end[at]]
+        if not len(at):
+            break
+        near = _near(mark[at], mark[at + d]) & (table[at, 2] != table[at + d, 2])
+        keep[at[near]] = keep[at[near] + d] = True
+    return keep
+
+
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """key, part, node, grp, mark0, mark1 of the members of buckets of several groups.
+
+    Members whose marks are far from those of all other groups in their bucket are left out. part is null but in
+    a bucket that is too large for one task; two parts of it together have MEETING members and SHINGLES
+    shingles at most, or a part has one member.
+    """
+
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 5), dtype=np.int64)
         over, before = None, 0.0  # the key of a bucket of several parts, and the weight of what it has given
@@ -344,28 +413,14 @@ def _members(nodes: DataFrame, groups: DataFrame | None, blocks: range) -> DataF
             return np.maximum(n * 2 / SHINGLES, 2 / MEETING)
 
         def out(table: np.ndarray, part: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), part, pa.array(table[:, 1]), pa.array(table[:, 2])], names=["key", "part", "node", "grp"])
+            return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), part, *(pa.array(table[:, c]) for c in range(1, 5))], names=["key", "part", "node", "grp", "mark0", "mark1"])
 
         def parts(table: np.ndarray, before: float) -> pa.RecordBatch:
             w = weight(table)
             return out(table, pa.array((before + np.cumsum(w) - w).astype(np.int64)))
 
         def several(table: np.ndarray) -> pa.RecordBatch:
-            new = np.flatnonzero(np.diff(table[:, 0])) + 1
-            starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(table)]])
-            size = np.repeat(ends - starts, ends - starts)
-            end = np.repeat(ends, ends - starts)
-            mark = np.ascontiguousarray(table[:, 3:]).view(np.uint64) & np.array([~np.uint64(0), np.uint64((1 << 56) - 1)])
-            keep = np.zeros(len(table), dtype=bool)
-            at = np.flatnonzero((size > 1) & (size <= MARKED))
-            for d in range(1, MARKED):
-                at = at[at + d < end[at]]
-                if not len(at):
-                    break
-                near = (np.bitwise_count(mark[at] ^ mark[at + d]).sum(axis=1, dtype=np.int64) <= FAR) & (table[at, 2] != table[at + d, 2])
-                keep[at[near]] = keep[at[near] + d] = True
-            for s, e in zip(starts[ends - starts > MARKED], ends[ends - starts > MARKED]):
-                keep[s:e] = (table[s:e, 2] != table[s, 2]).any()
+            keep = _near_another_group(table)
             return out(table[keep], pa.nulls(int(keep.sum()), pa.int64()))
 
         for batch in batches:
@@ -390,11 +445,46 @@ def _members(nodes: DataFrame, groups: DataFrame | None, blocks: range) -> DataF
         if len(held):
             yield several(held)
 
-    keyed = arrow_map(source, keys, "key long, node long, grp long, mark0 long, mark1 long")
-    return arrow_map(keyed.repartition("key").sortWithinPartitions("key"), meeting, "key long, part long, node long, grp long")
+    return arrow_map(keyed.repartition("key").sortWithinPartitions("key"), meeting, "key long, part long, node long, grp long, mark0 long, mark1 long")
+
+
+def _meetings(large: DataFrame, all_parts: bool) -> DataFrame:
+    """Members of buckets of several parts and groups, once for each part they meet: the first one, or with all_parts each other."""
+    several = large.groupBy(F.col("key").alias("s_key")).agg(F.max("part").alias("last"), (F.min("grp") != F.max("grp")).alias("apart")).filter("apart")
+    others = F.expr("filter(sequence(0L, greatest(last, 1L)), x -> x <> part)") if all_parts else F.expr("if(part > 0, array(0L), sequence(1L, greatest(last, 1L)))")
+    rows = large.join(several, F.col("key") == F.col("s_key")).withColumn("with", F.explode(others))
+    return rows.select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "node", "grp", "mark0", "mark1")
+
+
+def _left(large: DataFrame) -> DataFrame:
+    """Of large buckets, what any two parts leave of each other by their marks; rows of five numbers meet, no fingerprints."""
 
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 7), dtype=np.int64)
 
-def _linked(marks: DataFrame, members: DataFrame, similarity: float, all_parts: bool) -> DataFrame:
+        def end(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cut = [0, *(np.flatnonzero(np.any(table[1:, :3] != table[:-1, :3], axis=1)) + 1).tolist(), len(table)]
+            for s, e in zip(cut, cut[1:]):
+                if s < e:
+                    own = table[s:e][:, [0, 3, 4, 5, 6]]
+                    own = own[_near_another_group(own)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[:, c]) for c in range(5)], names=["key", "node", "grp", "mark0", "mark1"])
+
+        for batch in batches:
+            table = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(7)], axis=1)])
+            if not len(table):
+                continue
+            others = np.flatnonzero(np.any(table[:, :3] != table[-1, :3], axis=1))
+            begin = int(others[-1]) + 1 if len(others) else 0
+            yield from end(table[:begin])
+            held = table[begin:]
+        yield from end(held)
+
+    meet = _meetings(large, True).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return arrow_map(meet, test, "key long, node long, grp long, mark0 long, mark1 long").distinct()
+
+
+def _linked(marks: DataFrame, members: DataFrame, similarity: float, form: Shape, all_parts: bool) -> DataFrame:
     """Links (a, b) between groups, a the smaller, that connect a bucket's groups as all its similar pairs would.
 
     Parts of a large bucket meet the first one, or with all_parts each other.
@@ -407,7 +497,8 @@ def _linked(marks: DataFrame, members: DataFrame, similarity: float, all_parts:
         def end() -> Iterator[pa.RecordBatch]:
             group = np.concatenate([h.column(3).to_numpy() for h in held])
             n = np.concatenate([h.column(5).to_numpy() for h in held]).astype(float)
-            bits = np.concatenate([_bytes(h.column(4), WIDE // 8) for h in held]).view(np.uint64)
+            bits = np.concatenate([_bytes(h.column(4), form.wide // 8) for h in held]).view(np.uint64)
+            mark = bits[:, -2:] & NO_COUNT
             sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for h in held for s in h.column(6)]
             held.clear()
             left = np.arange(len(group))
@@ -418,7 +509,7 @@ def _linked(marks: DataFrame, members: DataFrame, similarity: float, all_parts:
                     at, front = front[0][0], [front[0][1:], *front[1:]] if len(front[0]) > 1 else front[1:]
                     distance = np.bitwise_count(bits[left] ^ bits[at]).sum(axis=1, dtype=np.int64)
                     found: set[int] = set()
-                    for i in left[jaccard(distance, n[left], n[at]) >= similarity - ROUGH]:
+                    for i in left[_near(mark[left], mark[at]) & (jaccard(distance, n[left], n[at], form.wide) >= similarity - ROUGH)]:
                         if int(group[i]) not in found and alike(sets[at], sets[i], similarity):
                             found.add(int(group[i]))
                     if found:
@@ -445,11 +536,7 @@ def _linked(marks: DataFrame, members: DataFrame, similarity: float, all_parts:
         if held:
             yield from end()
 
-    large = members.filter("part is not null")
-    several = large.groupBy("key").agg(F.max("part").alias("last"), (F.min("grp") != F.max("grp")).alias("apart")).filter("apart").withColumnRenamed("key", "s_key")
-    others = F.expr("filter(sequence(0L, greatest(last, 1L)), x -> x <> part)") if all_parts else F.expr("if(part > 0, array(0L), sequence(1L, greatest(last, 1L)))")
-    large = large.join(several, F.col("key") == F.col("s_key")).withColumn("with", F.explode(others))
-    large = large.select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "node", "grp")
+    large = _meetings(members.filter("part is not null"), all_parts).drop("mark0", "mark1")
     zero = F.lit(0).cast("long")
     meet = members.filter("part is null").select("key", zero.alias("low"), zero.alias("high"), "node", "grp").union(large)
     # what the members at hand hold: a filter of fixed size keeps most others out of the shuffle
@@ -468,8 +555,9 @@ def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     words are alike. Rows with equal id and text count as one document and stay together: remove exact
     copies first. Columns are those of df.
     """
-    marks = materialised(wide_fingerprints(df, id_column, text_column, words), "wide-fingerprints")
-    of = grouped(marks, similarity).toDF("g_node", "grp")
+    form = shape(df.count(), similarity)
+    marks = materialised(wide_fingerprints(df, id_column, text_column, words, form.wide), "wide-fingerprints")
+    of = grouped(marks, similarity, form).toDF("g_node", "grp")
     rows = marks.select("id", "part", "node").join(of, F.col("node") == F.col("g_node"), "left")
     rows = rows.withColumn("group", F.coalesce("grp", "node"))
     best = F.min(F.struct(F.col("id").isNull(), "id", "part")).alias("best")

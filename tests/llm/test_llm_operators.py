@@ -464,7 +464,6 @@ def test_near_dedup_finds_similar_texts(spark, odd, none):
 
 def test_near_dedup_of_a_large_family(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MEETING", 30)
-    monkeypatch.setattr(simhash, "MARKED", 4)
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
     rows = []
@@ -486,9 +485,8 @@ def test_near_dedup_keeps_distinct_short_texts(spark):
 
 def test_near_dedup_of_interleaved_families_in_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MEETING", 16)
-    monkeypatch.setattr(simhash, "MARKED", 4)
     monkeypatch.setattr(simhash, "ROUNDS", (1, 999))
-    monkeypatch.setattr(simhash, "block_keys", lambda piece, first: np.full((len(piece), 1), first, dtype=np.int64))  # one bucket of all
+    monkeypatch.setattr(simhash, "block_keys", lambda piece, first, *rest: np.full((len(piece), 1), first, dtype=np.int64))  # one bucket of all
     rng = random.Random(9)
     bases = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(30)]
     rows = []
