@@ -2,19 +2,21 @@
 
 Sampled splitters (Spark's range partitioner) deal the rows out by the leading bytes of the normalised
 text; each partition sorts by the whole normalised text, so equal texts become neighbours, and the window
-operator compares neighbours in full. Nothing is decided by a digest alone.
+operator compares neighbours in full. Only copies of heavy texts, below, are told by a digest.
 
 A text that holds a large share of the rows would fill one partition, and so would many texts with the
 same opening. A sample of DRAWN rows for each partition names such openings and texts: one of an eighth of a
 partition's rows is drawn HEAVY times on average, and there are never more than 8 of each for each
 partition, which bounds what is broadcast. Rows under a heavy opening are salted by their content, and copies of a
-heavy text, known by its SHA-256, by their id, over as many parts as there are partitions; the keeper of a
+heavy text, known by its SHA-256, by all their columns, over as many parts as there are partitions; the keeper of a
 heavy text comes from an aggregation over its digest, which combines copies before the shuffle. All other
 texts are compared in full. The sample only steers the layout: results don't depend on it.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,8 +75,10 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
         rows = rows.withColumn(h, F.when(F.col(ho).isNotNull(), F.sha2(normalised(text), 256)))
         return rows.join(known("d", hd), F.col(h) == F.col(hd), "left")
 
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    laid = marked(df).withColumn(s, F.when(F.col(hd).isNotNull(), salt(id_column)).when(F.col(ho).isNotNull(), salt(h)).otherwise(0)).repartitionByRange(o, s)
+    salt = lambda *c: F.pmod(F.xxhash64(*c), F.lit(parts)).cast("int")
+    own = [c for c, kind in df.dtypes if not re.search("map<|variant", kind)]  # copies with null or equal ids still differ in others
+    salted = F.when(F.col(hd).isNotNull(), salt(*own)).when(F.col(ho).isNotNull(), salt(h)).otherwise(0)
+    laid = marked(df).withColumn(s, salted).repartitionByRange(o, s)
     laid = laid.withColumn(n, normalised(text))
     run = Window.partitionBy(o, s, n)
     first = run.orderBy(F.col(id_column).asc_nulls_last())
@@ -86,17 +90,21 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     })
     # copies of a heavy text are in several windows; its keeper is the least of all
     g, least, size = (free_name(df, x) for x in ("group_", "least_", "size_"))
-    whole = marked(df.select(id_column, text_column)).filter(F.col(hd).isNotNull()).groupBy(F.col(hd).alias(g)).agg(F.min(id_column).alias(least), F.count(F.lit(1)).alias(size))
+    place = F.struct(F.col(id_column).isNull(), F.col(id_column).alias("id"), F.col(s).alias("salt"))
+    whole = marked(df).withColumn(s, salted).filter(F.col(hd).isNotNull()).groupBy(F.col(hd).alias(g)).agg(F.min(place).alias(least), F.count(F.lit(1)).alias(size))
     out = out.join(F.broadcast(whole), F.col(hd) == F.col(g), "left")  # a short row for each heavy text
     split = F.col(g).isNotNull()
     out = out.withColumns({
-        "kept": F.when(split, F.col("kept") & F.col(id_column).eqNullSafe(F.col(least))).otherwise(F.col("kept")),
-        "keep_id": F.when(split, F.col(least)).otherwise(F.col("keep_id")),
+        "kept": F.when(split, F.col("kept") & F.col(id_column).eqNullSafe(F.col(least)["id"]) & (F.col(s) == F.col(least)["salt"])).otherwise(F.col("kept")),
+        "keep_id": F.when(split, F.col(least)["id"]).otherwise(F.col("keep_id")),
         "group_size": F.when(split, F.col(size)).otherwise(F.col("group_size")),
     })
     return out.drop(o, s, n, h, ho, hd, g, least, size)
 
 
 def first_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of df that exact_dedup keeps, with df's own columns."""
-    return exact_dedup(df, id_column, text_column).filter("kept").select(df.columns)
+    """The rows of df that exact_dedup keeps, with df's own columns, whatever their names."""
+    need(df, id_column, text_column)
+    own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    kept = exact_dedup(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), own), "id", "text").filter("kept")
+    return kept.select(*(F.col("row")[c].alias(c) for c in df.columns))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import WHITE_SPACE, WORD, free_name, materialised, need, text_or_empty
 
+TOGETHER = 10_000  # of rows that are alike, made by one task in a row
 RANGE_ROWS = 50_000  # rows that a range of the largest possible source may have
 LEAST_DIGITS = 3  # leading hex digits of the key that name a range, at least
 
@@ -80,20 +81,34 @@ def mix(
     rows = df.select(
         F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(text_or_empty(text_column)).alias("size"), _key(id_column, text_column, seed).alias("key")
     )
-    out = _taken(materialised(rows, "mix-sizes"), weights, max_epochs)  # slim, and the text is read once
+    # rows of equal source, key, id and size are one row with their number, however many they are
+    alike = rows.groupBy("source", "key", "id", "size").agg(F.count(F.lit(1)).alias("n"))
+    alike = materialised(alike, "mix-sizes")  # slim, and the text is read once
+    out = _taken(alike, weights, max_epochs)
+    many = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {TOGETHER}"))).alias("block")
+    blocks = out.select("id", "source", "size", "source_size", "target", "budget", "n", "epochs", "rest", many)
+    if (alike.agg(F.max("n")).first()[0] or 0) > TOGETHER:
+        blocks = blocks.repartition("id", "source", "block")
+    each = F.explode(F.sequence(F.col("block") * TOGETHER, F.least(F.col("n"), (F.col("block") + 1) * TOGETHER) - 1)).alias("place")
+    out = blocks.select("*", each).withColumn("taken", _share(F.col("rest") - F.col("place") * F.col("size")))
     return out.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", "budget", "taken")
 
 
+def _share(rest: Column) -> Column:
+    """Words taken of a row of size `size` that has `rest` words left in the last epoch."""
+    return F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
+
+
 def _key(id_column: str, text_column: str, seed: int) -> Column:
     text = F.concat(F.lit("null:"), F.md5(text_or_empty(text_column)))
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_column).cast("string"), text)))
 
 
 def _taken(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
-    """Materialised rows(id, source, size, key, ...) with source_size, target, budget and taken."""
+    """Materialised rows(id, source, size, n, key, ...) with source_size, target, budget, epochs and rest, what is left for the first of n rows."""
     digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, rows.count() / RANGE_ROWS), 16)))  # changes the layout only
     rows = rows.withColumn("range", F.substring("key", 1, digits))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    sums = rows.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("n")).alias("range_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs)
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sums.withColumn("ahead", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)))
@@ -102,12 +117,34 @@ def _taken(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFr
     ranges = ranges.withColumnsRenamed({"source": "r_source", "range": "r_range"})
 
     inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range")))
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0)
     rest = F.col("budget") - epochs * F.col("source_size") - F.col("ahead") - F.col("inside")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return rows.withColumn("taken", taken).drop("key", "range", "inside", "ahead", "r_source", "r_range")
+    return rows.withColumns({"epochs": epochs, "rest": rest}).drop("key", "range", "inside", "ahead", "r_source", "r_range")
+
+
+ALIKE = ("source", "key", "id", "size")
+
+
+def _numbered(slim: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """Materialised slim(row, source, key, id, size) with epochs, rest and place, the row's number among those that are alike.
+
+    The numbers come from those inside each task that made the rows (the upper bits of row) and prefix sums over the tasks.
+    """
+    alike = materialised(slim.groupBy(*ALIKE).agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
+    out = _taken(alike.withColumn("a_key", F.col("key")), weights, max_epochs)
+    out = out.select("n", "epochs", "rest", *(F.col("a_key" if c == "key" else c).alias(f"a_{c}_") for c in ALIKE))
+    same = lambda mark: [F.col(c).eqNullSafe(F.col(f"{mark}_{c}_")) for c in ALIKE]
+    rows = slim.join(out, same("a")).select("row", *ALIKE, "n", "epochs", "rest")
+    many = rows.filter("n > 1").withColumn("task", F.shiftright("row", 33))
+    counts = many.groupBy(*ALIKE, "task").count()
+    before = Window.partitionBy(*ALIKE).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"), F.col("task").alias("c_task"), *(F.col(c).alias(f"c_{c}_") for c in ALIKE))
+    inside = F.row_number().over(Window.partitionBy(*ALIKE, "task").orderBy("row")) - 1
+    many = many.withColumn("inside", inside).join(counts, [*same("c"), F.col("task") == F.col("c_task")])
+    names = ["row", "size", "epochs", "rest"]
+    return rows.filter("n = 1").select(*names, F.lit(0).cast("long").alias("place")).union(many.select(*names, (F.col("inside") + F.col("before")).alias("place")))
 
 
 def mixed_rows(
@@ -125,7 +162,7 @@ def mixed_rows(
     own = df.withColumns({r: F.monotonically_increasing_id(), z: word_count(text_or_empty(text_column)), k: _key(id_column, text_column, seed)})
     own = materialised(own, "mix-rows")
     slim = own.select(F.col(r).alias("row"), F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.col(z).alias("size"), F.col(k).alias("key"))
-    takes = _taken(slim, weights, max_epochs).filter("taken > 0").select(F.col("row").alias(r), F.col("taken").alias(words))
+    takes = _numbered(slim, weights, max_epochs).withColumn("taken", _share(F.col("rest") - F.col("place") * F.col("size"))).filter("taken > 0").select(F.col("row").alias(r), F.col("taken").alias(words))
     rows = own.drop(k).join(takes, r)
     whole, part = F.expr(f"`{words}` div `{z}`"), F.col(words) % F.col(z)
     shares = F.concat(F.array_repeat(F.col(z), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))

@@ -3,8 +3,8 @@
 Only lengths matter to a packing, and there are at most `room` of them, so the plan is made on the driver
 from the histogram of lengths, whose size doesn't depend on the corpus. A plan is a list of runs: the
 documents of one length with ranks from `rank` on go, one each, into the sequences from `sequence` on, at
-the same offset. Ranks come from a distributed prefix sum; a length with a third of all rows is spread
-over PARTS groups or more.
+the same offset. Each task numbers its own documents of a length, and a prefix sum over the tasks' counts makes these
+numbers ranks, so no length is gathered anywhere, whatever its share of the rows.
 
 best_fit_runs gives exactly the packing of the sequential best-fit-decreasing algorithm: sequences with
 equal room left are interchangeable, so a whole class moves at once, and a segment tree over capacities
@@ -28,8 +28,7 @@ from .common import arrow_map, free_name, materialised, need
 from .tokens import load
 
 ROOM = 2048
-PARTS = 256  # groups that the documents of one length are ranked in, at least
-PART_ROWS = 100_000  # documents that a group of the commonest length may have
+MOST_COUNTS = 1 << 20  # counts of pieces by length and task, of 20 bytes each, that are broadcast
 HALF = 0.5  # documents; a pattern that descends by less is rounded away
 Run = tuple[int, int, int, int, int]  # length, first rank, number, first sequence, offset
 
@@ -192,7 +191,8 @@ def token_pieces(
 ) -> DataFrame:
     """Each document's ids and end_id, cut losslessly into pieces of at most room.
 
-    Columns: the id, piece, start, length, ids_crc32 of the little-endian unsigned 32-bit ids, and with_ids
+    Columns: the id, piece, start, length, ids_crc32 of the little-endian unsigned 32-bit ids, part (the task that made the
+    row), rank (of its pieces of that length, from 0), and with_ids
     the ids themselves as Zstandard-compressed little-endian bytes of the tokenizer's width, two thirds of
     their size in every shuffle and table that they pass through. A null text is an empty one, whose
     only id is end_id. A long text is a few megabytes of ids in one task, never more than its own.
@@ -202,62 +202,62 @@ def token_pieces(
     source = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("t"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(kind, path, pattern)
+        from pyspark import TaskContext
+
+        tokenizer, task, seen = load(kind, path, pattern), TaskContext.get().partitionId(), np.zeros(room + 1, dtype=np.int64)
         end = np.array([end_id], dtype=tokenizer.kind)
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            at, piece, start, length, crc, ids = [], [], [], [], [], []
+            at, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 found = np.concatenate([tokenizer.encode(text.as_py()), end])
                 for k, s in enumerate(range(0, len(found), room)):
                     part = found[s : s + room]
-                    at.append(i), piece.append(k), start.append(s), length.append(len(part))
+                    at.append(i), piece.append(k), start.append(s), length.append(len(part)), rank.append(int(seen[len(part)]))
+                    seen[len(part)] += 1
                     crc.append(zlib.crc32(part.astype("<u4").tobytes()))
                     if with_ids:
                         ids.append(compress(part.tobytes()))
                 if len(ids) >= 2000:
-                    yield rows(batch, at, piece, start, length, crc, ids)
-                    at, piece, start, length, crc, ids = [], [], [], [], [], []
-            yield rows(batch, at, piece, start, length, crc, ids)
+                    yield rows(batch, task, at, piece, start, length, crc, rank, ids)
+                    at, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
+            yield rows(batch, task, at, piece, start, length, crc, rank, ids)
 
-    def rows(batch, at, piece, start, length, crc, ids) -> pa.RecordBatch:
+    def rows(batch, task, at, piece, start, length, crc, rank, ids) -> pa.RecordBatch:
         arrays = [
             batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-            pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+            pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([task] * len(at), pa.int32()), pa.array(rank, pa.int64()),
         ]
-        names = ["id", "piece", "start", "length", "ids_crc32"]
+        names = ["id", "piece", "start", "length", "ids_crc32", "part", "rank"]
         if with_ids:
             arrays, names = [*arrays, pa.array(ids, pa.binary())], [*names, "ids"]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    shown = f"id {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    shown = f"id {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids
     return arrow_map(source, cut, shown)
 
 
 def placed(pieces: DataFrame, planner: Callable[[np.ndarray, int], tuple[list[Run], int]], room: int = ROOM) -> DataFrame:
-    """pieces(id, piece, length, ...) with sequence_id and offset after the planner's runs.
+    """pieces(length, part, rank, ...) with sequence_id and offset in place of part and rank, after the planner's runs.
 
-    pieces must not change from one evaluation to the next; give a materialised table. Rows that are equal
-    in id and piece take places in any order.
+    pieces must not change from one evaluation to the next; give a materialised table. Pieces of one length take places in the
+    order of part and rank, so no row is shuffled where the counts of all parts can be broadcast.
     """
+    sizes = pieces.groupBy(F.col("length").alias("l_"), F.col("part").alias("p_")).count()
+    before = Window.partitionBy("l_").orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = materialised(sizes.withColumn("ahead_", F.coalesce(F.sum("count").over(before), F.lit(0))), "piece-counts")
     counts = np.zeros(room + 1, dtype=np.int64)
-    for r in pieces.groupBy("length").count().collect():  # at most room rows
-        counts[r["length"]] = r["count"]
+    for r in sizes.groupBy("l_").agg(F.sum("count").alias("n")).collect():  # at most room rows
+        counts[r["l_"]] = r["n"]
     runs, _ = planner(counts, room)
-    parts = max(PARTS, int(counts.max()) // PART_ROWS)
     table = np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
     shared = pieces.sparkSession.sparkContext.broadcast(table)  # bounded by room, not by rows
 
-    part, rank, ahead = (free_name(pieces, x) for x in ("part_", "rank_", "ahead_"))
-    pieces = pieces.withColumn(part, F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int"))
-    sizes = pieces.groupBy(F.col("length").alias("l_"), F.col(part).alias("p_")).count()
-    before = Window.partitionBy("l_").orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("l_", "p_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias(ahead))
-    order = Window.partitionBy("length", part).orderBy("id", "piece")
-    ranked = pieces.withColumn(rank, F.row_number().over(order).cast("long") - 1)
-    ranked = ranked.join(sizes, (F.col("length") == F.col("l_")) & (F.col(part) == F.col("p_")))
-    ranked = ranked.withColumn(rank, F.col(rank) + F.col(ahead)).drop("l_", "p_", ahead, part)
-    names = [c for c in ranked.columns if c != rank]
+    sizes = sizes.drop("count")
+    few = sizes.count() <= MOST_COUNTS  # beyond, Spark joins as it sees fit
+    ranked = pieces.join(F.broadcast(sizes) if few else sizes, (F.col("length") == F.col("l_")) & (F.col("part") == F.col("p_")))
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("ahead_")).drop("l_", "p_", "ahead_", "part")
+    names, rank = [c for c in ranked.columns if c != "rank"], "rank"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -297,7 +297,7 @@ def packed_matrices(df: DataFrame, kind: str, path: str, end_id: int, pad_id: in
     the segments. Sequences are made by best-fit-decreasing over all pieces.
     """
     pieces = materialised(token_pieces(df, kind, path, end_id, room, pattern=pattern, **names), "id-pieces")
-    slim = placed(pieces.select("id", "piece", "start", "length", "ids"), best_fit_runs, room)
+    slim = placed(pieces.drop("ids_crc32"), best_fit_runs, room)
     id_type = pieces.schema["id"].dataType.simpleString()
     ordered = slim.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
     schema = (

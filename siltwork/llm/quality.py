@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_map, need
+from .common import arrow_map, discard, materialised, need
 
 PASSAGE = 64  # words
 HELD_OUT = 2  # remainder of the id's CRC-32 by 4 that is never learned from
@@ -155,11 +155,12 @@ def train(texts: list[bytes], labels: np.ndarray, hidden: int = 24, gate: int =
     return model
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", most_labels: int = 6000) -> Model:
-    """Learns from at most most_labels labelled rows outside the held-out quarter.
+def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", most_labels: int = 6000, most_bytes: int = 1 << 28) -> Model:
+    """Learns from at most most_labels labelled rows of most_bytes bytes of text outside the held-out quarter.
 
     Rows with a null label or id don't teach. They are drawn by a hash of the id until there are about
-    enough, and then cut by that hash, so the draw is the same in every run.
+    enough, and then cut by that hash, so the draw is the same in every run. Of these, rows teach in that order as long as
+    their texts together stay within most_bytes.
     """
     need(documents, id_column, text_column)
     need(labels, id_column, label_column)
@@ -170,8 +171,14 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     drawn = usable.filter(F.col("draw") < min(1_000_000, 1_000_000 * (most_labels + 500) // max(1, total)))
     drawn = drawn.orderBy("draw", "l_id").limit(most_labels)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
+    texts = documents.select(F.col(id_column).alias("d_id"), text.alias("t"))
     # drawn has at most most_labels rows of three numbers
-    rows = documents.join(F.broadcast(drawn), F.col(id_column) == F.col("l_id")).select("draw", "l_id", text.alias("t"), "y").orderBy("draw", "l_id", "t").limit(most_labels).collect()
+    taught = materialised(texts.join(F.broadcast(drawn), F.col("d_id") == F.col("l_id")).select("draw", "l_id", "t", "y", F.xxhash64("t").alias("h")), "taught")
+    order = ["draw", "l_id", "h"]
+    sizes = taught.select(*order, F.octet_length("t").alias("n")).orderBy(*order).limit(most_labels).collect()
+    fit_in = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), most_bytes, side="right"))
+    rows = taught.select(*order, "t", "y").orderBy(*order).limit(fit_in).collect() if fit_in else []
+    discard(taught)
     return train([bytes(r["t"]) for r in rows], np.array([r["y"] for r in rows]))
 
 

@@ -7,7 +7,8 @@ against them from the blocked seeds: a host gets the distrust of the hosts that
 its links, so distrust is the chance that a surfer who starts at the host and stops with probability 0.15
 at each step stops at a blocked page. A link farm of a single blocked host so has 0.85, however many such farms
 there are, and a host that has a third of its links there some 0.28. A page without a rule is blocked if its
-host's distrust is at least `threshold` and larger than its trust.
+host's distrust is at least `threshold` and larger than its trust. A link bought from a trusted host that has no other
+gives 0.1275 of trust, so it clears no farm; it takes the links of several trusted hosts.
 
 Scores are whole numbers of 1 / SCALE, so sums don't depend on their order and reruns agree. An iteration is
 one join of both scores with the edges and a sum that combines before the shuffle; hubs are split by Spark's
@@ -98,7 +99,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: int = DAMPING, change
 
 def judge(
     df: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", rules=RULES,
-    threshold: float = 0.5, spared: float = 0.075,
+    threshold: float = 0.5,
 ) -> DataFrame:
     """Each row of df as id, host, path, rule (null without one), verdict, trust and distrust (0 to 1 as a rule).
 
@@ -120,7 +121,7 @@ def judge(
     )
     hosts = materialised(hosts, "hosts")
     scores = propagate(hosts, edges)
-    bad = F.when((F.col("distrust") >= int(threshold * SCALE)) & (F.col("trust") < int(spared * SCALE)), "block").otherwise("allow")
+    bad = F.when((F.col("distrust") >= int(threshold * SCALE)) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     scores = materialised(scores.withColumn("method", bad).withColumnRenamed("host", "s_host"), "host-verdicts")
     out = judged.join(scores, F.col("host") == F.col("s_host"), "left")
     verdict = F.coalesce("ruled", "method", F.lit("allow"))

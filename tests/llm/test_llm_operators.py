@@ -43,6 +43,105 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+CLASHES = "y draw l_id d_id t h kept keep_id group_size text_sha256 quality_score_ row rank part n epochs rest Kept2".split()
+
+
+def test_clashing_columns_come_back_unchanged(spark):
+    """Columns that are named like the stages' own ones change nothing and keep their values."""
+    import corpus_pipeline
+
+    rows = [(i, f"plain words number {i % 9}. More of them here.", f"s{i % 2}", *(f"{c}{i}" for c in CLASHES)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    model = quality.fit(df, labels)
+    own = {r["doc_id"]: r for r in df.collect()}
+    scored = quality.scored(df, model, score_column="free").drop("free").collect()
+    for name, out in {
+        "scored": scored,
+        "first": exact_dedup.first_copies(df).collect(),
+        "near": simhash.near_dedup(df).collect(),
+        "mixed": mixing.mixed_rows(df).collect(),
+    }.items():
+        assert out and all(r[c] == own[r["doc_id"]][c] for r in out for c in CLASHES), name
+    kept = corpus_pipeline.keep_quality.__globals__["quality"].scored(df, model, score_column=corpus_pipeline.free_name(df, "quality_score_"))
+    assert all(r["quality_score_"] == own[r["doc_id"]]["quality_score_"] for r in kept.collect())
+
+
+def test_taught_text_is_bounded_in_bytes(spark):
+    df = spark.createDataFrame([(i, "word " * 1000) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    taught = []
+    quality_train, quality.train = quality.train, lambda texts, y: taught.append(len(texts))
+    try:
+        quality.fit(df, labels, most_bytes=12_000)
+        quality.fit(df, labels, most_bytes=10)
+        quality.fit(df, labels)
+    finally:
+        quality.train = quality_train
+    assert taught[0] == 2 and taught[1] == 0 and 20 < taught[2] < 40
+
+
+def test_mixing_of_many_equal_rows(spark, monkeypatch):
+    """Rows of one id, and rows without an id and of one text, are counted together and come back one by one."""
+    monkeypatch.setattr(mixing, "TOGETHER", 7)
+    rows = [(5, "a b c", "s0")] * 60 + [(None, "d e", "s0")] * 40 + [(i, "x " * (i % 5), f"s{i % 3}") for i in range(100, 160)] + [(None, None, None)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    size, whole, target = brute_mix(rows)
+    out = mixing.mix(df).collect()
+    assert Counter(key(r["doc_id"], r["source"], r["size"]) for r in out) == Counter(key(r[0], r[2], n) for r, n in zip(rows, size))
+    for s in whole:
+        assert sum(r["taken"] for r in out if r["source"] == s) == int(target[s] + 1e-6)
+    assert sorted(map(str, mixing.mix(df.repartition(3)).collect())) == sorted(map(str, out))
+
+
+def test_heavy_text_of_rows_without_ids_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HEAVY", 20)
+    monkeypatch.setattr(exact_dedup, "LEAST", 4)
+    rows = [(None, "the copy", i) for i in range(400)] + [(i, f"other {i}", 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other long").repartition(5)
+    out = exact_dedup.exact_dedup(df).filter("text = 'the copy'").collect()
+    assert len(out) == 400 and sum(r["kept"] for r in out) == 1 and {r["group_size"] for r in out} == {400} and {r["keep_id"] for r in out} == {None}
+
+
+def test_block_width_follows_the_number_of_texts():
+    assert simhash.shape(10) == simhash.shape(5 * 10**8) == simhash.Shape(24, 170, 4096)
+    for texts in (10**9, 10**10, 10**12):
+        form = simhash.shape(texts)
+        agree = 1 - np.arccos(1.6 / 1.8) / np.pi
+        assert texts / 2**form.width <= simhash.AVERAGE and form.blocks * form.width <= form.wide
+        assert 1 - (1 - agree**form.width) ** form.blocks > 0.96
+
+
+@pytest.mark.parametrize("width", [24, 28, 36])
+def test_block_keys_of_any_width(width):
+    rng = np.random.default_rng(2)
+    piece = rng.integers(0, 256, (20, 64), dtype=np.uint8)
+    bits = np.unpackbits(piece, axis=1)
+    for skip in (0, 4):
+        keys = simhash.block_keys(piece, 3, width, skip)
+        count = (512 - skip) // width
+        assert keys.shape == (20, count)
+        cut = bits[:, skip : skip + count * width].reshape(20, count, width)
+        same = {(k, tuple(c)) for ks, cs in zip(keys.tolist(), cut.tolist()) for k, c in zip(ks, cs)}
+        assert len({k for k, _ in same}) == len({(k >> 8 * -(-width // 8), c) for k, c in same}) == len(same)
+
+
+def test_near_dedup_of_wide_blocks(spark, monkeypatch):
+    """The form of a corpus of 10^9 texts, on a few."""
+    form = simhash.shape(10**9)
+    assert form.width == 28
+    monkeypatch.setattr(simhash, "shape", lambda *a: form)
+    rng = random.Random(21)
+    rows = []
+    for g in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((2 * g, " ".join(base)))
+        base[rng.randrange(300)] = "changed"
+        rows.append((2 * g + 1, " ".join(base)))
+    kept = [r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [2 * g for g in range(30)]
+
+
 def key(*v):
     return tuple((x is not None, x) for x in v)
 
@@ -704,7 +803,7 @@ def test_url_rules_and_propagation(spark):
     rows = [
         (1, "http://BAD.net/x", ""), (2, "http://farm.info/", link("evil.net", "evil.net")), (3, "http://good.org/fr/a", link("fine.info")), (4, "http://fine.info/?q#f", link("good.org")), (5, None, None), (6, "no scheme", "x"),
         (7, "http://a.example.net/en/x", ""), (12, "http://torn.info/", link("evil.net", "good.org", "fine.info")), (13, "http://cited.info/", link("evil.net")), (14, "http://far.info/", link("farm.info")),
-        *((500 + i, f"http://s{i}.org/fr/", link("cited.info")) for i in range(3)), *((30 + i, f"http://farm{i}.info/", link("evil.net")) for i in range(200)),
+        *((500 + i, f"http://s{i}.org/fr/", link("cited.info")) for i in range(7)), (520, "http://sold.org/fr/", link("bought.info")), (16, "http://bought.info/", link("evil.net")), *((30 + i, f"http://farm{i}.info/", link("evil.net")) for i in range(200)),
         (15, "http://evil.net/x", ""), (8, "http://example.com/de/", ""), (9, "http://xnet/", ""), (10, "http://é.org", ""), (11, "http://bad.net", ""), (11, "http://bad.net", ""),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
@@ -714,7 +813,8 @@ def test_url_rules_and_propagation(spark):
     assert verdict[2] == (None, "block") and out[2]["distrust"] > 0.8 and verdict[4] == (None, "allow") and out[4]["trust"] > 0.1
     assert all(verdict[30 + i] == (None, "block") for i in range(200)) and verdict[14] == (None, "block")  # farms, however many, and who links to one
     assert verdict[12] == (None, "allow") and 0.25 < out[12]["distrust"] < 0.5
-    assert verdict[13] == (None, "allow") and out[13]["trust"] > 0.3 and out[13]["distrust"] > 0.8  # trusted hosts link to it
+    assert verdict[13] == (None, "allow") and out[13]["trust"] > out[13]["distrust"] > 0.8  # many trusted hosts link to it
+    assert verdict[16] == (None, "block") and 0.1 < out[16]["trust"] < 0.2  # one bought link clears no farm
     assert verdict[5] == verdict[6] == verdict[9] == (None, "allow") and (out[1]["host"], out[1]["path"]) == ("bad.net", "/x") and out[10]["host"] == "é.org"
     assert url_filter.judge(df.limit(0)).count() == 0 and url_filter.judge(df).count() == len(rows)
 
