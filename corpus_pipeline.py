@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltwork.llm import exact_dedup, mixing, packing, quality, simhash
-from siltwork.llm.common import materialised, table
+from siltwork.llm.common import free_name, materialised, table
 from siltwork.session import spread
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labels of docs outside the held-out quarter."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(spread(docs), model, score_column="quality_score_").filter(f"quality_score_ >= {quality.THRESHOLD}").select(docs.columns)
+    score = free_name(docs, "quality_score_")
+    return quality.scored(spread(docs), model, score_column=score).filter(F.col(score) >= quality.THRESHOLD).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
