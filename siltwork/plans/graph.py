@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import adjacency as A
 from ..operators import graph as G
 from ..operators.relational import first_by
 from .registry import query
@@ -33,14 +34,12 @@ def _paths(mid: str, end: str) -> str:
 
 @query(f"WITH {SEEDS} {_paths('src', 'dst')}", "papers")
 def cocitation(t) -> DataFrame:
-    t = t.stored()
-    return G.co_cited(seeds(t), t.cites, t.papers).withColumn("damped", F.round("damped", 6))
+    return A.co_cited(seeds(t), t.adjacency()).withColumn("damped", F.round("damped", 6))
 
 
 @query(f"WITH {SEEDS} {_paths('dst', 'src')}", "papers")
 def bib_coupling(t) -> DataFrame:
-    t = t.stored()
-    return G.co_cited(seeds(t), t.cites, t.papers, False).withColumn("damped", F.round("damped", 6))
+    return A.co_cited(seeds(t), t.adjacency(), False).withColumn("damped", F.round("damped", 6))
 
 
 @query(f"WITH {SEEDS}, {BOTH} SELECT b AS node, count(*) AS direct FROM both_ WHERE a IN (SELECT node FROM seeds) GROUP BY b", "papers")
@@ -87,16 +86,13 @@ s AS (SELECT r.node, coalesce(direct, 0) AS direct, coalesce(c.n, 0) AS cocite,
 
 @query(f"WITH {_niche_sql('logidf')} SELECT node, direct, cocite, bib, reach, round(niche, 6) AS niche FROM s", "papers")
 def niche_score(t) -> DataFrame:
-    t = t.stored()
-    return G.niche_scores(seeds(t), t.cites, t.papers, NOW).withColumn("niche", F.round("niche", 6))
+    return A.niche_scores(seeds(t), t.adjacency(), NOW).drop("citations").withColumn("niche", F.round("niche", 6))
 
 
 @query(f"WITH {_niche_sql('assoc')}, l AS (SELECT s.* FROM s JOIN papers ON corpusid = node ORDER BY citationcount, node LIMIT 40) SELECT node, round(niche, 6) AS niche FROM l ORDER BY round(niche, 6) DESC, node LIMIT 10", "papers")
 def neighbors_niche(t) -> DataFrame:
     """The least cited pool first, then the best of it."""
-    t = t.stored()
-    rows = G.niche_scores(seeds(t), t.cites, t.papers, NOW, norm="assoc").join(t.papers.select(C("corpusid").alias("node"), "citationcount"), "node")
-    return rows.orderBy("citationcount", "node").limit(40).select("node", F.round("niche", 6).alias("niche")).orderBy(F.desc("niche"), "node").limit(10)
+    return A.niche_scores(seeds(t), t.adjacency(), NOW, norm="assoc").orderBy("citations", "node").limit(40).select("node", F.round("niche", 6).alias("niche")).orderBy(F.desc("niche"), "node").limit(10)
 
 
 def _walk_sql(hub: int | None) -> str:
@@ -109,21 +105,41 @@ w AS (SELECT node, 0 AS hop, 0 AS hits, 0 AS citationcount FROM seeds UNION ALL
 
 @query(f"WITH {_walk_sql(None)} SELECT node, hop, hits FROM w", "papers")
 def bfs_walk(t) -> DataFrame:
-    t = t.stored()
-    return G.walk(seeds(t), t.cites, t.papers, 2).select("node", "hop", "hits")
+    return A.walk(seeds(t), t.adjacency(), 2).select("node", "hop", "hits")
 
 
-@query(f"WITH {_walk_sql(HUB)} SELECT node, hop, hits, hop > 0 AND citationcount > {HUB} AS is_hub FROM w ORDER BY hop, hits DESC, node LIMIT 300", "papers")
-def api_walk(t) -> DataFrame:
-    """Hubs are recorded but not expanded; the budget is by hop, then hits."""
-    t = t.stored()
-    return G.walk(seeds(t), t.cites, t.papers, 2, hub=HUB).orderBy("hop", F.desc("hits"), "node").limit(300)
+def _directed_sql(direction: str, first: int, last: int, hub: int) -> str:
+    """Two hops along one direction or both, with bounds of years; hubs aren't expanded."""
+    sides = {"references": "SELECT src AS a, dst AS b FROM cites", "citers": "SELECT dst AS a, src AS b FROM cites"}
+    ways = " UNION ALL ".join(sides.values() if direction == "both" else [sides[direction]])
+    hop = lambda n, start, seen: f"w{n} AS (SELECT b AS node, count(DISTINCT a) AS hits, citationcount FROM way JOIN papers ON corpusid = b WHERE a IN ({start}) AND b NOT IN ({seen}) AND year BETWEEN {first} AND {last} GROUP BY ALL)"
+    return f"""{SEEDS}, way AS ({ways}), {hop(1, "SELECT node FROM seeds", "SELECT node FROM seeds")},
+{hop(2, f"SELECT node FROM w1 WHERE citationcount <= {hub}", "SELECT node FROM seeds UNION ALL SELECT node FROM w1")},
+w AS (SELECT node, 1 AS hop, hits, citationcount FROM w1 UNION ALL SELECT node, 2, hits, citationcount FROM w2)"""
+
+
+def _api_walk(name: str, direction: str, years: tuple[int, int]) -> None:
+    @query(f"""WITH {_directed_sql(direction, *years, HUB)}, f AS (SELECT * FROM w ORDER BY hop, hits DESC, node LIMIT 300)
+SELECT node, 0 AS hop, 0 AS hits, false AS is_hub FROM seeds UNION ALL SELECT node, hop, hits, citationcount > {HUB} FROM f""", "papers", name)
+    def api_walk(t) -> DataFrame:
+        """Hubs are recorded but not expanded; the budget of 300 found nodes is by hop, then hits."""
+        return A.walk(seeds(t), t.adjacency(), 2, direction, years, hub=HUB, budget=300).drop("citations")
+
+
+for _direction, _years in (("both", (1970, 2100)), ("references", (1975, 2010)), ("citers", (1980, 2015))):
+    _name = "api_walk" if _direction == "both" else f"api_walk_{_direction}"
+    _api_walk(_name, _direction, _years)
+
+
+@query(f"WITH {_walk_sql(None)}, f AS (SELECT * FROM w WHERE hop > 0 ORDER BY hits DESC, citationcount DESC, node LIMIT 200) SELECT node, hop, hits FROM f", "papers")
+def walk_budget(t) -> DataFrame:
+    """Hubs are passed through; the budget of 200 found nodes is by hits, then citations."""
+    return A.walk(seeds(t), t.adjacency(), 2, hub=HUB, expand_hubs=True, budget=200, order="hits").filter("hop > 0").select("node", "hop", "hits")
 
 
 @query(f"WITH {_walk_sql(None)} SELECT hop, count(*) AS n FROM w GROUP BY hop", "papers")
 def walk_by_hop(t) -> DataFrame:
-    t = t.stored()
-    return G.walk(seeds(t), t.cites, t.papers, 2).groupBy("hop").agg(F.count(F.lit(1)).alias("n"))
+    return A.walk(seeds(t), t.adjacency(), 2).groupBy("hop").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {SEEDS}, {BOTH},
@@ -131,8 +147,7 @@ c1 AS (SELECT b AS node FROM both_ JOIN papers ON corpusid = b WHERE a IN (SELEC
 c2 AS (SELECT b AS node FROM both_ JOIN papers ON corpusid = b WHERE a IN (SELECT node FROM c1) AND a <> b AND b NOT IN (SELECT node FROM seeds UNION ALL SELECT node FROM c1) GROUP BY b, citationcount ORDER BY count(DISTINCT a) / ln(2 + citationcount) DESC, b LIMIT 10)
 SELECT 1 AS hop, node FROM c1 UNION ALL SELECT 2, node FROM c2""", "papers")
 def beam_walk(t) -> DataFrame:
-    t = t.stored()
-    return G.walk(seeds(t), t.cites, t.papers, 2, beam=10).filter("hop > 0").select("hop", "node")
+    return A.walk(seeds(t), t.adjacency(), 2, beam=10).filter("hop > 0").select("hop", "node")
 
 
 HUBS = f"hubs AS (SELECT corpusid AS node FROM papers WHERE citationcount > {HUB - 4})"
@@ -170,8 +185,7 @@ def spanning_tree(t) -> DataFrame:
 
 @query(f"WITH {_walk_sql(None)} SELECT node, hop AS depth FROM w", "papers")
 def bfs_depth(t) -> DataFrame:
-    t = t.stored()
-    return G.walk(seeds(t), t.cites, t.papers, 2).select("node", C("hop").alias("depth"))
+    return A.walk(seeds(t), t.adjacency(), 2).select("node", C("hop").alias("depth"))
 
 
 @query(f"""WITH {BOTH}, g AS (SELECT max(corpusid) AS goal FROM papers), d1 AS (SELECT DISTINCT b AS n FROM both_ WHERE a = 1), d2 AS (SELECT DISTINCT b AS n FROM both_ WHERE a IN (SELECT n FROM d1)), d3 AS (SELECT DISTINCT b AS n FROM both_ WHERE a IN (SELECT n FROM d2)),

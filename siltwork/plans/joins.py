@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators.retrieval import ranked
+from ..operators.text_index import TextIndex, words
 from .registry import query
 
 C = F.col
@@ -97,12 +99,39 @@ def resolve_priority(t) -> DataFrame:
     return rows.select("doc_id", F.when(C("a").isNotNull(), "arxiv").when(C("d").isNotNull(), "doi").when(C("doc_id") % 7 == 0, "title").otherwise("unresolved").alias("how"))
 
 
-@query("""SELECT chat_id, title, matches FROM (SELECT conv_id AS chat_id, left(arg_min(text, turn), 30) AS title, sum((contains(lower(text), ' the '))::INT)::BIGINT AS matches FROM conversations GROUP BY conv_id)
-WHERE matches > 0 AND chat_id % 4 <> 0 ORDER BY matches DESC, chat_id LIMIT 50""")
+WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(f"""WITH m AS (SELECT conv_id AS chat_id, turn, text, {WORDS.format("text")} AS ws FROM conversations),
+c AS (SELECT chat_id, left(arg_min(text, turn), 30) AS title, (arg_min(ws, turn))[1:2] AS phrase FROM m GROUP BY chat_id),
+q AS (SELECT chat_id AS query_id, phrase, len(phrase) AS n FROM c WHERE chat_id % 20 = 0 AND len(phrase) > 0),
+w AS (SELECT chat_id, turn, len(ws) AS dl, ws, unnest(range(1, len(ws) + 1)) AS i FROM m),
+h AS (SELECT query_id, chat_id, turn, dl, count(*) AS hits FROM w JOIN q ON ws[i] = phrase[1] AND (n = 1 OR ws[i + 1] = phrase[2]) GROUP BY ALL),
+d AS (SELECT query_id, count(*) AS df FROM h GROUP BY query_id), t AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_dl FROM m),
+r AS (SELECT query_id, chat_id, turn, round(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 0.000001) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * dl / avg_dl)), 6) AS score FROM h JOIN d USING (query_id), t),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chat_id, turn) AS place FROM r WHERE chat_id % 4 <> 1 QUALIFY place <= 200),
+g AS (SELECT query_id, chat_id, max(score) AS score, min(place) AS place FROM f GROUP BY ALL)
+SELECT query_id, chat_id, title, score, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM g JOIN c USING (chat_id) QUALIFY rank <= 50""")
 def chat_search(t) -> DataFrame:
-    """Chats that hold a word, archived ones left out, best first, 50 at most."""
-    chats = t.conversations.groupBy(C("conv_id").alias("chat_id")).agg(F.substring(F.min_by("text", "turn"), 1, 30).alias("title"), F.sum(F.contains(F.lower("text"), F.lit(" the ")).cast("int")).alias("matches"))
-    return chats.filter("matches > 0 and chat_id % 4 <> 0").orderBy(F.desc("matches"), "chat_id").limit(50)
+    """Chats whose messages hold a phrase, by BM25: 200 messages of chats that aren't archived, each chat once, 50 at most.
+
+    The phrases are the first two words of every chat whose id is divisible by 20.
+    """
+    key = lambda chat, turn: F.struct(C(chat).alias("chat_id"), C(turn).alias("turn"))
+    messages = t.conversations.select(key("conv_id", "turn").alias("doc"), "text", F.lit(1).cast("long").alias("updated"))
+
+    def make():
+        index = TextIndex(t.spark, "struct<chat_id:bigint,turn:bigint>")
+        index.refresh(messages, "doc", "text", "updated")
+        return index
+
+    chats = t.conversations.groupBy(C("conv_id").alias("chat_id")).agg(F.min_by("text", "turn").alias("first"))
+    asked = chats.filter("chat_id % 20 = 0").select(C("chat_id").alias("query_id"), F.array_join(F.slice(words(C("first")), 1, 2), " ").alias("text"))
+    live = messages.filter("doc.chat_id % 4 <> 1").select("doc")
+    found = t.keep("messages-index", make).ranked_phrases(asked, limit=200, keep=live)
+    once = found.groupBy("query_id", C("doc.chat_id").alias("chat_id")).agg(F.max("score").alias("score"), F.min("rank").alias("place"))
+    best = ranked(once, ["query_id"], C("place"), limit=50)
+    return best.join(chats, "chat_id").select("query_id", "chat_id", F.substring("first", 1, 30).alias("title"), "score", C("rank").cast("long").alias("rank"))
 
 
 @query("""SELECT b.item_id, q.query_id, q.outcome FROM benchmark b LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY query_id DESC) AS n FROM qlog) q ON q.k = b.item_id AND q.n = 1""", "qlog")
@@ -202,8 +231,21 @@ def fts_rebuild(t) -> DataFrame:
     """The index over all that the watermark covers, rebuilt."""
     mark = t.labels.agg(F.max("doc_id").alias("mark"))
     docs = t.documents.join(F.broadcast(mark), C("doc_id") <= C("mark"))  # one row
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("postings")).filter("postings >= 20")
+    found = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("postings")).filter("postings >= 20")
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'changed ' || text ELSE text END AS text FROM conversations WHERE turn % 5 <> 4)
+SELECT word, count(*) AS messages, sum(n)::BIGINT AS occurrences FROM (SELECT conv_id, turn, w AS word, count(*) AS n FROM (SELECT conv_id, turn, unnest({WORDS.format("text")}) AS w FROM m) GROUP BY ALL) GROUP BY word""")
+def fts_refresh(t) -> DataFrame:
+    """The index after three refreshes: all messages but the last turns, then the last ones with changed texts of others, then deletions."""
+    messages = t.conversations.select(F.struct(C("conv_id").alias("chat_id"), "turn").alias("doc"), "turn", "text")
+    index = TextIndex(t.spark, "struct<chat_id:bigint,turn:bigint>")
+    index.refresh(messages.filter("turn < 6").withColumn("updated", F.lit(1).cast("long")), "doc", "text", "updated")
+    changed = messages.filter("turn >= 6 or turn % 3 = 1").select("doc", F.when(C("turn") % 3 == 1, F.concat(F.lit("changed "), "text")).otherwise(C("text")).alias("text"), F.lit(2).cast("long").alias("updated"))
+    index.refresh(changed.union(messages.filter("turn = 0").select("doc", F.lit("not read, it is old"), F.lit(1).cast("long"))), "doc", "text", "updated")
+    index.refresh(changed.limit(0), "doc", "text", "updated", deleted=messages.filter("turn % 5 = 4").select("doc"))
+    return index._counted(index._table("postings")).groupBy(C("term").alias("word")).agg(F.count(F.lit(1)).alias("messages"), F.sum("tf").alias("occurrences"))
 
 
 # --- corpus hygiene ---

@@ -37,16 +37,19 @@ def with_views(sql: str, views: str) -> str:
     return head + ",\n".join(ctes) + "\n" + body
 
 
-def query(sql: str | None = None, views: str = ""):
+def query(sql: str | None = None, views: str = "", name: str | None = None):
+    """Registers a query, under its own name or another."""
+
     def register(f: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
             return f(Tables(spark, sf_dir))
 
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
+        key = name or f.__name__
+        run.__name__, run.__doc__ = key, f.__doc__
+        QUERIES[key] = run
         if sql:
-            ORACLES[f.__name__] = with_views(sql, views)
+            ORACLES[key] = with_views(sql, views)
         return f
 
     return register

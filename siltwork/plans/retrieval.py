@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators import vector_index
 from ..session import spread
 from .registry import query
 
@@ -49,6 +50,14 @@ def dense_topk(t) -> DataFrame:
     return dense(t).withColumn("rank", C("rank").cast("long"))
 
 
+@query()
+def ivf_topk(t) -> DataFrame:
+    """The ten nearest vectors by an inverted file; of these nearly random vectors three quarters of the cells must be probed."""
+    index = t.keep("vector-index", lambda: vector_index.build(spread(t.embeddings), "vec_id", "embedding"))
+    found = vector_index.search(index, vectors(t), K, probes=-(-3 * len(index.centroids) // 4))
+    return found.select("query_id", "id", "score", C("rank").cast("long").alias("rank"))
+
+
 LEGS = f"{BM25.format(k=50)}, {DENSE.format(k=50)}, legs AS (SELECT query_id, 0 AS list_idx, id, rank FROM dn UNION ALL SELECT query_id, 1, id, rank FROM bm)"
 FUSED = f"{LEGS}, fu AS (SELECT query_id, id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM legs GROUP BY ALL) QUALIFY rank <= {{k}})"
 
