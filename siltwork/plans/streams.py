@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from ..streaming import events as E
+from ..streaming import stateful as S
 from .registry import query
 
 C = F.col
@@ -124,6 +125,65 @@ def stream_terminal_counts(t) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("user_id", "n")
 
 
+def _streamed(t, rows: DataFrame, key: str, processor, timed: bool = False) -> DataFrame:
+    """What a stateful stream gives of rows(t, ...): the earlier half first, then, from its checkpoint, the later one."""
+    top, half = shared_folder(t.spark, "stateful"), rows.agg(((F.min("t") + F.max("t")) / 2).alias("half")).first()["half"] or 0.0
+    for part in (C("t") < half, C("t") >= half):
+        rows.filter(part).write.mode("append").parquet(f"{top}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{top}/in")
+        if timed:
+            stream = stream.withColumn("ts", F.timestamp_micros((C("t") * 1_000_000).cast("long"))).withWatermark("ts", "0 seconds")
+        found = S.with_state(stream, key, processor, timed)
+        found.writeStream.outputMode("append").format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{top}/out")
+
+
+def _seconds(t) -> DataFrame:
+    """Events with t, seconds of 2024."""
+    return t.events.withColumn("t", (F.unix_micros(C("ts").cast("timestamp")) / 1_000_000 - 1704067200))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 - 1704067200 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+s AS (SELECT *, 3600.0::DOUBLE * (i + 1) + max(greatest(t, 0) - 3600.0::DOUBLE * i) OVER (PARTITION BY user_id ORDER BY i) AS slot FROM e)
+SELECT event_id, round(slot, 3) AS slot, round(greatest(0, coalesce(lag(slot) OVER (PARTITION BY user_id ORDER BY i), 0) + 3600 - t), 3) AS wait FROM s""")
+def stream_slots(t) -> DataFrame:
+    """The rate limiter as a stream with the last reserved time of each user as its state."""
+    rows = _streamed(t, _seconds(t).select(C("user_id").alias("host"), "t", "event_id"), "host", S.Slots(3600.0))
+    return rows.select("event_id", F.round("slot", 3).alias("slot"), F.round("wait", 3).alias("wait"))
+
+
+@query("SELECT user_id AS run, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id")
+def stream_ended(t) -> DataFrame:
+    """Each run's first end, of a set of 4096 runs for each of 64 parts, which holds all of these."""
+    ended = _seconds(t).filter(C("event_type").isin("purchase", "error")).select(C("user_id").alias("run"), "t", "event_id")
+    return _streamed(t, S.ended_parts(ended, 64), "part", S.Ended())
+
+
+@query("""WITH e AS (SELECT user_id AS d, event_id, epoch_us(ts) / 1e6 - 1704067200 AS t, 's' || (event_id % 7) AS slug,
+  CASE event_type WHEN 'view' THEN 'finished' WHEN 'error' THEN 'died' WHEN 'purchase' THEN 'respawn_failed' ELSE 'started' END AS kind FROM events),
+x AS (SELECT * FROM e WHERE kind IN ('died', 'respawn_failed')),
+n AS (SELECT a.d, a.event_id, a.t, a.kind, count(*)::INT AS deaths FROM x a JOIN x b ON a.d = b.d AND b.t >= a.t - 1728000 AND (b.t, b.event_id) <= (a.t, a.event_id) GROUP BY ALL),
+o AS (SELECT d, min((t, event_id)) AS first FROM n WHERE deaths >= 4 GROUP BY d),
+l AS (SELECT n.d, n.event_id, e.slug, arg_max(e.kind, (e.t, e.event_id)) AS last FROM n JOIN e ON n.d = e.d AND e.kind IN ('started', 'finished') AND (e.t, e.event_id) < (n.t, n.event_id) GROUP BY ALL),
+s AS (SELECT d, event_id, min(slug) AS suspect FROM l WHERE last = 'started' GROUP BY ALL)
+SELECT n.d AS daemon, n.event_id, deaths, CASE WHEN kind = 'died' THEN suspect END AS suspect, deaths >= 4 AS opened
+FROM n LEFT JOIN o USING (d) LEFT JOIN s ON s.d = n.d AND s.event_id = n.event_id WHERE first IS NULL OR (t, n.event_id) <= first""")
+def stream_breaker(t) -> DataFrame:
+    """Deaths of each user's daemon with their suspects, until the fourth within twenty days opens its breaker."""
+    kind = F.when(C("event_type") == "view", "finished").when(C("event_type") == "error", "died").when(C("event_type") == "purchase", "respawn_failed").otherwise("started")
+    rows = _seconds(t).select(C("user_id").alias("daemon"), "t", "event_id", kind.alias("kind"), F.concat(F.lit("s"), C("event_id") % 7).alias("slug"))
+    return _streamed(t, rows, "daemon", S.Breaker(1728000.0, 4))
+
+
+@query("""WITH e AS (SELECT user_id AS lock, event_id, epoch_us(ts) / 1e6 - 1704067200 AS t FROM events),
+n AS (SELECT *, lead(t) OVER (PARTITION BY lock ORDER BY t, event_id) AS next, max(t) OVER () AS seen FROM e)
+SELECT lock, event_id, round(t + 172800, 3) AS at FROM n WHERE CASE WHEN next IS NULL THEN t + 172800 <= seen ELSE next - t >= 172800 END""")
+def stream_takeovers(t) -> DataFrame:
+    """Locks taken over when two days pass without a heartbeat, by timers of the event's time."""
+    rows = _streamed(t, _seconds(t).select(C("user_id").alias("lock"), "t", "event_id"), "lock", S.Takeovers(172800.0), timed=True)
+    return rows.select("lock", "event_id", F.round("at", 3).alias("at"))
+
+
 ASKED = "CASE event_id % 6 WHEN 0 THEN ['parse', 'fetch'] WHEN 1 THEN ['all'] WHEN 2 THEN ['ingest', 'audit', 'stage'] WHEN 3 THEN ['no_such'] END"
 SKIPPED = "CASE event_id % 4 WHEN 0 THEN ['parse'] WHEN 3 THEN ['fetch', 'ingest'] END"
 ALL = "['fetch', 'parse_pipeline', 'parse_vlm', 'stage', 'audit', 'contextualize', 'ingest']"
