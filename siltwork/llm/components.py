@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised
+from .common import discard, materialised
 
 
 def _symmetric(edges: DataFrame) -> DataFrame:
@@ -42,5 +42,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(least, F.col("a") == F.col("n"))
         small = small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
-        edges = materialised(small.filter("a <> b").distinct(), "links")
+        before, edges = edges, materialised(small.filter("a <> b").distinct(), "links")
+        discard(before)
+        discard(large)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -105,6 +105,7 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 def first_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of df that exact_dedup keeps, with df's own columns, whatever their names."""
     need(df, id_column, text_column)
-    own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
-    kept = exact_dedup(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), own), "id", "text").filter("kept")
-    return kept.select(*(F.col("row")[c].alias(c) for c in df.columns))
+    named = {id_column: "id", text_column: "text"}
+    rest = F.struct(F.lit(0).alias("no_clash_"), *(F.col(f"`{c}`") for c in df.columns if c not in named)).alias("row")
+    kept = exact_dedup(df.select(*(F.col(f"`{c}`").alias(n) for c, n in named.items()), rest), "id", "text").filter("kept")
+    return kept.select(*(F.col(named[c]).alias(c) if c in named else F.col("row")[c].alias(c) for c in df.columns))

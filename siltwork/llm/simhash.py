@@ -557,7 +557,8 @@ def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """
     form = shape(df.count(), similarity)
     marks = materialised(wide_fingerprints(df, id_column, text_column, words, form.wide), "wide-fingerprints")
-    of = grouped(marks, similarity, form).toDF("g_node", "grp")
+    groups = grouped(marks, similarity, form)
+    of = groups.toDF("g_node", "grp")
     rows = marks.select("id", "part", "node").join(of, F.col("node") == F.col("g_node"), "left")
     rows = rows.withColumn("group", F.coalesce("grp", "node"))
     best = F.min(F.struct(F.col("id").isNull(), "id", "part")).alias("best")
@@ -567,5 +568,7 @@ def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     )
     i, p = free_name(df, "gone_id_"), free_name(df, "gone_part_")
     gone = materialised(gone.select(F.col("id").alias(i), F.col("part").alias(p)).distinct(), "near-copies")
+    discard(marks)
+    discard(groups)
     part = F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
     return df.join(gone, F.col(id_column).eqNullSafe(F.col(i)) & (part == F.col(p)), "left_anti")
