@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.llm import exact_dedup, mixing, packing, quality, simhash
-from siltwork.llm.common import free_name, materialised, table
+from siltwork.llm.common import discard, free_name, materialised, table
 from siltwork.session import spread
 
 
@@ -55,5 +55,6 @@ ORACLE_SQL = None  # a learned classifier and SimHash can't be said in SQL; test
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialised(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, materialised(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
