@@ -42,12 +42,17 @@ def extract_doi(text: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """One form of a URL: arXiv, SSRN and DOI addresses by their id; else host and path without query, fragment and closing slash."""
+    """One form of a URL: arXiv, SSRN and DOI addresses by their id; else host and path without query, fragment and closing slash.
+
+    Of a ResearchGate publication the number and the lower-cased title stay.
+    """
     arxiv = found(url, r"(?i)arxiv\.org/(?:abs|pdf|html)/([0-9]{4}\.[0-9]{4,6})", 1)
     ssrn = F.coalesce(found(url, r"(?i)ssrn\.com/.*abstract_id=([0-9]+)", 1), found(url, r"(?i)ssrn\.com/abstract=([0-9]+)", 1))
     doi = found(url, r"(?i)doi\.org/(10\.[^?#]+)", 1)
     scheme, name, path = (F.regexp_extract(url, r"^([a-zA-Z]+)://([^/?#]*)([^?#]*)", i) for i in (1, 2, 3))
-    plain = F.concat(F.lower(scheme), F.lit("://"), F.lower(name), F.regexp_replace(path, "/+$", ""))
+    path = F.regexp_replace(path, "/+$", "")
+    publication = F.when(F.contains(F.lower(name), F.lit("researchgate.net")), F.lower(found(path, "^(/publication/[0-9]+_[^/]+)", 1)))
+    plain = F.concat(F.lower(scheme), F.lit("://"), F.lower(name), F.coalesce(publication, F.when(path == "", "/").otherwise(path)))
     return (
         F.when(arxiv.isNotNull(), F.concat(F.lit("arxiv.org/abs/"), arxiv)).when(ssrn.isNotNull(), F.concat(F.lit("https://ssrn.com/abstract="), ssrn))
         .when(doi.isNotNull(), F.concat(F.lit("https://doi.org/"), F.lower(doi))).when(scheme == "", "").otherwise(plain)
@@ -287,11 +292,27 @@ def strip_latex(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\\[a-zA-Z]+\{([^{}]*)\}", "$1"), r"\$([^$]*)\$", "$1")
 
 
+#: [n] or [n, m] behind no letter, digit or underscore
+NUMBERED = r"(?<![A-Za-z0-9_])\[((?:\d+\s*,\s*)*\d+)\]"
+
+
+def cited_numbers(text: Column) -> Column:
+    """Numbers in [n] and [n, m], every time they stand, in order."""
+    groups = F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1))
+    return F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*"))), lambda n: n.try_cast("int"))
+
+
 def cited_indices(text: Column) -> Column:
-    """Numbers in [n] and [n, m] that no letter or digit precedes, first occurrences in order."""
-    groups = F.regexp_extract_all(text, F.lit(r"(?:^|[^A-Za-z0-9])\[([0-9]+(?: *, *[0-9]+)*)\]"), F.lit(1))
-    numbers = F.flatten(F.transform(groups, lambda g: F.split(g, " *, *")))
-    return F.array_distinct(F.transform(numbers, lambda n: n.try_cast("int")))
+    """Numbers in [n] and [n, m] that no letter, digit or underscore precedes, first occurrences in order."""
+    return F.array_distinct(cited_numbers(text))
+
+
+def cited_files(text: Column) -> Column:
+    """(file, page) of the tokens file:page and file:image in brackets, in order; page is null for an image."""
+    blocks = F.regexp_extract_all(text, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))
+    token = r"([^\s,\[\]]+):(image|\d+)"
+    tokens = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(token), F.lit(0))))
+    return F.transform(tokens, lambda t: F.struct(F.regexp_extract(t, token, 1).alias("file"), F.regexp_extract(t, token, 2).try_cast("int").alias("page")))
 
 
 def strip_sources(answer: Column) -> Column:
@@ -299,11 +320,40 @@ def strip_sources(answer: Column) -> Column:
     return F.regexp_replace(answer, r"(?s)^(.*)\n(?:Sources|References):.*$", "$1")
 
 
+# Words of affiliations and of pages' furniture, and phrases that begin navigation
+AFFILIATIONS = (
+    "Department", "University", "School of", "Institute", "Laboratory", "Faculty", "College", "Center", "Centre", "Corporation", "Foundation",
+    "Abstract", "Keywords", "JEL", "Received", "Forthcoming", "Initial Version", "First version", "Current version", "This version",
+    "Login", "Password", "Sign in", "Sign up", "Register", "Subscribe", "Cookie", "Privacy", "Terms of Use", "Terms of Service", "Copyright",
+    "Returning user", "Forgot", "Username", "Account",
+)
+NAVIGATION = (
+    "jump to", "skip to", "click here", "learn more", "get started", "read more", "sign in", "sign up", "log in", "log out", "subscribe",
+    "contact us", "about us", "home", "menu", "search",
+)
+LETTER = r"\p{L}\p{N}_"
+NO_AUTHORS = (
+    rf"(?i)(?:^|[^{LETTER}])(?:{'|'.join(AFFILIATIONS)})(?:$|[^{LETTER}])",
+    rf"[{LETTER}.+-]+@[{LETTER}-]+\.[{LETTER}.-]+",  # an address
+    r"^[0-9\s,./-]+$",
+    r"\|",
+    r" [-—] [A-Z][a-zA-Z0-9]{2,}$",  # a page's title with a brand behind it
+    rf"(?i)^(?:{'|'.join(NAVIGATION)})(?:$|[^{LETTER}])",
+    r"[←-⇿➠-➿»]$",
+    r"^\p{S}",
+)
+
+
 def author_line(line: Column) -> Column:
-    """Whether a line may list authors: capitalised names, few words, no sentence's end and no verb of prose."""
-    t = F.trim(line)
-    words = F.size(F.split(t, " +"))
-    return F.regexp_like(t, F.lit("^[A-Z][a-z]+([ ,]+[A-Z][a-z]+)+$")) & words.between(2, 20) & ~F.regexp_like(F.lower(t), F.lit(r"\b(is|are|was|the|of|we)\b"))
+    """Whether a line may list authors: 4 to 400 characters, two words or more, one capitalised, and nothing of a page's furniture.
+
+    A line of 30 characters or more with a colon before any comma is a headline.
+    """
+    t = F.regexp_replace(line, r"^\s+|\s+$", "")
+    good = F.length(t).between(4, 400) & F.contains(t, F.lit(" ")) & F.regexp_like(t, F.lit(rf"(?:^|[^{LETTER}])[A-Z][a-zA-Z]"))
+    for pattern in NO_AUTHORS:
+        good = good & ~F.regexp_like(t, F.lit(pattern))
+    return good & ~((F.length(t) >= 30) & F.regexp_like(t, F.lit("^[^,]*:")))
 
 
 def split_authors(line: Column) -> Column:
@@ -345,25 +395,63 @@ def extract_year(url: Column, text: Column) -> Column:
     return F.coalesce(arxiv, month, ranked["year"])
 
 
-PLATFORMS = (("blog.", "Blog"), ("m.", "Mobile"), ("adult-", "Blocked"))
+# Hosts that are cited as a whole, with the attribution and the brand of each
+PLATFORMS = (
+    ("wikipedia.org", "Wikipedia contributors", "Wikipedia"),
+    ("wikimedia.org", "Wikipedia contributors", "Wikipedia"),
+    ("reddit.com", "Reddit", "Reddit"),
+    ("news.ycombinator.com", "Hacker News", "Hacker News"),
+    ("stackoverflow.com", "Stack Overflow", "Stack Overflow"),
+    ("stackexchange.com", "Stack Exchange", "Stack Exchange"),
+)
 
 
 def platform_match(url: Column) -> Column:
+    """struct(attribution, brand) of a URL on one of the platforms' hosts or below; null elsewhere."""
     h = host(url)
-    name = F.lit(None).cast("string")
-    for prefix, label in reversed(PLATFORMS):
-        name = F.when(h.startswith(prefix), label).otherwise(name)
-    return name
+    pair = F.lit(None).cast("struct<attribution:string,brand:string>")
+    for name, attribution, brand in reversed(PLATFORMS):
+        pair = F.when((h == name) | h.endswith("." + name), F.struct(F.lit(attribution).alias("attribution"), F.lit(brand).alias("brand"))).otherwise(pair)
+    return pair
+
+
+# Words of dates, of pages that block readers and of prose; brands' own spelling
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+    "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec",
+)
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "mon", "tue", "wed", "thu", "fri", "sat", "sun")
+BLOCKERS = ("cloudflare", "recaptcha", "captcha", "datadome", "perimeterx", "imperva", "akamai", "incapsula")
+FUNCTION_WORDS = ("the", "of", "with", "in", "on", "for", "by", "as", "an", "a", "and", "or", "to", "at", "from", "via", "per", "into", "onto", "upon")
+BRANDS = ("GitHub", "MDPI", "ResearchGate", "arXiv", "PMC", "QuantStart", "IDEAS/RePEc", "SSRN", "Papers with Code")
+
 
+def brand(name: Column) -> Column:
+    """A known brand in its own spelling, other names as they are."""
+    known = F.create_map(*(F.lit(x) for b in BRANDS for x in (b.lower(), b)))
+    return F.coalesce(known[F.lower(name)], name)
 
-def site_name(given: Column, url: Column) -> Column:
-    """The given name if it is 2 to 60 characters and no URL, in its brand's spelling; else one made of the host."""
-    brands = F.create_map(*(F.lit(x) for pair in (("arxiv", "arXiv"), ("github", "GitHub"), ("ssrn", "SSRN")) for x in pair))
-    t = F.trim(given)
-    valid = F.length(t).between(2, 60) & ~F.regexp_like(t, F.lit("^https?://|^[0-9 ]+$"))
-    label = F.element_at(F.split(host(url), r"\."), 1)
-    name = F.when(valid, t).otherwise(F.initcap(label))
-    return F.coalesce(brands[F.lower(name)], name)
+
+def valid_site_name(name: Column) -> Column:
+    """The name, or null for dates, blocked pages, sentences, more than four words, capitals throughout and two words of prose or more."""
+    t = F.regexp_replace(name, r"^\s+|\s+$", "")
+    tokens = F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0))
+    bad = F.exists(tokens, lambda w: w.isin(*MONTHS, *WEEKDAYS, *BLOCKERS)) | F.regexp_like(t, F.lit("[.!?]$")) | (F.size(F.split(t, r"\s+")) > 4)
+    bad = bad | ((F.upper(t) == t) & (F.lower(t) != t) & F.contains(t, F.lit(" "))) | (F.size(F.filter(tokens, lambda w: w.isin(*FUNCTION_WORDS))) > 1)
+    return F.when((t != "") & ~bad, brand(t))
+
+
+def title_tail(title: Column) -> Column:
+    """What stands behind the last dash or bar of a title, if it is of 2 to 40 characters."""
+    return found(title, r"\s+[-—|]\s+([^-—|]{2,40})\s*$", 1)
+
+
+def site_name(given: Column, page_title: Column, title: Column, url: Column) -> Column:
+    """The first valid one of the given name and the titles' tails; else the host without its last label, as words."""
+    base = F.regexp_replace(host(url), r"\.[^.]*$", "")
+    words = F.regexp_extract_all(F.translate(base, "-.", "  "), F.lit("[a-z]+|[^a-z]+"), F.lit(0))
+    derived = F.nullif(F.array_join(F.transform(words, lambda w: F.initcap(w)), ""), F.lit(""))
+    return F.coalesce(valid_site_name(given), valid_site_name(title_tail(page_title)), valid_site_name(title_tail(title)), brand(derived))
 
 
 def doc_prefix(title: Column, cite: Column, year: Column) -> Column:
@@ -393,13 +481,20 @@ def clean_title(text: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "^[\"']+|[\"']+$", ""), "[.!?]+$", "")), 1, 80)
 
 
-LOG_STAGES = (("embedding", "embed"), ("chunking", "chunk"), ("parsing", "pars"), ("fetching", "fetch"))
+# What a log line of each stage holds, the latest stage first
+LOG_STAGES = (
+    ("embedding", r"[0-9]+ parents, [0-9]+ children — embedding"),
+    ("chunking", r"Found [0-9]+ file\(s\) to process\.|^\[\w[\w.]*\]$"),
+    ("parsing", r"→ parse_start:|\[progress\].*parse_pending=|Processing pages|MFR Predict|OCR-rec Predict|/file_parse"),
+    ("fetching", r"\[discover:.*\] (triggering|waiting up to)|running batched fetch\+parse|\(fetch_pipeline\)|Pipeline done:"),
+)
 
 
 def line_stage(line: Column) -> Column:
+    """The stage that a log line speaks of; null for none."""
     stage = F.lit(None).cast("string")
-    for name, sign in reversed(LOG_STAGES):
-        stage = F.when(F.lower(line).contains(sign), name).otherwise(stage)
+    for name, pattern in reversed(LOG_STAGES):
+        stage = F.when(F.regexp_like(line, F.lit(pattern)), name).otherwise(stage)
     return stage
 
 

@@ -49,9 +49,22 @@ one("extract_arxiv", f"""WITH {IDS} SELECT page_id, coalesce(nullif(regexp_extra
   nullif(regexp_extract(raw, '(?:^|[^0-9.])([0-9]{{4}}\\.[0-9]{{4,5}})(?:v[0-9]+)?$', 1), '')) AS value FROM ids""", lambda: X.extract_arxiv(C("raw")), ids, "page_id")
 one("extract_doi", f"""WITH {IDS} SELECT page_id, regexp_replace(coalesce(nullif(regexp_extract(raw, 'doi\\.org/(10\\.[0-9]{{4,9}}/[^ \\n<>"]+)', 1), ''),
   nullif(regexp_extract(raw, '[dD][oO][iI]:? *(10\\.[0-9]{{4,9}}/[^ \\n<>"]+)', 1), ''), nullif(regexp_extract(raw, '(?:^|[ \\n])(10\\.[0-9]{{4,9}}/[^ \\n<>"]+)', 1), '')), '[.,;:)!?\\]}}]+$', '') AS value FROM ids""", lambda: X.extract_doi(C("raw")), ids, "page_id")
-one("canonical_url", f"""WITH {IDS}, m AS (SELECT *, regexp_extract(raw, '(?i)arxiv\\.org/(?:abs|pdf|html)/([0-9]{{4}}\\.[0-9]{{4,6}})', 1) AS a, regexp_extract(raw, '(?i)doi\\.org/(10\\.[^?#]+)', 1) AS d,
-  regexp_extract(raw, '^([a-zA-Z]+)://([^/?#]*)([^?#]*)', ['s', 'h', 'p']) AS u FROM ids)
-SELECT page_id, CASE WHEN a <> '' THEN 'arxiv.org/abs/' || a WHEN d <> '' THEN 'https://doi.org/' || lower(d) WHEN u.s = '' THEN '' ELSE lower(u.s) || '://' || lower(u.h) || regexp_replace(u.p, '/+$', '') END AS value FROM m""", lambda: X.canonical_url(C("raw")), ids, "page_id")
+GATE = "CASE WHEN page_id % 7 = 0 THEN 'https://www.ResearchGate.net/publication/' || page_id || '_Some_Title/link/' || page_id || '?x=1' WHEN page_id % 7 = 1 THEN 'http://Host.org/' WHEN page_id % 7 = 2 THEN url || '/' ELSE raw END"
+
+
+def addresses(t) -> DataFrame:
+    p, n = F.col("page_id") % 7, F.col("page_id").cast("string")
+    gate = F.concat(F.lit("https://www.ResearchGate.net/publication/"), n, F.lit("_Some_Title/link/"), n, F.lit("?x=1"))
+    raw = F.when(p == 0, gate).when(p == 1, "http://Host.org/").when(p == 2, F.concat("url", F.lit("/"))).otherwise(F.col("raw"))
+    return ids(t).join(t.pages.select("page_id", "url"), "page_id").select("page_id", raw.alias("raw"))
+
+
+one("canonical_url", f"""WITH {IDS}, g AS (SELECT page_id, {GATE} AS raw FROM ids JOIN (SELECT page_id, url FROM pages) USING (page_id)),
+m AS (SELECT *, regexp_extract(raw, '(?i)arxiv\\.org/(?:abs|pdf|html)/([0-9]{{4}}\\.[0-9]{{4,6}})', 1) AS a, regexp_extract(raw, '(?i)doi\\.org/(10\\.[^?#]+)', 1) AS d,
+  regexp_extract(raw, '^([a-zA-Z]+)://([^/?#]*)([^?#]*)', ['s', 'h', 'p']) AS u FROM g)
+SELECT page_id, CASE WHEN a <> '' THEN 'arxiv.org/abs/' || a WHEN d <> '' THEN 'https://doi.org/' || lower(d) WHEN u.s = '' THEN ''
+  WHEN contains(lower(u.h), 'researchgate.net') AND regexp_matches(u.p, '^/publication/[0-9]+_') THEN lower(u.s) || '://' || lower(u.h) || lower(regexp_extract(u.p, '^/publication/[0-9]+_[^/]+'))
+  ELSE lower(u.s) || '://' || lower(u.h) || coalesce(nullif(rtrim(u.p, '/'), ''), '/') END AS value FROM m""", lambda: X.canonical_url(C("raw")), addresses, "page_id")
 one("slugify", "SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE left(s, 60) END AS value FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents)", lambda: X.slug(C("text")))
 FILES = f"files AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN source_file WHEN 1 THEN doc_id || '__' || replace({TITLE}, '/', ' ') || '.pdf' ELSE 'notes/' || source || '.txt' END AS path FROM docs)"
 
@@ -123,16 +136,17 @@ f AS (SELECT doc_id, w, min(i) AS i, row_number() OVER (PARTITION BY doc_id ORDE
 SELECT doc_id, coalesce(v, '') AS value FROM documents LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS v FROM f GROUP BY doc_id) USING (doc_id)""", lambda: F.array_join(X.content_nouns(C("text")), " "))
 LATEX = "replace(replace(text, 'th', '\\emph{x}'), 'on', '$y_1$')"
 one("strip_latex", f"SELECT doc_id, regexp_replace(regexp_replace({LATEX}, '\\\\[a-zA-Z]+\\{{([^{{}}]*)\\}}', '\\1', 'g'), '\\$([^$]*)\\$', '\\1', 'g') AS value FROM documents", lambda: X.strip_latex(F.replace(F.replace("text", F.lit("th"), F.lit("\\emph{x}")), F.lit("on"), F.lit("$y_1$"))))
-ANSWER = "'First [' || doc_id % 7 || '] and a[9] then [' || doc_id % 3 + 1 || ', ' || doc_id % 5 || '].' || chr(10) || 'Sources:' || chr(10) || text"
+ANSWER = "'First [' || doc_id % 7 || '] and a[9] then [' || doc_id % 3 + 1 || ', ' || doc_id % 5 || '].[4][' || doc_id % 11 || '] y_[6] [8,' || chr(9) || '9]' || chr(10) || 'Sources:' || chr(10) || text"
 
 
 def answers(t) -> DataFrame:
     d = lambda m, a=0: (C("doc_id") % m + a).cast("string")
-    return t.documents.select("doc_id", F.concat(F.lit("First ["), d(7), F.lit("] and a[9] then ["), d(3, 1), F.lit(", "), d(5), F.lit("].\nSources:\n"), "text").alias("answer"))
+    return t.documents.select("doc_id", F.concat(F.lit("First ["), d(7), F.lit("] and a[9] then ["), d(3, 1), F.lit(", "), d(5), F.lit("].[4]["), d(11), F.lit("] y_[6] [8,\t9]\nSources:\n"), "text").alias("answer"))
 
 
-CITED = f"""cited AS (SELECT doc_id, answer, list_filter(ns, lambda n, i: list_position(ns, n) = i) AS nums FROM (SELECT doc_id, answer, list_transform(flatten(list_transform(
-  regexp_extract_all(answer, '(?:^|[^A-Za-z0-9])\\[([0-9]+(?: *, *[0-9]+)*)\\]', 1), lambda g: string_split_regex(g, ' *, *'))), lambda n: try_cast(n AS INT)) AS ns FROM (SELECT doc_id, {ANSWER} AS answer FROM documents)))"""
+# a blank before each bracket that follows one: SQL's patterns can't look behind
+CITED = f"""cited AS (SELECT doc_id, answer, list_filter(ns, lambda n, i: list_position(ns, n) = i) AS nums, ns FROM (SELECT doc_id, answer, list_transform(flatten(list_transform(
+  regexp_extract_all(replace(answer, '][', '] ['), '(?:^|[^A-Za-z0-9_])\\[((?:[0-9]+\\s*,\\s*)*[0-9]+)\\]', 1), lambda g: string_split_regex(g, '\\s*,\\s*'))), lambda n: try_cast(n AS INT)) AS ns FROM (SELECT doc_id, {ANSWER} AS answer FROM documents)))"""
 one("cited_indices", f"WITH {CITED} SELECT doc_id, array_to_string(nums, ',') AS value FROM cited", lambda: F.array_join(X.cited_indices(C("answer")).cast("array<string>"), ","), answers)
 
 
@@ -145,19 +159,34 @@ def citation_resolve(t) -> DataFrame:
     return cited.join(rows, ["doc_id", "marker"], "left").select("doc_id", "marker", "id", C("id").isNotNull().alias("resolved"))
 
 
-LEGACY = "'See [src' || doc_id % 3 || '.pdf:' || doc_id % 4 || '] and [b.pdf:2], [src' || doc_id % 3 || '.pdf:' || doc_id % 4 || '].'"
+LEGACY = "'As [2] and [1, 3][2] say, y_[1]; see [src' || doc_id % 3 || '.pdf:' || doc_id % 4 || ', b.pdf:image] and [b.pdf:2] or [src' || doc_id % 3 || '.pdf:' || doc_id % 4 || '].' || chr(10) || 'Sources:' || chr(10) || '[4] ' || left(text, 20)"
+
 
+def retrieved(t) -> DataFrame:
+    """Ranked rows of a question with their file, page and modality."""
+    file = F.concat(F.lit("src"), (C("id") % 3).cast("string"), F.lit(".pdf"))
+    return t.hits.filter("list_idx = 1").select(C("query_id").alias("doc_id"), "rank", file.alias("source"), (C("id") % 4).cast("int").alias("page"), F.when(C("id") % 5 == 0, "image").otherwise("text").alias("modality"))
 
-@query(f"""WITH m AS (SELECT doc_id, regexp_extract_all({LEGACY}, '\\[([^\\[\\]:]+):([0-9]+)\\]', 1) AS f, regexp_extract_all({LEGACY}, '\\[([^\\[\\]:]+):([0-9]+)\\]', 2) AS g FROM documents),
-e AS (SELECT doc_id, unnest(f) AS file, unnest(g)::INT AS page, generate_subscripts(f, 1) AS pos FROM m)
-SELECT doc_id, file, page, min(pos)::INT AS pos FROM e GROUP BY ALL""")
+
+@query(f"""WITH a AS (SELECT doc_id, regexp_replace({LEGACY}, '(?s)^(.*)\\n(?:Sources|References):.*$', '\\1') AS body FROM documents),
+s AS (SELECT query_id AS doc_id, rank, 'src' || id % 3 || '.pdf' AS source, (id % 4)::INT AS page, CASE WHEN id % 5 = 0 THEN 'image' ELSE 'text' END AS modality FROM hits WHERE list_idx = 1),
+m AS (SELECT doc_id, source, arg_min(modality, rank) AS modality FROM s GROUP BY ALL),
+n AS (SELECT doc_id, list_transform(flatten(list_transform(regexp_extract_all(replace(body, '][', '] ['), '(?:^|[^A-Za-z0-9_])\\[((?:[0-9]+\\s*,\\s*)*[0-9]+)\\]', 1), lambda g: string_split_regex(g, '\\s*,\\s*'))), lambda x: x::INT) AS ns FROM a),
+p AS (SELECT doc_id, unnest(ns) AS rank, generate_subscripts(ns, 1) AS nth FROM n),
+f AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(body, '\\[([^\\[\\]]+)\\]', 1), lambda b: regexp_extract_all(b, '[^\\s,\\[\\]]+:(?:image|[0-9]+)'))) AS ts FROM a),
+g AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS nth FROM f),
+c AS (SELECT doc_id, 1 AS pass, nth, source, page, modality FROM p JOIN s USING (doc_id, rank) UNION ALL
+  SELECT g.doc_id, 2, nth, regexp_extract(t, '^(.*):', 1) AS source, coalesce(try_cast(regexp_extract(t, ':([0-9]+)$', 1) AS INT), 0), CASE WHEN ends_with(t, ':image') THEN 'image' ELSE coalesce(m.modality, 'text') END
+  FROM g LEFT JOIN m ON m.doc_id = g.doc_id AND m.source = regexp_extract(t, '^(.*):', 1))
+SELECT doc_id, source, page, modality, row_number() OVER (PARTITION BY doc_id ORDER BY min(pass * 1000 + nth)) AS pos FROM c GROUP BY doc_id, source, page, modality""", "hits")
 def parse_citations(t) -> DataFrame:
+    """Citations of an answer's body by number and, in the older form, by file and page; each file, page and modality once."""
+    from ..operators.citations import structured_citations
+
     d = lambda m: (C("doc_id") % m).cast("string")
-    ref = F.concat(F.lit("[src"), d(3), F.lit(".pdf:"), d(4), F.lit("]"))
-    text = F.concat(F.lit("See "), ref, F.lit(" and [b.pdf:2], "), ref, F.lit("."))
-    pattern = r"\[([^\[\]:]+):([0-9]+)\]"
-    rows = t.documents.select("doc_id", F.posexplode(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("f"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("g"))).alias("p", "x"))
-    return rows.groupBy("doc_id", C("x.f").alias("file"), C("x.g").cast("int").alias("page")).agg((F.min("p") + 1).alias("pos"))
+    ref = F.concat(F.lit("src"), d(3), F.lit(".pdf:"), d(4))
+    text = F.concat(F.lit("As [2] and [1, 3][2] say, y_[1]; see ["), ref, F.lit(", b.pdf:image] and [b.pdf:2] or ["), ref, F.lit("].\nSources:\n[4] "), F.substring("text", 1, 20))
+    return structured_citations(t.documents.select("doc_id", text.alias("answer")), retrieved(t), "doc_id", "answer")
 
 
 one("strip_sources", f"SELECT doc_id, regexp_replace({ANSWER}, '(?s)^(.*)\\n(?:Sources|References):.*$', '\\1') AS value FROM documents", lambda: X.strip_sources(C("answer")), answers)
@@ -171,6 +200,10 @@ def render_sources(t) -> DataFrame:
 
 
 NAMES = ["Jane Roe, Max Bauer", "We present the model", "Ann Lee", "JANE ROE", "Ada Byron and Carl Gauss", "Otto von Stein, Ada de la Cruz, Max Bauer", "Jane Roe1, Max Bauer2*"]
+SEEN_LINES = [
+    "José García, Anna Müller", "J. K. Rowling and Max Bauer", "Department of Physics, Jane Roe", "Jump to content now", "Prices of options: a new model", "Roe, J.: A Long Line Of A Book, Vol. 2",
+    "12, 13 - 14/15", "Title of page - QuantSite", "a | B c", "Read all →", "→ Quant List", "Mergify", "mail Jane Roe at jane@roe.org", "Cookie Monster",
+]
 
 
 def names(t) -> DataFrame:
@@ -179,7 +212,23 @@ def names(t) -> DataFrame:
 
 LINES = f"lines AS (SELECT corpusid, year, {NAMES!r}[(corpusid % 7 + 1)::INT] AS line FROM papers)"
 SPLIT = "list_filter(list_transform(regexp_split_to_array(replace(regexp_replace(line, '[*0-9]+( |,|;|$)', '\\1', 'g'), ' and ', ','), '[,;]'), lambda x: trim(x)), lambda x: x <> '')"
-one("author_line", f"WITH {LINES} SELECT corpusid, regexp_matches(trim(line), '^[A-Z][a-z]+([ ,]+[A-Z][a-z]+)+$') AND len(regexp_split_to_array(trim(line), ' +')) BETWEEN 2 AND 20 AND NOT regexp_matches(lower(line), '\\b(is|are|was|the|of|we)\\b') AS value FROM lines", lambda: X.author_line(C("line")), names, "corpusid", "papers")
+
+
+def seen_lines(t) -> DataFrame:
+    """Lines as parsers find them, every other one the begin of a document."""
+    known = F.element_at(F.array(*map(F.lit, SEEN_LINES)), (C("doc_id") % len(SEEN_LINES) + 1).cast("int"))
+    return t.documents.select("doc_id", F.when(C("doc_id") % 2 == 0, known).otherwise(F.split("text", r"[\n,.]")[0]).alias("line"))
+
+
+#: word by word: a word of an affiliation anywhere, and so on
+WORDS_OF = "' ' || regexp_replace(lower(line), '[^\\p{L}\\p{N}_]', ' ', 'g') || ' '"
+AFFILIATED = " OR ".join(f"contains(w, ' {a.lower()} ')" for a in X.AFFILIATIONS)
+NAVIGATED = " OR ".join(f"starts_with(w, ' {a} ')" for a in X.NAVIGATION)
+one("author_line", f"""WITH l AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 2 = 0 THEN {SEEN_LINES!r}[(doc_id % {len(SEEN_LINES)} + 1)::INT] ELSE regexp_split_to_array(text, '[\\n,.]')[1] END, '^\\s+|\\s+$', '', 'g') AS line FROM documents),
+w AS (SELECT *, {WORDS_OF} AS w FROM l)
+SELECT doc_id, length(line) BETWEEN 4 AND 400 AND contains(line, ' ') AND regexp_matches(line, '(?:^|[^\\p{{L}}\\p{{N}}_])[A-Z][a-zA-Z]') AND NOT ({AFFILIATED}) AND NOT ({NAVIGATED}) AND NOT contains(line, '|')
+  AND NOT contains(line, '@') AND NOT regexp_full_match(line, '[0-9\\s,./-]+') AND NOT regexp_matches(line, ' [-—] [A-Z][a-zA-Z0-9][a-zA-Z0-9]+$') AND NOT regexp_matches(line, '[←-⇿➠-➿»]$') AND NOT regexp_matches(line, '^\\p{{S}}')
+  AND NOT (length(line) >= 30 AND contains(line, ':') AND NOT contains(string_split(line, ':')[1], ',')) AS value FROM w""", lambda: X.author_line(C("line")), seen_lines)
 one("split_authors", f"WITH {LINES} SELECT corpusid, array_to_string({SPLIT}, '|') AS value FROM lines", lambda: F.array_join(X.split_authors(C("line")), "|"), names, "corpusid", "papers")
 one("lastname", f"""WITH {LINES}, w AS (SELECT corpusid, string_split(({SPLIT})[1], ' ') AS ws FROM lines)
 SELECT corpusid, CASE WHEN lower(ws[-2]) IN ('van', 'von', 'de', 'der', 'den', 'la', 'di', 'da') THEN ws[-2] || ' ' || ws[-1] ELSE ws[-1] END AS value FROM w""", lambda: X.last_name(F.element_at(X.split_authors(C("line")), 1)), names, "corpusid", "papers")
@@ -201,8 +250,31 @@ best AS (SELECT doc_id, y FROM (SELECT doc_id, y, row_number() OVER (PARTITION B
 one("extract_year", f"WITH {DATED} SELECT doc_id, coalesce(sure, y) AS value FROM dated LEFT JOIN best USING (doc_id)", lambda: X.extract_year(C("url"), C("text")), dated)
 one("modal_year", f"WITH {DATED} SELECT doc_id, y AS value FROM dated LEFT JOIN best USING (doc_id) WHERE doc_id % 4 > 1", lambda: X.extract_year(F.lit(""), C("text")), lambda t: dated(t).filter("doc_id % 4 > 1"))
 HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '')"
-one("sitename", f"SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN CASE page_id % 2 WHEN 0 THEN 'GitHub' ELSE 'My Site' END END, initcap(string_split({HOST}, '.')[1])) AS value FROM (SELECT * FROM pages) ".replace("initcap(string_split(" + HOST + ", '.')[1])", f"upper(left(string_split({HOST}, '.')[1], 1)) || substr(string_split({HOST}, '.')[1], 2)"), lambda: X.site_name(F.when(C("page_id") % 3 == 0, F.when(C("page_id") % 2 == 0, "github").otherwise(" My Site ")).otherwise("https://x"), C("url")), lambda t: t.pages, "page_id")
-one("platform_match", f"SELECT page_id, CASE WHEN starts_with({HOST}, 'blog.') THEN 'Blog' WHEN starts_with({HOST}, 'm.') THEN 'Mobile' WHEN starts_with({HOST}, 'adult-') THEN 'Blocked' END AS value FROM pages", lambda: X.platform_match(C("url")), lambda t: t.pages, "page_id")
+SITES = ["github", " My Site ", "With the name of", "VERSION OF TEXT", "Cloudflare", "May News", "It ends here.", "one two three four five", "Papers With Code", ""]
+TITLES = ["A page - mdpi", "Some page | The Site", "No tail here", "Tail - of the page and more", "x — Ideas/RePEc"]
+URLS = ["https://en.wikipedia.org/wiki/X", "http://www.reddit.com/r/a", "https://math.stackexchange.com/q/1", "https://notreddit.com/", "https://news.ycombinator.com/item?id=1", "https://www.data-site2b.co.uk/x"]
+picked = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (F.expr(by) % len(names) + 1).cast("int"))
+
+
+def sites(t) -> DataFrame:
+    url = F.when(C("page_id") % 2 == 0, picked(URLS, "page_id div 2")).otherwise(C("url"))
+    return t.pages.select("page_id", F.when(C("page_id") % 3 == 0, picked(SITES, "page_id div 3")).alias("given"), F.when(C("page_id") % 5 < 3, picked(TITLES, "page_id")).alias("page_title"), F.when(C("page_id") % 7 < 2, picked(TITLES, "page_id div 7")).alias("title"), url.alias("url"))
+
+
+SITED = f"""s AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {SITES!r}[(page_id // 3 % {len(SITES)} + 1)::INT] END AS given, CASE WHEN page_id % 5 < 3 THEN {TITLES!r}[(page_id % {len(TITLES)} + 1)::INT] END AS page_title,
+  CASE WHEN page_id % 7 < 2 THEN {TITLES!r}[(page_id // 7 % {len(TITLES)} + 1)::INT] END AS title, CASE WHEN page_id % 2 = 0 THEN {URLS!r}[(page_id // 2 % {len(URLS)} + 1)::INT] ELSE url END AS url FROM pages)"""
+BRANDED = "coalesce(map {" + ", ".join(f"'{b.lower()}': '{b}'" for b in X.BRANDS) + "}[lower(v)], v)"
+NEVER = ", ".join(map(quoted, (*X.MONTHS, *X.WEEKDAYS, *X.BLOCKERS)))
+one("sitename", f"""WITH {SITED}, c AS (SELECT page_id, 1 AS n, trim(given) AS v FROM s UNION ALL SELECT page_id, 2, trim(regexp_extract(page_title, '\\s[-—|]\\s+([^-—|]{{2,40}})$', 1)) FROM s
+  UNION ALL SELECT page_id, 3, trim(regexp_extract(title, '\\s[-—|]\\s+([^-—|]{{2,40}})$', 1)) FROM s),
+w AS (SELECT *, regexp_extract_all(lower(v), '[a-z]+') AS ws FROM c WHERE v <> ''),
+g AS (SELECT page_id, arg_min({BRANDED}, n) AS v FROM w WHERE NOT list_has_any(ws, [{NEVER}]) AND right(v, 1) NOT IN ('.', '!', '?') AND len(regexp_split_to_array(v, '\\s+')) <= 4
+  AND NOT (upper(v) = v AND lower(v) <> v AND contains(v, ' ')) AND len(list_filter(ws, lambda x: x IN ({", ".join(map(quoted, X.FUNCTION_WORDS))}))) < 2 GROUP BY page_id),
+h AS (SELECT page_id, regexp_extract_all(translate(regexp_replace({HOST}, '\\.[^.]*$', ''), '-.', '  '), '[a-z]+|[^a-z]+') AS ps FROM s),
+d AS (SELECT page_id, nullif(array_to_string(list_transform(ps, lambda p: upper(p[1]) || p[2:]), ''), '') AS v FROM h)
+SELECT page_id, coalesce(g.v, d.v) AS value FROM (SELECT page_id, {BRANDED} AS v FROM d) d LEFT JOIN g USING (page_id)""", lambda: X.site_name(C("given"), C("page_title"), C("title"), C("url")), sites, "page_id")
+UNDER = lambda n: f"({HOST} = '{n}' OR ends_with({HOST}, '.{n}'))"
+one("platform_match", f"""WITH {SITED} SELECT page_id, CASE {" ".join(f"WHEN {UNDER(n)} THEN '{a}|{b}'" for n, a, b in X.PLATFORMS)} END AS value FROM s""", lambda: F.concat(X.platform_match(C("url"))["attribution"], F.lit("|"), X.platform_match(C("url"))["brand"]), sites, "page_id")
 
 
 @query("""WITH o AS (SELECT doc_id, doc_id % 4 AS old_rank, doc_id % 3 AS authors, doc_id % 5 AS new_rank FROM documents)
@@ -230,13 +302,19 @@ one("cursor_token", "SELECT query_id, rtrim(replace(replace(base64(encode('[\"'
 one("clean_title", f"SELECT doc_id, left(trim(regexp_replace(regexp_replace(trim(t), '^[\"'']+|[\"'']+$', '', 'g'), '[.!?]+$', '')), 80) AS value FROM (SELECT doc_id, '\"' || {TITLE} || '!?\"' AS t FROM documents)", lambda: X.clean_title(F.concat(F.lit('"'), title(), F.lit('!?"'))))
 
 
-@query("""WITH s AS (SELECT k AS run_id, query_id AS pos, CASE event_type WHEN 'signup' THEN 'fetching' WHEN 'click' THEN 'parsing' WHEN 'view' THEN 'chunking' WHEN 'purchase' THEN 'embedding' END AS stage FROM qlog)
-SELECT run_id, coalesce(arg_max(stage, pos) FILTER (stage IS NOT NULL), 'unknown') AS stage FROM s GROUP BY run_id""", "qlog")
+LOG_LINES = [
+    "[discover:q1] triggering 3", "→ parse_start: a.pdf", "Found 12 file(s) to process.", "3 parents, 40 children — embedding", "heartbeat", "[a.pdf]", "[progress] done=1 parse_pending=2", "[a pdf]", "Pipeline done: 4",
+    "x parents, 4 children — embedding", "INFO Processing pages: 10%", "parse_start: a.pdf",
+]
+
+
+@query(f"""WITH s AS (SELECT k AS run_id, query_id AS pos, {LOG_LINES!r}[(query_id % {len(LOG_LINES)} + 1)::INT] AS line FROM qlog),
+n AS (SELECT *, CASE WHEN regexp_matches(line, '^[0-9]+ parents, [0-9]+ children — embedding') THEN 'embedding' WHEN line LIKE 'Found %%' OR line = '[a.pdf]' THEN 'chunking'
+  WHEN line LIKE '→ parse_start:%%' OR line LIKE '%%parse_pending=%%' OR line LIKE '%%Processing pages%%' THEN 'parsing' WHEN line LIKE '[discover:%%' OR line LIKE '%%Pipeline done:%%' THEN 'fetching' END AS stage FROM s)
+SELECT run_id, coalesce(arg_max(stage, pos) FILTER (stage IS NOT NULL), 'unknown') AS stage FROM n GROUP BY run_id""".replace("%%", "%"), "qlog")
 def log_stage(t) -> DataFrame:
     """The stage of a run's last line that names one."""
-    e = C("event_type")
-    line = F.when(e == "signup", "Fetched page").when(e == "click", "now PARSING").when(e == "view", "chunked 3").when(e == "purchase", "embedded all").otherwise("heartbeat")
-    rows = t.qlog.select(C("k").alias("run_id"), C("query_id").alias("pos"), X.line_stage(line).alias("stage"))
+    rows = t.qlog.select(C("k").alias("run_id"), C("query_id").alias("pos"), X.line_stage(picked(LOG_LINES, "query_id")).alias("stage"))
     return rows.groupBy("run_id").agg(F.coalesce(F.max_by("stage", F.when(C("stage").isNotNull(), C("pos"))), F.lit("unknown")).alias("stage"))
 
 
