@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..operators import hygiene
 from ..operators import relational as R
 from ..operators.retrieval import ranked
 from ..operators.text_index import TextIndex, words
+from ..session import shared_folder
+from . import text as T
 from .registry import query
 
 C = F.col
@@ -250,37 +254,62 @@ def fts_refresh(t) -> DataFrame:
 
 # --- corpus hygiene ---
 
-MANIFEST = """
-h AS (SELECT doc_id, source, sha256(text) AS hash, n_chars, length(text) < 120 AS fail, (doc_id * 7 % 10) / 10.0 AS ratio FROM documents),
-g AS (SELECT hash FROM h GROUP BY hash HAVING count(*) > 1),
-c AS (SELECT doc_id, row_number() OVER (PARTITION BY hash ORDER BY fail, ratio DESC, doc_id) AS n, hash IN (SELECT hash FROM g) AS dup, fail, ratio, bool_and(fail) OVER (PARTITION BY hash) AS hopeless FROM h)"""
+STRANGE = "quarterly_revenue_forecast_summary"
+MANIFEST = f"""
+f AS (SELECT doc_id, text, source || '/' || doc_id || '__' || CASE WHEN doc_id % 4 = 3 THEN '{STRANGE}' ELSE array_to_string(regexp_extract_all(text, '[^ ]+')[1:5], '_') END || '.txt' AS path FROM documents),
+n AS (SELECT *, regexp_replace(regexp_replace(string_split(lower(path), '/')[-1], '\\.[a-z0-9]{{1,5}}$', ''), '^[0-9]+__', '') AS stem, substr(text, {T.REST.replace("(t)", "(text)")} + 1) AS rest FROM f),
+b AS (SELECT *, CASE WHEN regexp_matches(text, {T.quoted(X.HARD_SECTION)}) THEN {T.RSTRIP(f"regexp_extract(text, {T.quoted(X.HARD_SECTION)}, 1)")}
+  WHEN regexp_matches(rest, {T.quoted(X.SOFT_SECTION)}) THEN {T.RSTRIP(f"left(text, {T.REST.replace('(t)', '(text)')}) || regexp_extract(rest, {T.quoted(X.SOFT_SECTION)}, 1)")} ELSE text END AS body,
+  CASE WHEN regexp_matches(stem, '^https?[_-]') THEN [] ELSE list_distinct(list_filter(regexp_extract_all(stem, '[a-z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN ({", ".join(map(T.quoted, X.STOP_WORDS))}))) END AS ws FROM n),
+h AS (SELECT doc_id, sha256(text) AS hash, {T.FAIL} AS sign, CASE WHEN len(ws) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(ws, lambda w: contains(lower(body), w)))::DOUBLE / len(ws) END AS overlap,
+  len(ws) >= 4 AND len(list_filter(ws, lambda w: contains(lower(text), w)))::DOUBLE / len(ws) < 0.4 AS mismatch, octet_length(encode(text)) < 1024 OR {T.LONGEST.format(chr(10) * 2)} < 70 AS small FROM b),
+g AS (SELECT *, count(*) OVER (PARTITION BY hash) > 1 AS grouped, max(overlap) OVER (PARTITION BY hash) AS best FROM h),
+p AS (SELECT *, CASE WHEN sign IS NOT NULL THEN 'fail_page:' || sign WHEN grouped AND best < 0.4 THEN 'no_canonical' WHEN mismatch AND (grouped OR small) THEN 'name_mismatch' END AS poison FROM g),
+k AS (SELECT hash, arg_min(doc_id, (-overlap, doc_id)) AS keeper FROM p WHERE grouped AND poison IS NULL GROUP BY hash),
+m AS (SELECT doc_id, coalesce(poison, CASE WHEN grouped AND doc_id <> keeper THEN 'duplicate' END) AS reason, CASE WHEN poison IS NULL AND grouped AND doc_id <> keeper THEN keeper END AS canonical FROM p LEFT JOIN k USING (hash))"""
 
 
-@query(f"WITH {MANIFEST} SELECT doc_id, CASE WHEN fail AND dup AND hopeless THEN 'no_canonical' WHEN fail THEN 'fail_page' WHEN dup AND n > 1 THEN 'duplicate' WHEN ratio < 0.2 THEN 'name_mismatch' END AS reason FROM c WHERE fail OR (dup AND n > 1) OR ratio < 0.2")
+def named_files(t) -> DataFrame:
+    """Documents under names of their first words; every fourth one under a strange name."""
+    name = F.when(C("doc_id") % 4 == 3, STRANGE).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)), 1, 5), "_"))
+    return t.documents.select("doc_id", "text", "source", F.concat("source", F.lit("/"), C("doc_id").cast("string"), F.lit("__"), name, F.lit(".txt")).alias("path"))
+
+
+@query(f"WITH {MANIFEST} SELECT doc_id, reason, canonical FROM m WHERE reason IS NOT NULL")
 def cleanup_manifest(t) -> DataFrame:
-    """What to remove and why. The canonical copy of a group is its best named good page, so a survivor is never also a duplicate."""
-    rows = t.documents.select("doc_id", F.sha2("text", 256).alias("hash"), (F.length("text") < 120).alias("fail"), ((C("doc_id") * 7 % 10) / 10).alias("ratio"))
-    group = Window.partitionBy("hash")
-    rows = rows.withColumns({
-        "n": F.row_number().over(group.orderBy("fail", F.desc("ratio"), "doc_id")), "dup": F.count(F.lit(1)).over(group) > 1, "hopeless": F.bool_and("fail").over(group),
-    })
-    reason = F.when(C("fail") & C("dup") & C("hopeless"), "no_canonical").when(C("fail"), "fail_page").when(C("dup") & (C("n") > 1), "duplicate").when(C("ratio") < 0.2, "name_mismatch")
-    return rows.select("doc_id", reason.alias("reason")).filter("reason is not null")
+    """What to remove and why: failed pages, groups without a well-named copy, mismatches with another sign, copies of a canonical file."""
+    return hygiene.manifest(named_files(t), "doc_id", "path", "text")
+
 
+def _quarantined(t) -> hygiene.Quarantine:
+    """A store of all documents with the manifest applied, twice over as after a restart."""
+    store = hygiene.Quarantine(t.spark, shared_folder(t.spark, "store"), "doc_id")
+    store.create(t.documents.select("doc_id", "source", "n_chars"))
+    moves = hygiene.statuses(hygiene.manifest(named_files(t), "doc_id", "path", "text"))
+    for _ in range(2):
+        store.apply(moves, "first")
+    return store
 
-@query("SELECT doc_id, source, CASE WHEN length(text) < 120 THEN 'quarantined' ELSE 'active' END AS status FROM documents WHERE source IN ('src1', 'src2')")
+
+@query(f"WITH {MANIFEST} SELECT doc_id, source, CASE reason WHEN 'duplicate' THEN 'duplicate' ELSE 'poisoned' END AS status FROM m JOIN documents USING (doc_id) WHERE reason IS NOT NULL")
 def quarantine_list(t) -> DataFrame:
-    return t.documents.filter(C("source").isin("src1", "src2")).select("doc_id", "source", F.when(F.length("text") < 120, "quarantined").otherwise("active").alias("status"))
+    """What the store holds out of use after the manifest."""
+    return _quarantined(t).rows().filter("status <> 'active'").select("doc_id", "source", "status")
+
+
+@query("SELECT doc_id, source, n_chars, 'active' AS status FROM documents")
+def quarantine_restore(t) -> DataFrame:
+    """The store after the manifest was applied and undone: what it was."""
+    store = _quarantined(t)
+    store.restore("first")
+    return store.rows().select("doc_id", "source", "n_chars", "status")
 
 
-@query("""WITH w AS (SELECT doc_id, text, list_filter(list_transform(string_split(replace(p_name, ' ', '_'), '_'), lambda x: lower(x)), lambda x: length(x) >= 2) AS ws FROM documents JOIN part ON p_partkey = doc_id + 1),
-r AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: contains(lower(text), x)))::DOUBLE / len(ws) AS ratio FROM w WHERE len(ws) > 0)
-SELECT doc_id, round(ratio, 6) AS ratio FROM r WHERE n >= 2 AND ratio < 0.4""")
+@query(f"WITH {MANIFEST} SELECT doc_id, round(overlap_, 6) AS ratio FROM (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda w: contains(lower(text), w)))::DOUBLE / len(ws) AS overlap_ FROM b WHERE len(ws) > 0) WHERE n >= 4 AND overlap_ < 0.4")
 def name_mismatch(t) -> DataFrame:
-    """Files whose content has few of their name's words."""
-    rows = t.documents.join(t.part, C("p_partkey") == C("doc_id") + 1).select("doc_id", "text", F.filter(F.split(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), "_"), lambda x: F.length(x) >= 2).alias("ws"))
-    ratio = F.size(F.filter("ws", lambda x: F.contains(F.lower("text"), x))) / F.size("ws")
-    return rows.filter(F.size("ws") >= 2).select("doc_id", F.round(ratio, 6).alias("ratio")).filter("ratio < 0.4")
+    """Files whose content has few of their name's four words or more."""
+    rows = named_files(t).withColumn("ws", X.descriptive_tokens(C("path")))
+    return rows.filter(hygiene.mismatched(C("ws"), C("text"))).select("doc_id", F.round(X.overlap_ratio(C("ws"), C("text")), 6).alias("ratio"))
 
 
 @query("""SELECT k, event_type, latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY (latency_ms < 20), CASE WHEN latency_ms >= 20 THEN query_id END, latency_ms DESC, query_id) AS n FROM qlog) WHERE n = 1""", "qlog")

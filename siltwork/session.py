@@ -78,6 +78,11 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share; it goes with the application."""
     path = f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
