@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..operators import vector_index
-from ..session import spread
+from ..session import spread, written
 from .registry import query
 
 C = F.col
@@ -72,14 +72,47 @@ def hybrid_rrf(t) -> DataFrame:
     return R.rrf(legs(t), ["query_id"], K).select("query_id", "id", "rrf", C("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {FUSED.format(k=30)}, c AS (SELECT fu.query_id, fu.id, rrf, source, row_number() OVER (PARTITION BY query_id, source ORDER BY rrf DESC, id) AS n FROM fu JOIN documents ON doc_id = id)
-SELECT query_id, rank, id, source, left(text, 40) AS head FROM (SELECT query_id, id, source, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM c WHERE n <= 2 QUALIFY rank <= 5) JOIN (SELECT doc_id, text FROM documents) ON doc_id = id""")
+# Fixed values of the search: pool, score threshold and its floor, candidates per parent, candidates and picks of the diversity step, characters of context
+POOL_SIZE, LEAST_SCORE, FLOOR, PER_PARENT, CANDIDATES, PICKS, BUDGET = 30, 0.02, 5, 4, 10, 5, 24_000
+
+
+def _search_sql() -> str:
+    """Legs, fusion, score, threshold with floor, cap, diversity step by step, parents, budget."""
+    steps = []
+    for i in range(2, PICKS + 1):
+        picked = " UNION ALL ".join(f"SELECT g, id FROM s{j}" for j in range(1, i))
+        steps.append(
+            f"s{i} AS (SELECT g, arg_min(id, (-round(val, 12), -score, id)) AS id FROM (SELECT r.g, r.id, r.score, 0.6 * r.rel - 0.4 * max(list_cosine_similarity(r.v, p.v)) AS val FROM re r JOIN ({picked}) x ON x.g = r.g JOIN re p ON p.g = x.g AND p.id = x.id"
+            f" WHERE NOT EXISTS (SELECT 1 FROM ({picked}) y WHERE y.g = r.g AND y.id = r.id) GROUP BY r.g, r.id, r.score, r.rel) GROUP BY g)"
+        )
+    picks = " UNION ALL ".join(f"SELECT g, id, {i} AS pick FROM s{i}" for i in range(1, PICKS + 1))
+    return f"""WITH {FUSED.format(k=POOL_SIZE)},
+qw AS (SELECT item_id AS query_id, list_distinct({TOK.format('text')}) AS x FROM benchmark WHERE item_id % 20 = 0), tw AS (SELECT doc_id AS id, source, text, list_distinct({TOK.format('text')}) AS y FROM documents WHERE doc_id IN (SELECT id FROM fu)),
+sj AS (SELECT query_id, id, source, text, round(CASE WHEN len(x) + len(y) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END, 6) AS score FROM fu JOIN qw USING (query_id) JOIN tw USING (id)),
+th AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos, bool_or(score >= {LEAST_SCORE}) OVER (PARTITION BY query_id) AS ok FROM sj),
+ca AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS n FROM th WHERE score >= {LEAST_SCORE} OR (NOT ok AND pos <= {FLOOR})),
+cd AS (SELECT query_id AS g, id, score, source, text, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM ca WHERE n <= {PER_PARENT} QUALIFY place <= {CANDIDATES}),
+re AS MATERIALIZED (SELECT cd.*, embedding::DOUBLE[] AS v, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS rel, count(*) OVER w AS size
+  FROM cd JOIN embeddings ON vec_id = id % 500 WINDOW w AS (PARTITION BY g)),
+s1 AS (SELECT g, arg_min(id, (-rel, -score, id)) AS id FROM re GROUP BY g), {", ".join(steps)},
+pk AS (SELECT g, id, pick FROM ({picks}) JOIN (SELECT DISTINCT g, size FROM re) USING (g) WHERE size > {PICKS} UNION ALL SELECT g, id, place FROM re WHERE size <= {PICKS}),
+bu AS (SELECT pk.*, score, source, text, sum(length(text)) OVER (PARTITION BY g ORDER BY pick) AS used FROM pk JOIN re USING (g, id))
+SELECT g AS query_id, pick AS rank, id, source, score, left(text, 40) AS head, used::BIGINT AS used FROM bu WHERE used <= {BUDGET}"""
+
+
+@query(_search_sql())
 def hybrid_search(t) -> DataFrame:
-    """Question to ranked evidence: two legs, fusion, a cap of two for each source, five parents."""
-    docs = t.documents.select(C("doc_id").alias("id"), C("source").alias("parent_id"))
-    pool = R.rrf(legs(t), ["query_id"], 30).select("query_id", "id", C("rrf").alias("score")).join(docs, "id")
-    best = R.rerank(pool, ["query_id"], 5, per_parent=2)
-    return best.join(t.documents.select(C("doc_id").alias("id"), F.substring("text", 1, 40).alias("head")), "id").select("query_id", C("rank").cast("long").alias("rank"), "id", C("parent_id").alias("source"), "head")
+    """Question to context: two legs, fusion, a score of every candidate's whole text, threshold with floor, a cap for each source, diversity, parents and the budget."""
+    texts = t.documents.select(C("doc_id").alias("id"), C("source").alias("parent_id"), "text")
+    pool = R.rrf(legs(t), ["query_id"], POOL_SIZE).select("query_id", "id").join(R.small(questions(t).withColumnRenamed("text", "asked")), "query_id")
+    scored = pool.join(texts, "id").select("query_id", "id", "parent_id", F.round(R.overlap(C("asked"), C("text")), 6).alias("score"), F.length("text").alias("size"), F.substring("text", 1, 40).alias("head"))
+    scored = written(scored, "candidates")  # a few for each question, without their texts
+    best = R.rerank(scored, ["query_id"], CANDIDATES, threshold=LEAST_SCORE, per_parent=PER_PARENT, floor=FLOOR)
+    near = t.embeddings.select(C("vec_id").alias("slot"), C("embedding").cast("array<double>").alias("vector"))
+    picks = R.mmr(best.withColumn("slot", C("id") % 500).join(near, "slot").select("query_id", "id", "score", "vector"), "query_id", PICKS)
+    rows = picks.select("query_id", "id", C("pick_order").alias("rank")).join(scored.withColumnRenamed("parent_id", "source"), ["query_id", "id"])
+    used = F.sum("size").over(Window.partitionBy("query_id").orderBy("rank"))
+    return R.within_budget(rows, ["query_id"], C("size"), BUDGET).select("query_id", C("rank").cast("long").alias("rank"), "id", "source", "score", "head", used.alias("used"))
 
 
 @query("SELECT query_id, list_idx, id, n AS rank FROM (SELECT query_id, list_idx, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, list_idx, id) AS n FROM hits) WHERE n <= 4", "hits")
