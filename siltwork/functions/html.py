@@ -14,9 +14,21 @@ def unescape(text: Column) -> Column:
     return text
 
 
+TAG_END = r"""(?:[^>"']|"[^"]*"|'[^']*')*>"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, in double, single or no quotes; null without it."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
+    return F.when(F.regexp_like(tag, F.lit(pattern)), unescape(value))
+
+
 def meta_values(html: Column, name: str) -> Column:
-    """All contents of <meta name="..." content="...">."""
-    return F.transform(F.regexp_extract_all(html, F.lit(f'(?i)<meta name="{name}" content="([^"]*)"'), F.lit(1)), unescape)
+    """Contents of the <meta> tags of a name, attributes in any order and quoting, trimmed, empty ones left out."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b" + TAG_END), F.lit(0))
+    mine = F.filter(tags, lambda t: F.lower(attribute(t, "name")) == name.lower())
+    return F.filter(F.transform(mine, lambda t: F.trim(attribute(t, "content"))), lambda c: c.isNotNull() & (c != ""))
 
 
 def json_ld(html: Column, schema: str) -> Column:
@@ -25,10 +37,15 @@ def json_ld(html: Column, schema: str) -> Column:
 
 
 def free_pdf(url: Column, html: Column) -> Column:
-    """The page's first link to a PDF as an absolute address; null for none."""
-    link = F.nullif(F.regexp_extract(html, r'(?i)<a\s[^>]*?href="([^"#?]*\.pdf)"', 1), F.lit(""))
-    site, folder = F.regexp_extract(url, "^([a-zA-Z]+://[^/?#]*)", 1), F.regexp_extract(url, "^([a-zA-Z]+://[^?#]*/)", 1)
-    return F.when(F.regexp_like(link, F.lit("^[a-zA-Z]+://")), link).when(F.startswith(link, F.lit("/")), F.concat(site, link)).otherwise(F.concat(F.when(folder == "", F.concat(site, F.lit("/"))).otherwise(folder), link))
+    """The arXiv copy where the page names one (an arXiv address or arxiv: before the id), else its first link to a PDF as an absolute address; null for none."""
+    arxiv = F.nullif(F.regexp_extract(html, r"(?i)(?:arxiv\.org/(?:abs|pdf|html)/|arxiv:\s*)([0-9]{4}\.[0-9]{4,6})", 1), F.lit(""))
+    link = F.nullif(F.regexp_extract(html, r"""(?i)<a[^>]*href=["']([^"']*?\.pdf[^"']*)["']""", 1), F.lit(""))
+    scheme, site, folder = (F.regexp_extract(url, p, 1) for p in ("^([a-zA-Z]+:)//", "^([a-zA-Z]+://[^/?#]*)", "^([a-zA-Z]+://[^?#]*/)"))
+    absolute = (
+        F.when(F.regexp_like(link, F.lit("^[a-zA-Z]+://")), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
+        .when(F.startswith(link, F.lit("/")), F.concat(site, link)).otherwise(F.concat(F.when(folder == F.concat(scheme, F.lit("//")), F.concat(site, F.lit("/"))).otherwise(folder), link))
+    )
+    return F.coalesce(F.concat(F.lit("https://arxiv.org/pdf/"), arxiv), absolute)
 
 
 def headings_to_markdown(html: Column) -> Column:
@@ -79,9 +96,10 @@ def table_to_markdown(html: Column) -> Column:
 
 
 def json_salvage(raw: Column, schema: str) -> Column:
-    """The text as JSON, else its outermost braces as JSON, else null."""
-    body = F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.from_json(body, schema)
+    """The text as JSON, else what stands between its outermost braces (brackets, for an array) as JSON, else null."""
+    body = F.nullif(F.regexp_extract(raw, r"(?s)\[.*\]" if schema.strip().lower().startswith("array") else r"(?s)\{.*\}", 0), F.lit(""))
+    strict = F.when(F.get_json_object(F.trim(raw), "$").isNotNull(), F.from_json(F.trim(raw), schema))
+    return F.coalesce(strict, F.from_json(body, schema))
 
 
 def elements_to_markdown(elements: Column) -> Column:

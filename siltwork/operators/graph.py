@@ -205,6 +205,28 @@ def rank_order() -> list[Column]:
     return [F.col("niche") <= 0, F.desc("niche"), F.desc("reach"), F.desc("citationcount"), F.col("node")]
 
 
+def resolve_seeds(seeds: DataFrame, meta: DataFrame, key: str) -> DataFrame:
+    """seeds(key, seed) and meta(corpusid, title, arxiv_id, doi, citationcount) as (key, corpusid, how, confidence); nulls where nothing matches.
+
+    A seed's form says how it is looked up: an arXiv id or address, a DOI or its address, digits as a corpus id, 40 hex digits as an id that the
+    table doesn't have, other addresses not at all, anything else as a title, of which the most cited paper counts. Each is an equi join.
+    """
+    s = F.trim("seed")
+    arxiv = F.nullif(F.regexp_extract(s, r"(?i)^(?:arxiv:\s*|https?://(?:www\.)?arxiv\.org/(?:abs|pdf|html)/)?([0-9]{4}\.[0-9]{4,6})(?:v[0-9]+)?(?:\.pdf)?$", 1), F.lit(""))
+    doi = F.nullif(F.lower(F.regexp_extract(s, r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)?(10\.[0-9]{4,9}/\S+)$", 1)), F.lit(""))
+    number = F.when(F.regexp_like(s, F.lit("^[0-9]+$")), s.try_cast("long"))
+    other = F.regexp_like(s, F.lit("(?i)^(?:[0-9a-f]{40}|https?://.*)$"))
+    title = F.when(arxiv.isNull() & doi.isNull() & ~F.regexp_like(s, F.lit("^[0-9]+$")) & ~other, F.lower(s))
+    rows = seeds.select(key, arxiv.alias("a_"), doi.alias("d_"), number.alias("n_"), title.alias("t_"))
+    by = lambda df, column, name: df.filter(column.isNotNull()).groupBy(column.alias(name)).agg(F.min("corpusid").alias(name + "id"))
+    rows = rows.join(by(meta, F.col("arxiv_id"), "a_"), "a_", "left").join(by(meta, F.lower("doi"), "d_"), "d_", "left").join(by(meta, F.col("corpusid"), "n_"), "n_", "left")
+    titles = meta.filter("title is not null").groupBy(F.lower("title").alias("t_")).agg(F.min_by("corpusid", F.struct(-F.col("citationcount"), F.col("corpusid"))).alias("t_id"))
+    rows = rows.join(titles, "t_", "left")
+    how = F.when(F.col("a_id").isNotNull(), "arxiv_id").when(F.col("d_id").isNotNull(), "doi").when(F.col("n_id").isNotNull(), "corpus_id").when(F.col("t_id").isNotNull(), "title")
+    confidence = F.when(how == "title", 0.85).when(how.isNotNull(), 1.0)
+    return rows.select(key, F.coalesce("a_id", "d_id", "n_id", "t_id").alias("corpusid"), how.alias("how"), confidence.alias("confidence"))
+
+
 def diagrams(edges: DataFrame, papers: DataFrame) -> DataFrame:
     """edges(seed, nbr), a bounded number for each seed, and papers(corpusid, title) as seed and text, a Mermaid graph."""
     named = papers.select(F.col("corpusid").alias("nbr"), mermaid_label(F.col("title")).alias("label"))

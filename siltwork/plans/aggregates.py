@@ -111,13 +111,14 @@ def host_top20(t) -> DataFrame:
     return t.pages.groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "host").limit(20)
 
 
-@query("""SELECT c_mktsegment AS map, count(*) AS total, count(o_custkey) AS inside, coalesce(string_agg(c_custkey, ',' ORDER BY c_custkey) FILTER (o_custkey IS NULL AND c_custkey < 100), '') AS missing
-FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 200000) ON o_custkey = c_custkey GROUP BY 1""")
+@query("""WITH r AS (SELECT c_mktsegment AS map, c_custkey, o_custkey FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 200000) ON o_custkey = c_custkey)
+SELECT map, total, inside, c_custkey AS missing FROM (SELECT map, count(*) AS total, count(o_custkey) AS inside FROM r GROUP BY map) LEFT JOIN (SELECT map, c_custkey FROM r WHERE o_custkey IS NULL) USING (map)""")
 def coverage(t) -> DataFrame:
+    """How much of each map is there, with a row for each id that is missing, however many."""
     known = t.orders.filter("o_totalprice > 200000").select("o_custkey").distinct()
-    rows = t.customer.join(known, C("c_custkey") == C("o_custkey"), "left")
-    missing = F.array_sort(F.collect_list(F.when(C("o_custkey").isNull() & (C("c_custkey") < 100), C("c_custkey"))))
-    return rows.groupBy(C("c_mktsegment").alias("map")).agg(F.count(F.lit(1)).alias("total"), F.count("o_custkey").alias("inside"), F.array_join(missing.cast("array<string>"), ",").alias("missing"))
+    rows = t.customer.join(known, C("c_custkey") == C("o_custkey"), "left").select(C("c_mktsegment").alias("map"), "c_custkey", "o_custkey")
+    totals = rows.groupBy("map").agg(F.count(F.lit(1)).alias("total"), F.count("o_custkey").alias("inside"))
+    return totals.join(rows.filter("o_custkey is null").select("map", C("c_custkey").alias("missing")), "map", "left")
 
 
 @query("SELECT k AS notebook, count_if(event_type = 'signup') AS fetched, count_if(event_type = 'purchase') AS done, count_if(event_type = 'purchase') >= count_if(event_type = 'signup') AS ready FROM qlog GROUP BY k", "qlog")
@@ -267,11 +268,19 @@ def last_assistant(t) -> DataFrame:
     return first_by(t.conversations.filter("role = 'assistant'"), ["conv_id"], C("turn").desc()).select("conv_id", "turn")
 
 
-@query("SELECT u.conv_id, u.turn, length(u.text)::INT AS asked, length(a.text)::INT AS answered FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")
+UUID = "md5(conv_id || ':' || turn)"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' AND turn % 7 <> 3 THEN md5(conv_id || ':' || (turn - 1)) || '.assistant' ELSE {UUID} END AS message_uuid FROM conversations)
+SELECT u.conv_id, u.turn, a.turn AS answer_turn, length(u.text)::INT AS asked, length(a.text)::INT AS answered FROM m u JOIN m a ON a.conv_id = u.conv_id AND a.message_uuid = u.message_uuid || '.assistant' AND a.role = 'assistant' WHERE u.role = 'user'""")
 def turn_pairs(t) -> DataFrame:
-    user = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.length("text").alias("asked"))
-    reply = t.conversations.filter("role = 'assistant'").select("conv_id", (C("turn") - 1).alias("turn"), F.length("text").alias("answered"))
-    return user.join(reply, ["conv_id", "turn"])
+    """A user's message and its answer by the exact key; answers under another key pair with none."""
+    made = lambda turn: F.md5(F.concat(C("conv_id").cast("string"), F.lit(":"), turn.cast("string")))
+    key = F.when((C("role") == "assistant") & (C("turn") % 7 != 3), F.concat(made(C("turn") - 1), F.lit(".assistant"))).otherwise(made(C("turn")))
+    m = t.conversations.select("conv_id", "turn", "role", F.length("text").alias("size"), key.alias("message_uuid"))
+    user = m.filter("role = 'user'").select("conv_id", "turn", C("size").alias("asked"), F.concat("message_uuid", F.lit(".assistant")).alias("message_uuid"))
+    reply = m.filter("role = 'assistant'").select("conv_id", C("turn").alias("answer_turn"), C("size").alias("answered"), "message_uuid")
+    return user.join(reply, ["conv_id", "message_uuid"]).drop("message_uuid")
 
 
 @query("SELECT query_id, row_number() OVER (ORDER BY coalesce(cost, 0) DESC, coalesce(outcome, ''), query_id) AS pos FROM qlog ORDER BY pos LIMIT 100", "qlog")

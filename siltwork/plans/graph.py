@@ -256,18 +256,26 @@ def reliability(t) -> DataFrame:
     return rows.select("corpusid", F.round("fwci", 6).alias("fwci"), zero("max_h"), zero("n_authors"), F.round("composite", 4).alias("composite"), "confidence", "verdict")
 
 
-@query("""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 50)::VARCHAR END AS cid, p_name AS title FROM documents JOIN part ON p_partkey = doc_id % 180 + 1),
-t AS (SELECT title, corpusid FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY citationcount DESC, corpusid) AS n FROM papers) WHERE n = 1)
-SELECT doc_id, coalesce(p.corpusid, t.corpusid) AS corpusid, CASE WHEN p.corpusid IS NOT NULL THEN 1.0 WHEN t.corpusid IS NOT NULL THEN 0.8 ELSE 0 END::DOUBLE AS confidence
-FROM q LEFT JOIN papers p ON p.corpusid::VARCHAR = q.cid LEFT JOIN t ON t.title = q.title""", "papers")
+@query("""WITH m AS (SELECT corpusid, title, citationcount, CASE WHEN corpusid % 3 = 0 THEN '2401.' || lpad(corpusid::VARCHAR, 5, '0') END AS arxiv_id, CASE WHEN corpusid % 2 = 0 THEN '10.1234/X' || corpusid END AS doi FROM papers),
+q AS (SELECT doc_id, doc_id % 180 + 1 AS k, lpad((doc_id % 180 + 1)::VARCHAR, 5, '0') AS n, p_name FROM documents JOIN part ON p_partkey = doc_id % 180 + 1),
+s AS (SELECT doc_id, [' arXiv:2401.' || n || 'v2', 'https://arxiv.org/pdf/2401.' || n, '10.1234/x' || k, 'https://doi.org/10.1234/X' || k, k::VARCHAR, upper(p_name), repeat('0123456789abcdef', 2) || '01234567', 'https://a.org/' || k, '2401.' || n][(doc_id % 9 + 1)::INT] AS seed,
+  CASE WHEN doc_id % 9 IN (0, 1, 8) THEN '2401.' || n END AS a, CASE WHEN doc_id % 9 IN (2, 3) THEN '10.1234/x' || k END AS d, CASE WHEN doc_id % 9 = 4 THEN k END AS c, CASE WHEN doc_id % 9 = 5 THEN lower(p_name) END AS t FROM q),
+t AS (SELECT lower(title) AS t, corpusid FROM (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY citationcount DESC, corpusid) AS n FROM papers) WHERE n = 1)
+SELECT doc_id, coalesce(x.corpusid, y.corpusid, z.corpusid, t.corpusid) AS corpusid, CASE WHEN x.corpusid IS NOT NULL THEN 'arxiv_id' WHEN y.corpusid IS NOT NULL THEN 'doi' WHEN z.corpusid IS NOT NULL THEN 'corpus_id' WHEN t.corpusid IS NOT NULL THEN 'title' END AS how,
+  CASE WHEN coalesce(x.corpusid, y.corpusid, z.corpusid) IS NOT NULL THEN 1.0 WHEN t.corpusid IS NOT NULL THEN 0.85 END::DOUBLE AS confidence
+FROM s LEFT JOIN m x ON x.arxiv_id = s.a LEFT JOIN m y ON lower(y.doi) = s.d LEFT JOIN papers z ON z.corpusid = s.c LEFT JOIN t ON t.t = s.t""", "papers")
 def seed_resolve(t) -> DataFrame:
-    """By corpus id, else by title, of which the most cited paper counts."""
-    asked = t.documents.withColumn("k", C("doc_id") % 180 + 1).join(t.part, C("p_partkey") == C("k")).select("doc_id", F.when(C("doc_id") % 3 == 0, (C("doc_id") % 50).cast("string")).alias("cid"), C("p_name").alias("title"))
-    by_title = first_by(t.papers, ["title"], C("citationcount").desc(), C("corpusid").asc()).select("title", C("corpusid").alias("t_id"))
-    by_id = t.papers.select(C("corpusid").cast("string").alias("cid"), C("corpusid").alias("p_id"))
-    rows = asked.join(by_id, "cid", "left").join(by_title, "title", "left")
-    sure = F.when(C("p_id").isNotNull(), 1.0).when(C("t_id").isNotNull(), 0.8).otherwise(0.0)
-    return rows.select("doc_id", F.coalesce("p_id", "t_id").alias("corpusid"), sure.alias("confidence"))
+    """Seeds as people write them, by arXiv id, DOI, corpus id or title."""
+    k = C("doc_id") % 180 + 1
+    n = F.lpad(C("k").cast("string"), 5, "0")
+    forms = F.array(
+        F.concat(F.lit(" arXiv:2401."), n, F.lit("v2")), F.concat(F.lit("https://arxiv.org/pdf/2401."), n), F.concat(F.lit("10.1234/x"), C("k").cast("string")), F.concat(F.lit("https://doi.org/10.1234/X"), C("k").cast("string")),
+        C("k").cast("string"), F.upper("p_name"), F.lit("0123456789abcdef" * 2 + "01234567"), F.concat(F.lit("https://a.org/"), C("k").cast("string")), F.concat(F.lit("2401."), n),
+    )
+    seeds_ = t.documents.withColumn("k", k).join(t.part, C("p_partkey") == C("k")).select("doc_id", F.element_at(forms, (C("doc_id") % 9 + 1).cast("int")).alias("seed"))
+    c = C("corpusid")
+    meta = t.papers.select("corpusid", "title", "citationcount", F.when(c % 3 == 0, F.concat(F.lit("2401."), F.lpad(c.cast("string"), 5, "0"))).alias("arxiv_id"), F.when(c % 2 == 0, F.concat(F.lit("10.1234/X"), c.cast("string"))).alias("doi"))
+    return G.resolve_seeds(seeds_, meta, "doc_id")
 
 
 @query("SELECT DISTINCT id FROM (SELECT '24' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '.' || lpad((doc_id % 1000)::VARCHAR, 5, '0') AS id FROM documents UNION ALL SELECT '24' || lpad((page_id % 100)::VARCHAR, 2, '0') || '.' || lpad((page_id % 1000)::VARCHAR, 5, '0') FROM pages)")

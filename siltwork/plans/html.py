@@ -15,8 +15,14 @@ META = "'<meta name=\"citation_title\" content=\"' || p_name || '\"><meta name=\
 
 
 def meta(t) -> DataFrame:
-    tag = lambda n, c: F.concat(F.lit(f'<meta name="citation_{n}" content="'), c, F.lit('">'))
-    return t.part.select("p_partkey", F.concat(tag("title", C("p_name")), tag("author", F.concat(F.lit("A "), "p_brand")), tag("author", F.lit("B &amp; C")), tag("doi", F.concat(F.lit("10.1/"), C("p_partkey").cast("string")))).alias("html"))
+    """Heads of pages whose meta tags come in several orders and quotings."""
+    n = C("p_partkey").cast("string")
+    plain = lambda name, c: F.concat(F.lit(f'<meta name="citation_{name}" content="'), c, F.lit('">'))
+    turned = lambda name, c: F.concat(F.lit("<META property='x>y' content='"), c, F.lit(f"' name='citation_{name}' />"))
+    bare = lambda name, c: F.concat(F.lit(f"<meta name=citation_{name} content="), c, F.lit(">"))
+    some = lambda name, c: F.when(C("p_partkey") % 2 == 0, turned(name, c)).otherwise(plain(name, c))
+    html = F.concat(some("title", C("p_name")), F.lit('<meta name="citation_author" content=" ">'), some("author", F.concat(F.lit("A "), "p_brand")), plain("author", F.lit("B &amp; C")), bare("doi", F.concat(F.lit("10.1/"), n)))
+    return t.part.select("p_partkey", html.alias("html"))
 
 
 @query("SELECT p_partkey, p_name AS title, 'A ' || p_brand || '|B & C' AS authors, '10.1/' || p_partkey AS doi FROM part")
@@ -33,9 +39,14 @@ def jsonld_harvest(t) -> DataFrame:
     return t.part.select("p_partkey", x["headline"].alias("headline"), F.array_join(F.transform(x["author"], lambda a: a["name"]), ",").alias("authors"))
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || '/x/a.pdf' WHEN 1 THEN regexp_extract(url, '^([a-zA-Z]+://[^?#]*/)', 1) || 'b.pdf' END AS pdf FROM pages")
+LINKS = ['<a class="d" href="/x/a.pdf">', "<a href='b.pdf?v=2'>", '<a href="c.html">', '<a href="//o.org/d.pdf">', "see arXiv: 2401.01234v2 <a href='b.pdf'>", '<a href="https://arxiv.org/abs/2402.00001">', '<a href="http://p.org/e.PDF#p">']
+
+
+@query(f"""WITH x AS (SELECT page_id, url, html || [{", ".join("'" + x.replace("'", "''") + "'" for x in LINKS)}][(page_id % {len(LINKS)} + 1)::INT] AS h FROM pages), l AS (SELECT *, regexp_extract(h, '(?i)<a[^>]*href=["'']([^"'']*?\\.pdf[^"'']*)["'']', 1) AS l, regexp_extract(h, '(?i)(?:arxiv\\.org/(?:abs|pdf|html)/|arxiv:\\s*)([0-9]{{4}}\\.[0-9]{{4,6}})', 1) AS a FROM x)
+SELECT page_id, CASE WHEN a <> '' THEN 'https://arxiv.org/pdf/' || a WHEN l = '' THEN NULL WHEN contains(l, '://') THEN l WHEN starts_with(l, '//') THEN string_split(url, '//')[1] || l
+  WHEN starts_with(l, '/') THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || l ELSE regexp_extract(url, '^([a-zA-Z]+://[^?#]*/)', 1) || l END AS pdf FROM l""")
 def free_pdf(t) -> DataFrame:
-    link = F.when(C("page_id") % 3 == 0, '<a class="d" href="/x/a.pdf">').when(C("page_id") % 3 == 1, '<a href="b.pdf">').otherwise('<a href="c.html">')
+    link = F.element_at(F.array(*map(F.lit, LINKS)), (C("page_id") % len(LINKS) + 1).cast("int"))
     return t.pages.select("page_id", H.free_pdf(C("url"), F.concat("html", link)).alias("pdf"))
 
 
@@ -137,13 +148,16 @@ def elements_to_md(t) -> DataFrame:
     return t.part.select("p_partkey", H.elements_to_markdown(F.array(s("text", C("p_name"), 2), s("text", F.lit("body")), s("table", None, 0, "T1", "| a |"), s("equation", F.lit("x")))).alias("value"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN least(1, greatest(0, (event_id % 15) / 10.0))::DOUBLE END AS score FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN least(1, greatest(0, (event_id % 15) / 10.0))::DOUBLE END AS score, CASE WHEN event_id % 5 < 4 THEN event_type || ',' || user_id END AS queries FROM events")
 def json_salvage(t) -> DataFrame:
-    """Scores out of bare JSON, JSON inside prose, and nothing; clamped to 0 and 1."""
+    """Scores and lists out of bare JSON, JSON inside prose, and nothing; scores clamped to 0 and 1."""
     json = F.concat(F.lit('{"score": '), ((C("event_id") % 15) / 10).cast("string"), F.lit("}"))
     raw = F.when(C("event_id") % 4 == 0, json).when(C("event_id") % 4 < 3, F.concat(F.lit("Sure! "), json, F.lit(" Bye."))).otherwise("no idea")
     x = H.json_salvage(raw, "score double")["score"]
-    return t.events.select("event_id", F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))).alias("score"))
+    both = F.concat(F.lit('["'), "event_type", F.lit('", "'), C("user_id").cast("string"), F.lit('"]'))
+    listed = F.when(C("event_id") % 5 == 0, both).when(C("event_id") % 5 < 4, F.concat(F.lit("Here they are:\n"), both, F.lit("\nDone."))).otherwise("[no list")
+    queries = F.array_join(H.json_salvage(listed, "array<string>"), ",")
+    return t.events.select("event_id", F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))).alias("score"), queries.alias("queries"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN json_extract_string(props, '$.k') END AS value FROM events")

@@ -113,7 +113,7 @@ def value(spark, column):
     [
         ("https://arxiv.org/abs/1706.00001v4", "arxiv.org/abs/1706.00001"), ("http://arxiv.org/pdf/0912.34567.pdf", "arxiv.org/abs/0912.34567"), ("https://ARXIV.org/html/2310.54321v9", "arxiv.org/abs/2310.54321"),
         ("HTTPS://News.Site.NET/a/B/?ref=feed&q=%20#top", "https://news.site.net/a/B"), ("https://papers.ssrn.com/sol3/x.cfm?abstract_id=77&lang=en", "https://ssrn.com/abstract=77"),
-        ("https://www.doi.org/10.5072/ABC.def?x=1", "https://doi.org/10.5072/abc.def"), ("http://host.example//", "http://host.example"), ("a note without address", ""),
+        ("https://www.doi.org/10.5072/ABC.def?x=1", "https://doi.org/10.5072/abc.def"), ("http://host.example//", "http://host.example/"), ("a note without address", ""),
     ],
 )
 def test_canonical_url(spark, url, expected):
@@ -328,3 +328,142 @@ def test_spread_only_few_splits(spark, tmp_path):
     assert spread(spark.read.parquet(f"{tmp_path}/one")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(100, numPartitions=50)
     assert spread(many) is many
+
+
+# --- rules by hand ---
+
+
+@pytest.mark.parametrize(
+    "text, numbers",
+    [("x [1][2] and y_[6] and [3,\t4]", [1, 2, 3, 4]), ("a[9] [2, 2,5]", [2, 5]), ("[7]", [7]), ("no [x] [1.5] []", []), ("é[3]", [3]), ("[1] [1][10]", [1, 10])],
+)
+def test_cited_indices(spark, text, numbers):
+    assert value(spark, X.cited_indices(F.lit(text))) == numbers
+
+
+@pytest.mark.parametrize(
+    "line, author",
+    [
+        ("José García, Anna Müller", True), ("J. K. Rowling and Max Bauer", True), ("Jane Roe1, Max Bauer2*", True), ("  Ann Lee ", True), ("Mergify", False), ("abc", False), ("we present it", False),
+        ("Department of Physics", False), ("The Departments Today", True), ("jane@roe.org Jane Roe", False), ("12 - 13", False), ("Title | Site", False), ("A page - QuantSite", False), ("Jump to content", False),
+        ("Jumping to Content", True), ("Read it →", False), ("🚀 Free Guide", False), ("Prices of options: a new model", False), ("Roe, J.: A Long Line Of A Book, Vol. 2", True), ("x " * 201 + "A Bc", False),
+    ],
+)
+def test_author_line(spark, line, author):
+    assert value(spark, X.author_line(F.lit(line))) is author
+
+
+@pytest.mark.parametrize(
+    "given, page_title, title, url, name",
+    [
+        ("github", None, None, "https://x.org/", "GitHub"), ("May News", "A - mdpi", None, "https://x.org/", "MDPI"), ("With the name of", "Plain", "B | The Site", "https://x.org/", "The Site"),
+        ("VERSION OF TEXT", None, None, "https://www.data-site2b.co.uk/x", "Data Site2B Co"), ("It ends.", None, None, None, None), ("BBC", None, None, "", "BBC"), ("one two three four five", None, None, "https://arxiv.org/a", "arXiv"),
+        ("Bank of America", None, None, "", "Bank of America"), (" Cloudflare Inc", None, None, "https://papers.ssrn.com/", "Papers Ssrn"),
+    ],
+)
+def test_site_name(spark, given, page_title, title, url, name):
+    text = lambda v: F.lit(v).cast("string")
+    assert value(spark, X.site_name(text(given), text(page_title), text(title), text(url))) == name
+
+
+@pytest.mark.parametrize(
+    "url, pair",
+    [("https://en.wikipedia.org/wiki/X", ("Wikipedia contributors", "Wikipedia")), ("http://www.reddit.com/r", ("Reddit", "Reddit")), ("https://notreddit.com/", None), ("https://old.news.ycombinator.com/", ("Hacker News", "Hacker News")), ("", None)],
+)
+def test_platform_match(spark, url, pair):
+    got = value(spark, X.platform_match(F.lit(url)))
+    assert (tuple(got) if got else None) == pair
+
+
+@pytest.mark.parametrize(
+    "line, stage",
+    [
+        ("3 parents, 40 children — embedding", "embedding"), ("Found 1 file(s) to process.", "chunking"), ("[a.pdf]", "chunking"), ("[a pdf]", None), ("x → parse_start: a", "parsing"), ("parse_start: a", None),
+        ("[discover:q] waiting up to 3", "fetching"), ("chunked 3", None), ("POST /file_parse", "parsing"),
+    ],
+)
+def test_line_stage(spark, line, stage):
+    assert value(spark, X.line_stage(F.lit(line))) == stage
+
+
+def test_researchgate_addresses(spark):
+    url = "https://www.ResearchGate.net/publication/123_Some_Title/link/9?x=1"
+    assert value(spark, X.canonical_url(F.lit(url))) == "https://www.researchgate.net/publication/123_some_title"
+    assert value(spark, X.canonical_url(F.lit("https://www.researchgate.net/profile/A_B/"))) == "https://www.researchgate.net/profile/A_B"
+    assert value(spark, X.canonical_url(F.lit("http://Host.org"))) == "http://host.org/"
+
+
+def test_meta_tags_in_any_order_and_quoting(spark):
+    from siltwork.functions import html as H
+
+    html = """<META content='A "b"' name="citation_author"><meta name=citation_author content=Roe><meta data-x='>' content="x" name='other'><meta name="Citation_Author" content=" C &amp; D "/><meta name="citation_author" content="">"""
+    assert value(spark, H.meta_values(F.lit(html), "citation_author")) == ['A "b"', "Roe", "C & D"]
+    assert value(spark, H.meta_values(F.lit("<p>none</p>"), "citation_author")) == []
+
+
+@pytest.mark.parametrize(
+    "raw, items",
+    [('["a","b"]', ["a", "b"]), ('Sure:\n["a", "b"] done', ["a", "b"]), ("[broken", None), ("", None), (None, None)],
+)
+def test_lists_are_salvaged(spark, raw, items):
+    from siltwork.functions import html as H
+
+    assert value(spark, H.json_salvage(F.lit(raw).cast("string"), "array<string>")) == items
+
+
+def test_structured_citations(spark):
+    from siltwork.operators.citations import structured_citations
+
+    answers = spark.createDataFrame(
+        [(1, "As [2][1] and [2] say; [b.pdf:4, c.pdf:image], [a.pdf:1] y_[3]\nSources:\n[3] lost.pdf"), (2, "nothing [9] [x]"), (3, None)], "k long, t string"
+    )
+    rows = spark.createDataFrame([(1, 1, "a.pdf", 1, "text"), (1, 2, "b.pdf", 7, "table"), (1, 3, "z.pdf", 2, "text")], "k long, rank int, source string, page int, modality string")
+    got = sorted((r.k, r.pos, r.source, r.page, r.modality) for r in structured_citations(answers, rows, "k", "t").collect())
+    assert got == [(1, 1, "b.pdf", 7, "table"), (1, 2, "a.pdf", 1, "text"), (1, 3, "b.pdf", 4, "table"), (1, 4, "c.pdf", 0, "image")]
+
+
+# --- hygiene ---
+
+
+def test_manifest_by_hand(spark):
+    from siltwork.operators.hygiene import manifest
+
+    prose = "market liquidity risk and the pricing of options under stress, told at length so that a line has its seventy characters. "
+    good = prose * 12
+    rows = [
+        (1, "a/market_liquidity_risk_options.txt", good), (2, "b/market_liquidity_risk_options.txt", good), (3, "c/holiday_pictures_sunny_beaches_spain.txt", good),
+        (4, "a/pricing_options_stress.txt", "Just a moment... checking your browser"), (5, "a/quarterly_revenue_forecast_summary.txt", prose * 2), (6, "a/quarterly_revenue_forecast_summary.txt", prose * 20),
+        (7, "a/quarterly_revenue_forecast_summary.txt", "x" * 70 + prose * 30), (8, "b/holiday_pictures_from_spain.txt", "x" * 70 + prose * 30), (9, None, None), (10, "a/fine.txt", good + "more"),
+    ]
+    got = {r.k: (r.reason, r.canonical) for r in manifest(spark.createDataFrame(rows, "k long, p string, t string"), "k", "p", "t").collect()}
+    assert got.pop(4)[0].startswith("fail_page:") and got.pop(9)[0].startswith("fail_page:")
+    assert got == {2: ("duplicate", 1), 3: ("name_mismatch", None), 5: ("name_mismatch", None), 7: ("no_canonical", None), 8: ("no_canonical", None)}
+
+
+def test_quarantine_is_repeatable_and_undone(spark, tmp_path):
+    from siltwork.operators import hygiene
+
+    store = hygiene.Quarantine(spark, f"file://{tmp_path}/store", "k")
+    store.create(spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")))
+    rows = lambda: sorted((r.k, r.v, r.status) for r in store.rows().collect())
+    before = rows()
+    moves = spark.createDataFrame([(i, "why", "poisoned" if i % 2 else "duplicate") for i in range(0, 40)] + [(3, "again", "poisoned"), (9999, "unknown", "poisoned")], "k long, reason string, status string")
+    want = [(i, 2 * i, ("poisoned" if i % 2 else "duplicate") if i < 40 else "active") for i in range(300)]
+    store.apply(moves, "one")
+    assert rows() == want
+    store.apply(moves, "one")
+    assert rows() == want and store.journal().filter("run = 'one'").count() == 40
+    # a run that was cut off before it was marked: its rows are moved again, to the same end
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/store/done/one")
+    store.apply(moves.limit(0), "one")
+    assert rows() == want
+    whole = spark.createDataFrame([(i, "all", "poisoned") for i in range(300)], "k long, reason string, status string")
+    store.apply(whole, "two")  # empties every active partition
+    assert not any(s == "active" for _, _, s in rows())
+    store.restore("two")
+    assert rows() == want
+    store.restore("one")
+    store.restore("one")
+    assert rows() == before
