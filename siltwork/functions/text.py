@@ -474,7 +474,9 @@ def cursor_token(*values: Column) -> Column:
 
 
 def cursor_values(token: Column) -> Column:
-    return F.from_json(F.decode(F.unbase64(F.translate(token, "-_", "+/")), "UTF-8"), "array<string>")
+    """The values of a cursor; null for what is none."""
+    json = F.try_validate_utf8(F.try_to_binary(F.translate(token, "-_", "+/"), F.lit("base64")).cast("string"))
+    return F.from_json(json, "array<string>")
 
 
 def clean_title(text: Column) -> Column:

@@ -285,6 +285,49 @@ def table_chunks(t) -> DataFrame:
     return H.table_bands(t.part.select("p_partkey", F.concat(F.lit("| a |\n| --- |\n"), F.array_join(rows, "\n")).alias("md")), "p_partkey", "md", 120)
 
 
+CHUNK_HEADINGS = ["1 Introduction", "Methods", "3. Results", "References", "A Story", "Conclusion"]
+
+
+def sectioned(t) -> DataFrame:
+    """Documents of three sections, their texts cut in three, with a table of some rows in the second one."""
+    d = C("doc_id")
+    head = lambda k: F.element_at(F.array(*map(F.lit, CHUNK_HEADINGS)), ((d + k) % len(CHUNK_HEADINGS) + 1).cast("int"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    third = F.greatest(F.lit(1), F.ceil(F.size("ws") / 3).cast("int"))
+    part = lambda k: F.array_join(F.slice("ws", third * k + 1, third), " ")
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), (d % 30 + 1).cast("int")), lambda x: F.concat(F.lit("| row "), x.cast("string"), F.lit(" |"))), "\n")
+    e = lambda kind, text, level=0, caption=None, summary=None: F.struct(F.lit(kind).alias("type"), text.alias("text"), F.lit(level).alias("text_level"), F.lit(caption).cast("string").alias("caption"), (summary if summary is not None else F.lit(None).cast("string")).alias("summary"))
+    table = e("table", F.concat(F.lit("| a |\n| --- |\n"), rows), 0, "Table 1: rows", F.when(d % 4 == 0, F.concat(F.lit("Summary "), d.cast("string"))))
+    all_ = F.array(e("heading", F.lit("Title"), 1), e("heading", head(0), 2), e("text", part(0)), e("heading", head(1), 2), e("text", part(1)), table, e("heading", head(2), 2), e("text", part(2)))
+    return t.documents.select("doc_id", words.alias("ws")).select(d.alias("doc"), F.posexplode(all_).alias("pos", "x")).select("doc", "pos", "x.*")
+
+
+def _roles_sql() -> str:
+    roles = {"1 Introduction": ("intro", 1000, 512, 75), "Methods": ("method", 1200, 768, 150), "3. Results": ("results", 1000, 512, 50), "References": ("references", 0, 1, 0), "A Story": ("body", 1000, 512, 50), "Conclusion": ("conclusion", 400, 400, 0)}
+    return ", ".join(f"('{h}', '{r}', {b}, {o})" for h, (r, _, b, o) in roles.items())
+
+
+@query(f"""WITH roles(heading, role, budget, overlap) AS (VALUES {_roles_sql()}), {WORDS},
+s AS (SELECT doc_id, k, {CHUNK_HEADINGS!r}[((doc_id + k) % {len(CHUNK_HEADINGS)} + 1)::INT] AS heading, ws[greatest(1, ceil(len(ws) / 3.0)::BIGINT) * k + 1:greatest(1, ceil(len(ws) / 3.0)::BIGINT) * (k + 1)] AS ws FROM w, unnest(range(3)) t(k)),
+c AS (SELECT doc_id, k, heading, role, ws, i, greatest(1, CASE WHEN len(ws) <= budget THEN 1 ELSE ceil((len(ws) - budget) / (budget - overlap)::DOUBLE)::BIGINT + 1 END) AS n, budget, overlap
+  FROM s JOIN roles USING (heading), unnest(range(0, CASE WHEN len(ws) <= budget THEN 1 ELSE ceil((len(ws) - budget) / (budget - overlap)::DOUBLE)::BIGINT + 1 END)) u(i) WHERE role <> 'references'),
+p AS (SELECT *, ws[i * (budget - overlap) + 1:i * (budget - overlap) + budget] AS part, len(ws) - (n - 1) * (budget - overlap) AS last FROM c),
+j AS (SELECT *, n > 1 AND last < 150 AND budget + last <= budget + 150 AS joins FROM p),
+q AS (SELECT doc_id, k, heading, role, i, CASE WHEN joins AND i = n - 2 THEN array_to_string(part, ' ') || ' ' || array_to_string(ws[(n - 1) * (budget - overlap) + 1:], ' ') ELSE array_to_string(part, ' ') END AS text,
+  CASE WHEN joins AND i = n - 2 THEN len(part) + last ELSE len(part) END AS size FROM j WHERE NOT (joins AND i = n - 1)),
+texts AS (SELECT doc_id, 2 * k AS place, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) - 1 AS child_idx, role, heading, 'text' AS modality, text FROM q WHERE size >= 50),
+m AS (SELECT doc_id, heading, 'Table 1: rows' || chr(10) || chr(10) || '| a |' || chr(10) || '| --- |' || chr(10) || list_reduce(list_transform(range(1, doc_id % 30 + 2), lambda x: '| row ' || x || ' |'), lambda a, b: a || chr(10) || b) AS body FROM s JOIN roles USING (heading) WHERE k = 1 AND role <> 'references'),
+tables AS (SELECT doc_id, 3 AS place, NULL AS child_idx, 'table' AS role, heading, 'table' AS modality, body AS text FROM m UNION ALL SELECT doc_id, 3, 0, 'table', heading, 'table', 'Summary ' || doc_id FROM m WHERE doc_id % 4 = 0),
+a AS (SELECT * FROM texts UNION ALL SELECT * FROM tables)
+SELECT doc_id AS doc, (dense_rank() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS parent_idx, child_idx::INT AS child_idx, role, heading AS breadcrumb, modality, '[' || heading || ']' || chr(10) || chr(10) || text AS text FROM a""")
+def structural_chunks(t) -> DataFrame:
+    """Chunks by role of each section: budgets, tables with their summaries, references left out."""
+    from ..operators.section_chunks import chunks
+    from .scans import section_role_of
+
+    return chunks(sectioned(t), section_role_of(C("heading")))
+
+
 @query(f"WITH RECURSIVE {_greedy('documents', 200)}, {_merged(150)} SELECT doc AS doc_id, idx AS parent_idx, text AS parent FROM merged WHERE regexp_matches(text, '[^\\s\\x0b]')")
 def merge_short(t) -> DataFrame:
     return _children(t, parent_tokens=200, child_tokens=10**6, overlap=0, least_parent=150).select("doc_id", "parent_idx", "parent")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from ..sources import readers as R
+from ..sources.document_tree import read_tree
 from .registry import query
 
 
@@ -68,17 +69,17 @@ def query_index(t) -> DataFrame:
     return R.read_audit_tree(t.spark, top, "query_id long, latency_ms double, outcome string")
 
 
-@query("SELECT source, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents WHERE source <> 'web' GROUP BY source")
 def doc_scan(t) -> DataFrame:
-    """Documents in a tree by source, many to a file, without its administrative folders."""
+    """A tree of one document a file, without its administrative folders; sources are chosen while files are planned."""
     top = shared_folder(t.spark, "tree")
-    rows = t.documents.select("source", "text")
-    rows.write.partitionBy("source").option("lineSep", "\x1e").option("maxRecordsPerFile", 10_000).text(top)
-    rows.select("text").limit(5).write.text(f"{top}/_admin")
-    parts = F.split("text", "\x1e")
-    files = R.read_document_tree(t.spark, top, "part-*").withColumn("texts", F.slice(parts, F.lit(1), F.size(parts) - 1))
-    each = files.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.explode("texts").alias("text"))
-    return each.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+    t.documents.select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", 1).option("lineSep", "\x1e").text(top)
+    t.documents.select("text").limit(5).write.text(f"{top}/_admin")
+    files = read_tree(t.spark, top, pattern="part-*", max_bytes=1 << 30)
+    kept = [r["source"] for r in t.documents.select("source").distinct().collect() if r["source"] != "web"]
+    wanted = files.filter(F.col("path").startswith("source=")).withColumn("source", F.regexp_extract("path", "^source=([^/]+)/", 1))
+    rows = wanted.filter(F.col("source").isin(kept)).withColumn("text", F.substring("text", F.lit(1), F.length("text") - 1))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
 @query("SELECT v.vec_id, d.source FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id")
@@ -97,12 +98,14 @@ def parse_url_file(t) -> DataFrame:
 
 @query("SELECT 'urn:' || corpusid AS id, title, year || '-01-01' AS published, venue AS author FROM papers", "papers")
 def atom_parse(t) -> DataFrame:
-    entry = F.concat(
-        F.lit("<entry><id>urn:"), F.col("corpusid").cast("string"), F.lit("</id><title>"), "title", F.lit("</title><published>"), F.col("year").cast("string"),
-        F.lit("-01-01</published><author><name>"), "venue", F.lit("</name></author></entry>"),
-    )
-    feed = t.papers.groupBy((F.col("corpusid") % 64).alias("f")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), "\n"), F.lit("</feed>")).alias("text"))
-    return R.atom_entries(feed).select("id", "title", "published", F.element_at("authors", 1).alias("author"))
+    """Papers as files of Atom entries, read entry by entry."""
+    c = F.col
+    entry = t.papers.select(
+        F.concat(F.lit("urn:"), c("corpusid").cast("string")).alias("id"), "title", F.concat(c("year").cast("string"), F.lit("-01-01")).alias("published"), F.array(F.struct(c("venue").alias("name"))).alias("author")
+    )
+    top = shared_folder(t.spark, "atom")
+    R.write_atom(entry, top)
+    return R.read_atom(t.spark, top).select("id", "title", "published", F.element_at("authors", 1).alias("author"))
 
 
 # --- predicates ---

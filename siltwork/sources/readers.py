@@ -111,11 +111,18 @@ def url_lines(line: Column) -> Column:
     return F.when((F.trim(line) != "") & ~F.startswith(F.trim(line), F.lit("#")), F.struct(title.alias("title"), url.alias("url")))
 
 
-def atom_entries(feed: DataFrame, text: str = "text") -> DataFrame:
-    """id, title, published and authors of each entry of the Atom documents in a column."""
-    entries = feed.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?s)<entry>.*?</entry>"), F.lit(0))).alias("e"))
-    pick = lambda tag: F.expr(f"xpath_string(e, 'entry/{tag}')")
-    return entries.select(pick("id").alias("id"), pick("title").alias("title"), pick("published").alias("published"), F.expr("xpath(e, 'entry/author/name/text()')").alias("authors"))
+ATOM = "id string, title string, published string, author array<struct<name: string>>"
+
+
+def write_atom(df: DataFrame, path: str) -> None:
+    """Rows of id, title, published and author (an array of names) as Atom files."""
+    df.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").option("declaration", "").save(path)
+
+
+def read_atom(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """id, title, published and authors of each entry of Atom files; Spark's XML source splits large ones and reads an entry as a row."""
+    rows = spark.read.format("xml").option("rowTag", "entry").schema(ATOM).load(paths)
+    return rows.select("id", "title", "published", F.transform("author", lambda a: a["name"]).alias("authors"))
 
 
 def last_by_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
