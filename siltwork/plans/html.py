@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..operators import chunking as K
+from ..operators import markup as M
+from ..session import spread, written
 from .registry import query
 
 C = F.col
@@ -167,6 +169,52 @@ def json_nested_first(t) -> DataFrame:
     return t.events.select("event_id", F.coalesce(F.get_json_object(raw, "$.metadata.a"), F.get_json_object(raw, "$.a")).alias("value"))
 
 
+# --- document tree ---
+
+
+def tei(t) -> DataFrame:
+    """TEI documents of the documents' texts: headings, paragraphs with marks inside, a list, a captioned table and one without caption."""
+    d, n = C("doc_id"), C("doc_id").cast("string")
+    words = F.filter(F.split("text", r"[^a-z]+"), lambda w: w != "")
+    w = lambda i: F.coalesce(F.try_element_at("ws", F.lit(i)), F.lit("none"))
+    table = F.concat(F.lit("<table><row><cell>"), w(1), F.lit("</cell><cell>"), n, F.lit("</cell></row><row><cell><hi>"), w(2), F.lit("</hi></cell></row></table>"))
+    xml = F.concat(
+        F.lit('<TEI><teiHeader><title>no</title><p>hidden</p></teiHeader><text><body><div><head rend="h1">On '), w(1), F.lit('</head><p>One <hi rend="#b">'), w(2), F.lit('</hi>,\n two.<lb/></p><div><head rend="h2">'), w(3),
+        F.lit('</head><p> </p><list rend="ul"><item>'), w(1), F.lit("</item><item> <p>"), w(2), F.lit("</p></item></list><p>Table "), n, F.lit(": rows</p>"), table, F.lit('<head rend="h1">Again</head>'), table, F.lit("<quote>"), w(4), F.lit("</quote></div></div></body></text></TEI>"),
+    )
+    return t.documents.select("doc_id", "text", words.alias("ws")).select(d, xml.alias("xml"))
+
+
+TEI_WORDS = "x AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^a-z]+'), lambda w: w <> '') AS ws FROM documents), w AS (SELECT doc_id, coalesce(ws[1], 'none') AS a, coalesce(ws[2], 'none') AS b, coalesce(ws[3], 'none') AS c, coalesce(ws[4], 'none') AS d FROM x)"
+TEI_TABLE = "'<table><tr><td>' || a || '</td><td>' || doc_id || '</td></tr><tr><td>' || b || '</td></tr></table>'"
+
+
+@query(f"""WITH {TEI_WORDS} SELECT doc_id AS doc, pos, type, lv AS text_level, text, cap AS table_caption FROM (
+  SELECT doc_id, 1 AS pos, 'text' AS type, 1 AS lv, 'On ' || a AS text, NULL AS cap FROM w UNION ALL SELECT doc_id, 2, 'text', NULL, 'One ' || b || ', two.', NULL FROM w UNION ALL SELECT doc_id, 3, 'text', 2, c, NULL FROM w
+  UNION ALL SELECT doc_id, 4, 'list', NULL, '- ' || a || chr(10) || '- ' || b, NULL FROM w UNION ALL SELECT doc_id, 5, 'text', NULL, 'Table ' || doc_id || ': rows', NULL FROM w UNION ALL SELECT doc_id, 6, 'table', NULL, {TEI_TABLE}, 'Table ' || doc_id || ': rows' FROM w
+  UNION ALL SELECT doc_id, 7, 'text', 2, 'Again', NULL FROM w UNION ALL SELECT doc_id, 8, 'table', NULL, {TEI_TABLE}, '' FROM w UNION ALL SELECT doc_id, 9, 'text', NULL, d, NULL FROM w)""")
+def tei_walk(t) -> DataFrame:
+    """Typed elements of TEI documents in order, tables with the caption before them."""
+    return M.tei_elements(written(M.nodes(tei(t), "doc_id", "xml"), "nodes"))
+
+
+@query()
+def page_main_text(t) -> DataFrame:
+    """The blocks of each page's main text by the density of links around them."""
+    return M.main_blocks(written(M.nodes(spread(t.pages), "page_id", "html"), "nodes"))
+
+
+@query("SELECT page_id AS doc, 'fig/' || page_id || '.png' AS src, 'an image' AS alt, 'Shown: page ' || page_id AS caption FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'fig/' || page_id || '.png', 'an image', 'Figure ' || page_id || ' of it.' FROM pages WHERE page_id % 2 = 1")
+def image_captions(t) -> DataFrame:
+    """Images behind each page's own markup, with the caption of their figure or the nearest text that says it is one."""
+    n = C("page_id").cast("string")
+    image = F.concat(F.lit("<div><img src=\"logo.png\"><p>" + "far " * 200 + "</p><figure><img alt='an image' src='fig/"), n, F.lit(".png'>"))
+    own = F.concat(F.lit("<figcaption>Shown: <b>page</b>\n "), n, F.lit("</figcaption></figure>"))
+    near = F.concat(F.lit("</figure><p>text between</p><p>Figure "), n, F.lit(" of\n it.</p><p>" + "far " * 200 + "Figure 9 is far</p>"))
+    html = F.concat(F.regexp_replace("html", "(?is)<img[^>]*>", ""), image, F.when(C("page_id") % 2 == 0, own).otherwise(near), F.lit("</div>"))
+    return M.captioned_images(written(M.nodes(t.pages.select("page_id", html.alias("html")), "page_id", "html"), "nodes"))
+
+
 # --- chunking ---
 
 
