@@ -71,15 +71,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
+def sound(vector: Column) -> Column:
+    """Whether a vector is there and holds numbers only."""
+    return vector.isNotNull() & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c))
+
+
+def matrix(column: pa.Array, kind: type = np.float32) -> np.ndarray:
+    """A column of equally long lists as rows of numbers, without a Python object for each."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, most: int = SMALL_BYTES) -> DataFrame:
     """queries(query_id, vector) as (query_id, id, score, rank) by cosine, exact, best k.
 
     Query vectors go to all tasks in bands of some `most` bytes, each band in a scan of its own, so that
     neither the driver nor a task holds more than a band. A task multiplies matrices over its batches and
-    passes on its best k of each query: what is shuffled is tasks x queries x k rows.
+    passes on its best k of each query: what is shuffled is tasks x queries x k rows. Vectors that are null, hold a
+    null or have another length than the longest query are left out, on both sides.
     """
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    total = asked.agg(F.sum(F.lit(16) + 8 * F.size("vector")).alias("bytes")).first()["bytes"] or 0
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter(sound(F.col("vector")))
+    size = asked.agg(F.sum(F.lit(16) + 8 * F.size("vector")).alias("bytes"), F.max(F.size("vector")).alias("dims")).first()
+    total, dims = size["bytes"] or 0, size["dims"] or 0
+    asked = asked.filter(F.size("vector") == dims)
+    vectors = vectors.filter(sound(F.col(vector)) & (F.size(vector) == dims))
     kind = dict(vectors.dtypes)[key]
     bands = -(-total // most)
     found = vectors.sparkSession.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, id {kind}, score double")
@@ -102,7 +117,7 @@ def _band(vectors: DataFrame, asked: DataFrame, k: int, schema) -> DataFrame:
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+            v = matrix(batch.column(1), np.float64)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
             keys = batch.column(0)
             for s in range(0, len(ids), 256):

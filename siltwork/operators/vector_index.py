@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, ship
-from .retrieval import SMALL_BYTES, cosine, ranked
+from .retrieval import SMALL_BYTES, cosine, matrix, ranked, sound
 
 PER_CELL = 64  # drawn vectors for each cell that k-means sees
 MOST_CELLS = 4096  # bounds the centroids that every task gets
@@ -31,16 +31,6 @@ SHORT = 8  # times k candidates that are reranked exactly
 SCORES = 1 << 22  # scores that a task holds at once
 
 
-def sound(vector: Column) -> Column:
-    return vector.isNotNull() & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c))
-
-
-def matrix(column: pa.Array) -> np.ndarray:
-    """A column of equally long lists as rows of float32, without a Python object for each number."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
 def unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
 

@@ -65,13 +65,14 @@ def layer_edges(t) -> DataFrame:
     return side(f, c).union(side(c, f)).distinct()
 
 
-@query("SELECT 'out' AS side, dst AS node, citationcount FROM (SELECT dst, citationcount, row_number() OVER (ORDER BY citationcount DESC, dst) AS n FROM cites JOIN papers ON corpusid = dst WHERE src = 1) WHERE n <= 10 UNION ALL SELECT 'in', src, citationcount FROM (SELECT src, citationcount, row_number() OVER (ORDER BY citationcount DESC, src) AS n FROM cites JOIN papers ON corpusid = src WHERE dst = 1) WHERE n <= 10", "papers cites")
+@query(f"""WITH {SEEDS}, n AS (SELECT node AS seed, 'out' AS side, dst AS node FROM cites JOIN seeds ON seeds.node = src UNION ALL SELECT node, 'in', src FROM cites JOIN seeds ON seeds.node = dst)
+SELECT seed, side, node, citationcount FROM (SELECT n.*, citationcount, row_number() OVER (PARTITION BY seed, side ORDER BY citationcount DESC, n.node) AS place FROM n JOIN papers ON corpusid = n.node) WHERE place <= 10""", "papers")
 def neighbors_rank(t) -> DataFrame:
-    count = t.papers.select(C("corpusid").alias("node"), "citationcount")
-    out = t.cites.filter("src = 1").select(F.lit("out").alias("side"), C("dst").alias("node"))
-    into = t.cites.filter("dst = 1").select(F.lit("in").alias("side"), C("src").alias("node"))
-    w = Window.partitionBy("side").orderBy(F.desc("citationcount"), "node")
-    return out.unionByName(into).join(count, "node").withColumn("n", F.row_number().over(w)).filter("n <= 10").select("side", "node", "citationcount")
+    """The ten most cited references and citers of each seed."""
+    side = lambda name, way: t.adjacency().along(seeds(t), way).select(C("node").alias("seed"), F.lit(name).alias("side"), C("nbr").alias("node"), C("citations").alias("citationcount"))
+    rows = side("out", "references").unionByName(side("in", "citers")).filter("citationcount is not null")
+    w = Window.partitionBy("seed", "side").orderBy(F.desc("citationcount"), "node")
+    return rows.withColumn("n", F.row_number().over(w)).filter("n <= 10").drop("n")
 
 
 def _niche_sql(norm: str) -> str:

@@ -265,7 +265,7 @@ def apply_prefix(t) -> DataFrame:
 
 
 def _children(t, **k) -> DataFrame:
-    return K.hierarchical(t.documents.filter("doc_id >= 0"), "doc_id", "text", **k)
+    return K.hierarchical(t.documents, "doc_id", "text", **k)
 
 
 BLANK = "[\\s\\x0b]+"
