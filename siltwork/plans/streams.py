@@ -184,6 +184,23 @@ def stream_takeovers(t) -> DataFrame:
     return rows.select("lock", "event_id", F.round("at", 3).alias("at"))
 
 
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id % 20 AS queue, event_id, user_id AS run, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'click' THEN 'enqueue' WHEN 'view' THEN 'start' END AS kind,
+  row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('signup', 'click', 'view')),
+s AS (SELECT DISTINCT queue, 0::BIGINT AS i, []::BIGINT[] AS w, NULL::BIGINT AS event_id, NULL::BIGINT AS run, NULL::VARCHAR AS status, NULL::INT AS position FROM e
+  UNION ALL
+  SELECT s.queue, e.i, CASE WHEN kind = 'start' THEN s.w[2:] WHEN list_contains(s.w, e.run) OR len(s.w) >= 3 THEN s.w ELSE list_append(s.w, e.run) END, e.event_id,
+    CASE WHEN kind = 'start' THEN s.w[1] ELSE e.run END,
+    CASE WHEN kind = 'start' THEN CASE WHEN len(s.w) > 0 THEN 'running' ELSE 'idle' END WHEN list_contains(s.w, e.run) THEN 'duplicate' WHEN len(s.w) >= 3 THEN 'rejected' ELSE 'queued' END,
+    CASE WHEN kind = 'enqueue' AND NOT list_contains(s.w, e.run) AND len(s.w) < 3 THEN (len(s.w) + 1)::INT END
+  FROM s JOIN e ON s.queue = e.queue AND e.i = s.i + 1)
+SELECT queue, event_id, run, status, position FROM s WHERE i > 0""")
+def stream_queue(t) -> DataFrame:
+    """Queues that take at most three waiting runs and turn others away."""
+    kind = F.when(C("event_type").isin("signup", "click"), "enqueue").when(C("event_type") == "view", "start")
+    rows = _seconds(t).select((C("user_id") % 20).alias("queue"), "t", "event_id", kind.alias("kind"), C("user_id").alias("run")).filter("kind is not null")
+    return _streamed(t, rows, "queue", S.Queue(3))
+
+
 ASKED = "CASE event_id % 6 WHEN 0 THEN ['parse', 'fetch'] WHEN 1 THEN ['all'] WHEN 2 THEN ['ingest', 'audit', 'stage'] WHEN 3 THEN ['no_such'] END"
 SKIPPED = "CASE event_id % 4 WHEN 0 THEN ['parse'] WHEN 3 THEN ['fetch', 'ingest'] END"
 ALL = "['fetch', 'parse_pipeline', 'parse_vlm', 'stage', 'audit', 'contextualize', 'ingest']"

@@ -167,6 +167,40 @@ class Takeovers(StatefulProcessor):
         pass
 
 
+class Queue(StatefulProcessor):
+    """Of a queue's events (queue, t, event_id, kind, run) what became of each: a first-in first-out queue of at most `depth` waiting runs.
+
+    enqueue puts a run behind the others, and gives its place, or rejects it where depth runs wait, or where it waits already. start takes the
+    run that has waited longest; without one it is idle. The state is the waiting runs, so it is bounded by depth.
+    """
+
+    OUTPUT = "queue long, event_id long, run long, status string, position int"
+
+    def __init__(self, depth: int):
+        self.depth = depth
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getListState("waiting", "run long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        waiting = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
+        for r in ordered(rows):
+            run, status, position = r["run"], None, None
+            if r["kind"] == "enqueue":
+                status = "duplicate" if run in waiting else "rejected" if len(waiting) >= self.depth else "queued"
+                if status == "queued":
+                    waiting.append(run)
+                    position = len(waiting)
+            elif r["kind"] == "start":
+                status, run = ("running", waiting.pop(0)) if waiting else ("idle", None)
+            if status:
+                yield Row(queue=key[0], event_id=r["event_id"], run=run, status=status, position=position)
+        self.waiting.put([(w,) for w in waiting]) if waiting else self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
 def with_state(stream: DataFrame, key: str, processor: StatefulProcessor, timed: bool = False) -> DataFrame:
     """The processor's rows; timed ones need a stream with a watermark."""
     use_state_store(stream.sparkSession)

@@ -82,3 +82,21 @@ def test_locks_are_taken_over_when_a_timer_fires(spark, tmp_path):
         by.setdefault(lock, []).append((at, i))
     want = [(lock, i, at + 300) for lock, beats in by.items() for (at, i), nxt in zip(beats, [*beats[1:], (1e12, 0)]) if nxt[0] - at >= 300 and lock != 99]
     assert sorted(got) == sorted(want) and len(want) > 10
+
+
+def test_queues_turn_runs_away_beyond_their_depth(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), float(t), t, rng.choice(["enqueue", "enqueue", "start", "other"]), rng.randrange(12)) for t in range(240)]
+    got = run(spark, tmp_path, rows, "queue long, t double, event_id long, kind string, run long", "queue", S.Queue(3))
+    want, state = [], {}
+    for q, _, i, kind, r in rows:
+        w = state.setdefault(q, [])
+        if kind == "enqueue":
+            status = "duplicate" if r in w else "rejected" if len(w) == 3 else "queued"
+            if status == "queued":
+                w.append(r)
+            want.append((q, i, r, status, len(w) if status == "queued" else None))
+        elif kind == "start":
+            want.append((q, i, w.pop(0), "running", None) if w else (q, i, None, "idle", None))
+    key = lambda r: r[1]
+    assert sorted(got, key=key) == want and {w[3] for w in want} == {"duplicate", "rejected", "queued", "running", "idle"}

@@ -74,6 +74,14 @@ def test_vector_index_of_no_rows(spark, clustered):
     assert vector_index.search(index, queries, 5, probes=4).count() == 0
 
 
+def test_exact_search_leaves_out_what_is_no_vector(spark, clustered):
+    queries = clustered.filter("vid in (40, 9000, 9001, 9002, 9003)").select(F.col("vid").alias("query_id"), F.col("v").alias("vector"))
+    out = retrieval.dense(clustered, queries, "vid", "v", 5).collect()
+    assert {r.query_id for r in out} == {40} and len(out) == 5 and not {9000, 9001, 9002, 9003} & {r.id for r in out}
+    one = retrieval.dense(clustered, queries.filter("query_id < 0"), "vid", "v", 5)
+    assert one.count() == 0
+
+
 # --- positional postings ---
 
 
