@@ -280,7 +280,9 @@ def descriptive_tokens(name: Column) -> Column:
 
 def overlap_ratio(tokens: Column, text: Column) -> Column:
     """The share of tokens that the text contains; 1 for no tokens."""
-    return F.when(F.size(tokens) == 0, 1.0).otherwise(F.size(F.filter(tokens, lambda w: F.contains(F.lower(text), w))) / F.size(tokens))
+    # the text in lower case is made once, as a variable, and not for each token
+    held = F.transform(F.array(F.lower(text)), lambda t: F.size(F.filter(tokens, lambda w: F.contains(t, w))))[0]
+    return F.when(F.size(tokens) == 0, 1.0).otherwise(held / F.size(tokens))
 
 
 def content_nouns(text: Column, most: int = 8) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import descriptive_tokens, fail_signature, longest_paragraph, overlap_ratio, strip_sections
-from ..session import delete, exists
+from ..session import delete, exists, written
 
 # Overlap of a canonical copy's name with its text, and of a mismatch; bytes and paragraph of a page that is too small
 LEAST_OVERLAP, MISMATCH, LEAST_TOKENS, TINY, LEAST_PARAGRAPH = 0.40, 0.40, 4, 1024, 70
@@ -37,6 +37,7 @@ def manifest(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
         F.col(key).alias("key"), F.sha2(body, 256).alias("hash"), fail_signature(body).alias("sign"), overlap_ratio(tokens, strip_sections(body)).alias("overlap"),
         mismatched(tokens, body).alias("mismatch"), ((F.octet_length(body) < TINY) | (longest_paragraph(body) < LEAST_PARAGRAPH)).alias("small"),
     )
+    rows = written(rows, "file-facts")  # the texts are read once
     groups = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("overlap").alias("best")).filter("n > 1").withColumnRenamed("hash", "g_hash")
     rows = rows.join(groups, F.col("hash") == F.col("g_hash"), "left").withColumn("grouped", F.col("n").isNotNull())
     poison = (

@@ -104,8 +104,9 @@ SELECT g AS query_id, pick AS rank, id, source, score, left(text, 40) AS head, u
 def hybrid_search(t) -> DataFrame:
     """Question to context: two legs, fusion, a score of every candidate's whole text, threshold with floor, a cap for each source, diversity, parents and the budget."""
     texts = t.documents.select(C("doc_id").alias("id"), C("source").alias("parent_id"), "text")
-    pool = R.rrf(legs(t), ["query_id"], POOL_SIZE).select("query_id", "id").join(R.small(questions(t).withColumnRenamed("text", "asked")), "query_id")
-    scored = pool.join(texts, "id").select("query_id", "id", "parent_id", F.round(R.overlap(C("asked"), C("text")), 6).alias("score"), F.length("text").alias("size"), F.substring("text", 1, 40).alias("head"))
+    pool = written(R.rrf(legs(t), ["query_id"], POOL_SIZE).select("query_id", "id"), "pool")
+    pool = pool.join(R.small(questions(t).withColumnRenamed("text", "asked")), "query_id")
+    scored = texts.join(R.small(pool), "id").select("query_id", "id", "parent_id", F.round(R.overlap(C("asked"), C("text")), 6).alias("score"), F.length("text").alias("size"), F.substring("text", 1, 40).alias("head"))
     scored = written(scored, "candidates")  # a few for each question, without their texts
     best = R.rerank(scored, ["query_id"], CANDIDATES, threshold=LEAST_SCORE, per_parent=PER_PARENT, floor=FLOOR)
     near = t.embeddings.select(C("vec_id").alias("slot"), C("embedding").cast("array<double>").alias("vector"))
