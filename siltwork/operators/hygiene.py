@@ -34,12 +34,17 @@ def manifest(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     body, name = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(path), F.lit(""))
     tokens = descriptive_tokens(name)
     rows = files.select(
-        F.col(key).alias("key"), F.sha2(body, 256).alias("hash"), fail_signature(body).alias("sign"), overlap_ratio(tokens, strip_sections(body)).alias("overlap"),
+        F.col(key).alias("key"), F.sha2(body, 256).alias("hash"), fail_signature(body).alias("sign"),
         mismatched(tokens, body).alias("mismatch"), ((F.octet_length(body) < TINY) | (longest_paragraph(body) < LEAST_PARAGRAPH)).alias("small"),
     )
-    rows = written(rows, "file-facts")  # the texts are read once
-    groups = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("overlap").alias("best")).filter("n > 1").withColumnRenamed("hash", "g_hash")
-    rows = rows.join(groups, F.col("hash") == F.col("g_hash"), "left").withColumn("grouped", F.col("n").isNotNull())
+    rows = written(rows, "file-facts")
+    repeated = rows.groupBy("hash").count().filter("count > 1").select("hash")
+    # only files of groups have their text compared with their name without its tail sections
+    named = files.select(F.col(key).alias("n_key"), F.sha2(body, 256).alias("hash"), tokens.alias("tokens"), body.alias("body")).join(repeated, "hash", "left_semi")
+    named = written(named.select("n_key", F.col("hash").alias("n_hash"), overlap_ratio(F.col("tokens"), strip_sections(F.col("body"))).alias("overlap")), "name-facts")
+    best = named.groupBy(F.col("n_hash").alias("g_hash")).agg(F.max("overlap").alias("best"))
+    rows = rows.join(named.dropDuplicates(["n_key", "n_hash"]), F.col("key").eqNullSafe(F.col("n_key")) & (F.col("hash") == F.col("n_hash")), "left")
+    rows = rows.join(best, F.col("hash") == F.col("g_hash"), "left").withColumn("grouped", F.col("best").isNotNull())
     poison = (
         F.when(F.col("sign").isNotNull(), F.concat(F.lit("fail_page:"), "sign")).when(F.col("grouped") & (F.col("best") < LEAST_OVERLAP), "no_canonical")
         .when(F.col("mismatch") & (F.col("grouped") | F.col("small")), "name_mismatch")
