@@ -145,11 +145,15 @@ def longest_paragraph(text: Column) -> Column:
 
 def fail_signature(text: Column) -> Column:
     """The first sign in the first 1500 characters, else no_prose if no line has 70 characters; null for a good page."""
-    head = F.lower(F.substring(text, 1, 1500))
-    sign = F.when(longest_line(text) < 70, "no_prose")
-    for literal in reversed(FAIL_SIGNS):
-        sign = F.when(head.contains(literal), literal).otherwise(sign)
-    return sign
+
+    def sign_of(head: Column) -> Column:
+        sign = F.when(longest_line(text) < 70, "no_prose")
+        for literal in reversed(FAIL_SIGNS):
+            sign = F.when(head.contains(literal), literal).otherwise(sign)
+        return sign
+
+    # the head is made once, as a variable, and not for each sign
+    return F.transform(F.array(F.lower(F.substring(text, 1, 1500))), sign_of)[0]
 
 
 def quality_score(text: Column) -> Column:

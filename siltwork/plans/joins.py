@@ -10,7 +10,7 @@ from ..operators import hygiene
 from ..operators import relational as R
 from ..operators.retrieval import ranked
 from ..operators.text_index import TextIndex, words
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from . import text as T
 from .registry import query
 
@@ -272,7 +272,7 @@ m AS (SELECT doc_id, coalesce(poison, CASE WHEN grouped AND doc_id <> keeper THE
 def named_files(t) -> DataFrame:
     """Documents under names of their first words; every fourth one under a strange name."""
     name = F.when(C("doc_id") % 4 == 3, STRANGE).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)), 1, 5), "_"))
-    return t.documents.select("doc_id", "text", "source", F.concat("source", F.lit("/"), C("doc_id").cast("string"), F.lit("__"), name, F.lit(".txt")).alias("path"))
+    return spread(t.documents).select("doc_id", "text", "source", F.concat("source", F.lit("/"), C("doc_id").cast("string"), F.lit("__"), name, F.lit(".txt")).alias("path"))
 
 
 @query(f"WITH {MANIFEST} SELECT doc_id, reason, canonical FROM m WHERE reason IS NOT NULL")
