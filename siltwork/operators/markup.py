@@ -88,9 +88,14 @@ def _inside(inner: str, outer: str) -> Column:
     return F.col(f"{inner}.doc").eqNullSafe(F.col(f"{outer}.doc")) & (F.col(f"{inner}.begin") > F.col(f"{outer}.begin")) & (F.col(f"{inner}.end") < F.col(f"{outer}.end"))
 
 
+def _merged(outer: DataFrame, name: str) -> DataFrame:
+    """The intervals of outer for a sort-merge join: they grow with the documents, and several such sides at once are too much for a driver to broadcast."""
+    return outer.select("doc", "begin", "end").hint("merge").alias(name)
+
+
 def inside_any(rows: DataFrame, outer: DataFrame, keep: bool) -> DataFrame:
     """rows that lie inside some node of outer, or (keep false) inside none."""
-    return rows.alias("i").join(outer.select("doc", "begin", "end").alias("o"), _inside("i", "o"), "left_semi" if keep else "left_anti")
+    return rows.alias("i").join(_merged(outer, "o"), _inside("i", "o"), "left_semi" if keep else "left_anti")
 
 
 def audible(all_nodes: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def audible(all_nodes: DataFrame) -> DataFrame:
 
 def contents(of: DataFrame, texts: DataFrame) -> DataFrame:
     """of with content: the texts inside each node in order, white space collapsed; empty for none."""
-    pairs = texts.select("doc", "begin", "end", "text").alias("i").join(of.select("doc", "begin", "end").alias("o"), _inside("i", "o"))
+    pairs = texts.select("doc", "begin", "end", "text").alias("i").join(_merged(of, "o"), _inside("i", "o"))
     found = pairs.groupBy(F.col("o.doc").alias("c_doc"), F.col("o.begin").alias("c_begin")).agg(F.array_sort(F.collect_list(F.struct("i.begin", "i.text"))).alias("r"))
     flat = F.trim(F.regexp_replace(F.array_join(F.transform("r", lambda x: x["text"]), ""), r"\s+", " "))
     out = of.join(found.select("c_doc", "c_begin", flat.alias("content")), F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("begin") == F.col("c_begin")), "left")
@@ -109,7 +114,7 @@ def contents(of: DataFrame, texts: DataFrame) -> DataFrame:
 
 def nearest(of: DataFrame, outer: DataFrame) -> DataFrame:
     """of with container, the begin of the innermost node of outer around each; null for none."""
-    pairs = of.select("doc", "begin", "end").alias("i").join(outer.select("doc", "begin", "end").alias("o"), _inside("i", "o"))
+    pairs = of.select("doc", "begin", "end").alias("i").join(_merged(outer, "o"), _inside("i", "o"))
     found = pairs.groupBy(F.col("i.doc").alias("n_doc"), F.col("i.begin").alias("n_begin")).agg(F.max("o.begin").alias("container"))
     return of.join(found, F.col("doc").eqNullSafe(F.col("n_doc")) & (F.col("begin") == F.col("n_begin")), "left").drop("n_doc", "n_begin")
 
@@ -153,27 +158,29 @@ def tei_elements(all_nodes: DataFrame) -> DataFrame:
     The first head of rend h1 is level 1, other ones level 2; h2 and h3 are levels 2 and 3; heads of another rend and quotes are text. Items are lines with a dash, cells
     and rows an HTML table, whose caption is a text `Table N` right before it. Empty blocks aren't elements.
     """
-    texts = all_nodes.filter("tag is null")
-    blocks = all_nodes.filter(F.col("tag").isin(*TEI_BLOCKS))
-    blocks = inside_any(inside_any(blocks, blocks, False), all_nodes.filter(F.col("tag").isin(*TEI_SKIPPED)), False)
-    plain = contents(blocks, texts)
-
-    def listed(outer: DataFrame, tag: str, inner: DataFrame, line) -> DataFrame:
-        """outer's begin with the array of inner contents, in order."""
-        at = nearest(inner, outer).filter("container is not null").groupBy("doc", "container").agg(F.array_sort(F.collect_list(F.struct("begin", "content"))).alias("r"))
-        return at.select(F.col("doc").alias(f"{tag}_doc"), F.col("container").alias(f"{tag}_at"), line(F.transform("r", lambda x: x["content"])).alias(f"{tag}_text"))
-
-    items = contents(all_nodes.filter("tag = 'item'"), texts).filter("content <> ''")
-    lists = listed(all_nodes.filter("tag = 'list'"), "list", items, lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit("- "), x)), "\n"))
-    rows = all_nodes.filter("tag = 'row'")
-    cells = listed(rows, "row", contents(all_nodes.filter("tag = 'cell'"), texts), lambda a: F.concat(F.lit("<tr>"), F.array_join(F.transform(a, lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))), ""), F.lit("</tr>")))
-    full = rows.join(cells, F.col("doc").eqNullSafe(F.col("row_doc")) & (F.col("begin") == F.col("row_at"))).withColumn("content", F.col("row_text"))
-    tables = listed(all_nodes.filter("tag = 'table'"), "table", full.select("doc", "begin", "end", "content"), lambda a: F.concat(F.lit("<table>"), F.array_join(a, ""), F.lit("</table>")))
-    e = plain
-    for made, tag in ((lists, "list"), (tables, "table")):
-        e = e.join(made, F.col("doc").eqNullSafe(F.col(f"{tag}_doc")) & (F.col("begin") == F.col(f"{tag}_at")), "left")
+    # a root is a block that no other encloses; its nodes come as one row, after the only shuffle, which is by document
+    begun = Window.partitionBy("doc").orderBy("begin")
+    before = begun.rowsBetween(Window.unboundedPreceding, -1)
+    last_end = lambda c: F.coalesce(F.max(F.when(c, F.col("end"))).over(before), F.lit(-1))
+    block = F.col("tag").isin(*TEI_BLOCKS)
+    n = all_nodes.select("doc", "begin", "end", "tag", "text", "rend").withColumns({"skipped": last_end(F.col("tag").isin(*TEI_SKIPPED)) > F.col("end"), "root": F.coalesce(block, F.lit(False)) & (last_end(block) < F.col("end"))})
+    n = n.withColumn("r", F.last(F.when(F.col("root"), F.struct("begin", "end")), ignorenulls=True).over(begun)).filter(F.col("end") <= F.col("r.end"))
+    n = n.groupBy("doc", F.col("r.begin").alias("root")).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "tag", "text", "rend", "skipped"))).alias("r"))
+
+    r = F.col("r")
+    within = lambda i, o: (i["begin"] > o["begin"]) & (i["end"] < o["end"])
+    free = lambda x, tags, o=None: ~F.exists(r, lambda y: F.coalesce(y["tag"].isin(*tags), F.lit(False)) & within(x, y) & (F.lit(True) if o is None else y["begin"] > o["begin"]))
+    said = lambda o: F.trim(F.regexp_replace(F.array_join(F.transform(F.filter(r, lambda x: x["tag"].isNull() & within(x, o)), lambda x: x["text"]), ""), r"\s+", " "))
+    nearest_in = lambda o, tag, outer: F.filter(r, lambda x: F.coalesce(x["tag"] == tag, F.lit(False)) & within(x, o) & free(x, (outer,), o))
+    blocks = F.filter(r, lambda x: F.coalesce(x["tag"].isin(*TEI_BLOCKS), F.lit(False)) & ~x["skipped"] & free(x, TEI_BLOCKS))
+    e = n.select("doc", "r", F.explode(blocks).alias("b")).select("doc", "r", "b", "b.begin", "b.tag", "b.rend")
+    b = F.col("b")
+    listed = F.array_join(F.transform(F.filter(F.transform(nearest_in(b, "item", "list"), said), lambda x: x != ""), lambda x: F.concat(F.lit("- "), x)), "\n")
+    cells = lambda row: F.transform(nearest_in(row, "cell", "row"), lambda x: F.concat(F.lit("<td>"), said(x), F.lit("</td>")))
+    rows = F.filter(F.transform(nearest_in(b, "row", "table"), lambda x: F.array_join(cells(x), "")), lambda x: x != "")
+    rows = F.array_join(F.transform(rows, lambda x: F.concat(F.lit("<tr>"), x, F.lit("</tr>"))), "")
+    body = F.when(F.col("tag") == "list", listed).when(F.col("tag") == "table", F.concat(F.lit("<table>"), F.nullif(rows, F.lit("")), F.lit("</table>"))).otherwise(said(b))
     kind = F.when(F.col("tag").isin("list", "code", "table"), F.col("tag")).otherwise("text")
-    body = F.when(F.col("tag") == "list", F.col("list_text")).when(F.col("tag") == "table", F.col("table_text")).otherwise(F.col("content"))
     e = e.select("doc", "begin", kind.alias("type"), "tag", "rend", body.alias("text")).filter("text is not null and text <> ''")
     order = Window.partitionBy("doc").orderBy("begin")
     top = (F.col("tag") == "head") & (F.col("rend") == "h1")

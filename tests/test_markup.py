@@ -56,3 +56,15 @@ def test_captions_of_figures_and_of_near_texts(spark):
     <img src="c.png"><p>{far}</p><img src="b.png"><img src="data:x"><figure><img src="d.png"></figure><p>figure 3 in prose</p>"""
     out = {r.src: (r.alt, r.caption) for r in M.captioned_images(frame(spark, page)).collect()}
     assert out == {"a.png": ("A", "Own caption"), "b.png": (None, "Fig. 2: near"), "c.png": (None, None), "d.png": (None, None)}
+
+
+def test_tei_elements_need_one_shuffle_and_no_broadcast(spark):
+    plan = M.tei_elements(frame(spark, "<TEI><p>a</p><list><item>b</item></list></TEI>"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_tei_of_nested_lists_and_tables(spark):
+    xml = """<text><p>a <lb/>b <graphic/></p><list><item>i <list><item>j</item></list></item><item>k</item></list>
+    <table><row><cell>1<table><row><cell>2</cell></row></table></cell><cell/></row><row/></table></text>"""
+    out = M.tei_elements(frame(spark, xml, None)).orderBy("pos").collect()
+    assert [(r.type, r.text) for r in out] == [("text", "a b"), ("list", "- i j\n- k"), ("table", "<table><tr><td>12</td><td></td></tr></table>")]
