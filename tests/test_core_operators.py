@@ -467,3 +467,12 @@ def test_quarantine_is_repeatable_and_undone(spark, tmp_path):
     store.restore("one")
     store.restore("one")
     assert rows() == before
+
+
+def test_chunks_repeat_no_parent_and_split_where_sql_does(spark):
+    df = spark.createDataFrame([(1, " a\xa0b c d\x1ce \n\x85\nf "), (2, None), (3, " \n\t")], "k long, t string")
+    rows = chunking.hierarchical(df, "k", "t", 10**9, 2, 0)
+    assert [tuple(r) for r in rows.orderBy("k", "child_idx").collect()] == [(1, 0, 0, "a\xa0b c d\x1ce\n\x85\nf", "a\xa0b c d\x1ce"), (1, 0, 1, "a\xa0b c d\x1ce\n\x85\nf", "\x85 f")]
+    # a document of 4,000 words has 80 children; a task gives its text once, not 80 times
+    plan = rows.select("k", "child_idx", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode(children" in plan and "MapInArrow" in plan and "MapInPandas" not in plan
