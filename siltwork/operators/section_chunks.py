@@ -7,11 +7,14 @@ bands of rows. A task holds one section of one document.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunking import SPACE, WORD, count_words, sections
+
 # Parent tokens, child tokens and overlap of each role; roles that are left out; least child and last child; characters of a chunk
 PROFILES = {
     "abstract": (400, 400, 0), "intro": (1000, 512, 75), "related": (1000, 512, 50), "method": (1200, 768, 150), "results": (1000, 512, 50), "discussion": (1000, 640, 100),
@@ -30,7 +33,7 @@ def children(text: str, budget: int, overlap: int, characters: int) -> list[str]
     out: list[str] = []
     held: list[str] = []
     size = fresh = 0
-    for word in text.split():
+    for word in WORD.findall(text):
         grown = size + len(word) + bool(held)
         if held and (len(held) + 1 > budget or grown > characters):
             if fresh:
@@ -80,12 +83,12 @@ class SectionChunks:
             self.key, self.role, self.breadcrumb = key, row["role"] or "body", row["breadcrumb"] or ""
         if self.role in DROPPED:
             return
-        text = (row["text"] or "").strip()
+        text = (row["text"] or "").strip(SPACE)
         if row["type"] == "table":
             yield from self._flush()
-            yield from self._table(text, (row["caption"] or "").strip(), (row["summary"] or "").strip())
+            yield from self._table(text, (row["caption"] or "").strip(SPACE), (row["summary"] or "").strip(SPACE))
         elif text:
-            n = len(text.split())
+            n = count_words(text)
             if self.held and self.used + n > PROFILES.get(self.role, PROFILES["body"])[0]:
                 yield from self._flush()
             self.held.append(text)
@@ -107,7 +110,7 @@ class SectionChunks:
         characters, least, short = self.limits
         parts = children("\n\n".join(self.held), budget, overlap, characters - len(self._prefix()))
         self.held, self.used = [], 0
-        size = lambda c: len(c.split())
+        size = count_words
         if len(parts) > 1 and size(parts[-1]) < short and size(parts[-2]) + size(parts[-1]) <= budget + short:
             last = parts.pop()
             parts[-1] += " " + last
@@ -137,14 +140,19 @@ class SectionChunks:
                 self.parent += 1
 
 
-def chunks(elements: DataFrame, role: Column) -> DataFrame:
+class WordChunks(SectionChunks):
+    """Chunks by words alone, however many characters they have."""
+
+    limits = sys.maxsize, LEAST_CHILD, SHORT_CHILD
+
+
+def chunks(elements: DataFrame, role: Column, maker: type[SectionChunks] = SectionChunks) -> DataFrame:
     """elements(doc, pos, type, text, text_level, caption, summary) as chunks; role is that of the heading in column heading.
 
-    Sections, breadcrumbs and roles are columns; the table function sees a document's elements in order.
+    Sections, breadcrumbs and roles are columns; the table function sees a document's elements in order. maker cuts a document: SectionChunks within
+    CHARACTERS, WordChunks without such a bound.
     """
-    from .chunking import sections
-
     e = sections(elements).withColumn("heading", F.split("breadcrumb", " > ")[0]).withColumn("role", role)
     e = e.filter((F.col("type") == "table") | (F.col("text_level") == 0)).select("doc", "pos", "section", "role", "breadcrumb", "type", "text", "caption", "summary")
-    make = F.udtf(SectionChunks, returnType=returned(e.schema["doc"].dataType.simpleString()))
+    make = F.udtf(maker, returnType=returned(e.schema["doc"].dataType.simpleString()))
     return make(e.asTable().partitionBy("doc").orderBy("pos"))

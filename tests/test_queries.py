@@ -32,3 +32,23 @@ def test_entry_lists_everything():
 
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_structural_chunks_of_long_words_match_sql(spark, tmp_path):
+    """Sections whose chunks have more than 8,000 characters, and white space that isn't SQL's."""
+    texts = [" ".join(f"{'long' * 4}{i}" for i in range(2500)), "\n".join(f"wide\u00a0word{i}" for i in range(700)), "", None]
+    rows = spark.createDataFrame([(i, texts[i % 4]) for i in range(24)], "doc_id long, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["structural_chunks"](spark, str(tmp_path))
+    got, columns = rows_of(df.columns, df.collect())
+    names, want = duck_of(f"{tmp_path}/documents.parquet/*.parquet", registry.ORACLES["structural_chunks"])
+    assert (got, columns) == rows_of(names, want)[:2]
+
+
+def duck_of(documents, sql):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{documents}'")
+    cur = con.execute(sql)
+    return [d[0] for d in cur.description], cur.fetchall()
