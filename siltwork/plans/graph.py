@@ -15,7 +15,8 @@ HUB, NOW = 30, 2024
 
 
 def seeds(t) -> DataFrame:
-    return t.papers.filter("corpusid % 20 = 0").select(C("corpusid").alias("node"))
+    """Papers are the rows of part, so seeds need no citations."""
+    return t.part.filter("p_partkey % 20 = 0").select(C("p_partkey").alias("node"))
 
 
 SEEDS = "seeds AS (SELECT corpusid AS node FROM papers WHERE corpusid % 20 = 0)"

@@ -245,3 +245,25 @@ def test_no_exchange_above_the_edges(spark, graph):
             if "Join" in line and line in above:
                 break
         assert "Join" in above[-1] and not any("Exchange" in line for line in above), text
+
+
+def test_reached_tells_mutual_neighbours_apart(spark):
+    pairs = [(1, 2), (2, 1), (1, 3), (4, 1), (1, 1), (5, 2)]
+    e = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, infl int")
+    stored = adjacency.build(e, spark.createDataFrame([(n, 2000, n) for n in range(1, 5)], "corpusid long, year long, citationcount long"))
+    one = spark.createDataFrame([(1,)], "node long")
+    of = lambda way: sorted((r.nbr, r.m, r.citations) for r in stored.reached(one, way).collect())
+    assert of("both") == [(2, 2, 2), (3, 1, 3), (4, 1, 4)] and of("references") == [(2, 1, 2), (3, 1, 3)] and of("citers") == [(2, 1, 2), (4, 1, 4)]
+    rows = adjacency.co_cited(spark.createDataFrame([(2,), (3,)], "node long"), stored).collect()
+    assert {r.node: r.n for r in rows} == {1: 2, 2: 1, 3: 1}
+
+
+def test_seeds_and_papers_read_the_stored_citations(spark):
+    from siltwork.plans import graph
+    from siltwork.plans.model import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    first, _ = graph.seeds(t), t.papers
+    stored = t.adjacency()
+    for df in (first, t.papers, stored.reached(first)):
+        assert "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in df.inputFiles())
