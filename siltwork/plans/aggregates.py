@@ -207,9 +207,10 @@ SELECT n.query_id, round(count(DISTINCT CASE WHEN hit THEN id END)::DOUBLE / any
 def stage_recall(t) -> DataFrame:
     """Recall of the retrieved, reranked and final rows of each query that has references."""
     n = t.refs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = n.join(t.hits.join(t.refs, ["query_id", "id"], "left_semi"), "query_id", "left")
-    share = lambda cut, name: F.round(F.countDistinct(F.when(C("rank") <= cut, C("id"))) / F.first("n"), 6).alias(name)
-    return rows.groupBy("query_id").agg(share(10**9, "retrieve"), share(2, "rerank"), share(1, "final"))
+    found = t.hits.join(t.refs, ["query_id", "id"], "left_semi").groupBy("query_id", "id").agg(F.min("rank").alias("rank"))  # an id counts once, at its best rank
+    stages = {"retrieve": C("rank").isNotNull(), "rerank": C("rank") <= 2, "final": C("rank") <= 1}
+    found = found.groupBy("query_id").agg(*(F.count_if(kept).alias(name) for name, kept in stages.items()))
+    return n.join(found, "query_id", "left").select("query_id", *(F.round(F.coalesce(name, F.lit(0)) / C("n"), 6).alias(name) for name in stages))
 
 
 @query("SELECT k, round(avg(latency_ms) FILTER (event_type <> 'error') - avg(latency_ms) FILTER (event_type = 'error'), 4) AS delta FROM qlog GROUP BY k", "qlog")

@@ -52,3 +52,19 @@ def duck_of(documents, sql):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{documents}'")
     cur = con.execute(sql)
     return [d[0] for d in cur.description], cur.fetchall()
+
+
+def test_a_paper_counts_once_without_an_expansion_of_rows(spark):
+    plan = registry.QUERIES["stage_recall"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_meta_tags_are_read_by_all_cores(spark):
+    assert registry.QUERIES["meta_harvest"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_line_is_stripped_once(spark):
+    from siltwork.functions import text as X
+
+    plan = registry.QUERIES["clean_nav"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert plan.count(X.WIKI_EDIT) == 1
