@@ -267,3 +267,24 @@ def test_seeds_and_papers_read_the_stored_citations(spark):
     stored = t.adjacency()
     for df in (first, t.papers, stored.reached(first)):
         assert "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in df.inputFiles())
+
+
+def test_phrases_meet_pairs_of_neighbours_not_every_place_of_a_word(spark):
+    from siltwork.operators.text_index import TextIndex
+
+    index = TextIndex(spark, "bigint")
+    texts = ["a b c a b", "a a a b", "b c a", "c", None, "a b c d a b c d"]
+    index.refresh(spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)], "doc long, text string, updated long"), "doc", "text", "updated")
+    asked = ["a b", "A  b", "c", "a a", "a b c d", "b c a", "c b", ""]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    got = {(r.query_id, r.doc): r.hits for r in index.phrases(queries).collect()}
+    want = {}
+    for q, phrase in enumerate(asked):
+        w = phrase.lower().split()
+        for d, text in enumerate(texts):
+            t = (text or "").split()
+            n = sum(t[i : i + len(w)] == w for i in range(len(t) - len(w) + 1)) if w else 0
+            want |= {(q, d): n} if n else {}
+    assert got == want
+    plan = index.phrases(queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, ((doc" in plan and "start" in plan
