@@ -9,7 +9,7 @@ from siltwork.functions import sql as S
 from siltwork.functions import text as X
 from siltwork.operators import section_chunks as C
 from siltwork.sources import readers
-from siltwork.sources.document_tree import TreeReader, read_tree
+from siltwork.sources.document_tree import TreeReader, read_tree, write_tree
 
 
 @pytest.fixture
@@ -48,6 +48,44 @@ def test_too_large_files_are_an_error_or_skipped(spark, tree):
     assert "a/b/two.txt" not in {r.path for r in read_tree(spark, tree, max_bytes=6, on_large="skip").collect()}
 
 
+def test_texts_are_written_as_files_by_their_tasks(spark, tmp_path):
+    texts = ["zwei é\n", "", None, "a\x1eb", "x" * 70_000]
+    rows = [(f"source={'ab'[i % 2]}/c%2Fd", texts[i % 5]) for i in range(60)] + [("_admin", "hidden")]
+    for _ in range(2):  # a second job adds its files
+        write_tree(spark.createDataFrame(rows, "folder string, text string").repartition(5), f"file://{tmp_path}/out")
+    found = read_tree(spark, f"file://{tmp_path}/out", pattern="part-*").collect()
+    assert sorted((r.path.rsplit("/", 2)[0], r.text) for r in found) == sorted((f, t or "") for f, t in rows[:-1] * 2)
+    assert all(r.size == len(r.text.encode()) for r in found)
+    assert sorted(os.listdir(f"{tmp_path}/out")) == ["_admin", "source=a", "source=b"]  # nothing staged is left
+    assert not [f for _, _, names in os.walk(tmp_path / "out") for f in names if not f.startswith("part-")]  # no checksum beside each file
+    kept = [r.path for r in read_tree(spark, f"{tmp_path}/out").filter(~F.col("path").startswith("source=a/")).collect()]
+    assert len(kept) == 60 and all(p.startswith("source=b/") for p in kept)
+
+
+def test_files_are_ruled_out_by_a_negated_filter_while_planning(tree):
+    from pyspark.sql.datasource import Not, StringStartsWith
+
+    reader = TreeReader({"path": tree, "per_task": "1"})
+    assert not list(reader.pushFilters([Not(StringStartsWith(("path",), "a/"))]))
+    assert [f for p in reader.partitions() for f, _ in p.files] == ["c/empty.txt", "c/three.md"]
+
+
+def test_doc_scan_knows_any_source(spark, tmp_path):
+    """Names that a path must not hold, the empty one and none; the job's own table has other columns too."""
+    from siltwork.plans import registry
+
+    registry.load()
+    sources = ["a/b", "", "web", "web2", None, "ü =%2F", "..", "src1"]
+    rows = [(i, f"é{i}", sources[i % 8]) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for _, text, source in rows:
+        if source not in ("web", None):
+            files, size = want.get(source, (0, 0))
+            want[source] = (files + 1, size + len(text.encode()))
+    assert {r.source: (r.files, r.bytes) for r in registry.QUERIES["doc_scan"](spark, str(tmp_path)).collect()} == want
+
+
 def test_atom_entries_are_rows(spark, tmp_path):
     feed = """<?xml version="1.0"?><feed><title>All</title><entry><id>u1</id><title>A &amp; B
  two lines</title><published>2024-01-01</published><author><name>Roe</name></author><author><name>Bauer</name></author></entry><entry><id>u2</id></entry></feed>"""
