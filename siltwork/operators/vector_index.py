@@ -4,7 +4,8 @@ The index is a folder: `cells` has the centroids, `rows` a row for each vector,
 one byte a component (the residual to the centroid, scaled by its largest component) and the vector itself. A
 search reads the codes of the cells it probes and of no others, keeps a short list for each query, and reads
 the vectors of the short lists only. Queries are searched in bands of neighbouring cells, so that a band
-holds a bounded number of bytes and probes few cells.
+with its short lists holds a bounded number of bytes and probes few cells. A task keeps one short list for each query of its
+band over all cells it reads, and there are no more tasks than cores: what is shuffled doesn't grow with the cells.
 
 Centroids are fitted on at most PER_CELL drawn vectors for each cell; all vectors are indexed. Vectors that are null, hold a null
 or have another length than most are left out: they have no cosine to anything. A vector without length is in
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ PER_CELL = 64  # drawn vectors for each cell that k-means sees
 MOST_CELLS = 4096  # bounds the centroids that every task gets
 SHORT = 8  # times k candidates that are reranked exactly
 SCORES = 1 << 22  # scores that a task holds at once
+ENTRY = 24  # bytes of an entry of a short list in a task
+OUT = 1 << 16  # rows of a batch of short lists
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -138,7 +142,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, short: i
     asked = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector")).filter(sound(F.col("vector")) & (F.size("vector") == dims))
     asked = asked.mapInArrow(probe, f"query_id {kind}, vector array<float>, cells array<int>").withColumn("first", F.col("cells")[0])
     sizes = asked.groupBy("first").count().orderBy("first").collect()  # a row a cell
-    bands, split = _bands([(r["first"], r["count"] * (dims * 8 + 64)) for r in sizes], most)
+    bands, split = _bands([(r["first"], r["count"] * (dims * 8 + 64 + k * short * ENTRY)) for r in sizes], most)
     parts = [asked.filter(F.col("first").isin(b)) for b in bands]
     parts += [asked.filter((F.col("first") == cell) & (F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)) for cell, n in split.items() for i in range(n)]
     found = spark.createDataFrame([], f"query_id {kind}, id {index.id_type}, cell int, near float")
@@ -151,6 +155,39 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, short: i
     return ranked(scored, ["query_id"], F.desc("score"), F.col("id"), limit=k)
 
 
+class _Shortest:
+    """The best `short` entries of each query (near downwards, id upwards) of all that a task adds."""
+
+    def __init__(self, queries: int, short: int):
+        self.short, self.least = short, np.full(queries, -np.inf, dtype=np.float32)  # what an entry must reach
+        self.held: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]] = []
+        self.count, self.most = 0, max(OUT, 2 * short * queries)
+
+    def add(self, query: np.ndarray, ids: pa.Array, cell: int, near: np.ndarray) -> None:
+        self.held.append((query.astype(np.int32), ids, np.full(len(query), cell, dtype=np.int32), near.astype(np.float32)))
+        self.count += len(query)
+        if self.count > self.most:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray] | None:
+        """All that is held, cut to the best of each query."""
+        if not self.held:
+            return None
+        query, cell, near = (np.concatenate([h[i] for h in self.held]) for i in (0, 2, 3))
+        ids = pa.concat_arrays([h[1] for h in self.held])
+        place = np.empty(len(ids), dtype=np.int64)
+        place[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((place, -near, query))
+        sorted_query = query[order]
+        nth = np.arange(len(order)) - np.searchsorted(sorted_query, sorted_query)
+        last = order[nth == self.short - 1]
+        self.least[query[last]] = near[last]
+        best = order[nth < self.short]
+        kept = query[best], ids.take(pa.array(best)), cell[best], near[best]
+        self.held, self.count = [kept], len(best)
+        return kept
+
+
 def _short_lists(index: VectorIndex, asked: DataFrame, short: int, spark: SparkSession) -> DataFrame:
     """(query_id, id, cell, near) of a band of queries: each task's best `short` of each query, by the codes."""
     rows = asked.collect()  # of a band's bounded size
@@ -165,6 +202,7 @@ def _short_lists(index: VectorIndex, asked: DataFrame, short: int, spark: SparkS
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asking, of, centroids = shared.value
+        lists = _Shortest(len(asking), short)
         for batch in batches:
             cells = batch.column(3).to_numpy()
             for cell in np.unique(cells):
@@ -175,10 +213,16 @@ def _short_lists(index: VectorIndex, asked: DataFrame, short: int, spark: SparkS
                 step = max(1, SCORES // len(at))
                 for s in range(0, len(mine), step):
                     score = asking[mine[s : s + step]] @ near.T
-                    cut = -np.partition(-score, short - 1, axis=1)[:, short - 1 : short] if short < score.shape[1] else np.full((len(score), 1), -np.inf)
-                    row, col = np.nonzero(score >= cut)
-                    keys = batch.column(0).take(pa.array(at[col]))
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(mine[s + row])), keys, pa.array(np.full(len(row), cell, dtype=np.int32)), pa.array(score[row, col].astype(np.float32))], names=["query_id", "id", "cell", "near"])
+                    least = lists.least[mine[s : s + step], None]
+                    if short < score.shape[1]:
+                        least = np.maximum(least, -np.partition(-score, short - 1, axis=1)[:, short - 1 : short])
+                    row, col = np.nonzero(score >= least)
+                    lists.add(mine[s + row], batch.column(0).take(pa.array(at[col])), int(cell), score[row, col])
+        kept = lists.cut()
+        for s in range(0, len(kept[0]) if kept else 0, OUT):
+            query, keys, cell, near = (x[s : s + OUT] for x in kept)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), keys, pa.array(cell), pa.array(near)], names=["query_id", "id", "cell", "near"])
 
     probed = index.rows(spark).filter(F.col("cell").isin(sorted(at_cell))).select("id", "code", "scale", "cell")
+    probed = probed.coalesce(spark.sparkContext.defaultParallelism)  # small files of cells; each task passes a short list of each query on
     return probed.mapInArrow(best, f"query_id {dict(asked.dtypes)['query_id']}, id {index.id_type}, cell int, near float")

@@ -67,6 +67,32 @@ def test_only_probed_cells_are_read(spark, clustered):
     assert found.first().id == 40 and found.count() == 5
 
 
+def test_a_task_passes_one_short_list_of_each_query_on(spark, clustered):
+    """Not one for each cell it reads, whose number grows with the vectors."""
+    index = vector_index.build(clustered, "vid", "v", cells=60)
+    asked = clustered.filter("vid < 30").select(F.col("vid").alias("query_id"), F.col("v").alias("vector"), F.expr("sequence(0, 59)").alias("cells"))
+    rows = vector_index._short_lists(index, asked, 5, spark)
+    assert 30 * 5 <= rows.count() <= spark.sparkContext.defaultParallelism * 30 * 5
+
+
+def test_short_lists_hold_the_best_and_a_bounded_number_of_entries():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    lists, every = vector_index._Shortest(4, 3), []
+    lists.most = 20
+    for cell in range(40):
+        query, near = rng.integers(0, 4, 9), rng.integers(0, 6, 9).astype(np.float32)  # many ties
+        ids = [None if cell == 7 and i == 0 else cell * 9 + i for i in rng.permutation(9)]
+        lists.add(query, pa.array(ids, pa.int64()), cell, near)
+        every += zip(query.tolist(), (-near).tolist(), [-1 if i is None else i for i in ids], [cell] * 9)
+        assert lists.count <= 20 + 9
+    query, ids, cell, near = lists.cut()
+    got = sorted(zip(query.tolist(), (-near).tolist(), [-1 if i is None else i for i in ids.to_pylist()], cell.tolist()))
+    assert got == sorted(x for q in range(4) for x in sorted(e for e in every if e[0] == q)[:3])
+    assert vector_index._Shortest(4, 3).cut() is None
+
+
 def test_vector_index_of_no_rows(spark, clustered):
     none = clustered.filter("vid < -5")
     index = vector_index.build(none, "vid", "v")
