@@ -11,6 +11,7 @@ from ..streaming import stateful as S
 from .registry import query
 
 C = F.col
+YEAR = 1704067200  # seconds of 1970 at which 2024 begins
 
 
 @query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 96 HOUR) WHERE n = 1""")
@@ -132,7 +133,7 @@ def _streamed(t, rows: DataFrame, key: str, processor, timed: bool = False) -> D
         rows.filter(part).write.mode("append").parquet(f"{top}/in")
         stream = t.spark.readStream.schema(rows.schema).parquet(f"{top}/in")
         if timed:
-            stream = stream.withColumn("ts", F.timestamp_micros((C("t") * 1_000_000).cast("long"))).withWatermark("ts", "0 seconds")
+            stream = stream.withColumn("ts", F.timestamp_micros(F.round(C("t") * 1_000_000).cast("long") + YEAR * 1_000_000)).withWatermark("ts", "0 seconds")
         found = S.with_state(stream, key, processor, timed)
         found.writeStream.outputMode("append").format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(f"{top}/out")
@@ -179,8 +180,9 @@ def stream_breaker(t) -> DataFrame:
 n AS (SELECT *, lead(t) OVER (PARTITION BY lock ORDER BY t, event_id) AS next, max(t) OVER () AS seen FROM e)
 SELECT lock, event_id, round(t + 172800, 3) AS at FROM n WHERE CASE WHEN next IS NULL THEN t + 172800 <= seen ELSE next - t >= 172800 END""")
 def stream_takeovers(t) -> DataFrame:
-    """Locks taken over when two days pass without a heartbeat, by timers of the event's time."""
-    rows = _streamed(t, _seconds(t).select(C("user_id").alias("lock"), "t", "event_id"), "lock", S.Takeovers(172800.0), timed=True)
+    """Locks taken over when two days pass without a heartbeat, by timers of the event's time; the locks lie in 1,024 parts."""
+    beats = S.lock_parts(_seconds(t).select(C("user_id").alias("lock"), "t", "event_id"), 1024)
+    rows = _streamed(t, beats, "part", S.Takeovers(172800.0, YEAR), timed=True)
     return rows.select("lock", "event_id", F.round("at", 3).alias("at"))
 
 

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+NEVER = np.iinfo(np.int64).max
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -129,39 +132,63 @@ class Breaker(StatefulProcessor):
 class Takeovers(StatefulProcessor):
     """Of heartbeats (lock, t, event_id) the times at which a lock is taken over: `timeout` seconds behind a last heartbeat.
 
-    A timer of the event's time waits for each lock's next heartbeat, so an idle lock is taken over once the watermark
-    has passed that time, without another row. A heartbeat after a takeover holds the lock anew.
+    Keyed by lock, or by part of the locks (lock_parts): calls of the state and batches of output are made for a key, not for a lock. The state is
+    the last heartbeat of each lock. A timer of the event's time waits for the key's first lock to run out, so an idle lock is taken over once
+    the watermark has passed that time, without another row. A heartbeat after a takeover holds the lock anew.
     """
 
     OUTPUT = "lock long, event_id long, at double"
+    FRAMES = True  # rows come and go as pandas frames
 
-    def __init__(self, timeout: float = 300.0):
-        self.timeout = timeout
+    def __init__(self, timeout: float = 300.0, epoch: int = 0):
+        self.timeout, self.epoch = timeout, epoch  # epoch: seconds of 1970 at which t is 0, as in the stream's watermark
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "t double, event_id long, due long")
-
-    def _expired(self, lock: int, t: float, event_id: int) -> Row:
-        return Row(lock=lock, event_id=event_id, at=t + self.timeout)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = self.last.get() if self.last.exists() else None
-        if last is not None:
-            self.handle.deleteTimer(last[2])
-        for r in ordered(rows):
-            if last is not None and r["t"] - last[0] >= self.timeout:
-                yield self._expired(key[0], last[0], last[1])
-            last = (r["t"], r["event_id"], 0)
-        due = int((last[0] + self.timeout) * 1000)
-        self.last.update((last[0], last[1], due))
-        self.handle.registerTimer(due)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.last.exists():
-            t, event_id, _ = self.last.get()
+        self.last = handle.getListState("last", "lock long, t double, event_id long")
+
+    def _expired(self, beats: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lock": beats["lock"], "event_id": beats["event_id"], "at": beats["t"] + self.timeout})
+
+    def _due(self, beats: pd.DataFrame) -> np.ndarray:
+        """Timers in ms: one fires once the watermark is above it, which is when it has reached the beat's time and timeout."""
+        return -(-np.rint((beats["t"].to_numpy() + self.timeout) * 1e6).astype(np.int64) // 1000) - 1 + self.epoch * 1000
+
+    def _held(self) -> pd.DataFrame:
+        return self._frame(pd.DataFrame(list(self.last.get()) if self.last.exists() else [], columns=["lock", "t", "event_id"]))
+
+    @staticmethod
+    def _frame(beats: pd.DataFrame) -> pd.DataFrame:
+        return beats[["lock", "t", "event_id"]].astype({"lock": "Int64", "t": "float64", "event_id": "Int64"})
+
+    def _keep(self, beats: pd.DataFrame) -> None:
+        columns = (beats[c].astype(object).where(beats[c].notna(), None).tolist() for c in ("lock", "t", "event_id"))
+        self.last.put(list(zip(*columns)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        every = pd.concat([held, *map(self._frame, rows)], ignore_index=True)
+        every = every.assign(n=pd.factorize(every["lock"], use_na_sentinel=False)[0], new=every.index >= len(held)).sort_values(["n", "new", "t", "event_id"])
+        last = every["n"].to_numpy() != every["n"].shift(-1, fill_value=-1).to_numpy()
+        yield self._expired(every[~last & (every["t"].shift(-1) - every["t"] >= self.timeout).to_numpy()])
+        before, every = self._due(held).min(initial=NEVER), every[last]
+        self._keep(every)
+        first = self._due(every).min()
+        if first != before:
+            if before != NEVER:
+                self.handle.deleteTimer(int(before))
+            self.handle.registerTimer(int(first))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        due = self._due(held)
+        over = (due <= expiredTimerInfo.getExpiryTimeInMs()) | (due < timerValues.getCurrentWatermarkInMs())
+        yield self._expired(held[over])
+        if over.all():
             self.last.clear()
-            yield self._expired(key[0], t, event_id)
+        elif over.any():
+            self._keep(held[~over])
+            self.handle.registerTimer(int(due[~over].min()))
 
     def close(self) -> None:
         pass
@@ -205,9 +232,16 @@ def with_state(stream: DataFrame, key: str, processor: StatefulProcessor, timed:
     """The processor's rows; timed ones need a stream with a watermark."""
     use_state_store(stream.sparkSession)
     mode = "eventTime" if timed else "none"
-    return stream.groupBy(key).transformWithState(processor, processor.OUTPUT, "append", mode)
+    grouped = stream.groupBy(key)
+    run = grouped.transformWithStateInPandas if getattr(processor, "FRAMES", False) else grouped.transformWithState
+    return run(processor, processor.OUTPUT, "append", mode)
 
 
 def ended_parts(stream: DataFrame, parts: int) -> DataFrame:
     """stream(run, ...) with part, by which the set of ended runs is cut."""
     return stream.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(parts)).cast("int"))
+
+
+def lock_parts(stream: DataFrame, parts: int) -> DataFrame:
+    """stream(lock, ...) with part, by which the set of locks is cut."""
+    return stream.withColumn("part", F.pmod(F.xxhash64("lock"), F.lit(parts)).cast("int"))

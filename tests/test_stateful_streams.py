@@ -84,6 +84,49 @@ def test_locks_are_taken_over_when_a_timer_fires(spark, tmp_path):
     assert sorted(got) == sorted(want) and len(want) > 10
 
 
+@pytest.mark.parametrize("parts", [None, 2])
+def test_locks_of_a_part_run_out_one_by_one(spark, tmp_path, parts):
+    """Parts give what locks of their own give, at the very time of the watermark too; a part whose locks all ran out begins anew."""
+    beats = [(1, 1.0, 1), (2, 50.0, 2), (3, 100.0, 3), (4, 400.0, 4), (1, 410.0, 5), (4, 600.0, 6), (5, 710.0, 7), (4, 2000.0, 8), (6, 2300.0, 9)]
+    key, prepare = ("part", lambda s: S.lock_parts(s, parts)) if parts else ("lock", lambda s: s)
+    got = run(spark, tmp_path, beats, "lock long, t double, event_id long", key, S.Takeovers(300.0), timed=True, files=9, stop_after=5, prepare=prepare)
+    assert sorted(got) == [(1, 1, 301.0), (1, 5, 710.0), (2, 2, 350.0), (3, 3, 400.0), (4, 6, 900.0), (4, 8, 2300.0), (5, 7, 1010.0)]
+
+
+def test_takeovers_before_and_at_the_beginning_of_the_year(spark, tmp_path):
+    """Rows at the watermark's own beginning aren't late, and a lock without a name is one."""
+    import duckdb
+
+    from siltwork.plans import registry
+
+    registry.load()
+    times = ["2023-12-20", "2023-12-25", "2024-01-01", "2024-01-02", "2024-01-03", "2024-01-07"]
+    rows = [(i, times[i % 6], [1, 2, 1, None, 3, 1, 2][i % 7]) for i in range(24)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["stream_takeovers"]).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["stream_takeovers"](spark, str(tmp_path)).collect()]
+    key = lambda r: r[1]
+    assert sorted(got, key=key) == sorted(want, key=key) and any(r[0] is None for r in want)
+
+
+def test_state_is_called_for_parts_and_not_for_locks(spark, monkeypatch):
+    """However many locks there are, the query has at most 1,024 keys."""
+    from siltwork.plans import registry, streams
+    from siltwork.plans.model import Tables
+
+    registry.load()
+    keys = []
+    monkeypatch.setattr(streams, "_streamed", lambda t, rows, key, *a, **k: keys.append(rows.select(key).distinct().count()) or spark.createDataFrame([], S.Takeovers.OUTPUT))
+    many = spark.range(20_000).selectExpr("id AS event_id", "id AS user_id", "timestamp_ntz'2024-01-02' AS ts")
+    tables = Tables(spark, "none")
+    tables.__dict__["events"] = many
+    streams.stream_takeovers(tables)
+    assert keys == [1024]
+
+
 def test_queues_turn_runs_away_beyond_their_depth(spark, tmp_path):
     rng = random.Random(5)
     rows = [(rng.randrange(4), float(t), t, rng.choice(["enqueue", "enqueue", "start", "other"]), rng.randrange(12)) for t in range(240)]
