@@ -181,6 +181,41 @@ def test_merge_short():
     assert chunking.merge_short(["a b", "c d", "e"], 2) == ["a b", "c d\ne"]
 
 
+CONTENTS = [
+    ("p|Intro.... 1|Terms ...2|Law...  14 |Tax .... 20|End....21|q", "p|q"), ("Intro.... 1|Terms ...2|Law...  14|Tax... 20", None), ("1 Aim 3|1.1 The aim  4|2 End 5|3.1.2 A b 6|4 C 7", ""),
+    ("a|Long title|wraps.... 3|Another|too.... 4|Third|is.... 5|b", "a|Long title|b"), ("Intro.... 1|Terms.... 2|a|b|Law.... 3|Tax.... 4", None), ("1 A 2|x|1 B 3|y|1 C 4", ""), ("1 A 2|x|1 B 3|y|1 C 4|z|1 D 5|t|1 E 6", None),
+    ("1 A 2|2 B 3|3 C 4|x|4 D.... 5|y|5 E.... 6", "", ), ("1 3|2 4|3 5|4 6|5 7", None), ("1. Aim 3|2. End 4|3. A 5|4. B 6|5. C 7", None), ("1 Aim|2 End|3 A|4 B|5 C", None), ("1 Aim a3|2 End a4|3 A a5|4 B a6|5 C a7", None),
+    ("Intro.. 1|Terms.. 2|Law.. 3|Tax.. 4|End.. 5", None), ("A... 1| |B... 2||C... 3|\t|D... 4|E... 5|", ""), ("A... 1|B... 2|C... 3|D... 4|E... 5|x|y|F... 6|z|1 G 7|2 H 8|I... 9|w", "x|y|w"), ("", None),
+]
+
+
+@pytest.mark.parametrize("text, want", CONTENTS)
+def test_tables_of_contents_by_hand(text, want):
+    assert chunking.without_contents(text.replace("|", "\n")) == (text if want is None else want).replace("|", "\n")
+
+
+def test_tables_of_contents_as_in_the_column_and_in_linear_time(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    pieces = ["1", "2.3", "1.", "...", "....", "..", " ", "  ", "x", "12", "x9", "9x"]
+    entries = {"".join(rng.choices(pieces, k=rng.randint(1, 6))).strip() for _ in range(4000)} - {""}
+    texts = ["\n".join([x] * 5) for x in sorted(entries)]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select("t", X.looks_like_toc(F.col("t")).alias("toc")).collect()
+    assert len({r["toc"] for r in got}) == 2 and all((chunking.without_contents(r["t"]) == "") is r["toc"] for r in got)
+    began = time.time()
+    odd = "\n".join(["." * 10**6 + "x", "1" + " " * 10**6 + "x", "1.1" * 10**6 + "x 1", "1 " * 10**6 + "x", "1" * 10**6])
+    assert chunking.without_contents(odd) == odd and time.time() - began < 10
+
+
+def test_a_text_is_cleaned_before_it_is_packed(spark):
+    df = spark.createDataFrame([(1, "a b\nx c d\ny z"), (2, None)], "k long, t string")
+    rows = lambda **kw: [tuple(r) for r in chunking.hierarchical(df, "k", "t", 3, 2, 0, **kw).orderBy("parent_idx", "child_idx").collect()]
+    assert [r[3:] for r in rows()] == [("a b", "a b"), ("x c d", "x c"), ("x c d", "d"), ("y z", "y z")]
+    assert rows(clean=lambda t: t.replace("c d\n", "")) == [(1, 0, 0, "a b", "a b"), (1, 1, 0, "x y z", "x y"), (1, 1, 1, "x y z", "z")]
+
+
 def test_markdown_and_tables(spark):
     md = "# T\n\npara\n\n| a |\n| - |\n| 1 |\n\n```\n# no\n```\n- x\n"
     rows = H.markdown_elements(spark.createDataFrame([(1, md), (2, None)], "k int, md string"), "k", "md").collect()
